@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .mixing import OP7_SQL, op7_mixing
 from .near import OP3_SQL, op3_near
 from .secrets import OP10_SQL, op10_secrets
+from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_near": op3_near, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
+    return {"op1_warc": op1_warc, "op3_near": op3_near, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near": OP3_SQL, "op7_mixing": OP7_SQL, "op10_secrets": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_near": OP3_SQL, "op7_mixing": OP7_SQL, "op10_secrets": OP10_SQL}
