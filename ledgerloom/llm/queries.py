@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .leaks import OP4_SQL, op4_leaks
 from .licences import OP2_SQL, op2_licences
 from .mixing import OP7_SQL, op7_mixing
 from .near import OP3_SQL, op3_near
@@ -14,8 +15,8 @@ from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_licences": op2_licences, "op3_near": op3_near, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
+    return {"op1_warc": op1_warc, "op2_licences": op2_licences, "op3_near": op3_near, "op4_leaks": op4_leaks, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_licences": OP2_SQL, "op3_near": OP3_SQL, "op7_mixing": OP7_SQL, "op10_secrets": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op2_licences": OP2_SQL, "op3_near": OP3_SQL, "op4_leaks": OP4_SQL, "op7_mixing": OP7_SQL, "op10_secrets": OP10_SQL}
