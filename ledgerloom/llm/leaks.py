@@ -197,6 +197,13 @@ def _merged(found: list[DataFrame]) -> DataFrame:
     return rows.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items", "near")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, without any hit. Hits hang on the text alone and are found by it."""
+    found = search(docs.select(F.xxhash64("text").alias("doc_id"), docs["text"].alias("text")), benchmark, slop=-1)
+    leaked = kept(found.filter("n_hit > 0").select(F.col("doc_id").alias("__leaked")).distinct())
+    return docs.join(leaked, F.xxhash64("text") == F.col("__leaked"), "left_anti")
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

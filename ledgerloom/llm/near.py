@@ -17,6 +17,7 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import kept, table
@@ -210,6 +211,20 @@ def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return linked.union(slim.filter("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("label")))
 
 
+def one_of_each(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay: of each class that with the smallest id (rows without
+    an id last; of repeated rows one), and every text without words."""
+    found = kept(classes(docs, similar))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    best = found.filter("n_shingles > 0").groupBy("label").agg(first.alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.key").alias("__key"), F.lit(True).alias("__one"))
+    empty = found.filter("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(False).alias("__one")).distinct()
+    stay = kept(best.union(empty))
+    own = docs.withColumn("__doc", docs["doc_id"].cast("long")).withColumn("__md5", F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))))
+    own = own.join(stay, (F.col("__md5") == F.col("__key")) & F.col("__doc").eqNullSafe(F.col("__id")))
+    nth = F.row_number().over(W.partitionBy("__md5", "__doc").orderBy(F.lit(0)))
+    return own.withColumn("__nth", nth).filter("NOT __one OR __nth = 1").select(*docs.columns)
+
+
 def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     found = classes(table(spark, sf_dir, "documents"))

@@ -11,11 +11,12 @@ from .licences import OP2_SQL, op2_licences
 from .mixing import OP7_SQL, op7_mixing
 from .near import OP3_SQL, op3_near
 from .secrets import OP10_SQL, op10_secrets
+from .toxicity import op8_toxicity
 from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_licences": op2_licences, "op3_near": op3_near, "op4_leaks": op4_leaks, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
+    return {"op1_warc": op1_warc, "op2_licences": op2_licences, "op3_near": op3_near, "op4_leaks": op4_leaks, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:

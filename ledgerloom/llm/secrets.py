@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 #: Fixed values. Kind, role, pattern, group whose length counts, least length of it. The first three are strong.
 KINDS = (
@@ -98,6 +98,32 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
 
 
+def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[redacted]") -> DataFrame:
+    """The rows of ``docs``, with their columns; in ``text`` each span, or run of overlapping spans, is the mark.
+
+    ``n_chars``, if there is one, is the new text's length where the text changed. Spans hang on the text alone, so they
+    are found by it: rows with equal texts share them.
+    """
+    found = scan(docs.select(F.xxhash64("text").alias("doc_id"), docs["text"].alias("text")), scope)
+    spans = found.select(F.col("doc_id").alias("__hash"), F.array_sort(F.concat("base", "linked")).alias("__spans")).filter(F.size("__spans") > 0)
+    spans = kept(spans.groupBy("__hash").agg(F.max("__spans").alias("__spans")))
+    own = docs.withColumn("__own", F.xxhash64("text")).join(spans, F.col("__own") == F.col("__hash"), "left")
+
+    def cut(state: Column, s: Column) -> Column:
+        gap = F.greatest(F.lit(0), (s["start"] - state["at"]).cast("int"))
+        piece = F.col("text").substr((state["at"] + 1).cast("int"), gap)
+        out = F.concat(state["out"], piece, F.when((s["start"] >= state["at"]) & (s["end"] > state["at"]), mark).otherwise(""))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    rest = lambda state: F.concat(state["out"], F.col("text").substr((state["at"] + 1).cast("int"), F.length("text")))
+    clean = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cut, rest)
+    own = own.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        own = own.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return own.select(*docs.columns)
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "linked")).alias("spans"))
 
