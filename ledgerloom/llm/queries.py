@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ctw import op6_ctw
+from .extract import op5_extract
 from .hnsw import op9_hnsw
 from .leaks import OP4_SQL, op4_leaks
 from .licences import OP2_SQL, op2_licences
@@ -18,7 +19,7 @@ from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_licences": op2_licences, "op3_near": op3_near, "op4_leaks": op4_leaks, "op6_ctw": op6_ctw, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_hnsw": op9_hnsw, "op10_secrets": op10_secrets}
+    return {"op1_warc": op1_warc, "op2_licences": op2_licences, "op3_near": op3_near, "op4_leaks": op4_leaks, "op5_extract": op5_extract, "op6_ctw": op6_ctw, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_hnsw": op9_hnsw, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
