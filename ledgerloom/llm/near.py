@@ -4,9 +4,9 @@ Texts that are equal to the letter become one node first, so copies cost one row
 share a band bucket are candidates. In each bucket every member is held against one centre, the bucket's
 smallest node: as many pairs as members, however large the bucket. Signatures of 4-bit minima estimate the
 similarity, corrected for chance agreement, and drop what is far from the threshold; the rest is confirmed on
-full shingle sets. Where a bucket still holds several components, members of different components are compared
-in blocks of signatures, and what may be similar is confirmed too: so every pair of a bucket is either in one
-component or was tested, and nothing is capped.
+full shingle sets. Where a bucket still holds several components, members of different components meet in blocks:
+signatures first, full sets where they may be similar, and only links that join two components come out. So
+every pair of a bucket is either in one component or was tested, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -111,14 +111,19 @@ def _exact(pairs: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordB
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
     """The pairs whose full sets are similar."""
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(nodes.select("key", "rep"), "key").select(F.col("key").alias("__key"), F.col("rep").alias("__rep"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(docs["text"])).alias("key"), docs["text"].alias("text"))
-    texts = texts.join(need, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
-    texts = kept(texts.groupBy("key").agg(F.max("text").alias("text")))  # repeated rows, and rows without an id
+    texts = kept(_texts(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), nodes, docs))
     both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
     return kept(both.select("a", "b", "left", "right").mapInArrow(partial(_exact, similar=similar), "a binary, b binary"))
 
 
+def _texts(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, text of the nodes that ``keys`` names, each once."""
+    need = keys.join(nodes.select("key", "rep"), "key").select(F.col("key").alias("__key"), F.col("rep").alias("__rep"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(docs["text"])).alias("key"), docs["text"].alias("text"))
+    texts = texts.join(need, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
+    return texts.groupBy("key").agg(F.max("text").alias("text"))  # repeated rows, and rows without an id
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, label): the smallest node that can be reached, for every node of an edge.
 
@@ -138,46 +143,74 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _sets(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHashes()
+    for batch in docs:
+        sets = [shingles(words.of(spaced(t)), SHINGLE).tobytes() for t in raw(batch, "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "set"])
+
+
 def _block(group: Iterator[pa.RecordBatch], least: float, similar: int) -> Iterator[pa.RecordBatch]:
-    """One block of a bucket's smaller components against one block of all its members."""
+    """One block of a bucket's smaller components against one block of all its members: links that join components.
+
+    A pair that shares several buckets is looked at in that of the first band alone, and one that earlier links of this
+    block have joined is not looked at again.
+    """
     t = pa.Table.from_batches(list(group))
     if not t.num_rows:
         return
-    key, label = np.array(t["key"].to_pylist(), object), np.array(t["label"].to_pylist(), object)
+    key, label = t["key"].to_pylist(), t["label"].to_pylist()
     side, minor, n = (t[c].to_numpy() for c in ("side", "minor", "n"))
+    band, centre = t["band"][0].as_py(), t["centre"][0].as_py()
     sig = np.stack([t[c].to_numpy() for c in _SIG], axis=1).view(np.uint64)
+    bands = np.stack([t[c].to_numpy() for c in _BAND], axis=1)
     lanes = ((sig[:, :, None] >> np.arange(0, 64, BITS, dtype=np.uint64)) & np.uint64(2**BITS - 1)).astype(np.uint8).reshape(len(sig), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+    root = {x: x for x in label}
+
+    def top(x: bytes) -> bytes:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a, b = [], []
-    for i in left:
-        same = (lanes[right] == lanes[i]).sum(axis=1)
-        sizes = 100 * np.minimum(n[right], n[i]) >= similar * np.maximum(n[right], n[i])
-        for j in right[(same >= least) & sizes]:
-            if label[i] != label[j] and (not minor[j] or key[i] < key[j]):
-                x, y = sorted((key[i], key[j]))
-                a.append(x), b.append(y)
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def _left_over(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similar: int) -> DataFrame | None:
-    """Pairs of different components that share a bucket and may be similar; None if no bucket has any."""
-    own = buckets.join(labels, buckets["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    links = []
+    for i in left if len(right) else ():
+        maybe = 100 * np.minimum(n[right], n[i]) >= similar * np.maximum(n[right], n[i])
+        some = right[maybe]
+        some = some[(lanes[some] == lanes[i]).sum(axis=1) >= least]
+        some = some[(bands[some] == bands[i]).argmax(axis=1) == band]
+        for j in some:
+            if top(label[i]) == top(label[j]) or minor[j] and key[i] >= key[j] or centre in (key[i], key[j]):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= similar * (len(sets[i]) + len(sets[j]) - both):
+                root[top(label[i])] = top(label[j])
+                links.append(sorted((key[i], key[j])))
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _left_over(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int) -> DataFrame | None:
+    """Links between components that share a bucket; None if no bucket has several."""
+    own = buckets.join(labels, buckets["key"] == labels["node"], "left").select("bucket", "band", "centre", "key", F.coalesce("label", "key").alias("label"))
     per = own.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     per = per.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("big"), F.count("*").alias("labels"))
     per = kept(per.filter((F.col("labels") > 1) & (F.col("all") > 2)).select("bucket", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("big.c")) / BLOCK).cast("int").alias("minors"), F.col("big.label").alias("big")))
     if per.isEmpty():
         return None
-    rows = own.join(per, "bucket").join(nodes.select("key", "n", *_SIG), "key").withColumn("minor", F.col("label") != F.col("big"))
+    own = kept(own.join(per, "bucket"))
+    sets = kept(_texts(own.select("key").distinct(), nodes, docs).mapInArrow(_sets, "key binary, set binary"))
+    rows = own.join(nodes.select("key", "n", *_SIG, *_BAND), "key").join(sets, "key").withColumn("minor", F.col("label") != F.col("big"))
     place = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
     every = rows.select("*", F.lit(1).alias("side"), place("blocks").alias("y"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("x"))
     minor = rows.filter("minor").select("*", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), place("minors").alias("x"))
-    columns = ["bucket", "x", "y", "key", "label", "side", "minor", "n", *_SIG]
+    columns = ["bucket", "x", "y", "band", "centre", "key", "label", "side", "minor", "n", "set", *_SIG, *_BAND]
     work = partial(_block, least=least_agreement(similar), similar=similar)
 
     def compare(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return work(group)
 
-    return every.select(*columns).union(minor.select(*columns)).groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+    return kept(every.select(*columns).union(minor.select(*columns)).groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary"))
 
 
 def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -191,18 +224,15 @@ def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     own = kept(signed(docs))
     nodes = own.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ["n", *_SIG, *_BAND]])
     nodes = kept(nodes)
-    bands = nodes.select("key", F.explode(F.array(*_BAND)).alias("bucket"))
+    bands = nodes.select("key", F.posexplode(F.array(*_BAND)).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("c")).filter("c > 1").select("bucket", "centre")
     buckets = kept(bands.join(shared, "bucket"))
     stars = buckets.filter(F.col("key") != F.col("centre")).select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     edges = _confirmed(kept(_likely(stars, nodes, similar)), nodes, docs, similar)
     labels = components(edges)
-    more = _left_over(buckets.select("bucket", "key"), labels, nodes, similar)
-    if more is not None:
-        more = kept(more.join(stars, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            edges = edges.union(_confirmed(more, nodes, docs, similar))
-            labels = components(edges)
+    more = _left_over(buckets, labels, nodes, docs, similar)
+    if more is not None and not more.isEmpty():
+        labels = components(edges.union(more))
     named = nodes.select("key", "rep").join(labels, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = kept(named.join(least, "label").select("key", "label", "component_id"))
