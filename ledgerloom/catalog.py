@@ -17,13 +17,25 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def _load() -> None:
+    from .plans import ledger  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    _load()
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").count()
+    """Outcomes per company: names, history, look-ups, detectors, checks and decisions in one plan."""
+    from pyspark.sql import functions as F
+
+    from .plans.ledger import dec_outcome
+
+    rows = dec_outcome(spark, sf_dir)
+    return rows.groupBy("company_key").agg(F.count("*").alias("entries"), *[F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("VALID", "UNCLEAR", "NOT_VALID")])
