@@ -3,8 +3,8 @@
 Terms of a text are its words, their first characters (3 to 7), and the order of magnitude of its length. The
 machine learns a weight for each term and, through factors, for each pair of terms, so that what is harmless alone
 can count together (an insult with a group's name; a coded stem in a short text). It is fitted on at most SAMPLE
-labelled rows: terms are hashed, the TERMS most telling ones (by the G statistic) are kept, and the rest is
-ignored. The fitted machine is a few hundred KB; texts are scored whole, in one pass.
+labelled rows: terms are hashed, those that tell the labels apart (by the G statistic, the TERMS best ones) are
+kept, and the rest is ignored. The fitted machine is a few hundred KB; texts are scored whole, in one pass.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .texts import REMEMBERED, plain, raw
 
 #: Labelled rows that the machine is fitted on at most (those with the smallest hashes of doc_id); hash bits; terms; factors.
 SAMPLE, HASH_BITS, TERMS, FACTORS = 20_000, 20, 4096, 8
+#: G from which a term tells the labels apart (a chance of about one in ten thousand for a term that doesn't).
+TELLING = 7.5
 _MASK = (1 << HASH_BITS) - 1
 _STEMS = (3, 4, 5, 6, 7)
 
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         return Machine({})
     rate = (F.col("clean") + F.col("toxic")) / float(total["clean"] + total["toxic"])
     cell = lambda c, n: F.when((F.col(c) > 0) & (n > 0), F.col(c) * F.log(F.col(c) / (n * rate))).otherwise(0.0)
-    told = held.withColumn("g", cell("clean", float(total["clean"])) + cell("toxic", float(total["toxic"]))).filter("clean + toxic >= 3")
+    told = held.withColumn("g", cell("clean", float(total["clean"])) + cell("toxic", float(total["toxic"]))).filter(F.col("g") >= TELLING)
     terms = [r["term"] for r in told.orderBy(F.desc("g"), "term").limit(TERMS).collect()]
     wanted = {t: k for k, t in enumerate(terms)}
     rows = own.mapInArrow(partial(_rows, wanted=wanted), "doc_id long, toxic int, terms array<int>, amounts array<double>").toArrow().to_pylist()
