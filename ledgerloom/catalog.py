@@ -18,7 +18,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from .plans import ledger  # noqa: F401  registers its queries
+    from .plans import evaluation, ledger  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
