@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Prefixes of a supplier's name, and trailing legal forms (longest first).
 PREFIXES = (("m", "s"), ("ms",), ("messrs",))
@@ -28,7 +29,7 @@ def header(text: Column) -> Column:
     return F.lower(clean(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
 
