@@ -18,7 +18,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from .plans import audit, documents, evaluation, ledger, more  # noqa: F401  they register their queries
+    from .plans import audit, documents, evaluation, ledger, more, reversals  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
