@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Words of texts, as Java and Python patterns: all but ASCII white space; or letters, digits and all beyond ASCII.
+#: Words of texts: all but ASCII white space.
 SPACED = r"[^\x20\x09-\x0D]+"
-PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,19 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends here and lost executors cost nothing."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ascii_lower(c: Column) -> Column:
-    """A-Z only, so that every engine agrees on every text."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def named(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, as copies without table names; absent ones are null strings."""
-    have = set(df.columns)
-    return df.select(*[(df[c] if c in have else F.lit(None).cast("string")).alias(c) for c in columns])

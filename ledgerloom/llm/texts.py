@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Maps all that parts PLAIN words to a space, and A-Z to a-z; bytes of characters beyond ASCII stay.
+#: Maps all that parts words of letters, digits and characters beyond ASCII to a space, and A-Z to a-z; bytes of characters beyond ASCII stay.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 #: Hashes that a task remembers at most, before it starts anew: bounds memory, changes no result.
 REMEMBERED = 400_000
@@ -59,7 +57,3 @@ def shingles(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     for i in range(size):
         total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - size + 1 + i]
     return np.unique(mixed(total + np.uint64(size)))
-
-
-def batches(names: list[str], types: list[pa.DataType], columns: list[list]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
