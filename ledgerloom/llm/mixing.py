@@ -98,7 +98,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     copies = copies.withColumn("wants", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long"))
     finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).otherwise(0.0)
     copies = copies.withColumn("finish", finish)
-    bucket = F.least(F.lit(BUCKETS), F.floor(F.col("finish") * BUCKETS)).cast("int")
+    # copies that want nothing don't count in the queue: they go anywhere before it, not all to its end
+    bucket = F.when(F.col("wants") == 0, -1 - F.pmod(F.xxhash64("md5", "round"), F.lit(BUCKETS))).otherwise(F.least(F.lit(BUCKETS), F.floor(F.col("finish") * BUCKETS))).cast("int")
     copies = running(copies, [], bucket, [F.col("finish"), F.col("source"), *order, F.col("round")], "wants", "queue")
     total = F.lit(int(budget)) if budget is not None else F.col("total")
     if budget is None:
