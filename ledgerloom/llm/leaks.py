@@ -164,15 +164,20 @@ def search(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame
     tests = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), benchmark["text"].cast("string").alias("text"))
     words = tests.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) / 2)).head()[0] or 0
     blocks = int(words // ITEM_WORDS) + 1
-    found = []
-    for k in range(blocks):
-        block = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # ITEM_WORDS words or so
-        items = Items([(r["item"], plain((r["text"] or "").encode())) for r in block])
-        own = index(docs, items.terms)
-        counts = {r["term"]: r["n"] for r in own.filter("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        work = partial(_search, items=items.ranked(counts), slop=slop)
-        found.append(_grouped(own, work))
-    return found[0] if blocks == 1 else _merged([kept(x) for x in found])
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    if blocks == 1:
+        return _found(own, tests, slop)
+    texts = kept(own.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    merged = _merged([kept(_found(texts, tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), slop)) for k in range(blocks)])
+    return own.select("doc_id", F.xxhash64("text").alias("key")).join(merged, "key").drop("key")
+
+
+def _found(docs: DataFrame, tests: DataFrame, slop: int) -> DataFrame:
+    """The search for one block of items (item, text): ITEM_WORDS words or so."""
+    items = Items([(r["item"], plain((r["text"] or "").encode())) for r in tests.collect()])
+    own = index(docs, items.terms)
+    counts = {r["term"]: r["n"] for r in own.filter("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return _grouped(own, partial(_search, items=items.ranked(counts), slop=slop))
 
 
 def _grouped(own: DataFrame, work: partial) -> DataFrame:
@@ -183,18 +188,16 @@ def _grouped(own: DataFrame, work: partial) -> DataFrame:
 
 
 def _merged(found: list[DataFrame]) -> DataFrame:
-    """Blocks of items give the same rows each time, told apart by id and by number among rows of equal id and size."""
-    from pyspark.sql import Window as W
-
-    nth = F.row_number().over(W.partitionBy("doc_id", "n_words").orderBy("n_hit", F.to_json(F.struct("spans", "items", "near"))))
-    rows = None
-    for x in found:
-        x = x.withColumn("nth", nth)
-        rows = x if rows is None else rows.union(x)
-    flat = F.flatten(F.collect_list("spans"))
-    rows = rows.groupBy("doc_id", "n_words", "nth").agg(flat.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))).cast("long")
-    return rows.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items", "near")
+    """One row per text hash from the rows that each block of items has for it; spans that overlap or touch become one."""
+    rows = found[0]
+    for x in found[1:]:
+        rows = rows.union(x)
+    every = lambda c: F.flatten(F.collect_list(c))
+    rows = rows.groupBy(F.col("doc_id").alias("key")).agg(F.max("n_words").alias("n_words"), F.array_sort(every("spans")).alias("spans"), F.array_sort(F.array_distinct(every("items"))).alias("items"), F.array_sort(F.array_distinct(every("near"))).alias("near"))
+    joined = "concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end))))"
+    spans = F.expr(f"aggregate(spans, slice(spans, 1, 0), (a, s) -> CASE WHEN size(a) > 0 AND a[greatest(size(a) - 1, 0)].end >= s.start THEN {joined} ELSE concat(a, array(s)) END)")
+    rows = rows.withColumn("spans", spans)
+    return rows.select("key", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_hit"), "spans", "items", "near")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -168,6 +168,17 @@ def test_leaks_blocks_of_items_and_proximity(spark, monkeypatch):
     assert all(found[k]["n_hit"] == again[k]["n_hit"] and found[k]["items"] == again[k]["items"] for k in found)
 
 
+def test_leaks_blocks_tell_rows_of_equal_ids_apart(spark, monkeypatch):
+    rng = random.Random(41)
+    items = [" ".join(rng.choices(WORDS, k=12)) + f" item{i}" for i in range(30)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, x, "a") for i in (None, 7) for x in items] + [(7, items[0], "a"), (7, None, "a"), (8, f"{items[1]} {items[2]} {items[3]}", "a")]
+    look = lambda: sorted((repr(r) for r in leaks.search(frame(spark, rows), bench).collect()))
+    whole = look()
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 100)
+    assert look() == whole and sum("n_hit=0" in r for r in whole) == 1
+
+
 def test_secrets_against_regular_expressions(spark):
     key = "AKIA" + "ABCD1234EFGH"
     rows = [(1, None, "a"), (2, "", "a"), (3, f"é password = \"abcdefgh\" and {key} end", "a"), (4, "token=token=abcdefghij", "b"), (5, "password: secret: abcdefghi", "b"), (6, "0123456789abcdef" * 2 + " x " + "0123456789abcdef", "c")]
