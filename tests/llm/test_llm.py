@@ -310,6 +310,27 @@ def test_ctw_weights_are_those_of_the_recursion(spark):
     assert first_bit == pytest.approx(predicted(0, 0, b"ab"), rel=1e-4)
 
 
+def test_ctw_has_a_node_for_every_context(spark):
+    """Scores are those of the whole tree, to whose deepest contexts every training text comes; nodes grow with the corpus."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz é"
+    rows = [*documents(), *[(100 + i, "".join(rng.choice(letters) for _ in range(400)), "r") for i in range(60)]]
+    docs = frame(spark, rows)
+    tree = ctw.fit(docs.filter(~ctw.held_out(F.col("doc_id"))))
+    assert len(tree.child) > 6 * 4096
+    got = defaultdict(list)
+    for r in ctw.score(docs).collect():
+        got[r["doc_id"]].append(r["score"])
+    want = defaultdict(list)
+    for (d, _, _), s in zip(rows, tree.scores([(t or "").encode() for _, t, _ in rows]), strict=True):
+        want[d].append(s)
+    assert all(sorted(got[d]) == pytest.approx(sorted(want[d]), rel=1e-5) for d in want) and len(got) == len(want)
+    assert any(zlib.crc32(str(d).encode()) % 7 == 2 for d in want if d is not None)
+    untrained = frame(spark, [(d, t, s) for d, t, s in rows if d is not None and zlib.crc32(str(d).encode()) % 7 == 2])
+    sizes = {d: len((t or "").encode()) + 1 for d, t, _ in rows}
+    assert all(r["score"] == pytest.approx(-8 * sizes[r["doc_id"]] * math.log10(2)) for r in ctw.score(untrained).collect())
+
+
 def test_toxicity_learns_words_and_pairs(spark):
     rng = random.Random(5)
     rows, labels = [], []
