@@ -43,9 +43,25 @@ def gaps(events: DataFrame, expected: DataFrame, scope: list[str]) -> DataFrame:
     return both.select(*scope, why.alias("why")).filter("why IS NOT NULL")
 
 
+#: Rows of a range of seq that are numbered by one task, or so, if seq has few gaps.
+RANGE = 200_000
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows with ``place``, from 1 by seq, in two levels: ranges of seq, whose counts are offsets, and rows inside a range. Null seqs come first."""
+    own = df.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("n")).head()
+    ranges = own["n"] // RANGE + 1
+    width = (own["high"] - own["low"]) // ranges + 1 if own["high"] is not None else 1
+    df = df.withColumn("__range", F.coalesce(F.floor((F.col("seq") - F.lit(own["low"])) / F.lit(width)), F.lit(-1)).cast("long"))
+    sums = df.groupBy("__range").agg(F.count("*").alias("__n"))
+    sums = sums.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))  # one row per range
+    place = F.col("__before") + F.row_number().over(W.partitionBy("__range").orderBy("seq"))
+    return df.join(sums, "__range").withColumn("place", place)
+
+
 def overwritten(written: DataFrame, read_back: DataFrame, columns: list[str]) -> DataFrame:
     """place, what: rows that differ by position between what was written and what is read (null-safe), missing or added ones included."""
-    number = lambda df: df.withColumn("place", F.row_number().over(W.orderBy("seq"))).select("place", F.struct(*columns).alias("row"))
+    number = lambda df: _placed(df).select("place", F.struct(*columns).alias("row"))
     both = number(written).withColumnRenamed("row", "a").join(number(read_back).withColumnRenamed("row", "b"), "place", "full")
     what = F.when(F.col("b").isNull(), "MISSING").when(F.col("a").isNull(), "ADDED").otherwise("CHANGED")
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("place").cast("bigint").alias("place"), what.alias("what"))

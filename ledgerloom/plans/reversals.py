@@ -68,6 +68,20 @@ j AS (SELECT CASE WHEN b.p IS NULL THEN 'MISSING' WHEN a.p IS NULL THEN 'ADDED'
 SELECT what, count(*) AS n FROM j WHERE what IS NOT NULL GROUP BY 1""")
 
 
+def jn_overwritten_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of the log, whatever its company, against what is read back."""
+    log = V.action_log(spark, sf_dir)
+    back = log.filter("seq % 9000 <> 4").withColumn("action", F.when(F.col("seq") % 64 == 4, "edited").otherwise(F.col("action")))
+    return A.overwritten(log, back, ["seq", "action"]).groupBy("what").agg(F.count("*").alias("n"))
+
+
+register("jn_overwritten_all", jn_overwritten_all, V.VIEWS + """
+, a AS (SELECT seq, action, row_number() OVER (ORDER BY seq) AS p FROM action_log),
+b AS (SELECT seq, CASE WHEN seq % 64 = 4 THEN 'edited' ELSE action END AS action, row_number() OVER (ORDER BY seq) AS p FROM action_log WHERE seq % 9000 <> 4),
+j AS (SELECT CASE WHEN b.p IS NULL THEN 'MISSING' WHEN a.p IS NULL THEN 'ADDED' WHEN a.seq <> b.seq OR a.action <> b.action THEN 'CHANGED' END AS what FROM a FULL JOIN b USING (p))
+SELECT what, count(*) AS n FROM j WHERE what IS NOT NULL GROUP BY 1""")
+
+
 def jn_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = V.action_log(spark, sf_dir).withColumn("tenant_id", F.col("seq") % 25)
     tenants = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("tenant_id"), F.when(F.col("n_regionkey") == 1, F.lit("2024-06-01")).alias("deleted_at"))

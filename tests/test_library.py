@@ -135,6 +135,31 @@ def test_gaps_and_positions(spark):
     assert {r["batch_id"]: r["state"] for r in A.batch_state(states, ("FAILED", "COMPLETED"), books_).collect()} == {"x": "FAILED", "y": "COMPLETED", "z": "CRITICAL_FAILURE"}
 
 
+def test_positions_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(A, "RANGE", 10)
+    rows = [(None, "x")] + [(k * k - 50, "x") for k in range(100)]
+    back = [r for r in rows if r[0] != 80 * 80 - 50]
+    made = lambda own: spark.createDataFrame(own, "seq long, state string").repartition(3)
+    got = {(r["place"], r["what"]) for r in A.overwritten(made(rows), made(back), ["seq"]).collect()}
+    assert got == {(p, "CHANGED") for p in range(82, 101)} | {(101, "MISSING")}
+    assert A.overwritten(made([]), made(back[:2]), ["seq"]).count() == 2
+
+
+def test_every_event_is_compared(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from ledgerloom import catalog
+
+    events = [(k, k % 37, ("view", "click", "error", "purchase", "signup")[k % 5], "{}") for k in range(9500)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["what"]: r["n"] for r in catalog.queries()["jn_overwritten_all"](spark, str(tmp_path)).collect()}
+    assert got["MISSING"] == 2 and got["CHANGED"] > 9000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in "lineitem orders supplier part nation".split():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    assert dict(con.execute(catalog.oracle_sql()["jn_overwritten_all"]).fetchall()) == got
+
+
 def test_spend_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('﻿Date,Supplier,Expense type,Description,Amount\n03/11/2025,Acme,Rent,"two\nlines","£1,200.50"\nxx,,Rent,,abc\n04-Nov-25,Bolt,Fees,n,-5\nshort,row\n'.encode())
     (tmp_path / "b.csv").write_bytes("Date of Payment,Supplier Name,Expense Type,Narrative, £ \n03/11/2025,Café,Rent,n,£5\n".encode("cp1252"))
