@@ -1,7 +1,8 @@
 """License scans: phrases in word order, and an exact set-similarity join of text blocks with templates.
 
-A block (a line of a text, and each run of ``JOINED`` lines, for notices that are wrapped) meets a template if it
-holds at least THRESHOLD of the template's distinct words. The join is exact and filtered: words are ordered
+A block (a line of a text, a run of up to ``JOINED`` lines, or, for notices wrapped over more lines, as many words one
+after the other as the template has, and a quarter more, over any lines) meets a template if it holds at least
+THRESHOLD of the template's distinct words. The join is exact and filtered: words are ordered
 by how many documents hold them, rarest first, counted over the whole corpus; a block that meets a template must
 hold one of its first words (prefix filter), must have enough words at all (length filter), and from the place
 of the first common word on enough words must be left (positional filter). Only what passes is counted.
@@ -73,6 +74,7 @@ class Templates:
         self.rank = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
         self.sets = {label: tuple(sorted(words, key=self.rank.__getitem__)) for label, words in _template_words(templates).items()}
         self.need = {label: max(1, math.ceil(threshold * len(words) - 1e-9)) for label, words in self.sets.items()}
+        self.span = {label: math.ceil(len(plain(templates[label].encode())) / threshold) for label in self.sets}
         self.prefix: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
         for label, words in self.sets.items():
             for i, w in enumerate(words[: len(words) - self.need[label] + 1]):
@@ -111,6 +113,38 @@ def _blocks(lines: list[set[bytes]], templates: Templates) -> list[tuple[str, in
     return sorted(out)
 
 
+def _wrapped(lines: list[list[bytes]], templates: Templates, found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Blocks of more than JOINED lines, of windows of ``span`` words, that have no other block of the label inside; share: the best window around."""
+    flat = [(i, w) for i, line in enumerate(lines) for w in line]
+    every, out = {w for _, w in flat}, []
+    for label, words in templates.sets.items():
+        need, span, wanted = templates.need[label], templates.span[label], frozenset(words)
+        if len(every & wanted) < need:
+            continue
+        hits = [(p, i, w) for p, (i, w) in enumerate(flat) if w in wanted]
+        runs: dict[tuple[int, int], int] = {}
+        for least in (False, True):  # whole windows; then without what their start can spare
+            counts, left = defaultdict(int), 0
+            for p, i, w in hits:
+                counts[w] += 1
+                while hits[left][0] <= p - span or least and (counts[hits[left][2]] > 1 or len(counts) > need):
+                    first = hits[left][2]
+                    counts[first] -= 1
+                    if not counts[first]:
+                        del counts[first]
+                    left += 1
+                if len(counts) >= need:
+                    at = hits[left][1], i
+                    runs[at] = max(runs.get(at, 0), len(counts))
+        inner = [(i, i + n - 1) for own, i, n, _ in found if own == label]
+        for a, b in sorted(runs, key=lambda r: (r[1] - r[0], r)):
+            if not any(a <= x and y <= b for x, y in inner):
+                inner.append((a, b))
+                if b - a >= JOINED:
+                    out.append((label, a, b - a + 1, max(n for (x, y), n in runs.items() if x <= a and b <= y) / len(words)))
+    return out
+
+
 def _scan(docs: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[bytes, str]) -> Iterator[pa.RecordBatch]:
     heads = frozenset(p.split()[0] for p in phrases)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "blocks"]
@@ -130,7 +164,10 @@ def _scan(docs: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[by
                         labels.add(label)
                         at = line.find(b" " + phrase + b" ", at + 1)
             if not templates.first.isdisjoint(words):
-                blocks = _blocks([set(plain(x)) for x in (text or b"").split(b"\n")], templates)
+                lines = [plain(x) for x in (text or b"").split(b"\n")]
+                blocks = _blocks([set(x) for x in lines], templates)
+                if len(lines) > JOINED:
+                    blocks = sorted(blocks + _wrapped(lines, templates, blocks))
             row = [len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), [dict(zip(("label", "line", "lines", "share"), b, strict=True)) for b in blocks]]
             for column, value in zip(out, row, strict=True):
                 column.append(value)
@@ -141,7 +178,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """doc_id, n_words, n_base, first_word, last_word, base_labels, blocks (label, line, lines, share) per row of ``docs``.
 
     Phrases are found wherever their words stand one after the other, whatever is between them; places are
-    words from 0. A null text has no words and no blocks. A run of lines is told only if no shorter run inside
+    words from 0. A null text has no words and no blocks. Notices wrapped over any number of lines are found. A run of lines is told only if no shorter run inside
     it meets the template. Repeated rows are scanned one by one; other columns don't matter.
     """
     templates = TEMPLATES if templates is None else templates

@@ -231,6 +231,21 @@ def test_licence_join_is_exact():
         assert set(dict(index.met(block))) == set(want)
 
 
+def test_licences_wrapped_over_any_lines(spark):
+    rows, labels = [], sorted(licences.TEMPLATES)
+    for k, label in enumerate(labels):
+        w = licences.TEMPLATES[label].split()
+        rows += [(1000 + k, "intro\n * " + "\n * ".join(w) + "\nend", "a"), (2000 + k, "\n\n".join(" ".join(w[i : i + 4]) for i in range(0, len(w), 4)), "a")]
+    w = licences.TEMPLATES["gpl-notice"].split()
+    rows += [(3000, "\n".join(" ".join([x, *["other"] * 9]) for x in w), "far apart")]
+    got = {r["doc_id"]: r["blocks"] for r in licences.scan(frame(spark, rows)).collect()}
+    for k, label in enumerate(labels):
+        assert all(label in {b["label"] for b in got[base + k]} for base in (1000, 2000)), label
+    own = [b for b in got[1000 + labels.index("gpl-notice")] if b["label"] == "gpl-notice"]
+    assert max(b["share"] for b in own) == 1.0 and all(b["lines"] > 3 for b in own)
+    assert not any(b["label"] == "gpl-notice" for b in got[3000])
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 600 + "</p>"
     pages = [(1, "http://a/ b?x=é", big), (2, None, big), (5, "u", big), (3, "u", None), (4, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", big), (8, "u", prose(3, 9000)), (8, "u", prose(3, 9000))]
