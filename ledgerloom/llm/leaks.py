@@ -161,7 +161,7 @@ def search(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame
     are named by item_id (null: an empty name); items of one name count once. A slop below 0 leaves proximity
     out. Null texts have no words and no hits. Repeated rows are found one by one. Extra columns don't matter.
     """
-    tests = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), benchmark["text"].cast("string").alias("text"))
+    tests = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), benchmark["text"].cast("string").alias("text")).distinct()  # a repeated item counts once anyhow
     words = tests.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) / 2)).head()[0] or 0
     blocks = int(words // ITEM_WORDS) + 1
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

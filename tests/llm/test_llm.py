@@ -179,6 +179,14 @@ def test_leaks_blocks_tell_rows_of_equal_ids_apart(spark, monkeypatch):
     assert look() == whole and sum("n_hit=0" in r for r in whole) == 1
 
 
+def test_leaks_take_a_repeated_item_once(spark, monkeypatch):
+    taken, items = [], leaks.Items
+    monkeypatch.setattr(leaks, "Items", lambda own: taken.append(len(own)) or items(own))
+    bench = spark.createDataFrame([(1, prose(40, 14))] * 50 + [(2, prose(41, 14))], "item_id long, text string")
+    assert leaks.search(frame(spark, [(1, prose(40, 14), "a")]), bench).collect()[0]["items"] == ["1"]
+    assert taken == [2]
+
+
 def test_secrets_against_regular_expressions(spark):
     key = "AKIA" + "ABCD1234EFGH"
     rows = [(1, None, "a"), (2, "", "a"), (3, f"é password = \"abcdefgh\" and {key} end", "a"), (4, "token=token=abcdefghij", "b"), (5, "password: secret: abcdefghi", "b"), (6, "0123456789abcdef" * 2 + " x " + "0123456789abcdef", "c")]
