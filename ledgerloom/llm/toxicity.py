@@ -3,8 +3,10 @@
 Terms of a text are its words, their first characters (3 to 7), and the order of magnitude of its length. The
 machine learns a weight for each term and, through factors, for each pair of terms, so that what is harmless alone
 can count together (an insult with a group's name; a coded stem in a short text). It is fitted on at most SAMPLE
-labelled rows: terms are hashed, those that tell the labels apart (by the G statistic, the TERMS best ones) are
-kept, and the rest is ignored. The fitted machine is a few hundred KB; texts are scored whole, in one pass.
+labelled documents. A term that enough of them hold (COMMON) is in the machine whatever it tells alone, as pairs are
+learned from rows that hold both; a rarer one is if it tells the labels apart by itself (G statistic). Terms that tell
+nothing alone have factors and no weight of their own: they count by their pairs only. The hash space bounds the
+terms, nothing else does. Texts are scored whole, in one pass.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 from .common import kept, table
 from .texts import REMEMBERED, plain, raw
 
-#: Labelled rows that the machine is fitted on at most (those with the smallest hashes of doc_id); hash bits; terms; factors.
-SAMPLE, HASH_BITS, TERMS, FACTORS = 20_000, 20, 4096, 8
+#: Labelled documents that the machine is fitted on at most (those with the smallest hashes of doc_id); hash bits; factors.
+SAMPLE, HASH_BITS, FACTORS = 20_000, 20, 8
 #: G from which a term tells the labels apart (a chance of about one in ten thousand for a term that doesn't).
 TELLING = 7.5
+#: Share of the labelled documents from which a term is in the machine in any case; the part of its amount that its factors see, if it tells nothing alone.
+COMMON, MUTED = 0.02, 0.3
 _MASK = (1 << HASH_BITS) - 1
 _STEMS = (3, 4, 5, 6, 7)
 
@@ -87,21 +91,25 @@ def _rows(docs: Iterator[pa.RecordBatch], wanted: dict[int, int]) -> Iterator[pa
 
 
 class Machine:
-    """w0 + w.x + half of (|Vx|^2 - |V^2 x^2|), squashed; fitted by AdaGrad on log loss."""
+    """w0 + w.x + half of (|Vx|^2 - |V^2 x^2|), squashed; fitted by AdaGrad on log loss.
 
-    def __init__(self, wanted: dict[int, int]):
+    ``alone`` says of each term whether it has a weight of its own; the factors of the others see MUTED of its amount.
+    """
+
+    def __init__(self, wanted: dict[int, int], alone: np.ndarray | None = None):
         self.wanted = wanted
         n = len(wanted)
+        self.alone = np.ones(n, bool) if alone is None else alone
         self.bias, self.w, self.v = 0.0, np.zeros(n), np.random.default_rng(8).normal(0, 0.01, (n, FACTORS))
 
     def _forward(self, i: np.ndarray, x: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         z = np.bincount(row, self.w[i] * x, n) + self.bias
-        vx = self.v[i] * x[:, None]
+        vx = self.v[i] * np.where(self.alone[i], x, MUTED * x)[:, None]
         total = np.stack([np.bincount(row, vx[:, f], n) for f in range(FACTORS)], axis=1)
         z += 0.5 * ((total**2).sum(axis=1) - np.bincount(row, (vx**2).sum(axis=1), n))
         return z, total
 
-    def fit(self, terms: list, amounts: list, y: np.ndarray, epochs: int = 25, batch: int = 128, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+    def fit(self, terms: list, amounts: list, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, pair_decay: float = 1e-3) -> Machine:
         rng = np.random.default_rng(9)
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
         self.bias = float(np.log(share / (1 - share)))
@@ -117,9 +125,10 @@ class Machine:
                 z, total = self._forward(i, x, row, len(own))
                 e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) / len(own)
                 some, back = np.unique(i, return_inverse=True)
-                dw = np.bincount(back, e[row] * x, len(some)) + decay * self.w[some]
-                per = e[row][:, None] * x[:, None] * (total[row] - self.v[i] * x[:, None])
-                dv = np.stack([np.bincount(back, per[:, f], len(some)) for f in range(FACTORS)], axis=1) + decay * self.v[some]
+                dw = (np.bincount(back, e[row] * x, len(some)) + decay * self.w[some]) * self.alone[some]
+                seen = np.where(self.alone[i], x, MUTED * x)[:, None]
+                per = e[row][:, None] * seen * (total[row] - self.v[i] * seen)
+                dv = np.stack([np.bincount(back, per[:, f], len(some)) for f in range(FACTORS)], axis=1) + pair_decay * self.v[some]
                 gw[some] += dw**2
                 gv[some] += dv**2
                 g0 += e.sum() ** 2
@@ -145,26 +154,31 @@ def remainder(doc_id: str, of: int):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """The machine, from labelled rows whose crc32(doc_id) mod 5 is not 0.
 
-    Labels of one document that disagree count as toxic; labels without an id or a value don't count. Without
-    any labelled row the machine says one half for every text.
+    Labels of one document that disagree count as toxic; labels without an id or a value don't count. A document
+    counts once, however many rows it has; of several texts of one id, that with the smallest md5 counts (null ones only
+    if there is no other). Without any labelled document the machine says one half for every text.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
     known = known.filter(remainder("id", 5) != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = kept(known.orderBy(F.xxhash64("id"), "id").limit(sample))  # at most ``sample`` rows of 12 bytes
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    own = own.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    own = own.join(F.broadcast(known), F.col("doc_id") == F.col("id"))
+    own = own.groupBy("doc_id", "toxic").agg(F.min(F.when(F.col("text").isNotNull(), F.struct(F.md5("text").alias("md5"), "text"))).alias("one"))
+    own = kept(own.select("doc_id", F.col("one")["text"].alias("text"), "toxic"))  # at most ``sample`` documents, read twice below
     held = own.mapInArrow(_tally, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = known.agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic")).head()
-    if not total["clean"] + total["toxic"]:
+    total = own.agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic")).head()
+    size = total["clean"] + total["toxic"]
+    if not size:
         return Machine({})
-    rate = (F.col("clean") + F.col("toxic")) / float(total["clean"] + total["toxic"])
+    rate = (F.col("clean") + F.col("toxic")) / float(size)
     cell = lambda c, n: F.when((F.col(c) > 0) & (n > 0), F.col(c) * F.log(F.col(c) / (n * rate))).otherwise(0.0)
-    told = held.withColumn("g", cell("clean", float(total["clean"])) + cell("toxic", float(total["toxic"]))).filter(F.col("g") >= TELLING)
-    terms = [r["term"] for r in told.orderBy(F.desc("g"), "term").limit(TERMS).collect()]
-    wanted = {t: k for k, t in enumerate(terms)}
+    told = held.select("term", (cell("clean", float(total["clean"])) + cell("toxic", float(total["toxic"])) >= TELLING).alias("alone"), (F.col("clean") + F.col("toxic")).alias("n"))
+    terms = sorted((r["term"], r["alone"]) for r in told.filter(F.col("alone") | (F.col("n") >= max(2, COMMON * size))).select("term", "alone").toLocalIterator())
+    wanted = {t: k for k, (t, _) in enumerate(terms)}
     rows = own.mapInArrow(partial(_rows, wanted=wanted), "doc_id long, toxic int, terms array<int>, amounts array<double>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["terms"]))
-    return Machine(wanted).fit([np.array(r["terms"], np.int64) for r in rows], [np.array(r["amounts"]) for r in rows], np.array([r["toxic"] for r in rows], float))
+    rows.sort(key=lambda r: r["doc_id"])
+    machine = Machine(wanted, np.array([a for _, a in terms], bool))
+    return machine.fit([np.array(r["terms"], np.int64) for r in rows], [np.array(r["amounts"]) for r in rows], np.array([r["toxic"] for r in rows], float))
 
 
 def _scored(docs: Iterator[pa.RecordBatch], machine: Machine, text: str) -> Iterator[pa.RecordBatch]:

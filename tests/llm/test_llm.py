@@ -378,17 +378,34 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert {r["score"] for r in toxicity.score(docs, nothing, ["doc_id"]).collect()} == {0.5}
 
 
-def test_machine_learns_an_interaction():
-    """Two terms that count only together: no weights of single terms tell them."""
-    rng = np.random.default_rng(1)
-    terms, y = [], []
-    for _ in range(800):
-        a, b = rng.random(2) < 0.5
-        terms.append(np.array(([0] if a else []) + ([1] if b else []) + [2], np.int64))
-        y.append(float(a != b))
-    m = toxicity.Machine({i: i for i in range(3)}).fit(terms, [np.ones(len(t)) for t in terms], np.array(y), epochs=200, rate=0.3, decay=0.0)
-    z = [m._forward(t, np.ones(len(t)), np.zeros(len(t), int), 1)[0][0] > 0 for t in terms]
-    assert np.mean(np.array(z) == np.array(y)) > 0.95
+def test_toxicity_learns_an_interaction_from_documents(spark):
+    """Two words that count only together: neither tells the labels apart, and fit() has to let both in."""
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [rng.choice(WORDS) for _ in range(30)] + ["grumpf"] * a + ["zorbs"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, 1, int(a != b)))
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    machine = toxicity.fit(docs, known)
+    assert not machine.alone.all()
+    held = {i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(docs, machine, ["doc_id"]).collect() if r["doc_id"] in held}
+    assert np.mean([got[i] == bool(labels[i][2]) for i in held]) > 0.95
+
+
+def test_toxicity_counts_a_document_once_and_reads_long_texts(spark):
+    rows = [(i, f"filler {'vilest' if i % 2 else 'kindest'} words {i}", "s") for i in range(200)]
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    once = toxicity.fit(frame(spark, rows), known)
+    often = toxicity.fit(frame(spark, rows + [rows[1]] * 400 + [(2, None, "s")] * 50), known)
+    assert often.wanted == once.wanted and often.bias == once.bias and np.array_equal(often.w, once.w)
+    long = frame(spark, [(1, "plain words " * 200_000 + "vilest", "s"), (3, None, None), (3, None, None)])
+    got = toxicity.score(long, once, ["doc_id"]).collect()
+    assert len(got) == 3 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score(long.limit(0), once, ["doc_id"]).count() == 0
 
 
 def test_hnsw_recall_and_exact_scores(spark, monkeypatch):
