@@ -1,9 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Every copy of a document gets a virtual finish time: the words of its source up to its end, in
-shuffled order, over the source's target. Copies are sorted by that time over all sources and
-taken until the budget is used up. Running sums are made in two levels (sums of buckets, then
-sums inside a bucket), so that a source with a third of all rows is never one task's work.
+Every copy of a document gets a virtual finish time: the words of its source up to its end, in shuffled order, over the
+source's weight. Copies of all sources are range-sorted by that time and taken until the budget is used up. A source
+that has no copies left leaves the queue, and the others go on by weight, so the queue itself reshares the excess.
+Running sums are made in two levels (sums of ranges, then sums inside a range), so that no source, whatever its share
+of the rows, is one task's work, and the number of ranges is Spark's number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -17,8 +18,22 @@ from .common import SPACED, kept, table
 #: Weights of the sources in code point order, again and again; and how often a document may be taken.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Buckets of the shuffled order, and of virtual time, for running sums.
-BUCKETS = 4096
+
+
+def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """A column for each of ``values``: its sum over all rows before, in the given total order.
+
+    Rows are dealt to ranges of the order and written with their range's number; the ranges' sums (a row per
+    shuffle partition, at most) give each range its start, and a window inside each range the rest.
+    """
+    laid = kept(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).withColumns({f"__{k}": v.cast("long") for k, v in values.items()}))
+    sums = laid.groupBy("__range").agg(*[F.sum(f"__{k}").alias(f"__sum_{k}") for k in values])
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(F.col("__range").alias("__ranges"), *[F.coalesce(F.sum(f"__sum_{k}").over(before), F.lit(0)).alias(f"__start_{k}") for k in values])
+    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    laid = laid.withColumns({f"__within_{k}": F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0)) for k in values})
+    joined = laid.join(starts, F.col("__range") == F.col("__ranges"), "inner")
+    return joined.select(*df.columns, *[(F.col(f"__start_{k}") + F.col(f"__within_{k}")).alias(k) for k in values])
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, budget: int | None = None) -> DataFrame:
@@ -27,98 +42,73 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     Sources in code point order, null last, weigh ``weights`` in turn. They share the budget (all
     words, if none is given) by weight; no target is above ``most`` times its source's size, and
     the excess goes to the others by weight until none is above. The capped ones are found at
-    once: in order of size over weight they are a prefix. One row per source only, so one task
-    holds it; a source without words has target 0.
+    once: in order of size over weight they are a prefix. A source without words has target 0.
     """
-    by_name = W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    by_need = W.orderBy(F.col("source_size") / F.col("weight"), F.col("at"))
-    before = by_need.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(F.lit(1))
-    s = sources.withColumn("at", F.row_number().over(by_name))
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("at") - 1) % len(weights) + 1).cast("int"))
+    s = running(sources, [F.col("source").asc_nulls_last()], at=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
     s = s.withColumn("weight", weight.cast("long"))
-    total = F.sum("source_size").over(whole) if budget is None else F.lit(int(budget))
-    s = s.withColumn("budget", total.cast("long"))
-    s = s.withColumn("left", F.col("budget") - most * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-    s = s.withColumn("weights", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    s = running(s, [(F.col("source_size") / F.col("weight")).asc(), F.col("at").asc()], sizes_before=F.col("source_size"), weights_before=F.col("weight"))
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total = int(budget) if budget is not None else int(whole["size"] or 0)
+    s = s.withColumn("left", F.lit(total) - most * F.col("sizes_before")).withColumn("weights", F.lit(int(whole["weight"] or 0)) - F.col("weights_before"))
     s = s.withColumn("capped", most * F.col("source_size") * F.col("weights") <= F.col("left") * F.col("weight"))
-    free = F.when(~F.col("capped"), F.struct(F.col("source_size") / F.col("weight"), F.col("at"), F.col("left"), F.col("weights")))
-    s = s.withColumn("level", F.min(free).over(whole))
-    share = F.col("level")["left"].cast("double") * F.col("weight") / F.col("level")["weights"]
+    level = s.filter(~F.col("capped")).agg(F.min(F.struct(F.col("source_size") / F.col("weight"), F.col("at"), F.col("left"), F.col("weights"))).alias("level")).first()["level"]
+    share = F.lit(float(level["left"])) * F.col("weight") / F.lit(int(level["weights"])) if level else F.lit(None).cast("double")
     return s.select("source", "source_size", "weight", F.when(F.col("capped"), (most * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
 
-def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str, out: str) -> DataFrame:
-    """``out``: the sum of ``value`` over the rows before, in each group of ``keys`` and in order of (bucket, order).
-
-    The sums of the buckets are one small row per group and bucket; only rows of one bucket meet in
-    one task, and hot groups are spread over their buckets.
-    """
-    df = df.withColumn("__bucket", bucket)
-    sums = df.groupBy(*keys, "__bucket").agg(F.sum(value).alias("__sum"))
-    first = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    sums = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(first.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    sums = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"), "__start")
-    on = F.col("__bucket") == F.col("__b")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = W.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("__within", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = df.join(sums, on, "inner")
-    return joined.withColumn(out, F.col("__start") + F.col("__within")).drop("__bucket", "__b", "__start", "__within", *[f"__k{i}" for i in range(len(keys))])
-
-
 def sized(docs: DataFrame) -> DataFrame:
     """All columns and ``size``: the number of words in the text (null: 0)."""
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(SPACED)), F.lit(0)).cast("long"))
 
 
+def queued(units: DataFrame, most: int = MOST) -> DataFrame:
+    """(source, key, words, source_size, weight) to a row per copy, with ``queue``: the words that the queue serves before it.
+
+    Documents of a source stand in order of ``key``; its copies run through them ``most`` times.
+    """
+    units = running(units, [F.col("source").asc_nulls_last(), F.col("key").asc()], reached=F.col("words"))
+    first = units.groupBy("source").agg(F.min("reached").alias("first")).withColumnRenamed("source", "__source")
+    units = units.join(first, F.col("source").eqNullSafe(F.col("__source")), "inner").withColumn("before", F.col("reached") - F.col("first")).drop("__source", "reached", "first")
+    copies = units.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    copies = copies.withColumn("finish", (F.col("round") * F.col("source_size") + F.col("before") + F.col("words")) / F.col("weight"))
+    return running(copies, [F.col("finish").asc(), F.col("source").asc_nulls_last(), F.col("key").asc(), F.col("round").asc()], queue=F.col("words"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, budget: int | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per row of ``docs``.
+    """The rows of ``docs`` with all their columns, and size, source_size, target, taken.
 
-    The order inside a source is that of md5(doc_id), then doc_id, then the text's hash: reruns agree, and
-    repeated rows count as often as they are there. A copy that crosses its source's target is cut
-    there, so each source's taken words are its target, rounded down. A document is taken whole
-    up to ``most`` times. Null sources are one source; null and empty texts have size 0 and are
-    never taken. Empty tables give no rows. Other columns don't matter.
+    Columns of ``docs`` with these four names are replaced. The order inside a source is that of an md5 over doc_id and
+    text: reruns agree. The copy at which the budget ends is cut there and no other is: together the sources take the
+    budget to the word, and each ends within about a document of its target. A document is taken up to ``most`` times.
+    Rows of one source that are equal in doc_id and text queue as one and share what it takes evenly, rounded down. Null sources are one
+    source; null and empty texts have size 0 and are never taken. Empty tables give no rows.
     """
-    slim = sized(docs.select(docs["doc_id"], docs["source"], docs["text"]))
-    slim = slim.select("doc_id", "source", "size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("md5"), F.xxhash64("text").alias("tie"))
-    slim = kept(slim)  # three uses below; the texts are read once
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sources, weights, most, budget)
-    goals = goals.select(F.col("source").alias("__source"), "source_size", "target")
-    place = F.conv(F.substring("md5", 1, 3), 16, 10).cast("int")  # 4096 buckets
-    order = [F.col("md5"), F.col("doc_id"), F.col("tie")]
-    queued = running(slim, ["source"], place, order, "size", "before")
-    queued = queued.join(goals, F.col("source").eqNullSafe(F.col("__source")), "inner").drop("__source")
-    rounds = F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(F.lit(most), F.ceil(F.col("target") / F.col("source_size")).cast("int"))).otherwise(1)
-    copies = queued.withColumn("round", F.explode(F.sequence(F.lit(0), rounds - 1)))
-    start = F.col("round") * F.col("source_size") + F.col("before")
-    copies = copies.withColumn("wants", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long"))
-    finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).otherwise(0.0)
-    copies = copies.withColumn("finish", finish)
-    # copies that want nothing don't count in the queue: they go anywhere before it, not all to its end
-    bucket = F.when(F.col("wants") == 0, -1 - F.pmod(F.xxhash64("md5", "round"), F.lit(BUCKETS))).otherwise(F.least(F.lit(BUCKETS), F.floor(F.col("finish") * BUCKETS))).cast("int")
-    copies = running(copies, [], bucket, [F.col("finish"), F.col("source"), *order, F.col("round")], "wants", "queue")
-    total = F.lit(int(budget)) if budget is not None else F.col("total")
-    if budget is None:
-        copies = copies.crossJoin(F.broadcast(sources.agg(F.sum("source_size").alias("total"))))  # one row
-    took = F.greatest(F.lit(0), F.least(F.col("wants"), total - F.col("queue")))
-    per_copy = copies.select("doc_id", "source", "size", "source_size", "target", "md5", "tie", "before", "round", took.alias("took"))
-    rows = per_copy.groupBy("doc_id", "source", "size", "source_size", "target", "tie", "before").agg(F.sum("took").alias("taken"), F.count(F.when(F.col("round") == 0, 1)).alias("n"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return rows.select("doc_id", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", F.floor(F.col("taken") / F.col("n")).cast("long").alias("taken"))
+    docs = docs.drop("size", "source_size", "target", "taken")
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit(""))))
+    rows = sized(docs.select("doc_id", "source", "text")).select("source", key.alias("key"), "size")
+    units = kept(rows.groupBy("source", "key").agg(F.count("*").alias("n"), F.sum("size").alias("words")))  # used twice below; the texts are read once
+    goals = kept(targets(units.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most, budget))
+    total = int(budget) if budget is not None else int(goals.agg(F.sum("source_size").alias("n")).first()["n"] or 0)
+    units = units.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "inner").drop("__source")
+    copies = queued(units.filter("words > 0").drop("n", "target"), most)
+    took = copies.withColumn("took", F.greatest(F.lit(0), F.least("words", F.lit(total) - F.col("queue")))).filter("took > 0")
+    took = took.groupBy(F.col("source").alias("__s"), F.col("key").alias("__k")).agg(F.sum("took").alias("took"))
+    units = units.join(took, (F.col("key") == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    size, taken = F.col("words") / F.col("n"), F.floor(F.coalesce("took", F.lit(0)) / F.col("n"))
+    units = units.select(F.col("source").alias("__source"), F.col("key").alias("__unit"), size.cast("long").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+    own = docs.withColumn("__key", key).join(units, (F.col("__key") == F.col("__unit")) & F.col("source").eqNullSafe(F.col("__source")), "inner")
+    return own.select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS pos FROM s),
@@ -128,12 +118,15 @@ b AS (SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o,
       WINDOW o AS (ORDER BY source_size / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, 3 * source_size * weights <= remains * weight AS capped FROM b),
 l AS (SELECT remains AS r, weights AS ws FROM c WHERE NOT capped ORDER BY source_size / weight, pos LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE)
+t AS (SELECT source, source_size, weight, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE)
              ELSE CAST(l.r AS DOUBLE) * weight / CAST(l.ws AS DOUBLE) END AS target FROM c LEFT JOIN l ON true),
-q AS (SELECT d.*, t.source_size, t.target,
-             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY m, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       sum(greatest(0, least(size, floor(target) - (k * source_size + before))))::BIGINT AS taken
-FROM q, (VALUES (0), (1), (2)) AS e(k) GROUP BY doc_id, size, source_size, target
+u AS (SELECT source, key, count(*) AS n, sum(size)::BIGINT AS words FROM d GROUP BY source, key HAVING sum(size) > 0),
+q AS (SELECT u.*, t.source_size, t.weight,
+             coalesce(sum(words) OVER (PARTITION BY u.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+      FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, CAST(k * source_size + before + words AS DOUBLE) / CAST(weight AS DOUBLE) AS finish FROM q, (VALUES (0), (1), (2)) AS e(k)),
+g AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, source IS NULL, encode(source), key, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS queue FROM f),
+h AS (SELECT source, key, sum(greatest(0, least(words, (SELECT sum(size) FROM d) - queue)))::BIGINT // any_value(n) AS taken FROM g GROUP BY source, key)
+SELECT d.doc_id, d.size::BIGINT AS size, t.source_size, t.target, coalesce(h.taken, 0)::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN h ON h.key = d.key AND h.source IS NOT DISTINCT FROM d.source
 """

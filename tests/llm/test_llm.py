@@ -50,23 +50,59 @@ def words(text, pattern=r"[^\x20\x09-\x0D]+"):
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def test_mixing_meets_targets_and_agrees(spark):
-    rows = mixing.mix(frame(spark)).collect()
-    assert len(rows) == len(documents())
-    sizes = {s: sum(len(words(t)) for _, t, x in documents() if x == s) for s in {x for _, _, x in documents()}}
-    by = defaultdict(int)
-    for r in rows:
-        assert 0 <= r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[r["source"]]
-        assert r["target"] <= 3 * r["source_size"] + 1e-6
-        by[r["source"], r["target"], r["source_size"]] += r["taken"]
-    for (_, target, size), taken in by.items():
-        assert abs(taken - target) <= 2 or size == 0
-    assert abs(sum(t for (_, t, _), _ in by.items()) - sum(sizes.values())) < 1e-6
-    again = mixing.mix(frame(spark).repartition(3)).collect()
-    assert sorted(map(str, rows)) == sorted(map(str, again))
+def plain_queue(rows, weight_of):
+    """Words taken from each (source, key), one copy after the other in order of finish time."""
+    sizes, units = defaultdict(int), defaultdict(list)
+    for d, t, s in rows:
+        n = len(words(t))
+        text = "" if t is None else hashlib.md5(t.encode()).hexdigest()
+        sizes[s] += n
+        units[s, hashlib.md5(f"{'' if d is None else d}:{text}".encode()).hexdigest()].append(n)
+    copies, at = [], defaultdict(int)
+    for s, k in sorted(units, key=lambda u: (u[0] is None, u[0] or "", u[1])):
+        n = sum(units[s, k])
+        at[s] += n
+        copies += [((r * sizes[s] + at[s]) / weight_of[s], s is None, s or "", k, r, n) for r in range(3) if n]
+    left, taken = sum(sizes.values()), defaultdict(int)
+    for _, none, s, k, _, n in sorted(copies):
+        taken[None if none else s, k] += min(n, left)
+        left -= min(n, left)
+    return {u: taken[u] // len(own) for u, own in units.items()}
+
+
+def test_mixing_is_the_queue(spark):
+    """Against a plain queue, with a source that holds a third of all words and is used up three times over."""
+    rows = documents() + [(1000 + i, prose(i, 1 + i % 40), "hot" if i % 3 else f"s{i % 7}") for i in range(150)] + [(2000, prose(5, 30), "tiny")]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and {"key", "score", "text"} <= set(got[0].asDict())
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    sizes = {s: sum(len(words(t)) for _, t, x in rows if x == s) for s in names}
+    want = plain_queue(rows, weight)
+    by, longest = defaultdict(int), defaultdict(int)
+    for r in got:
+        text = "" if r["text"] is None else hashlib.md5(r["text"].encode()).hexdigest()
+        key = hashlib.md5(f"{'' if r['doc_id'] is None else r['doc_id']}:{text}".encode()).hexdigest()
+        assert r["taken"] == want[r["source"], key] and r["size"] == len(words(r["text"])) and r["taken"] <= 3 * r["size"]
+        assert r["source_size"] == sizes[r["source"]] and r["target"] <= 3 * r["source_size"] + 1e-6
+        by[r["source"], r["target"]] += r["taken"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    assert all(abs(taken - target) <= 2 * max(longest.values()) for (_, target), taken in by.items())
+    assert abs(sum(t for _, t in by) - sum(sizes.values())) < 1e-6
+    assert sum(sizes.values()) - sum(by.values()) <= 1  # only the rounding of rows that share
+    again = mixing.mix(frame(spark, rows).repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_replaces_clashing_names_and_keeps_to_a_budget(spark):
+    rows = [(i, prose(i, 10), "ab"[i % 2]) for i in range(40)]
+    clash = frame(spark, rows).selectExpr("*", "1 AS size", "2 AS target", "3 AS before", "4 AS taken", "5 AS round", "6 AS weight")
+    got = mixing.mix(clash, budget=105).collect()
+    assert len(got) == 40 and sum(r["taken"] for r in got) == 105 and {r["size"] for r in got} == {10} and {r["round"] for r in got} == {5}
+    assert sum(1 for r in got if r["taken"] % 10) == 1  # the copy that the budget's end cuts, alone
+
+
 @pytest.mark.parametrize("sizes", [[10, 1000, 5], [1, 1, 1, 1, 500], [7], [0, 0], [100, 0, 3]])
 def test_targets_by_water_filling(spark, sizes):
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")).collect()}
