@@ -30,7 +30,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of the documents that the mix takes."""
+    """The documents that the mix takes, with size, source_size, target and taken (how many of their words, repeats counted)."""
     return mixing.mix(docs).filter("taken > 0")
 
 
