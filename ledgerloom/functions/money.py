@@ -25,25 +25,27 @@ def grouped(digits: Column) -> Column:
     return F.when(F.length(digits) > 3, F.concat(pairs, F.lit(","), last)).otherwise(digits)
 
 
+def over(a: Column, b: Column) -> Column:
+    """a div b in integers, towards zero; null for b = 0."""
+    return F.call_function("div", a, F.nullif(b, F.lit(0)))
+
+
 def formatted(paise: Column) -> Column:
     """``₹-4,200.50``: the sign inside the symbol, always two decimals."""
     size = F.abs(paise)
-    whole = (size - size % 100) / 100
-    text = F.concat(F.lit("₹"), F.when(paise < 0, "-").otherwise(""), grouped(whole.cast("bigint").cast("string")), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"))
-    return text
+    return F.concat(F.lit("₹"), F.when(paise < 0, "-").otherwise(""), grouped(over(size, F.lit(100)).cast("string")), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"))
 
 
 def scaled_rate(n: Column, d: Column, scale: int) -> Column:
-    """n of d, times ``scale``, rounded half up in integers; null if d is 0."""
-    n, d = n.cast("bigint"), d.cast("bigint")
-    up = 2 * scale * n + d
-    return F.when(d > 0, ((up - up % (2 * d)) / (2 * d)).cast("bigint"))
+    """n of d, times ``scale``, rounded half up in integers; null if d is 0. Products are decimals, so none overflows."""
+    n, d = n.cast("decimal(19,0)"), d.cast("decimal(19,0)")
+    return F.when(d > 0, over(F.lit(2 * scale) * n + d, F.lit(2) * d).cast("bigint"))
 
 
 def tax_inside(amount: Column, basis_points: Column) -> Column:
     """The tax that an inclusive amount holds, rounded down (towards minus infinity for refunds)."""
-    top, below = amount * basis_points, basis_points + 10000
-    return ((top - F.pmod(top, below)) / below).cast("bigint")
+    top, below = amount.cast("decimal(19,0)") * basis_points.cast("decimal(10,0)"), basis_points.cast("decimal(10,0)") + F.lit(10000)
+    return over(top - F.pmod(top, below), below).cast("bigint")
 
 
 def basis_points(text: Column) -> Column:
@@ -72,9 +74,8 @@ def goods_code(text: Column) -> Column:
 
 def crore(paise: Column) -> Column:
     """Paise as crores with two decimals, exact; null if hundredths of a crore don't divide it."""
-    unit = 10_000_000
-    hundredths = paise / unit
-    return F.when(paise % unit == 0, F.format_string("%d.%02d", (hundredths / 100).cast("bigint"), (hundredths % 100).cast("bigint")))
+    hundredths = over(paise, F.lit(10_000_000))
+    return F.when(paise % 10_000_000 == 0, F.format_string("%s%d.%02d", F.when(paise < 0, "-").otherwise(""), over(F.abs(hundredths), F.lit(100)), F.abs(hundredths) % 100))
 
 
 def spend_date(text: Column) -> Column:

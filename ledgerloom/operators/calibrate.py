@@ -17,7 +17,7 @@ GRID = (("vendor_switch", (1, 2, 3, 4, 5)), ("first_use", (0,)), ("magnitude", (
 def fired(entries: DataFrame, history: DataFrame) -> DataFrame:
     """Entries with, per detector, how many of its settings fire (settings are ordered, so a number says which): one pass for the whole grid."""
     grid = dict(GRID)
-    seen = lookup(with_vendor(entries), vendor_index(history).drop("sources", "raw"), ["stem", "form", "vendor_key"])
+    seen = lookup(with_vendor(entries), vendor_index(history).drop("raw"), ["stem", "form", "vendor_key"])
     elsewhere = (F.col("status") == "match") & (F.get("accounts", F.lit(0)) != F.col("debit_account"))
     level = F.size(F.filter(F.array(*map(F.lit, grid["vendor_switch"])), lambda n: n <= F.col("most")))
     rows = seen.withColumn("vendor_switch", F.when(elsewhere, level).otherwise(0)).drop("accounts", "most", "status", "stem", "form", "vendor_key")

@@ -31,11 +31,15 @@ def with_chart(rows: DataFrame, chart: DataFrame) -> DataFrame:
     return rows
 
 
-def run(rows: DataFrame, chart: DataFrame) -> DataFrame:
-    """company_key, id, name, passed: every check of every voucher, always all. Absent legs count as unnamed."""
+def checked(rows: DataFrame, chart: DataFrame) -> DataFrame:
+    """``checks``: array of (name, passed), every check of every voucher, always all. Absent legs count as unnamed."""
     rows = with_chart(rows.fillna({"debit_account": "", "credit_account": "", "party": ""}), chart)
-    found = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(f(), F.lit(False)).alias("passed")) for n, f in CHECKS.items()])
-    return rows.select("company_key", "id", F.inline(found))
+    return rows.withColumn("checks", F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(f(), F.lit(False)).alias("passed")) for n, f in CHECKS.items()])).drop("debit_known", "credit_known")
+
+
+def run(rows: DataFrame, chart: DataFrame) -> DataFrame:
+    """company_key, id, name, passed: the checks in long form."""
+    return checked(rows, chart).select("company_key", "id", F.inline("checks"))
 
 
 def law(left: Column, right: Column) -> Column:

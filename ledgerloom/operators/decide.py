@@ -2,45 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checks import UNANSWERABLE
+from .detect import leading
 
 #: Questions that an entry may cost; the last problem of all.
 QUESTIONS, LAST = 5, "funding_is_named"
 CHECK_ORDER = ("amount_is_positive", "amount_is_integer_paise", "accounts_differ", "accounts_exist", "funding_is_named", "gst_not_larger_than_amount", "tax_lines_can_be_posted", "party_is_named")
 
 
-def problems(entries: DataFrame, checks: DataFrame, flags: DataFrame) -> DataFrame:
-    """company_key, id, problem, answerable, place: failed checks, then flags, then an account that memory can't name, then funding.
+def _order(name: Column) -> Column:
+    return F.when(name == LAST, 9_000).otherwise(F.array_position(F.array(*map(F.lit, CHECK_ORDER)), name)).cast("bigint")
 
-    ``entries`` carry the look-up's status. A problem counts once.
+
+def with_problems(rows: DataFrame) -> DataFrame:
+    """``problems``: array of (at, problem, answerable) in order, of entries with ``checks``, ``flags`` and the look-up's ``status``.
+
+    Failed checks come first, then the leading flags, then an account that memory can't name, then funding. A problem counts once.
     """
-    order = F.array_position(F.array(*map(F.lit, CHECK_ORDER)), F.col("name"))
-    own = checks.filter(~F.col("passed")).select("company_key", "id", F.col("name").alias("problem"), (~F.col("name").isin(*UNANSWERABLE)).alias("answerable"), F.when(F.col("name") == LAST, 9_000).otherwise(order).alias("at"))
-    told = flags.select("company_key", "id", F.col("detector").alias("problem"), F.lit(True).alias("answerable"), (1_000 + F.col("place")).alias("at"))
-    which = entries.filter(F.col("status") != "match").select("company_key", "id", F.lit("which_account").alias("problem"), F.lit(True).alias("answerable"), F.lit(5_000).alias("at"))
-    rows = own.withColumn("at", F.col("at").cast("bigint")).union(told.withColumn("at", F.col("at").cast("bigint"))).union(which.withColumn("at", F.col("at").cast("bigint")))
-    return rows.groupBy("company_key", "id", "problem").agg(F.min("at").alias("at"), F.bool_and("answerable").alias("answerable"))
+    failed = F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: F.struct(_order(c["name"]).alias("at"), c["name"].alias("problem"), (~c["name"].isin(*UNANSWERABLE)).alias("answerable")))
+    told = F.transform(leading(F.col("flags")), lambda f, i: F.struct((1_001 + i).cast("bigint").alias("at"), f["detector"].alias("problem"), F.lit(True).alias("answerable")))
+    which = F.when(F.col("status") != "match", F.array(F.struct(F.lit(5_000).cast("bigint").alias("at"), F.lit("which_account").alias("problem"), F.lit(True).alias("answerable"))))
+    every = F.array_sort(F.concat(failed, told, F.coalesce(which, F.array().cast("array<struct<at:bigint,problem:string,answerable:boolean>>"))))
+    return rows.withColumn("problems", every)
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """company_key, id, at, problem, answerable: the problems in long form."""
+    return rows.select("company_key", "id", F.inline("problems"))
 
 
-def outcomes(entries: DataFrame, found: DataFrame, answered: DataFrame | None = None) -> DataFrame:
-    """company_key, id, outcome, first, n: one row per entry.
+def outcomes(rows: DataFrame, answered: DataFrame | None = None) -> DataFrame:
+    """company_key, id, outcome, first, n: one row per entry with ``problems``.
 
     An unanswerable problem: NOT_VALID. Answerable ones that were all answered before: NOT_VALID. Some outstanding: UNCLEAR with the
     first of them, NOT_VALID once QUESTIONS were asked. None at all: VALID. ``answered``: company_key, id, answered (array), asked.
     """
-    per = found.groupBy("company_key", "id").agg(F.bool_or(~F.col("answerable")).alias("hopeless"), F.transform(F.array_sort(F.collect_list(F.struct("at", "problem"))), lambda s: s["problem"]).alias("all"))
-    rows = entries.select("company_key", "id").join(per, ["company_key", "id"], "left")
+    none = F.array().cast("array<string>")
     if answered is not None:
         rows = rows.join(answered.select("company_key", "id", "answered", "asked"), ["company_key", "id"], "left")
     else:
-        rows = rows.withColumn("answered", F.array().cast("array<string>")).withColumn("asked", F.lit(0))
-    rows = rows.withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
-    left = F.array_except("all", F.coalesce("answered", F.array().cast("array<string>")))
-    outcome = F.when(F.coalesce("hopeless", F.lit(False)), "NOT_VALID").when(F.size("all") == 0, "VALID").when(F.size(left) == 0, "NOT_VALID").when(F.coalesce("asked", F.lit(0)) >= QUESTIONS, "NOT_VALID").otherwise("UNCLEAR")
-    return rows.select("company_key", "id", outcome.alias("outcome"), F.when(outcome == "UNCLEAR", F.get(left, F.lit(0))).alias("first"), F.size("all").cast("bigint").alias("n"))
+        rows = rows.withColumn("answered", none).withColumn("asked", F.lit(0))
+    left = F.array_except(F.transform("problems", lambda p: p["problem"]), F.coalesce("answered", none))
+    outcome = F.when(F.exists("problems", lambda p: ~p["answerable"]), "NOT_VALID").when(F.size("problems") == 0, "VALID").when(F.size(left) == 0, "NOT_VALID").when(F.coalesce("asked", F.lit(0)) >= QUESTIONS, "NOT_VALID").otherwise("UNCLEAR")
+    return rows.select("company_key", "id", outcome.alias("outcome"), F.when(outcome == "UNCLEAR", F.get(left, F.lit(0))).alias("first"), F.size("problems").cast("bigint").alias("n"))
 
 
 def narrowed(decisions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ A detector is a function of (entries, history) that returns flags: company_key,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,24 +25,6 @@ CONCERNS = {
 WITHDRAWN = ("first_use",)
 
 
-def _flags(rows: DataFrame, detector: str, severity: int, reason: Column) -> DataFrame:
-    return rows.select("company_key", "id", F.lit(detector).alias("detector"), F.lit(severity).alias("severity"), reason.alias("reason"))
-
-
-def vendor_switch(entries: DataFrame, history: DataFrame, min_postings: int = MIN_POSTINGS) -> DataFrame:
-    """The vendor has one past account, often enough, and this entry goes elsewhere."""
-    seen = lookup(with_vendor(entries), vendor_index(history).drop("sources", "raw"), ["stem", "form", "vendor_key"])
-    hit = seen.filter((F.col("status") == "match") & (F.col("most") >= min_postings) & (F.col("accounts")[0] != F.col("debit_account")))
-    return _flags(hit, "vendor_switch", 3, F.concat("party", F.lit(" posted to "), F.col("accounts")[0], F.lit(" "), F.col("most").cast("string"), F.lit(" times; this one goes to "), "debit_account"))
-
-
-def first_use(entries: DataFrame, history: DataFrame) -> DataFrame:
-    """The account has never been used in this company."""
-    used = history.select("company_key", "debit_account").distinct()
-    new = entries.join(used, ["company_key", "debit_account"], "left_anti")
-    return _flags(new, "first_use", 2, F.concat("debit_account", F.lit(" has never been used in this company")))
-
-
 def with_ceiling(entries: DataFrame, history: DataFrame) -> DataFrame:
     """Entries with ``seen`` and ``high``: number and largest amount of the account's history on strictly earlier dates.
 
@@ -56,36 +39,76 @@ def with_ceiling(entries: DataFrame, history: DataFrame) -> DataFrame:
     return entries.join(per, ["company_key", "debit_account", "date"])
 
 
-def magnitude(entries: DataFrame, history: DataFrame, min_observations: int = MIN_OBSERVATIONS, over_percent: int = OVER_PERCENT) -> DataFrame:
-    """The amount is over so many percent of the account's largest earlier one."""
-    hit = with_ceiling(entries, history).filter((F.col("seen") >= min_observations) & (F.col("amount_paise") * 100 > F.col("high") * over_percent))
-    return _flags(hit, "magnitude", 2, F.concat(F.col("amount_paise").cast("string"), F.lit(" paise to "), "debit_account", F.lit("; of "), F.col("seen").cast("string"), F.lit(" earlier entries the largest is "), F.col("high").cast("string")))
+def with_facts(entries: DataFrame, history: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Entries with what the named detectors look at, each table of history joined once.
+
+    accounts, most, status: the vendor's look-up (taken as they are, if the entries have them). account_n, account_tax: number and
+    largest tax of the account's history. seen, high: its ceiling on earlier dates.
+    """
+    if "vendor_switch" in names and "status" not in entries.columns:
+        entries = lookup(with_vendor(entries), vendor_index(history), ["stem", "form", "vendor_key"])
+    if "first_use" in names or "gst_anomaly" in names:
+        per = history.groupBy("company_key", "debit_account").agg(F.count("*").alias("account_n"), F.max(F.coalesce("gst_paise", F.lit(0))).alias("account_tax"))
+        entries = entries.join(per, ["company_key", "debit_account"], "left")
+    return with_ceiling(entries, history) if "magnitude" in names else entries
+
+
+def _text(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
-def gst_anomaly(entries: DataFrame, history: DataFrame) -> DataFrame:
-    """Tax is claimed on an account that has history and never carried any."""
-    per = history.groupBy("company_key", "debit_account").agg(F.count("*").alias("n"), F.max(F.coalesce("gst_paise", F.lit(0))).alias("most"))
-    hit = entries.filter(F.col("gst_paise") != 0).join(per, ["company_key", "debit_account"]).filter("most = 0")
-    return _flags(hit, "gst_anomaly", 3, F.concat(F.lit("tax of "), F.col("gst_paise").cast("string"), F.lit(" paise on "), "debit_account", F.lit(", which never carried any across "), F.col("n").cast("string"), F.lit(" entries")))
+def rules(min_postings: int = MIN_POSTINGS, min_observations: int = MIN_OBSERVATIONS, over_percent: int = OVER_PERCENT) -> dict[str, tuple[int, Column, Column]]:
+    """name -> severity, whether an entry with its facts is flagged, and why."""
+    c = F.col
+    usual = F.get("accounts", F.lit(0))
+    return {
+        "vendor_switch": (3, (c("status") == "match") & (c("most") >= min_postings) & (usual != c("debit_account")), _text(c("party"), " posted to ", usual, " ", c("most"), " times; this one goes to ", c("debit_account"))),
+        "first_use": (2, c("account_n").isNull(), _text(c("debit_account"), " has never been used in this company")),
+        "magnitude": (2, (c("seen") >= min_observations) & (c("amount_paise") * 100 > c("high") * over_percent), _text(c("amount_paise"), " paise to ", c("debit_account"), "; of ", c("seen"), " earlier entries the largest is ", c("high"))),
+        "gst_anomaly": (3, (c("gst_paise") != 0) & (c("account_tax") == 0), _text("tax of ", c("gst_paise"), " paise on ", c("debit_account"), ", which never carried any across ", c("account_n"), " entries")),
+    }
 
 
-DETECTORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"vendor_switch": vendor_switch, "first_use": first_use, "magnitude": magnitude, "gst_anomaly": gst_anomaly}
+def flagged(rows: DataFrame, names: tuple[str, ...], **settings: int) -> DataFrame:
+    """``flags`` of entries with facts: array of (rank, detector, reason), the gravest first; rank is minus the severity."""
+    own = rules(**settings)
+    made = [F.when(own[n][1], F.struct(F.lit(-own[n][0]).alias("rank"), F.lit(n).alias("detector"), own[n][2].alias("reason"))) for n in names]
+    return rows.withColumn("flags", F.array_sort(F.array_compact(F.array(*made))))
+
+
+def _plain(name: str) -> Callable[..., DataFrame]:
+    """A built-in detector as a function of (entries, history, its settings) that returns flags."""
+
+    def detector(entries: DataFrame, history: DataFrame, **settings: int) -> DataFrame:
+        return _long(flagged(with_facts(entries, history, (name,)), (name,), **settings))
+
+    return detector
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    return rows.select("company_key", "id", F.explode("flags").alias("f")).select("company_key", "id", "f.detector", (-F.col("f.rank")).alias("severity"), "f.reason")
+
+
+BUILT_IN = ("vendor_switch", "first_use", "magnitude", "gst_anomaly")
+DETECTORS: dict[str, Callable[..., DataFrame]] = {n: _plain(n) for n in BUILT_IN}
+#: vendor has one past account, often enough, and this entry goes elsewhere; account never used in this company; amount over so many percent of the account's
+#: largest earlier one; tax on an account that has history and never carried any.
+vendor_switch, first_use, magnitude, gst_anomaly = (DETECTORS[n] for n in BUILT_IN)
 
 
 def run(entries: DataFrame, history: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
-    """All flags of the named detectors (without names: all but the withdrawn ones)."""
+    """All flags of the named detectors (without names: all but the withdrawn ones). Built-in ones share one pass; plug-ins run by themselves."""
     names = tuple(n for n in DETECTORS if n not in WITHDRAWN) if names is None else names
-    found = None
-    for n in names:
-        flags = DETECTORS[n](entries, history)
-        found = flags if found is None else found.unionByName(flags)
-    return found
+    own = tuple(n for n in names if n in BUILT_IN and DETECTORS[n] is globals()[n])
+    found = [_long(flagged(with_facts(entries, history, own), own))] if own else []
+    found += [DETECTORS[n](entries, history).select("company_key", "id", "detector", "severity", "reason") for n in names if n not in own]
+    return reduce(DataFrame.unionByName, found)
 
 
 def concern(detector: Column) -> Column:
     """An unknown detector is a concern of its own."""
     known = F.create_map(*[F.lit(x) for kv in CONCERNS.items() for x in kv])
-    return F.coalesce(known[detector], F.concat(F.lit("whatever detector "), detector, F.lit(" reads")))
+    return F.coalesce(known[detector], F.concat(F.lit("findings of "), detector))
 
 
 def ranked(flags: DataFrame, cap: int | None = None) -> DataFrame:
@@ -102,3 +125,9 @@ def ranked(flags: DataFrame, cap: int | None = None) -> DataFrame:
     per = per.withColumn("place", F.row_number().over(own.orderBy(F.desc("severity"), "detector")).cast("bigint"))
     dropped = F.greatest(F.count("*").over(own) - F.lit(cap if cap is not None else 1 << 40), F.lit(0))
     return per.withColumn("dropped", dropped.cast("bigint")).withColumn("shown", F.col("place") <= F.lit(cap if cap is not None else 1 << 40))
+
+
+def leading(flags: Column) -> Column:
+    """Of an entry's sorted flags the first of each concern: what is put to a person, in order."""
+    concerns = F.transform(flags, lambda f: concern(f["detector"]))
+    return F.filter(flags, lambda f, i: F.array_position(concerns, concern(f["detector"])) == i + 1)

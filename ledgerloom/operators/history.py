@@ -18,25 +18,35 @@ def with_vendor(rows: DataFrame) -> DataFrame:
 
 
 def _indexed(rows: DataFrame, keys: list[str], raw: str) -> DataFrame:
-    """Per subject and account: times, sources in order; the subject's first raw name."""
+    """Per subject and account: how often, and the subject's first raw name. A row per pair, whatever their postings: ``sources`` lists those."""
     usable = rows.filter((F.col(keys[-1]) != "") & (F.coalesce(F.col("debit_account"), F.lit("")) != ""))
     per = usable.groupBy("company_key", *keys, "debit_account").agg(
-        F.count("*").alias("times"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda s: s["id"]).alias("sources"), F.min(F.struct("seq", raw)).alias("__first")
+        F.count("*").alias("times"), F.min(F.struct("seq", raw)).alias("__first")
     )
     first = F.min("__first").over(W.partitionBy("company_key", *keys))
     return per.withColumn("raw", first[raw]).drop("__first").withColumnRenamed("debit_account", "account")
 
 
 def vendor_index(history: DataFrame) -> DataFrame:
-    """company_key, stem, form, vendor_key, account, times, sources, raw."""
+    """company_key, stem, form, vendor_key, account, times, raw."""
     return _indexed(with_vendor(history), ["stem", "form", "vendor_key"], "party")
 
 
 def phrase_index(history: DataFrame) -> DataFrame:
-    """company_key, phrase, account, times, sources, raw."""
+    """company_key, phrase, account, times, raw."""
     return _indexed(history.withColumn("phrase", X.phrase_key(F.col("narration"))), ["phrase"], "narration")
 
 
+def sources(history: DataFrame, every: int = 10_000) -> DataFrame:
+    """company_key, vendor_key, account, chunk, ids: the postings behind an index row, in published order, in lists of at most ``every``.
+
+    A chunk holds postings of consecutive ``every`` numbers of the company, so a hot pair is many rows, none of them long.
+    """
+    own = with_vendor(history).filter((F.col("vendor_key") != "") & (F.coalesce(F.col("debit_account"), F.lit("")) != ""))
+    per = own.groupBy("company_key", "vendor_key", F.col("debit_account").alias("account"), F.expr(f"(seq - 1) div {int(every)}").alias("chunk"))
+    return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda s: s["id"]).alias("ids"))
+
+
 def ranked(index: DataFrame, keys: list[str]) -> DataFrame:
     """Per subject its accounts, most often used first, then by name; status match or conflicted."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("t"), F.col("account").alias("a"))))

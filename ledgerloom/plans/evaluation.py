@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,61 +15,78 @@ from ..operators import history as H
 from . import views as V
 from .ledger import FLAGS, LOOKUP
 
-EVERY, SEED = 20, 7
-ACTIVE = tuple(n for n in T.DETECTORS if n not in T.WITHDRAWN)
-
-
-def _injected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(history, corrupted entries, truth)."""
-    history, entries = V.book(spark, sf_dir)
-    return (history, *E.inject(entries, EVERY, SEED))
+#: One entry in twenty of a company (rounded down) is corrupted; seconds that a person takes to read an entry, and to dismiss a flag.
+RATE, SEED, READ, DISMISS = Fraction(1, 20), 7, 30, 20
+ACTIVE = tuple(n for n in T.BUILT_IN if n not in T.WITHDRAWN)
 
 
-def _scored(spark: SparkSession, sf_dir: str, detectors: tuple[str, ...] = ACTIVE) -> tuple[DataFrame, DataFrame]:
-    history, entries, truth = _injected(spark, sf_dir)
-    flags = T.run(entries, history, detectors)
-    return E.scored(entries, flags, truth), flags
+def _scored(spark: SparkSession, sf_dir: str, detectors: tuple[str, ...] = ACTIVE) -> DataFrame:
+    """Corrupted entries with error_type, flags and flagged: the book is read once, each table of history joined once."""
+    book = V.Book(spark, sf_dir)
+    rows = E.injected(book.entries, RATE, SEED, exact=False)
+    return E.with_flagged(T.flagged(T.with_facts(rows, book.history, detectors), detectors))
 
 
 #: The entries are corrupted first, and all that FLAGS derives follows from them.
-_CORRUPT = """
-, drawn AS (SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY md5('7|' || id), id) AS r, count(*) OVER (PARTITION BY company_key) AS c FROM clean_entries),
-dealt AS (SELECT *, CASE WHEN r <= c // 20 THEN (['wrong_account', 'wrong_amount', 'wrong_tax', 'missing_party'])[(r - 1) % 4 + 1] END AS k0 FROM drawn),
-typed AS (SELECT *, CASE WHEN k0 = 'wrong_tax' AND gst_paise IS NOT NULL THEN NULL ELSE k0 END AS k FROM dealt),
-entries AS (SELECT company_key, id, date, CASE WHEN k = 'missing_party' THEN '' ELSE party END AS party, narration, CASE WHEN k = 'wrong_account' THEN debit_account || ' (misposted)' ELSE debit_account END AS debit_account,
-  credit_account, CASE WHEN k = 'wrong_amount' THEN amount_paise * 100 ELSE amount_paise END AS amount_paise, CASE WHEN k = 'wrong_tax' THEN amount_paise // 10 ELSE gst_paise END AS gst_paise, seq, total, k AS error_type, debit_account AS old_account, amount_paise AS old_amount, party AS old_party FROM typed)"""
+_CORRUPT = r"""
+, cn AS (SELECT *, regexp_replace(trim(regexp_replace(lower(party), '[^\p{L}\p{N}]+', ' ', 'g')), '^m s ', '') AS vk, md5('7|' || id) AS h FROM clean_entries),
+va AS (SELECT company_key, regexp_replace(vk, ' (pvt ltd|ltd|limited|co)$', '') || CASE WHEN regexp_matches(vk, ' pvt ltd$') THEN '|p' WHEN regexp_matches(vk, ' (ltd|limited)$') THEN '|l' WHEN regexp_matches(vk, ' co$') THEN '|c' ELSE '' END AS vendor, min(debit_account) AS low, max(debit_account) AS top FROM cn GROUP BY ALL),
+ac AS (SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY debit_account) - 1 AS place, count(*) OVER (PARTITION BY company_key) AS many
+       FROM (SELECT company_key, debit_account, max(amount_paise) AS high, bool_or(coalesce(gst_paise, 0) <> 0) AS taxed FROM clean_entries GROUP BY ALL)),
+ct AS (SELECT cn.*, CASE WHEN va.low = va.top THEN va.low END AS single, a.high, a.taxed, a.place, b.place AS other, a.many,
+         a.many - 1 - CASE WHEN b.place IS NOT NULL AND b.place <> a.place THEN 1 ELSE 0 END AS targets
+       FROM cn JOIN va ON va.company_key = cn.company_key AND va.vendor = regexp_replace(vk, ' (pvt ltd|ltd|limited|co)$', '') || CASE WHEN regexp_matches(vk, ' pvt ltd$') THEN '|p' WHEN regexp_matches(vk, ' (ltd|limited)$') THEN '|l' WHEN regexp_matches(vk, ' co$') THEN '|c' ELSE '' END
+       JOIN ac a ON a.company_key = cn.company_key AND a.debit_account = cn.debit_account LEFT JOIN ac b ON b.company_key = cn.company_key AND b.debit_account = cn.credit_account),
+el AS (SELECT *, coalesce(single = debit_account, false) AND targets > 0 AS e0, debit_account NOT IN ('Capital Work in Progress', 'Loan to Director', 'Preliminary Expenses') AS e1, coalesce(gst_paise, 0) = 0 AND NOT taxed AS e3 FROM ct),
+ce AS (SELECT *, CAST('0x' || substr(h, 1, 3) AS INTEGER) * 8 + e0::INT + 2 * e1::INT + 4 * e3::INT AS cell FROM el),
+c0 AS (SELECT company_key, cell, count(*) AS n, any_value(e0) AS e0, any_value(e1) AS e1, any_value(e3) AS e3 FROM ce GROUP BY ALL),
+c1 AS (SELECT *, sum(n) OVER (PARTITION BY company_key) // 20 AS q FROM c0),
+t0 AS (SELECT *, greatest(0, least(CASE WHEN e0 THEN n ELSE 0 END, q // 4 + (0 < q % 4)::INT - coalesce(sum(CASE WHEN e0 THEN n ELSE 0 END) OVER w, 0))) AS k0 FROM c1 WINDOW w AS (PARTITION BY company_key ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t1 AS (SELECT *, n - k0 AS n1, greatest(0, least(CASE WHEN e1 THEN n - k0 ELSE 0 END, q // 4 + (1 < q % 4)::INT - coalesce(sum(CASE WHEN e1 THEN n - k0 ELSE 0 END) OVER w, 0))) AS k1 FROM t0 WINDOW w AS (PARTITION BY company_key ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t2 AS (SELECT *, n1 - k1 AS n2, greatest(0, least(n1 - k1, q // 4 + (2 < q % 4)::INT - coalesce(sum(n1 - k1) OVER w, 0))) AS k2 FROM t1 WINDOW w AS (PARTITION BY company_key ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t3 AS (SELECT *, greatest(0, least(CASE WHEN e3 THEN n2 - k2 ELSE 0 END, q // 4 - coalesce(sum(CASE WHEN e3 THEN n2 - k2 ELSE 0 END) OVER w, 0))) AS k3 FROM t2 WINDOW w AS (PARTITION BY company_key ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+nt AS (SELECT ce.*, row_number() OVER (PARTITION BY ce.company_key, ce.cell ORDER BY h, id) AS nth, k0, k1, k2, k3 FROM ce JOIN t3 ON t3.company_key = ce.company_key AND t3.cell = ce.cell),
+ty AS (SELECT *, CASE WHEN nth <= k0 THEN 'vendor_switch' WHEN nth <= k0 + k1 THEN 'first_use' WHEN nth <= k0 + k1 + k2 THEN 'magnitude' WHEN nth <= k0 + k1 + k2 + k3 THEN 'gst_anomaly' END AS k, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS draw FROM nt),
+g1 AS (SELECT *, draw % greatest(targets, 1) AS x1, least(place, coalesce(other, place)) AS lo, CASE WHEN other IS NOT NULL AND other <> place THEN greatest(place, other) END AS hi FROM ty),
+g2 AS (SELECT *, x1 + (x1 >= lo)::INT AS x2 FROM g1),
+g3 AS (SELECT *, x2 + coalesce(x2 >= hi, false)::INT AS goes FROM g2),
+entries AS (SELECT g.company_key, id, date, party, narration,
+  CASE k WHEN 'vendor_switch' THEN p.debit_account WHEN 'first_use' THEN (['Capital Work in Progress', 'Loan to Director', 'Preliminary Expenses'])[draw % 3 + 1] ELSE g.debit_account END AS debit_account, credit_account,
+  CASE k WHEN 'magnitude' THEN g.high * ([20, 50, 100])[draw % 3 + 1] ELSE amount_paise END AS amount_paise,
+  CASE k WHEN 'gst_anomaly' THEN amount_paise * 1800 // 11800 WHEN 'magnitude' THEN CAST(CAST(g.high * ([20, 50, 100])[draw % 3 + 1] AS HUGEINT) * gst_paise // amount_paise AS BIGINT) ELSE gst_paise END AS gst_paise,
+  seq, total, k AS error_type, g.debit_account AS old_account, amount_paise AS old_amount
+  FROM g3 g LEFT JOIN ac p ON p.company_key = g.company_key AND p.place = g.goes)"""
 _BASE = V.VIEWS.replace("entries AS (", "clean_entries AS (").rstrip() + _CORRUPT
 _FLAGS = _BASE + FLAGS[len(V.VIEWS.rstrip()) :]
 _SCORED = _FLAGS + ", used AS (SELECT * FROM raw_flags WHERE detector <> 'first_use'), per AS (SELECT company_key, id, count(*) AS n_flags FROM used GROUP BY ALL), scored AS (SELECT e.*, coalesce(n_flags, 0) > 0 AS flagged FROM entries e LEFT JOIN per p ON p.company_key = e.company_key AND p.id = e.id)"
 
 
 def win_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _injected(spark, sf_dir)[2]
+    return E.inject(V.Book(spark, sf_dir).entries, RATE, SEED, exact=False)[1]
 
 
 register("win_inject", win_inject, _BASE + """
-SELECT company_key, id, error_type, CASE error_type WHEN 'wrong_account' THEN 'debit_account' WHEN 'wrong_amount' THEN 'amount_paise' WHEN 'wrong_tax' THEN 'gst_paise' ELSE 'party' END AS field,
-  CASE error_type WHEN 'wrong_account' THEN old_account WHEN 'wrong_amount' THEN CAST(old_amount AS VARCHAR) WHEN 'missing_party' THEN old_party END AS was,
-  CASE error_type WHEN 'wrong_account' THEN debit_account WHEN 'wrong_amount' THEN CAST(amount_paise AS VARCHAR) WHEN 'wrong_tax' THEN CAST(gst_paise AS VARCHAR) ELSE party END AS now FROM entries WHERE error_type IS NOT NULL""")
+SELECT company_key, id, error_type, CASE error_type WHEN 'magnitude' THEN 'amount_paise' WHEN 'gst_anomaly' THEN 'gst_paise' ELSE 'debit_account' END AS field,
+  CASE error_type WHEN 'magnitude' THEN CAST(old_amount AS VARCHAR) WHEN 'gst_anomaly' THEN 'none' ELSE old_account END AS was,
+  CASE error_type WHEN 'magnitude' THEN CAST(amount_paise AS VARCHAR) WHEN 'gst_anomaly' THEN CAST(gst_paise AS VARCHAR) ELSE debit_account END AS now FROM entries WHERE error_type IS NOT NULL""")
 
-register("jn_truth", lambda s, d: _scored(s, d)[0].select("company_key", "id", "error_type", "flagged"), _SCORED + " SELECT company_key, id, error_type, flagged FROM scored")
-register("agg_score", lambda s, d: E.score(_scored(s, d)[0]), _SCORED + """
+register("jn_truth", lambda s, d: _scored(s, d).select("company_key", "id", "error_type", "flagged"), _SCORED + " SELECT company_key, id, error_type, flagged FROM scored")
+register("agg_score", lambda s, d: E.score(_scored(s, d)), _SCORED + """
 SELECT company_key, count(*) AS total, count(*) FILTER (error_type IS NULL) AS clean, count(*) FILTER (error_type IS NOT NULL) AS injected, count(*) FILTER (flagged) AS flagged,
   count(*) FILTER (error_type IS NULL AND flagged) AS false_alarms, count(*) FILTER (error_type IS NOT NULL AND flagged) AS caught FROM scored GROUP BY 1""")
-register("agg_n1_n2_n3", lambda s, d: E.rates(_scored(s, d)[0]), _SCORED + """
-, g AS (SELECT company_key, count(*) FILTER (error_type IS NULL) AS clean, count(*) FILTER (error_type IS NULL AND flagged) AS false_alarms FROM scored GROUP BY 1)
-SELECT company_key, clean, false_alarms, (2 * 10000 * false_alarms + clean) // (2 * clean) AS n1, CASE WHEN false_alarms * 100 <= 10 * clean THEN 'PASS' ELSE 'FAIL' END AS n1_verdict FROM g""")
-register("agg_per_type", lambda s, d: E.per_type(_scored(s, d)[0]), _SCORED + """
+register("agg_n1_n2_n3", lambda s, d: E.rates(_scored(s, d), READ, DISMISS), _SCORED + """
+, g AS (SELECT company_key, count(*) AS total, count(*) FILTER (flagged) AS flagged, count(*) FILTER (error_type IS NULL) AS clean, count(*) FILTER (error_type IS NULL AND flagged) AS false_alarms FROM scored GROUP BY 1),
+t AS (SELECT company_key, error_type, count(*) AS n, count(*) FILTER (flagged) AS hit FROM scored WHERE error_type IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT company_key, arg_min(error_type, (CAST(hit AS DOUBLE) / n, error_type)) AS worst, arg_min(hit, (CAST(hit AS DOUBLE) / n, error_type)) AS hit, arg_min(n, (CAST(hit AS DOUBLE) / n, error_type)) AS n, bool_and(hit * 100 >= 90 * n) AS ok FROM t GROUP BY 1)
+SELECT company_key, clean, false_alarms, (2 * 10000 * false_alarms + clean) // (2 * clean) AS n1, CASE WHEN false_alarms * 100 <= 10 * clean THEN 'MET' ELSE 'MISSED' END AS n1_verdict,
+  (2 * 10000 * flagged * 20 + total * 30) // (2 * total * 30) AS n2, CASE WHEN flagged * 20 * 100 <= 10 * total * 30 THEN 'MET' ELSE 'MISSED' END AS n2_verdict,
+  (2 * 10000 * hit + n) // (2 * n) AS n3, worst, CASE WHEN ok THEN 'MET' ELSE 'MISSED' END AS n3_verdict FROM g LEFT JOIN w USING (company_key)""")
+register("agg_per_type", lambda s, d: E.per_type(_scored(s, d)), _SCORED + """
 , g AS (SELECT error_type, count(*) AS injected, count(*) FILTER (flagged) AS caught FROM scored WHERE error_type IS NOT NULL GROUP BY 1)
 SELECT *, (2 * 10000 * caught + injected) // (2 * injected) AS rate, CASE WHEN caught * 100 >= 90 * injected THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g""")
 
 
-def agg_per_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, flags = _scored(spark, sf_dir)
-    return E.per_detector(rows, flags, ACTIVE)
-
-
-register("agg_per_detector", agg_per_detector, _SCORED + """
+register("agg_per_detector", lambda s, d: E.per_detector(_scored(s, d), ACTIVE), _SCORED + """
 , h AS (SELECT DISTINCT company_key, id, detector FROM used)
 SELECT d.detector, count(*) FILTER (s.id IS NOT NULL AND error_type IS NULL) AS false_alarms, count(*) FILTER (error_type IS NOT NULL) AS caught
 FROM (VALUES ('vendor_switch'), ('magnitude'), ('gst_anomaly')) d(detector) LEFT JOIN h ON h.detector = d.detector LEFT JOIN scored s ON s.company_key = h.company_key AND s.id = h.id GROUP BY 1""")
@@ -77,10 +96,10 @@ g AS (SELECT coalesce(company_key, half, 'all') AS scope, count(*) FILTER (error
       FROM scored JOIN halves ON ck = company_key GROUP BY GROUPING SETS ((company_key), (half), ()))
 SELECT scope, clean, false_alarms, (2 * 10000 * false_alarms + clean) // (2 * clean) AS rate, CASE WHEN false_alarms * 100 <= 10 * clean THEN 'PASS' ELSE 'NOT_PASSED' END AS verdict,
   row_number() OVER (ORDER BY false_alarms / clean DESC, scope) AS place FROM g"""
-register("agg_gate", lambda s, d: E.gate(_scored(s, d)[0]), _SCORED + GATE)
-register("agg_withdrawn_cost", lambda s, d: E.gate(_scored(s, d, tuple(T.DETECTORS))[0]), _SCORED.replace(" WHERE detector <> 'first_use'), per", "), per") + GATE)
-register("top_worst", lambda s, d: E.gate(_scored(s, d)[0]).filter("place = 1"), f"SELECT * FROM ({_SCORED + GATE}) WHERE place = 1")
-register("agg_concentration", lambda s, d: E.concentration(_scored(s, d)[0]), _SCORED + """
+register("agg_gate", lambda s, d: E.gate(_scored(s, d)), _SCORED + GATE)
+register("agg_withdrawn_cost", lambda s, d: E.gate(_scored(s, d, T.BUILT_IN)), _SCORED.replace(" WHERE detector <> 'first_use'), per", "), per") + GATE)
+register("top_worst", lambda s, d: E.gate(_scored(s, d)).filter("place = 1"), f"SELECT * FROM ({_SCORED + GATE}) WHERE place = 1")
+register("agg_concentration", lambda s, d: E.concentration(_scored(s, d)), _SCORED + """
 , b AS (SELECT company_key, debit_account, count(*) AS alarms FROM scored WHERE error_type IS NULL AND flagged GROUP BY ALL),
 r AS (SELECT *, sum(alarms) OVER (PARTITION BY company_key) AS a, row_number() OVER (PARTITION BY company_key ORDER BY alarms DESC, debit_account) AS n FROM b)
 SELECT company_key, debit_account, alarms, ((2 * 10000 * alarms + a) // (2 * a))::BIGINT AS share FROM r WHERE n = 1 AND alarms >= 2""")

@@ -145,13 +145,22 @@ SELECT company_key, id, side, account FROM l WHERE NOT EXISTS (SELECT 1 FROM cha
 
 def agg_vendor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = H.vendor_index(V.book(spark, sf_dir)[0])
-    return index.select("company_key", "vendor_key", "account", "times", F.sha2(F.array_join("sources", ","), 256).alias("sources"), "raw")
+    return index.select("company_key", "vendor_key", "account", "times", "raw")
 
 
 INDEX = HISTORY + """
-, pairs AS (SELECT company_key, stem, form, vendor_key, debit_account AS account, count(*) AS times, sha256(string_agg(id, ',' ORDER BY seq)) AS sources FROM keyed WHERE vendor_key <> '' GROUP BY ALL),
+, pairs AS (SELECT company_key, stem, form, vendor_key, debit_account AS account, count(*) AS times FROM keyed WHERE vendor_key <> '' GROUP BY ALL),
 raws AS (SELECT company_key, vendor_key, arg_min(party, seq) AS raw FROM keyed GROUP BY ALL)"""
-register("agg_vendor_index", agg_vendor_index, INDEX + " SELECT company_key, vendor_key, account, times, sources, raw FROM pairs JOIN raws USING (company_key, vendor_key)")
+register("agg_vendor_index", agg_vendor_index, INDEX + " SELECT company_key, vendor_key, account, times, raw FROM pairs JOIN raws USING (company_key, vendor_key)")
+
+
+def agg_vendor_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings behind each index row, in published order."""
+    found = H.sources(V.book(spark, sf_dir)[0], every=1000)
+    return found.select("company_key", "vendor_key", "account", "chunk", F.sha2(F.array_join("ids", ","), 256).alias("ids"))
+
+
+register("agg_vendor_sources", agg_vendor_sources, HISTORY + " SELECT company_key, vendor_key, debit_account AS account, (seq - 1) // 1000 AS chunk, sha256(string_agg(id, ',' ORDER BY seq)) AS ids FROM keyed WHERE vendor_key <> '' GROUP BY ALL")
 
 
 def agg_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,13 +173,12 @@ r AS (SELECT company_key, phrase, arg_min(narration, seq) AS raw FROM p GROUP BY
 register("agg_phrase_index", agg_phrase_index, PHRASES + " SELECT company_key, phrase, debit_account AS account, count(*) AS times, any_value(raw) AS raw FROM p JOIN r USING (company_key, phrase) GROUP BY company_key, phrase, debit_account")
 
 
-def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, entries = V.book(spark, sf_dir)
-    return H.lookup(H.with_vendor(entries), H.vendor_index(history).drop("sources", "raw"), ["stem", "form", "vendor_key"])
+def _looked_up(book: V.Book) -> DataFrame:
+    return H.lookup(H.with_vendor(book.entries), H.vendor_index(book.history), ["stem", "form", "vendor_key"])
 
 
 def jn_vendor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _looked_up(spark, sf_dir).select("company_key", "id", "status", F.array_join("accounts", ",").alias("accounts"))
+    return _looked_up(V.Book(spark, sf_dir)).select("company_key", "id", "status", F.array_join("accounts", ",").alias("accounts"))
 
 
 LOOKUP = INDEX + """
@@ -188,7 +196,7 @@ register("jn_vendor_lookup", jn_vendor_lookup, LOOKUP + " SELECT company_key, id
 
 def jn_phrase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     history, entries = V.book(spark, sf_dir)
-    found = H.lookup(entries.withColumn("phrase", X.phrase_key(F.col("narration"))), H.phrase_index(history).drop("sources", "raw"), ["phrase"])
+    found = H.lookup(entries.withColumn("phrase", X.phrase_key(F.col("narration"))), H.phrase_index(history).drop("raw"), ["phrase"])
     return found.select("company_key", "id", "status", F.array_join("accounts", ",").alias("accounts"))
 
 
@@ -218,7 +226,8 @@ FROM n a JOIN n b ON a.company_key = b.company_key AND a.s_suppkey = b.s_suppkey
 
 
 def agg_bootstrap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.bootstrap_report(V.book(spark, sf_dir)[0], V.chart(spark, sf_dir))
+    book = V.Book(spark, sf_dir)
+    return H.bootstrap_report(book.history, book.chart)
 
 
 register("agg_bootstrap_report", agg_bootstrap_report, INDEX + """
@@ -298,17 +307,17 @@ FLAGS = LOOKUP + """
 , days AS (SELECT company_key, debit_account, date, max(amount_paise) AS high, count(*) AS n FROM history GROUP BY ALL),
 mag AS (SELECT e.company_key, e.id, e.debit_account, e.amount_paise, sum(d.n) AS seen, max(d.high) AS high FROM entries e JOIN days d ON d.company_key = e.company_key AND d.debit_account = e.debit_account AND d.date < e.date GROUP BY ALL),
 tax AS (SELECT company_key, debit_account, count(*) AS n, max(coalesce(gst_paise, 0)) AS most FROM history GROUP BY ALL),
-raw_flags AS (
-  SELECT company_key, id, 'vendor_switch' AS detector, 3 AS severity, party || ' posted to ' || usual || ' ' || most || ' times; this one goes to ' || debit_account AS reason FROM seen WHERE status = 'match' AND most >= 2 AND usual <> debit_account
-  UNION ALL SELECT company_key, id, 'first_use', 2, debit_account || ' has never been used in this company' FROM entries e WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.company_key = e.company_key AND h.debit_account = e.debit_account)
-  UNION ALL SELECT company_key, id, 'magnitude', 2, amount_paise || ' paise to ' || debit_account || '; of ' || seen || ' earlier entries the largest is ' || high FROM mag WHERE seen >= 2 AND amount_paise * 100 > high * 300
-  UNION ALL SELECT e.company_key, e.id, 'gst_anomaly', 3, 'tax of ' || e.gst_paise || ' paise on ' || e.debit_account || ', which never carried any across ' || t.n || ' entries' FROM entries e JOIN tax t ON t.company_key = e.company_key AND t.debit_account = e.debit_account WHERE e.gst_paise <> 0 AND t.most = 0)"""
+flag_vendor_switch AS (SELECT company_key, id, 'vendor_switch' AS detector, 3 AS severity, party || ' posted to ' || usual || ' ' || most || ' times; this one goes to ' || debit_account AS reason FROM seen WHERE status = 'match' AND most >= 2 AND usual <> debit_account),
+  flag_first_use AS (SELECT company_key, id, 'first_use' AS detector, 2 AS severity, debit_account || ' has never been used in this company' AS reason FROM entries e LEFT JOIN (SELECT DISTINCT company_key AS ck, debit_account AS da FROM history) h ON h.ck = e.company_key AND h.da = e.debit_account WHERE h.ck IS NULL),
+  flag_magnitude AS (SELECT company_key, id, 'magnitude' AS detector, 2 AS severity, amount_paise || ' paise to ' || debit_account || '; of ' || seen || ' earlier entries the largest is ' || high AS reason FROM mag WHERE seen >= 2 AND amount_paise * 100 > high * 300),
+  flag_gst_anomaly AS (SELECT e.company_key, e.id, 'gst_anomaly' AS detector, 3 AS severity, 'tax of ' || e.gst_paise || ' paise on ' || e.debit_account || ', which never carried any across ' || t.n || ' entries' AS reason FROM entries e JOIN tax t ON t.company_key = e.company_key AND t.debit_account = e.debit_account WHERE e.gst_paise <> 0 AND t.most = 0),
+raw_flags AS (SELECT * FROM flag_vendor_switch UNION ALL SELECT * FROM flag_first_use UNION ALL SELECT * FROM flag_magnitude UNION ALL SELECT * FROM flag_gst_anomaly)"""
 for _name in T.DETECTORS:
     def _one(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
         history, entries = V.book(spark, sf_dir)
         return T.DETECTORS[name](entries, history)
 
-    register(f"win_{_name}", _one, FLAGS + f" SELECT * FROM raw_flags WHERE detector = '{_name}'")
+    register(f"win_{_name}", _one, FLAGS + f" SELECT * FROM flag_{_name}")
 
 
 def win_rank_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,11 +333,12 @@ register("win_rank_flags", win_rank_flags, RANKED + " SELECT *, place <= 1 AS sh
 register("top_cap", lambda s, d: win_rank_flags(s, d).groupBy("company_key").agg(F.count_if("shown").alias("shown"), F.count_if(~F.col("shown")).alias("dropped")), RANKED + " SELECT company_key, count(*) FILTER (place <= 1) AS shown, count(*) FILTER (place > 1) AS dropped FROM shown GROUP BY 1")
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    history, entries = V.book(spark, sf_dir)
-    seen = _looked_up(spark, sf_dir)
-    flags = T.ranked(T.run(entries, history))
-    return seen, D.problems(seen, C.run(entries, V.chart(spark, sf_dir)), flags)
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with look-up, flags, checks and problems: one pass over the entries, each table of history joined once."""
+    book = V.Book(spark, sf_dir)
+    names = tuple(n for n in T.BUILT_IN if n not in T.WITHDRAWN)
+    rows = T.flagged(T.with_facts(_looked_up(book), book.history, names), names)
+    return D.with_problems(C.checked(rows, book.chart))
 
 
 PROBLEMS = FLAGS + """
@@ -344,14 +354,14 @@ problems AS (
 
 
 def dec_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir)[1].select("company_key", "id", "problem", "answerable")
+    return D.listed(_decided(spark, sf_dir)).select("company_key", "id", "problem", "answerable")
 
 
 register("dec_problems", dec_problems, PROBLEMS + " SELECT company_key, id, problem, answerable FROM problems")
 
 
 def dec_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.outcomes(*_decided(spark, sf_dir))
+    return D.outcomes(_decided(spark, sf_dir))
 
 
 register("dec_outcome", dec_outcome, PROBLEMS + """
@@ -362,8 +372,8 @@ FROM entries e LEFT JOIN g ON g.company_key = e.company_key AND g.id = e.id""")
 
 def dec_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The debit account that memory names alone, the credit account that all postings agree on, and where each comes from."""
-    seen = _looked_up(spark, sf_dir)
-    rows = seen.join(H.funding(V.book(spark, sf_dir)[0]), ["company_key", "vendor_key"], "left")
+    book = V.Book(spark, sf_dir)
+    rows = _looked_up(book).join(H.funding(book.history), ["company_key", "vendor_key"], "left")
     debit = F.when(F.col("status") == "match", F.get("accounts", F.lit(0)))
     return rows.select("company_key", "id", debit.alias("debit"), F.col("funding").alias("credit"), F.when(debit.isNotNull(), "memory").otherwise("not found").alias("debit_source"), F.when(F.col("funding").isNotNull(), "history").otherwise("not found").alias("credit_source"))
 
@@ -383,7 +393,8 @@ register("top_accounts", top_accounts, INDEX + " SELECT company_key, vendor_key,
 
 
 def set_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.chart(spark, sf_dir).join(V.book(spark, sf_dir)[0].select("company_key", F.col("debit_account").alias("account")), ["company_key", "account"], "left_anti")
+    book = V.Book(spark, sf_dir)
+    return book.chart.join(book.history.select("company_key", F.col("debit_account").alias("account")), ["company_key", "account"], "left_anti")
 
 
 register("set_unmapped", set_unmapped, V.VIEWS + "SELECT company_key, account FROM chart c WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.company_key = c.company_key AND h.debit_account = c.account)")

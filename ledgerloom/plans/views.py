@@ -6,10 +6,14 @@ sometimes to another. The first half of a company's vouchers, in published order
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +31,7 @@ def vouchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     prefix = F.when(F.col("s_suppkey") % 3 == 0, "M/s ").otherwise("")
     form = F.element_at(F.array(*map(F.lit, ("", " Ltd", " Limited", " Pvt Ltd", " & Co"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    exempt = F.col("p_brand").startswith("Brand#5")  # goods that carry no tax, on an account of their own
     odd = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 97 == 0
     return rows.select(
         F.col("n_name").alias("company_key"),
@@ -34,33 +39,66 @@ def vouchers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("l_shipdate").alias("date"),
         F.concat(prefix, "s_name", F.lit(" "), "p_brand", form).alias("party"),
         F.concat(F.col("p_name"), F.lit(" inv "), F.col("l_orderkey").cast("string")).alias("narration"),
-        F.when(odd, F.col("p_type")).otherwise(F.concat(F.lit("Purchases "), (F.col("s_suppkey") % 12).cast("string"))).alias("debit_account"),
+        F.when(odd, F.col("p_type")).when(exempt, "Exempt purchases").otherwise(F.concat(F.lit("Purchases "), (F.col("s_suppkey") % 12).cast("string"))).alias("debit_account"),
         F.col("o_orderpriority").alias("credit_account"),
         paise(F.col("l_extendedprice")).alias("amount_paise"),
-        F.when(F.col("l_tax") > 0, paise(F.col("l_extendedprice") * F.col("l_tax"))).alias("gst_paise"),
+        F.when((F.col("l_tax") > 0) & ~exempt, paise(F.col("l_extendedprice") * F.col("l_tax"))).alias("gst_paise"),
     )
 
 
 def halves(rows: DataFrame) -> DataFrame:
-    """With ``seq`` (published order: date, then id) and ``role``: history for the first half of a company, entry after."""
-    own = W.partitionBy("company_key")
-    rows = rows.withColumn("seq", F.row_number().over(own.orderBy("date", "id")).cast("bigint"))
-    return rows.withColumn("role", F.when(F.col("seq") <= F.floor(F.count("*").over(own) / 2), "history").otherwise("entry"))
+    """With ``seq`` (published order: date, then id) and ``role``: history for the first half of a company, entry after.
+
+    Days are counted first: a day's place in its company comes from the counts, and rows are numbered inside their day only.
+    """
+    days = rows.groupBy("company_key", "date").agg(F.count("*").alias("__n"))
+    own = W.partitionBy("company_key").orderBy(F.col("date").asc_nulls_first())
+    days = days.select("company_key", F.col("date").alias("__date"), (F.sum("__n").over(own) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy("company_key")).alias("__total"))
+    rows = rows.join(days.withColumnRenamed("company_key", "__company"), (F.col("company_key") == F.col("__company")) & F.col("date").eqNullSafe(F.col("__date")))
+    rows = rows.withColumn("seq", (F.col("__before") + F.row_number().over(W.partitionBy("company_key", "date").orderBy("id"))).cast("bigint"))
+    rows = rows.withColumn("role", F.when(F.col("seq") <= F.expr("__total div 2"), "history").otherwise("entry"))
+    return rows.drop("__company", "__date", "__before", "__total")
+
+
+class Book:
+    """All that a query asks of the vouchers, from one scan of the tables: numbered once, written, and read from there."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._sf_dir = spark, sf_dir
+
+    @cached_property
+    def vouchers(self) -> DataFrame:
+        return kept(halves(kept(vouchers(self._spark, self._sf_dir))))
+
+    @property
+    def history(self) -> DataFrame:
+        return self.vouchers.filter("role = 'history'").drop("role")
+
+    @property
+    def entries(self) -> DataFrame:
+        return self.vouchers.filter("role = 'entry'").drop("role")
+
+    @cached_property
+    def chart(self) -> DataFrame:
+        return chart_of(self.vouchers)
 
 
 def book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(history, entries) of all companies."""
-    rows = halves(vouchers(spark, sf_dir))
-    return rows.filter("role = 'history'").drop("role"), rows.filter("role = 'entry'").drop("role")
+    own = Book(spark, sf_dir)
+    return own.history, own.entries
 
 
-def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chart_of(v: DataFrame) -> DataFrame:
     """company_key, account: what a company keeps; one in eleven of the legs in use is missing from it."""
-    v = vouchers(spark, sf_dir)
-    legs = v.select("company_key", F.col("debit_account").alias("account")).union(v.select("company_key", "credit_account")).distinct()
+    legs = v.select("company_key", F.explode(F.array("debit_account", "credit_account")).alias("account")).distinct()
     return legs.filter(F.conv(F.substring(F.md5(F.concat("company_key", F.lit("|"), "account")), 1, 4), 16, 10).cast("int") % 11 != 0)
 
 
+def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chart_of(vouchers(spark, sf_dir))
+
+
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, ts, company_key, action, outcome, operation_id: the event stream as an append-only log."""
     e = table(spark, sf_dir, "events")
@@ -85,9 +123,9 @@ WITH vouchers AS (
   SELECT n_name AS company_key, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, CAST(l_shipdate AS DATE) AS date,
     (CASE WHEN s_suppkey % 3 = 0 THEN 'M/s ' ELSE '' END) || s_name || ' ' || p_brand || (['', ' Ltd', ' Limited', ' Pvt Ltd', ' & Co'])[s_suppkey % 5 + 1] AS party,
     p_name || ' inv ' || l_orderkey AS narration,
-    CASE WHEN (l_orderkey * 7 + l_linenumber) % 97 = 0 THEN p_type ELSE 'Purchases ' || (s_suppkey % 12) END AS debit_account,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 97 = 0 THEN p_type WHEN starts_with(p_brand, 'Brand#5') THEN 'Exempt purchases' ELSE 'Purchases ' || (s_suppkey % 12) END AS debit_account,
     o_orderpriority AS credit_account, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_paise,
-    CASE WHEN l_tax > 0 THEN CAST(round(l_extendedprice * l_tax * 100) AS BIGINT) END AS gst_paise
+    CASE WHEN l_tax > 0 AND NOT starts_with(p_brand, 'Brand#5') THEN CAST(round(l_extendedprice * l_tax * 100) AS BIGINT) END AS gst_paise
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN nation ON s_nationkey = n_nationkey),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY date, id) AS seq, count(*) OVER (PARTITION BY company_key) AS total FROM vouchers),
 history AS (SELECT * FROM numbered WHERE seq <= total // 2),

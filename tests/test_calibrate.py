@@ -25,10 +25,10 @@ def test_levels_are_what_the_detectors_say(spark):
     level = lambda c: {r["id"]: r[c] for r in fired.select("id", c).collect()}
     got = level("vendor_switch")
     for k, n in enumerate(dict(K.GRID)["vendor_switch"]):
-        assert {i for i, x in got.items() if x > k} == {r["id"] for r in T.vendor_switch(entries, history, n).collect()}
+        assert {i for i, x in got.items() if x > k} == {r["id"] for r in T.vendor_switch(entries, history, min_postings=n).collect()}
     got = level("magnitude")
     for k, p in enumerate(dict(K.GRID)["magnitude"]):
-        assert {i for i, x in got.items() if x > k} == {r["id"] for r in T.magnitude(entries, history, 2, p).collect()}
+        assert {i for i, x in got.items() if x > k} == {r["id"] for r in T.magnitude(entries, history, min_observations=2, over_percent=p).collect()}
     for name in ("first_use", "gst_anomaly"):
         assert {i for i, x in level(name).items() if x} == {r["id"] for r in T.DETECTORS[name](entries, history).collect()}
 

@@ -2,6 +2,8 @@
 
 import datetime
 
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,13 +95,15 @@ def test_checks_and_outcomes(spark):
     failed = {(r["id"], r["name"]) for r in C.run(rows, chart).filter("NOT passed").collect()}
     assert failed == {("bad", n) for n in ("amount_is_positive", "accounts_exist", "gst_not_larger_than_amount", "tax_lines_can_be_posted", "party_is_named")}
     seen = rows.withColumn("status", F.when(F.col("id") == "ok", "match").otherwise("no_match"))
-    problems = D.problems(seen, C.run(rows, chart), T.run(rows, rows.limit(0)).withColumn("place", F.lit(1)))
-    got = {r["id"]: r["outcome"] for r in D.outcomes(seen, problems).collect()}
-    assert got == {"ok": "VALID", "bad": "NOT_VALID"}
-    odd = spark.createDataFrame([("c", "ok", "which_account", 1, True)], "company_key string, id string, problem string, at long, answerable boolean")
+    names = tuple(n for n in T.BUILT_IN if n != "vendor_switch")
+    ready = D.with_problems(C.checked(T.flagged(T.with_facts(seen, rows.limit(0), names), names), chart))
+    listed = {(r["id"], r["problem"]): r["at"] for r in D.listed(ready).collect()}
+    assert listed["ok", "first_use"] == 1001 and listed["bad", "accounts_exist"] == 4 and listed["bad", "which_account"] == 5000
+    got = {r["id"]: (r["outcome"], r["first"]) for r in D.outcomes(ready).collect()}
+    assert got == {"ok": ("UNCLEAR", "first_use"), "bad": ("NOT_VALID", None)}
     answered = lambda names, asked: spark.createDataFrame([("c", "ok", names, asked)], "company_key string, id string, answered array<string>, asked int")
-    say = lambda *a: {r["id"]: r["outcome"] for r in D.outcomes(rows, odd, answered(*a)).collect()}["ok"]
-    assert (say([], 0), say(["which_account"], 1), say([], 5)) == ("UNCLEAR", "NOT_VALID", "NOT_VALID")
+    say = lambda *a: {r["id"]: r["outcome"] for r in D.outcomes(ready, answered(*a)).collect()}["ok"]
+    assert (say([], 0), say(["first_use"], 1), say([], 5)) == ("UNCLEAR", "NOT_VALID", "NOT_VALID")
     both = spark.createDataFrame([("VALID", "ASK"), ("VALID", "BLOCK"), ("UNCLEAR", "POST"), ("VALID", "POST")], "outcome string, band string")
     assert [r["outcome"] for r in D.narrowed(both).collect()] == ["UNCLEAR", "NOT_VALID", "UNCLEAR", "VALID"]
 
@@ -116,12 +120,50 @@ def test_trial_balance_sums_to_zero_and_moves(spark):
     assert {(r["account"], r["moved"]) for r in H.balance_difference(H.trial_balance(rows.limit(1)), H.trial_balance(rows)).collect()} == {("A", -5), ("B", 7), ("Bank", -2)}
 
 
-def test_injection_has_its_quota(spark):
-    rows = book(spark, [(f"v{i}", i, "p", "A", 100 + i, 5 if i % 2 else None) for i in range(80)])
-    bad, truth = E.inject(rows, 10, 1)
-    assert bad.count() == 80 and 5 <= truth.count() <= 8
-    again = {tuple(r) for r in E.inject(rows.repartition(3), 10, 1)[1].collect()}
-    assert again == {tuple(r) for r in truth.collect()}
+def test_injection_is_exact_and_even(spark):
+    own = [(f"v{i}", i, f"p{i % 5}", f"A{i % 5}", 100 + i, 5 if i % 5 in (0, 1) else None) for i in range(80)]
+    rows = book(spark, own)
+    bad, truth = E.inject(rows, Fraction(1, 8), 1)
+    told = [tuple(r) for r in truth.collect()]
+    assert bad.count() == 80 and sorted(t[2] for t in told) == ["first_use"] * 3 + ["gst_anomaly"] * 2 + ["magnitude"] * 2 + ["vendor_switch"] * 3
+    before, after = {r["id"]: r for r in rows.collect()}, {r["id"]: r for r in bad.collect()}
+    assert {i for i in after if after[i] != before[i]} == {t[1] for t in told}
+    for _, i, kind, field, was, now in told:
+        a, b = before[i], after[i]
+        assert str(b[field]) == now and (was == "none" if kind == "gst_anomaly" else str(a[field]) == was)
+        if kind == "vendor_switch":
+            assert b["debit_account"] in {f"A{k}" for k in range(5)} - {a["debit_account"], a["credit_account"]}
+        elif kind == "first_use":
+            assert b["debit_account"] in E.UNPOSTED
+        elif kind == "magnitude":
+            assert b["amount_paise"] in [f * max(r[4] for r in own if r[3] == a["debit_account"]) for f in E.FACTORS]
+        else:
+            assert a["gst_paise"] is None and a["debit_account"] in {"A2", "A3", "A4"} and b["gst_paise"] == a["amount_paise"] * 1800 // 11800
+    again = {tuple(r) for r in E.inject(rows.repartition(3), Fraction(1, 8), 1)[1].collect()}
+    assert again == set(told)
+    with pytest.raises(ValueError, match="whole number"):
+        E.inject(rows, Fraction(1, 7), 1)
+    with pytest.raises(ValueError, match="eligible"):
+        E.inject(rows.fillna({"gst_paise": 3}), Fraction(1, 8), 1)
+
+
+def test_targets_are_met_or_missed(spark):
+    rows = spark.createDataFrame([("c", None, True)] + [("c", None, False)] * 9 + [("c", "magnitude", True), ("c", "first_use", False), ("d", "magnitude", True)], "company_key string, error_type string, flagged boolean")
+    got = {r["company_key"]: r for r in E.rates(rows, 30, 15).collect()}
+    c, d = got["c"], got["d"]
+    assert (c["n1"], c["n1_verdict"], c["n2"], c["n2_verdict"], c["n3"], c["worst"], c["n3_verdict"]) == (1000, "MET", 833, "MET", 0, "first_use", "MISSED")
+    assert (d["n1"], d["n1_verdict"], d["n2_verdict"], d["n3"], d["n3_verdict"]) == (None, "MISSED", "MISSED", 10000, "MET")
+    with pytest.raises(ValueError, match="seconds"):
+        E.rates(rows, 0, 15)
+
+
+def test_halves_number_rows_by_day(spark):
+    from ledgerloom.plans import views
+
+    rows = [("c", f"{i % 7}-{i:03}", datetime.date(2024, 1, 1 + i % 9) if i % 10 else None) for i in range(101)] + [("d", "x", None)]
+    got = {r["id"]: (r["seq"], r["role"]) for r in views.halves(spark.createDataFrame(rows, "company_key string, id string, date date")).filter("company_key = 'c'").collect()}
+    order = sorted((d is not None, d or datetime.date.min, i) for c, i, d in rows if c == "c")
+    assert got == {i: (k, "history" if k <= 50 else "entry") for k, (_, _, i) in enumerate(order, 1)}
 
 
 def test_gaps_and_positions(spark):
