@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, table
-from .texts import REMEMBERED, plain, raw
+from .texts import plain, raw
 
 #: Labelled documents that the machine is fitted on at most (those with the smallest hashes of doc_id); hash bits; factors.
 SAMPLE, HASH_BITS, FACTORS = 20_000, 20, 8
@@ -29,6 +30,10 @@ SAMPLE, HASH_BITS, FACTORS = 20_000, 20, 8
 TELLING = 7.5
 #: Share of the labelled documents from which a term is in the machine in any case; the part of its amount that its factors see, if it tells nothing alone.
 COMMON, MUTED = 0.02, 0.3
+#: Terms that are scored at once, or so.
+RUN = 50_000
+#: Words whose terms a task remembers at most, before it starts anew: bounds memory, changes no result.
+REMEMBERED_WORDS = 150_000
 _MASK = (1 << HASH_BITS) - 1
 _STEMS = (3, 4, 5, 6, 7)
 
@@ -40,7 +45,7 @@ class TermHashes(dict):
         self.wanted = wanted
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED_WORDS:
             self.clear()
         text = word.decode(errors="replace")
         terms = [b"=" + word] + [b"^" + text[:k].encode() for k in _STEMS if len(text) >= k]
@@ -56,20 +61,12 @@ class TermHashes(dict):
             return (h,)
         return (self.wanted[h],) if h in self.wanted else ()
 
-    def of(self, text: bytes | None) -> dict[int, int]:
-        """Term to how often the text has it."""
+    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text, in order, and the logarithm of how often it has each."""
         words = plain(text)
-        counts: dict[int, int] = {}
-        for w in words:
-            for t in self[w]:
-                counts[t] = counts.get(t, 0) + 1
-        for t in self.length(len(words)):
-            counts[t] = 1
-        return counts
-
-
-def _values(counts: dict[int, int]) -> np.ndarray:
-    return np.log2(1 + np.fromiter(counts.values(), np.float64, len(counts)))
+        every = np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words)), self.length(len(words))), np.int64)
+        terms, counts = np.unique(every, return_counts=True)
+        return terms, np.log2(1 + counts)
 
 
 def _tally(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +74,7 @@ def _tally(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, terms = np.zeros((2, 1 << HASH_BITS), np.int64), TermHashes()
     for batch in docs:
         for text, y in zip(raw(batch, "text"), batch.column("toxic").to_pylist(), strict=True):
-            own = terms.of(text)
-            held[y, np.fromiter(own, np.int64, len(own))] += 1
+            held[y, terms.of(text)[0]] += 1
     some = np.flatnonzero(held.sum(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[0, some]), pa.array(held[1, some])], ["term", "clean", "toxic"])
 
@@ -87,7 +83,7 @@ def _rows(docs: Iterator[pa.RecordBatch], wanted: dict[int, int]) -> Iterator[pa
     terms = TermHashes(wanted)
     for batch in docs:
         own = [terms.of(t) for t in raw(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(x) for x in own], pa.list_(pa.int32())), pa.array([_values(x) for x in own], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "amounts"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([x.astype(np.int32) for x, _ in own], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in own], pa.list_(pa.float32()))], ["doc_id", "toxic", "terms", "amounts"])
 
 
 class Machine:
@@ -138,12 +134,17 @@ class Machine:
         return self
 
     def scores(self, texts: list[bytes | None], terms: TermHashes) -> np.ndarray:
-        own = [terms.of(t) for t in texts]
-        sizes = [len(x) for x in own]
-        i = np.fromiter((t for x in own for t in x), np.int64, sum(sizes))
-        x = np.concatenate([_values(x) for x in own]) if own else np.zeros(0)
-        z, _ = self._forward(i, x, np.repeat(np.arange(len(own)), sizes), len(own))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        """Texts are scored in runs of about RUN terms, so that memory hangs on no batch's size."""
+        out, own, held = [], [], 0
+        for k, text in enumerate(texts):
+            own.append(terms.of(text))
+            held += len(own[-1][0])
+            if held >= RUN or k + 1 == len(texts):
+                i, x = (np.concatenate(c) for c in zip(*own, strict=True))
+                z, _ = self._forward(i, x, np.repeat(np.arange(len(own)), [len(t) for t, _ in own]), len(own))
+                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                own, held = [], 0
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def remainder(doc_id: str, of: int):
@@ -175,10 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     told = held.select("term", (cell("clean", float(total["clean"])) + cell("toxic", float(total["toxic"])) >= TELLING).alias("alone"), (F.col("clean") + F.col("toxic")).alias("n"))
     terms = sorted((r["term"], r["alone"]) for r in told.filter(F.col("alone") | (F.col("n") >= max(2, COMMON * size))).select("term", "alone").toLocalIterator())
     wanted = {t: k for k, (t, _) in enumerate(terms)}
-    rows = own.mapInArrow(partial(_rows, wanted=wanted), "doc_id long, toxic int, terms array<int>, amounts array<double>").toArrow().to_pylist()
-    rows.sort(key=lambda r: r["doc_id"])
+    rows = own.mapInArrow(partial(_rows, wanted=wanted), "doc_id long, toxic int, terms array<int>, amounts array<float>").toArrow().combine_chunks()
     machine = Machine(wanted, np.array([a for _, a in terms], bool))
-    return machine.fit([np.array(r["terms"], np.int64) for r in rows], [np.array(r["amounts"]) for r in rows], np.array([r["toxic"] for r in rows], float))
+    order = np.argsort(rows["doc_id"].to_numpy())
+    lists = [_lists(rows[c].combine_chunks(), order) for c in ("terms", "amounts")]
+    return machine.fit(*lists, rows["toxic"].to_numpy()[order].astype(float))
+
+
+def _lists(column: pa.Array, order: np.ndarray) -> list[np.ndarray]:
+    """The lists of a column, in the given order, as views of its values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[at[k] : at[k + 1]] for k in order]
 
 
 def _scored(docs: Iterator[pa.RecordBatch], machine: Machine, text: str) -> Iterator[pa.RecordBatch]:
