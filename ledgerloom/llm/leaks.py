@@ -1,12 +1,12 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
 Documents are cut into chunks of about CHUNK words; a chunk's documents stand one after the other in one stream of
-positions, with a gap between them. The index is a written table: for each chunk and each word that a test item
-holds, the sorted positions of that word. Searching takes a chunk's lists per task: each window of an item starts from its
-rarest word (by occurrences over the whole corpus), whose positions, less the word's place in the item, are the
-possible alignments; these are intersected with the offset-adjusted lists of the other words. The same lists
+positions, with a gap between them that no match can bridge. The index is a table, written once: for each chunk and each of its words
+(by 64-bit hash), the sorted positions of that word. The words of the test items are joined to it, which gives their occurrences over the whole
+corpus and, per chunk, their lists. Searching starts each window of an item from its rarest word, whose positions, less the word's place in the
+item, are the possible alignments; these are intersected with the offset-adjusted lists of the other words. The same lists
 give proximity matches: the rarest words of a window, in any order, close together. Items are taken in blocks of
-ITEM_WORDS words, so what a task holds of them is bounded.
+ITEM_WORDS words, so what a task holds of them is bounded; blocks read the index, never the texts.
 """
 
 from __future__ import annotations
@@ -21,73 +21,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, table
-from .texts import plain, raw
+from .texts import WordHashes, plain, raw
 
 WINDOW = 10
 #: Rarest words of a window that a proximity match needs, and the words beyond the window that they may be apart.
 RAREST, SLOP = 3, 10
 CHUNK, ITEM_WORDS = 1_500_000, 1_000_000
-_DOC = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-_INDEX = "chunk string, term int, n long, positions binary, docs array<struct<doc_id:long,start:long,n:long>>"
-_FOUND = "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, near array<string>"
-
-
-def _indexed(docs: Iterator[pa.RecordBatch], terms: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    codes, rows, at = [], [], 0
-
-    def close() -> pa.RecordBatch:
-        stream = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-        place = np.flatnonzero(stream >= 0)
-        own = stream[place]
-        order = np.argsort(own, kind="stable")
-        place, own = place[order].astype(np.uint32), own[order]
-        cuts = np.flatnonzero(np.diff(own, prepend=-1))
-        lists = [x.tobytes() for x in np.split(place, cuts[1:])] if len(own) else []
-        n = len(lists)
-        sizes = np.diff(np.append(cuts, len(own))) if n else np.zeros(0, np.int64)
-        name = uuid.uuid4().hex
-        return pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), pa.array([*(own[cuts] if n else []), -1], pa.int32()), pa.array([*sizes, len(stream)], pa.int64()), pa.array([*lists, None], pa.binary()), pa.array([None] * n + [rows], pa.list_(_DOC))], ["chunk", "term", "n", "positions", "docs"])
-
-    gap = np.full(WINDOW, -1, np.int32)
-    get = terms.get
+_DOC = pa.struct([("doc_id", pa.string()), ("start", pa.int64()), ("n", pa.int64())])
+_INDEX = "chunk string, term long, n long, positions binary, docs array<struct<doc_id:string,start:long,n:long>>"
+_FOUND = "doc_id string, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, near array<string>"
+
+
+def _chunk(rows: list[dict], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of one chunk: its documents first (no term), then a row per word with its positions."""
+    words = np.concatenate(hashes).view(np.int64)
+    place = np.concatenate([np.arange(r["start"], r["start"] + r["n"], dtype=np.uint32) for r in rows])
+    order = np.argsort(words, kind="stable")
+    words, place = words[order], place[order]
+    cuts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+    ends = np.append(cuts, len(words))
+    lists = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(place.tobytes())])
+    n, total = len(cuts), rows[-1]["start"] + rows[-1]["n"]
+    columns = [
+        pa.array([uuid.uuid4().hex] * (n + 1)), pa.concat_arrays([pa.array([None], pa.int64()), pa.array(words[cuts])]), pa.concat_arrays([pa.array([total], pa.int64()), pa.array(np.diff(ends).astype(np.int64))]),
+        pa.concat_arrays([pa.array([None], pa.binary()), lists]), pa.array([rows, *[None] * n], pa.list_(_DOC)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["chunk", "term", "n", "positions", "docs"])
+
+
+def _indexed(docs: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
+    hashes, rows, at, known = [], [], 0, WordHashes()
     for batch in docs:
         for doc, text in zip(batch.column("doc_id").to_pylist(), raw(batch, "text"), strict=True):
-            words = plain(text)
-            own = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
-            rows.append({"doc_id": doc, "start": at, "n": len(words)})
-            codes += [own, gap]
-            at += len(own) + WINDOW
+            own = known.of(plain(text))
+            rows.append({"doc_id": doc, "start": at, "n": len(own)})
+            hashes.append(own)
+            at += len(own) + gap
             if at >= CHUNK:
-                yield close()
-                codes, rows, at = [], [], 0
+                yield _chunk(rows, hashes)
+                hashes, rows, at = [], [], 0
     if rows:
-        yield close()
+        yield _chunk(rows, hashes)
 
 
-def index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """The written index of ``docs`` for the given words: per chunk a row per word, and one (term -1) with its documents."""
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return kept(slim.mapInArrow(partial(_indexed, terms=terms), _INDEX))
+def index(docs: DataFrame, slop: int = SLOP) -> DataFrame:
+    """The written index of all words of ``docs`` (doc_id, text): chunk, term, n, positions; and a row per chunk with its documents."""
+    slim = docs.select(docs["doc_id"].cast("string").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return kept(slim.mapInArrow(partial(_indexed, gap=WINDOW + max(slop, 0) + 1), _INDEX))
 
 
 class Items:
-    """A block of test items as term numbers, with each window's rarest places."""
+    """A block of test items as word hashes, with each window's rarest places."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]]):
-        self.terms: dict[bytes, int] = {}
-        self.items = [(name, [self.terms.setdefault(w, len(self.terms)) for w in words]) for name, words in items if words]
+        known = WordHashes()
+        self.items = [(name, known.of(words).view(np.int64).tolist(), words) for name, words in items if words]
+        self.terms = sorted({t for _, own, _ in self.items for t in own})
 
     def ranked(self, counts: dict[int, int]) -> Items:
+        """With the windows' rarest places and words; ties go by place, then by the word's bytes."""
         self.anchors, self.triples = [], []
-        for _, words in self.items:
+        for _, own, words in self.items:
             size = min(WINDOW, len(words))
             first, three = set(), set()
             for w in range(len(words) - size + 1):
-                rare = sorted(range(w, w + size), key=lambda i: (counts.get(words[i], 0), i))
+                rare = sorted(range(w, w + size), key=lambda i: (counts.get(own[i], 0), i))
                 first.add(rare[0])
-                three.add(tuple(sorted({words[i] for i in rare[:RAREST]}, key=lambda t: (counts.get(t, 0), t))))
+                three.add(tuple(t for _, _, t in sorted({(counts.get(own[i], 0), words[i], own[i]) for i in rare[:RAREST]})))
             self.anchors.append(sorted(first))
             self.triples.append(sorted(three))
+        self.items = [(name, own) for name, own, _ in self.items]
         return self
 
 
@@ -109,7 +112,7 @@ def _search(group: Iterator[pa.RecordBatch], items: Items, slop: int) -> Iterato
         return
     lists, docs, total = {}, [], 0
     for term, n, positions, rows in zip(t["term"].to_pylist(), t["n"].to_pylist(), t["positions"].to_pylist(), t["docs"].to_pylist(), strict=True):
-        if term < 0:
+        if term is None:
             docs, total = rows, n
         else:
             lists[term] = np.frombuffer(positions, np.uint32).astype(np.int64)
@@ -138,10 +141,7 @@ def _search(group: Iterator[pa.RecordBatch], items: Items, slop: int) -> Iterato
                 for x in terms[1:]:
                     at = at[_near(lists[x], at, size + slop)]
                 for d in np.unique(np.searchsorted(starts, at, "right") - 1):
-                    own = docs[d]
-                    inside = at[(at >= own["start"]) & (at < own["start"] + own["n"])]
-                    if all(_near(lists[x][(lists[x] >= own["start"]) & (lists[x] < own["start"] + own["n"])], inside, size + slop).any() for x in terms[1:]):
-                        near[d].add(name)
+                    near[d].add(name)
     hit = np.cumsum(cover[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
     of = np.searchsorted(starts, edges[:, 0], "right") - 1
@@ -150,7 +150,7 @@ def _search(group: Iterator[pa.RecordBatch], items: Items, slop: int) -> Iterato
         spans[d].append({"start": int(a - starts[d]), "end": int(b - starts[d])})
     columns = [[d["doc_id"] for d in docs], [d["n"] for d in docs], [sum(x["end"] - x["start"] for x in s) for s in spans], spans, [sorted(x) for x in exact], [sorted(x) for x in near]]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.list_(pa.string()), pa.list_(pa.string())]
+    kinds = [pa.string(), pa.int64(), pa.int64(), span, pa.list_(pa.string()), pa.list_(pa.string())]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_hit", "spans", "items", "near"])
 
 
@@ -164,20 +164,22 @@ def search(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame
     tests = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), benchmark["text"].cast("string").alias("text")).distinct()  # a repeated item counts once anyhow
     words = tests.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) / 2)).head()[0] or 0
     blocks = int(words // ITEM_WORDS) + 1
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    own = docs.select(docs["doc_id"].cast("string").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
     if blocks == 1:
-        return _found(own, tests, slop)
-    texts = kept(own.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
-    merged = _merged([kept(_found(texts, tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), slop)) for k in range(blocks)])
-    return own.select("doc_id", F.xxhash64("text").alias("key")).join(merged, "key").drop("key")
+        return _found(index(own, slop), tests, slop).withColumn("doc_id", F.col("doc_id").cast(kind))
+    held = index(own.select(F.md5(F.coalesce("text", F.lit(""))).alias("doc_id"), "text").dropDuplicates(["doc_id"]), slop)
+    merged = _merged([kept(_found(held, tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), slop)) for k in range(blocks)])
+    return own.select(F.col("doc_id").cast(kind).alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("key")).join(merged, "key").drop("key")
 
 
-def _found(docs: DataFrame, tests: DataFrame, slop: int) -> DataFrame:
-    """The search for one block of items (item, text): ITEM_WORDS words or so."""
+def _found(held: DataFrame, tests: DataFrame, slop: int) -> DataFrame:
+    """The search for one block of items (item, text), of ITEM_WORDS words or so: its terms, at most that many longs, are broadcast to the index."""
     items = Items([(r["item"], plain((r["text"] or "").encode())) for r in tests.collect()])
-    own = index(docs, items.terms)
-    counts = {r["term"]: r["n"] for r in own.filter("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return _grouped(own, partial(_search, items=items.ranked(counts), slop=slop))
+    terms = F.broadcast(held.sparkSession.createDataFrame(pa.table({"__term": pa.array(items.terms, pa.int64())})))
+    own = held.join(terms, F.col("term") == F.col("__term")).drop("__term")
+    counts = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return _grouped(own.unionByName(held.filter("term IS NULL")), partial(_search, items=items.ranked(counts), slop=slop))
 
 
 def _grouped(own: DataFrame, work: partial) -> DataFrame:
@@ -202,17 +204,18 @@ def _merged(found: list[DataFrame]) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, without any hit. Hits hang on the text alone and are found by it."""
-    found = search(docs.select(F.xxhash64("text").alias("doc_id"), docs["text"].alias("text")), benchmark, slop=-1)
+    key = F.md5(F.coalesce("text", F.lit("")))
+    found = search(docs.select(key.alias("doc_id"), docs["text"].alias("text")), benchmark, slop=-1)
     leaked = kept(found.filter("n_hit > 0").select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(leaked, F.xxhash64("text") == F.col("__leaked"), "left_anti")
+    return docs.join(leaked, key == F.col("__leaked"), "left_anti")
 
 
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))
 
 
 def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document; n_near and near_sha256 say the same of its proximity matches."""
     return digests(search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
@@ -225,7 +228,17 @@ s AS (SELECT DISTINCT k FROM t),
 g AS (SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, s)),
 h AS (SELECT g.doc_id, g.i, t.k, t.item_id FROM g JOIN t ON g.g = t.g AND g.k = t.k),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
-m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
+q AS (SELECT item_id, k, i AS w0, unnest(range(i, i + k)) AS p, w FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM n)),
+o AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM d) GROUP BY word),
+r AS (SELECT item_id, k, w0, w[p] AS word, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY item_id, w0 ORDER BY coalesce(c, 0), p) AS nth FROM q LEFT JOIN o ON o.word = q.w[q.p]),
+e AS (SELECT DISTINCT item_id, k, words FROM (SELECT item_id, k, w0, list(word ORDER BY c, encode(word)) AS words FROM (SELECT DISTINCT item_id, k, w0, word, c FROM r WHERE nth <= 3) GROUP BY ALL)),
+f AS (SELECT DISTINCT unnest(words) AS word FROM e),
+v AS (SELECT doc_id, p, word FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d) SEMI JOIN f USING (word)),
+y AS (SELECT DISTINCT a.doc_id, CAST(e.item_id AS VARCHAR) AS item FROM e JOIN v a ON a.word = e.words[1]
+      WHERE (len(words) < 2 OR EXISTS (SELECT 1 FROM v b WHERE b.doc_id = a.doc_id AND b.word = e.words[2] AND abs(b.p - a.p) <= k + 10))
+        AND (len(words) < 3 OR EXISTS (SELECT 1 FROM v b WHERE b.doc_id = a.doc_id AND b.word = e.words[3] AND abs(b.p - a.p) <= k + 10))),
+z AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS nears FROM y GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near, sha256(coalesce(nears, '')) AS near_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN z USING (doc_id)
 """

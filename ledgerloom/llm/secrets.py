@@ -104,10 +104,10 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[redacted]") -> D
     ``n_chars``, if there is one, is the new text's length where the text changed. Spans hang on the text alone, so they
     are found by it: rows with equal texts share them.
     """
-    found = scan(docs.select(F.xxhash64("text").alias("doc_id"), docs["text"].alias("text")), scope)
+    found = scan(docs.select(F.md5("text").alias("doc_id"), docs["text"].alias("text")), scope)
     spans = found.select(F.col("doc_id").alias("__hash"), F.array_sort(F.concat("base", "linked")).alias("__spans")).filter(F.size("__spans") > 0)
     spans = kept(spans.groupBy("__hash").agg(F.max("__spans").alias("__spans")))
-    own = docs.withColumn("__own", F.xxhash64("text")).join(spans, F.col("__own") == F.col("__hash"), "left")
+    own = docs.withColumn("__own", F.md5("text")).join(spans, F.col("__own") == F.col("__hash"), "left")
 
     def cut(state: Column, s: Column) -> Column:
         gap = F.greatest(F.lit(0), (s["start"] - state["at"]).cast("int"))
@@ -134,17 +134,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """Each pattern runs once over a text; its matches and the pieces between them are unnested side by side."""
     lit = lambda p: p.replace("'", "''")
     out = []
     for i, (k, role, p, g, n) in enumerate(KINDS):
-        ok = f"length(regexp_extract_all(t, '{lit(p)}', {g})[j]) >= {n}"
-        if k == "opaque":
-            ok += " AND regexp_matches(regexp_extract_all(t, '{0}')[j], '[0-9]') AND regexp_matches(regexp_extract_all(t, '{0}')[j], '[a-z]') AND regexp_matches(regexp_extract_all(t, '{0}')[j], '[A-Z]')".format(lit(p))
-            ok = f"length(regexp_extract_all(t, '{lit(p)}')[j]) >= {n} AND" + ok.split("AND", 1)[1]
+        ok = f"length(v) >= {n}" + (" AND regexp_matches(f, '[0-9]') AND regexp_matches(f, '[a-z]') AND regexp_matches(f, '[A-Z]')" if k == "opaque" else "")
         out.append(
-            f"SELECT doc_id, '{k}' AS kind, {i} AS place, '{role}' AS role, j, length(regexp_split_to_array(t, '{lit(p)}')[j]) AS gap, "
-            f"length(regexp_extract_all(t, '{lit(p)}', 0)[j]) AS len, {ok} AS ok "
-            f"FROM (SELECT *, unnest(range(1, len(regexp_extract_all(t, '{lit(p)}')) + 1)) AS j FROM d)"
+            f"SELECT doc_id, '{k}' AS kind, {i} AS place, '{role}' AS role, j, length(s) AS gap, length(f) AS len, {ok} AS ok "
+            f"FROM (SELECT doc_id, unnest(range(1, len(f) + 1)) AS j, unnest(f) AS f, unnest(v) AS v, unnest(s[1:len(f)]) AS s "
+            f"FROM (SELECT doc_id, regexp_extract_all(t, '{lit(p)}', 0) AS f, regexp_extract_all(t, '{lit(p)}', {g}) AS v, regexp_split_to_array(t, '{lit(p)}') AS s FROM d))"
         )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -171,8 +171,12 @@ def test_leaks_against_brute_force(spark):
     rows = [(1, "before " + items[0][1].upper().replace(" ", " - ") + " after", "a"), (2, "so just six WORDS, stand in-here now", "a"), (3, None, "a"), (None, " ".join(items[4][1].split()[:10]), "b"), (5, " ".join(items[0][1].split()[:9]), "b")] + documents()
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     want = []
+    seen = Counter(w for _, text, _ in rows for w in words(text, PLAIN))
     for d, text, _ in rows:
-        own, hit, names = words(text, PLAIN), set(), set()
+        own, hit, names, close = words(text, PLAIN), set(), set(), set()
+        at = defaultdict(list)
+        for p, w in enumerate(own):
+            at[w].append(p)
         for item, t in items:
             w = words(t, PLAIN)
             k = min(10, len(w))
@@ -181,10 +185,15 @@ def test_leaks_against_brute_force(spark):
                     if own[p : p + k] == w[s : s + k]:
                         hit |= set(range(p, p + k))
                         names.add("" if item is None else str(item))
-        want.append(str((d, len(own), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))))
+                rare = sorted(range(s, s + k), key=lambda i: (seen[w[i]], i))[:3]
+                first, *rest = (x for _, x in sorted({(seen[w[i]], w[i].encode()) for i in rare}))
+                if any(all(any(abs(b - a) <= k + 10 for b in at[x.decode()]) for x in rest) for a in at[first.decode()]):
+                    close.add("" if item is None else str(item))
+        digest = lambda x: hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()
+        want.append(str((d, len(own), len(hit), len(names), digest(names), bool(hit), len(close), digest(close))))
     got = leaks.digests(leaks.search(frame(spark, rows), bench)).collect()
     assert sorted(str(tuple(r)) for r in got) == sorted(want)
-    assert sum(r["n_hit"] > 0 for r in got) >= 3
+    assert sum(r["n_hit"] > 0 for r in got) >= 3 and sum(r["n_near"] > 0 for r in got) > 3
     clean = leaks.clean(frame(spark, rows), bench)
     assert clean.columns == frame(spark).columns and clean.count() == sum(r["n_hit"] == 0 for r in got)
     assert leaks.search(frame(spark, []), bench).count() == 0
