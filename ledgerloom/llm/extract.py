@@ -1,10 +1,10 @@
 """HTML extraction by tree scoring.
 
 Each paragraph passes points, for its length and commas, to the elements around it: all of them to the nearest container,
-half to the next, a third, a quarter and so on above. A container's points are discounted by its link density. The best one is kept,
-widened to the article that holds it, with siblings that score well or read like paragraphs. Menus, headers,
+half to the next, a quarter to the one above, and so on. A container's points are discounted by its link density. The best one is kept,
+widened to the article that holds it if that scores beside it, or with siblings that score well or read like paragraphs. Menus, headers,
 footers, sidebars, notices, adverts, forms and comments go by element, role, class and id, and lists of links
-by their density. Every element of a page is looked at once; pages are independent of each other.
+by their density. Pages are read once, in time linear in their length whatever their nesting; they are independent of each other.
 """
 
 from __future__ import annotations
@@ -31,24 +31,28 @@ _STOPS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("
 _UNWANTED = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion promotions recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 _GOOD = frozenset("article content entry post story text body main".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|\Z)", re.I)
+#: Elements whose content is no markup, or none of the page's text, up to their own end tag.
+_OPAQUE = frozenset("script style noscript template textarea title iframe svg".split())
+#: A tag from its "<": attributes in quotes may hold ">". Possessive, so nothing is read twice; the last group is empty where the page ends inside the tag.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(>?)")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|\Z)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "up", "drop", "points", "chars", "linked", "links", "good", "depth")
+    """``block``, ``scope`` and ``article``: the nearest block, the nearest element that bounds a paragraph, and whether an article is around; each may be itself."""
+
+    __slots__ = ("tag", "up", "drop", "points", "chars", "linked", "links", "good", "depth", "block", "scope", "article", "branch", "menu")
 
     def __init__(self, tag: str, up: _Element | None, drop: bool, good: bool = False):
         self.tag, self.up, self.drop, self.good = tag, up, drop, good
         self.points, self.chars, self.linked, self.links = 0.0, 0, 0, 0
         self.depth = up.depth + 1 if up else 0
-
-    def above(self) -> Iterator[_Element]:
-        e: _Element | None = self
-        while e is not None:
-            yield e
-            e = e.up
+        self.block = self if up is None or tag in _BLOCK else up.block
+        self.scope = self if tag in ("p", "td", "th", "button") else up.scope if up else None
+        self.article = tag in ("article", "main") or bool(up and up.article)
+        self.branch: _Element | None = None
+        self.menu = False
 
     def density(self) -> float:
         return self.linked / self.chars if self.chars else 0.0
@@ -73,88 +77,110 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return bool(words & _UNWANTED or "header" in words and not in_article and not good), good
 
 
-def _blocks(page: str) -> tuple[list[tuple[_Element, str]], _Element]:
-    """Blocks of text (white space as single spaces) with the elements that hold them, in page order; the root."""
-    root = _Element("html", None, False)
-    here, blocks, pieces, size, linked, links = root, [], [], 0, 0, 0
-    owner, in_link, at = root, 0, 0
+class _Page:
+    """A page read once, from left to right. ``elements`` stand in order of their start tags, parents first."""
 
-    def flush() -> None:
-        nonlocal pieces, linked, links
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text:
-                blocks.append((owner, text))
-                share = min(len(text), linked)
-                for e in owner.above():
-                    e.chars += len(text)
-                    e.linked += share
-                    e.links += links
-        pieces, linked, links = [], 0, 0
-
-    def add(text: str) -> None:
-        nonlocal linked, owner
-        if here.drop or not text:
-            return
-        if not pieces:
-            owner = next(e for e in here.above() if e.tag in _BLOCK)
-        pieces.append(text)
-        if in_link:
-            linked += len(text.strip())
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if not tag:
-            continue
-        tag, block = tag.lower(), tag.lower() in _BLOCK
-        if m[2]:  # an end
-            if tag == "a":
-                in_link = 0
-            if block:
-                flush()
-                found = next((e for e in here.above() if e.tag == tag), None)
-                if found is not None and found is not root:
-                    here = found.up
-                    in_link = 0
+    def __init__(self, page: str):
+        self.root = self.here = self.owner = _Element("html", None, False)
+        self.elements = [self.root]
+        self.blocks: list[tuple[_Element, str]] = []
+        self.pieces: list[str] = []
+        self.linked = self.links = 0
+        self.in_link = False
+        self.open: dict[str, list[_Element]] = {}
+        self._read(page)
+        self._flush()
+
+    def _read(self, page: str) -> None:
+        at = 0
+        while (start := page.find("<", at)) >= 0:
+            self._add(page[at:start])
+            head = page[start : start + 4]
+            if head == "<!--":
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+            elif m := _TAG.match(page, start):
+                at, tag = m.end(), m[2].lower()
+                if not m[4]:
+                    return  # the page ends inside a tag
+                if m[1]:
+                    self._end(tag)
+                elif tag in _OPAQUE:
+                    end = re.compile(rf"</{tag}(?![^\s/>])[^>]*+>?", re.I).search(page, at)
+                    at = end.end() if end else len(page)
+                else:
+                    self._start(tag, m[3])
+            elif head[1:2] in ("!", "?", "/"):
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else len(page)
             else:
-                for e in here.above():
-                    if e.tag == tag:
-                        here = e.up
-                        break
-                    if e.tag in _BLOCK:
-                        break
-            continue
+                self._add("<")
+                at = start + 1
+        self._add(page[at:])
+
+    def _add(self, text: str) -> None:
+        if self.here.drop or not text:
+            return
+        if not self.pieces:
+            self.owner = self.here.block
+        self.pieces.append(text)
+        if self.in_link:
+            self.linked += len(text.strip())
+
+    def _flush(self) -> None:
+        if self.pieces:
+            text = " ".join(html.unescape("".join(self.pieces)).split())
+            if text:
+                self.blocks.append((self.owner, text))
+                self.owner.chars += len(text)
+                self.owner.linked += min(len(text), self.linked)
+                self.owner.links += self.links
+        self.pieces, self.linked, self.links = [], 0, 0
+
+    def _close(self, e: _Element) -> None:
+        """``e`` and all that is open inside it."""
+        while self.here is not e.up:
+            self.open[self.here.tag].pop()
+            self.here = self.here.up
+
+    def _end(self, tag: str) -> None:
+        found = self.open.get(tag)
+        if tag == "a":
+            self.in_link = False
+        if tag in _BLOCK:
+            self._flush()
+            if found:
+                self._close(found[-1])
+                self.in_link = False
+        elif found and found[-1].depth > self.here.block.depth:
+            self._close(found[-1])
+
+    def _start(self, tag: str, attributes: str) -> None:
+        block = tag in _BLOCK
         if block or tag == "br":
-            flush()
-        if tag in _ENDS_P:
-            p = next((e for e in here.above() if e.tag in ("p", "td", "th", "button")), None)
-            if p is not None and p.tag == "p":
-                here = p.up
+            self._flush()
+        if tag in _ENDS_P and self.here.scope is not None and self.here.scope.tag == "p":
+            self._close(self.here.scope)
         if tag in _CLOSES:
-            for e in here.above():
-                if e.tag in _CLOSES[tag]:
-                    here = e.up
-                elif e.tag in _STOPS.get(tag, ("table",)):
-                    break
-                elif e.tag in _BLOCK and e.tag not in ("p",):
-                    break
+            e, last = self.here.block, None
+            while e is not self.root and (e.tag in _CLOSES[tag] or e.tag == "p") and e.tag not in _STOPS.get(tag, ("table",)):
+                last = e if e.tag in _CLOSES[tag] else last
+                e = e.up.block
+            if last is not None:
+                self._close(last)
         if tag in _VOID or tag == "html":
-            continue
-        article = any(e.tag in ("article", "main") for e in here.above())
-        drop, good = (here.drop, False) if here.drop else _unwanted(tag, m[4], article) if "=" in m[4] or "hidden" in m[4] else (False, False)
-        drop = drop or tag in _DROPPED or tag == "header" and not article
-        if m[4].endswith("/") and tag not in _BLOCK:
-            continue
-        here = _Element(tag, here, drop, good)
+            return
+        here = self.here
+        drop, good = (here.drop, False) if here.drop else _unwanted(tag, attributes, here.article) if "=" in attributes or "hidden" in attributes else (False, False)
+        drop = drop or tag in _DROPPED or tag == "header" and not here.article
+        if attributes.endswith("/") and not block:
+            return
+        self.here = _Element(tag, here, drop, good)
+        self.elements.append(self.here)
+        self.open.setdefault(tag, []).append(self.here)
         if tag == "a" and not drop:
-            in_link, links = 1, links + 1
-    if at < len(page):
-        add(page[at:])
-    flush()
-    return blocks, root
+            self.in_link = True
+            self.links += 1
 
 
 def _points(text: str) -> float:
@@ -162,45 +188,52 @@ def _points(text: str) -> float:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page as one string; empty if there is none."""
-    blocks, root = _blocks(page or "")
-    menus = {e for own, _ in blocks for e in own.above() if e.tag in ("ul", "ol", "dl", "div", "section", "table", "p") and e.links >= 3 and e.density() > 0.8}
-    if menus:
-        blocks = [(own, t) for own, t in blocks if not any(e in menus for e in own.above())]
-    scored: dict[_Element, None] = {}
+    """The article of a page as one string; empty if there is none. Every step is linear in the page, however long or deep it is."""
+    read = _Page(page or "")
+    elements, blocks, root = read.elements, read.blocks, read.root
+    for e in reversed(elements[1:]):
+        e.up.chars, e.up.linked, e.up.links = e.up.chars + e.chars, e.up.linked + e.linked, e.up.links + e.links
+    for e in elements:
+        e.menu = e.tag in ("ul", "ol", "dl", "div", "section", "table", "p") and e.links >= 3 and e.density() > 0.8 or bool(e.up and e.up.menu)
+    blocks = [(own, t) for own, t in blocks if not own.menu]
+    if not blocks:
+        return ""
     for own, text in blocks:
-        if len(text) < 25 or own.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            continue
-        e, k = own if own.tag not in _PARAGRAPH or own.up is None else own.up, 1
-        while e is not None:
-            e.points += _points(text) / k
-            scored[e] = None
-            e, k = e.up, k + 1
-    articles = {e: None for own, _ in blocks for e in own.above() if e.tag == "article"}
+        if len(text) >= 25 and own.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            (own if own.tag not in _PARAGRAPH or own.up is None else own.up).points += _points(text)
+    for e in reversed(elements[1:]):  # half to the next container, a quarter to the one above, and so on
+        e.up.points += e.points / 2
     bonus = {"article": 25.0, "main": 10.0}
     value = lambda e: (e.points + (bonus.get(e.tag, 5.0 if e.good else 0.0) if e.points else 0.0)) * (1 - e.density())
+    scored = [e for e in elements if e.points]
     if scored:
         best = max(scored, key=value)
-    elif articles:
-        best = max(articles, key=lambda e: e.chars)
-    elif blocks:
-        best = root
     else:
-        return ""
-    holds = next((e for e in best.above() if e.tag == "article"), None) or next((e for e in best.above() if e.tag == "main"), None)
-    if holds is not None:
-        return " ".join(t for own, t in blocks if holds in own.above())
+        best = max((e for e in elements if e.tag == "article" and e.chars), key=lambda e: e.chars, default=root)
+    for tag in ("article", "main"):  # the article around the best container, if its own score stands beside it
+        e = best
+        while e is not None and e.tag != tag:
+            e = e.up
+        if e is not None and value(e) >= 0.2 * value(best):
+            best, whole = e, True
+            break
+    else:
+        whole = best.up is None
+    for e in elements[1:]:
+        e.branch = e if e is best or not whole and e.up is best.up else e.up.branch
+    if best is root:
+        return " ".join(t for _, t in blocks)
     keep = {best}
-    if best.up is not None:
+    if not whole:
         least = max(10.0, 0.2 * value(best))
         for own, text in blocks:
-            side = next((e for e in own.above() if e.up is best.up), None)
+            side = own.branch
             if side is None or side in keep:
                 continue
-            whole = sum(len(t) for o, t in blocks if side in o.above()) if side.tag == "p" else 0
-            if value(side) >= least or side.tag == "p" and (whole > 80 and side.density() < 0.25 or side.density() == 0 and text[-1:] in ".!?") or side.tag in ("h1", "h2"):
+            reads = side.tag == "p" and (side.chars > 80 and side.density() < 0.25 or side.density() == 0 and text[-1:] in ".!?")
+            if value(side) >= least or reads or side.tag in ("h1", "h2"):
                 keep.add(side)
-    return " ".join(t for own, t in blocks if any(e in keep for e in own.above()))
+    return " ".join(t for own, t in blocks if own.branch in keep)
 
 
 def _extracted(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

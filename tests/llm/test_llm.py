@@ -489,6 +489,54 @@ def test_extract_pages(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def made_page(rng):
+    """A page of random make, and the text of its article as it was put together."""
+    said, kept_ = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)) + ", " + rng.choice(WORDS) + ".", []
+
+    def paragraph():
+        text = said(rng.randint(12, 40))
+        kept_.append(text)
+        w = text.split(" ")
+        k = rng.randrange(len(w))
+        w[k] = rng.choice(["<b>{}</b>", "<em class=x>{}</em>", "<span>{}</span>", "<!-- no, no -->{}"]).format(w[k])
+        return f"<p>{rng.choice([' ', chr(10)]).join(w)}" + rng.choice(["</p>", ""])
+
+    def part(depth):
+        own = "".join(paragraph() if depth == 0 or rng.random() < 0.7 else part(depth - 1) for _ in range(rng.randint(2, 4)))
+        return f"<div class='c{rng.randint(1, 9)}'>{own}</div>"
+
+    title = said(4)
+    kept_.append(title)
+    whole = "".join(part(rng.randint(0, 2)) for _ in range(2))
+    links = "".join(f"<li><a href=/{k}>{said(3)}</a>" for k in range(6))
+    before = ["<header><p>" + said(20) + "</header>", f"<nav><ul>{links}</ul></nav>", "<div class='cookie-notice'><p>" + said(20) + "</div>", "<script>var a = '<p>" + said(9) + "';</script>", "<style>p > a {}</style>"]
+    after = ["<aside><p>" + said(30) + "</p></aside>", "<form><p>" + said(15) + "<input name=a></form>", "<section id='comments'>" + "<p>" + said(30) + "</p></section>", "<footer>" + said(12) + "</footer>", f"<div><ul>{links}</ul></div>"]
+    rng.shuffle(before), rng.shuffle(after)
+    body = rng.choice(["<article><h1>{}</h1>{}</article>", "<main><article><h2>{}</h2>{}</article></main>", "<div id='content'><div class='post'><h1>{}</h1>{}</div></div>"]).format(title, whole)
+    return f"<!doctype html><html><head><title>t</title></head><body>{''.join(before)}{body}{''.join(after)}", " ".join(kept_)
+
+
+def test_extract_finds_the_article_of_made_pages(spark):
+    rng = random.Random(11)
+    pages = [made_page(rng) for _ in range(80)]
+    df = spark.createDataFrame([(k, "u", h) for k, (h, _) in enumerate(pages)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: r["text"] for r in extract.extract(df).collect()}
+    assert [got[k] for k in range(80)] == [t for _, t in pages]
+
+
+def test_extract_is_linear_in_long_and_deep_pages():
+    import time
+
+    text = "many words, of one long text"
+    hostile = {"deep": "<div>" * 150_000 + text, "open": "<a " * 300_000, "inline": "<b>" * 100_000 + f"<li>{text}" * 10_000, "quotes": '<p title="' * 100_000, "paragraphs": f"<p>{text}<b>" * 30_000, "comments": "<!--" * 200_000, "tables": "<table><tr><td>" * 30_000 + text, "plain": "a < b " * 150_000}
+    for name, page in hostile.items():
+        began = time.process_time()
+        found = extract.main_text(page)
+        assert time.process_time() - began < 6, name
+        assert (text in found) == (name in ("deep", "inline", "paragraphs", "tables")), name
+    assert extract.main_text("<p>a < b &amp;&lt; c</p>") == "a < b &< c" and extract.main_text(None) == "" and extract.main_text("<script>x") == ""
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     """Stage by stage, what goes and what stays is what the plain versions above say."""
     import corpus_pipeline
