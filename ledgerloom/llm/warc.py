@@ -25,23 +25,25 @@ from .common import kept, shared_folder, table
 
 #: Payloads from so many bytes are stored once.
 LEAST_SHARED = 1000
-#: Bytes of an archive from which a new one is begun; of a range; and of unread bytes that a range may bridge.
-ARCHIVE, RANGE, GAP = 256 << 20, 4 << 20, 64 << 10
+#: Bytes of an archive from which a new one is begun; of a range; of unread bytes that a range may bridge; and that one reading task takes, or so.
+ARCHIVE, RANGE, GAP, SHARE = 256 << 20, 4 << 20, 64 << 10, 256 << 20
 #: No date is known for a page; equal inputs give equal archives.
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long"
 
 
-def _record(page: int | None, url: str | None, html: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
+def _record(page: int | None, url: str | None, html: bytes, digest: str, refers: int | None, refers_url: str | None, revisit: bool, place: str) -> bytes:
     """One gzip member. Headers of ours: X-Page-Id, X-Payload-Bytes (a revisit has no payload to count)."""
     block = b"" if revisit else _HTTP + html
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url} {digest}')}>"]
-    head += [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%-._~' + chr(39))}"] if url is not None else []
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"]
+    link = lambda u: quote(u, safe=":/?#[]@!$&()*+,;=%-._~'")
+    head += [f"WARC-Target-URI: {link(url)}"] if url is not None else []
     head += [f"X-Page-Id: {page}"] if page is not None else []
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {len(html)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] + ([f"X-Refers-To-Page: {refers}"] if refers is not None else [])
+        head += [f"WARC-Refers-To-Target-URI: {link(refers_url)}", f"WARC-Refers-To-Date: {DATE}"] if refers_url is not None else []
     pack = zlib.compressobj(4, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
@@ -74,7 +76,7 @@ def _write(pages: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBa
                 out.write(first)
                 at = len(first)
             html = x["html"] or b""
-            data = _record(x["page_id"], x["url"], html, x["digest"], x["leader"], x["revisit"])
+            data = _record(x["page_id"], x["url"], html, x["digest"], x["leader"], x["leader_url"], x["revisit"], f"{name} {at}")
             out.write(data)
             for c, v in (("file", name), ("offset", at), ("length", len(data)), ("page_id", x["page_id"]), ("url", x["url"]), ("digest", x["digest"]), ("payload_bytes", len(html)), ("record_type", "revisit" if x["revisit"] else "response"), ("refers_to", x["leader"] if x["revisit"] else None)):
                 rows[c].append(v)
@@ -95,11 +97,11 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("binary"), F.lit(b"")).alias("html"))
     slim = slim.withColumn("digest", F.sha1("html"))
     size = F.octet_length("html")
-    copies = slim.filter(size >= LEAST_SHARED).groupBy("digest", size.alias("size")).agg(F.max("page_id").alias("leader"), F.count("*").alias("c")).filter("c > 1")
-    copies = kept(copies.select(F.col("digest").alias("__digest"), F.col("size").alias("__size"), "leader"))
+    copies = slim.filter(size >= LEAST_SHARED).groupBy("digest", size.alias("size")).agg(F.max("page_id").alias("leader"), F.max_by("url", "page_id").alias("leader_url"), F.count("*").alias("c")).filter("c > 1")
+    copies = kept(copies.select(F.col("digest").alias("__digest"), F.col("size").alias("__size"), "leader", "leader_url"))
     full = slim.join(copies, (F.col("digest") == F.col("__digest")) & (size == F.col("__size")), "left")
     full = full.withColumn("revisit", F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader")))
-    return kept(full.select("page_id", "url", "html", "digest", "leader", "revisit").mapInArrow(partial(_write, folder=folder), INDEX))
+    return kept(full.select("page_id", "url", "html", "digest", "leader", "leader_url", "revisit").mapInArrow(partial(_write, folder=folder), INDEX))
 
 
 def _read(ranges: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Iterator[pa.RecordBatch]:
@@ -120,21 +122,38 @@ def _read(ranges: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array([o["digest" if c == "payload_digest" else c] for o in found], t) for c, t in types.items()], list(types))
 
 
-def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records that ``index`` (any selection of its rows) names, with payloads of responses if wanted.
-
-    Records of a file that start in the same RANGE bytes and leave no more than GAP bytes between them are one
-    read. Every payload is held against its digest.
-    """
-    span = F.col("offset").alias("offset"), F.col("length").alias("length")
+def _records(index: DataFrame, folder: str, payloads: bool) -> DataFrame:
+    """Ranges are dealt to tasks by the bytes of the archives that they name, not by those of the index's rows: a range each while there are
+    fewer than shuffle partitions, and about SHARE bytes a task beyond."""
+    spark = index.sparkSession
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = min(total // RANGE + 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARE + 1))
     place = W.partitionBy("file", "part").orderBy("offset")
-    rows = index.select("file", *span, (F.col("offset") / RANGE).cast("long").alias("part"))
+    rows = index.select("file", "offset", "length", (F.col("offset") / RANGE).cast("long").alias("part")).repartition(int(tasks), "file", "part")
     rows = rows.withColumn("breaks", F.coalesce(F.col("offset") - F.lag(F.col("offset") + F.col("length")).over(place) > GAP, F.lit(False)).cast("int"))
     rows = rows.withColumn("run", F.sum("breaks").over(place))
     ranges = rows.groupBy("file", "part", "run").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("till"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
     return ranges.mapInArrow(partial(_read, folder=folder, payloads=payloads), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
+def read(index: DataFrame, folder: str, payloads: bool = True, whole: DataFrame | None = None) -> DataFrame:
+    """The records that ``index`` (any selection of its rows) names, with payloads if wanted.
+
+    Records of a file that start in the same RANGE bytes and leave no more than GAP bytes between them are one
+    read. Every payload is held against its digest. A revisit holds none of its own: with the ``whole`` index, the response that it revisits is
+    read too, once for all its copies, and gives the payload; without, it stays null.
+    """
+    rows = _records(index, folder, payloads)
+    if not payloads or whole is None:
+        return rows
+    same = ["digest", "payload_bytes"]
+    asked = index.filter("record_type = 'revisit'").select(*same).distinct()
+    first = whole.filter("record_type = 'response'").join(asked, same).groupBy(*same).agg(F.min(F.struct("file", "offset", "length")).alias("at"))
+    shared = _records(first.select("at.*"), folder, True).select(F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"), F.col("payload").alias("__payload"))
+    rows = rows.join(shared, (F.col("record_type") == "revisit") & (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__bytes")), "left")
+    return rows.withColumn("payload", F.coalesce("payload", "__payload")).drop("__digest", "__bytes", "__payload")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page's record, as read back."""
     folder = shared_folder(spark)

@@ -314,6 +314,8 @@ def test_warc_round_trip(spark):
         revisit = len(data) >= 1000 and twin is not None and p != twin
         want.append(str((p, u, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", twin if revisit else None, None if revisit else data)))
     assert sorted(str(tuple(r)[:6] + ((None if r["payload"] is None else bytes(r["payload"])),)) for r in rows) == sorted(want)
+    full = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(index.filter("page_id IN (1, 2, 6)"), folder, whole=index).collect()}
+    assert full == {1: big, 2: big, 6: "short"}  # a revisit's payload is that of its response, which wasn't selected
     some = warc.read(index.filter("page_id = 6"), folder).collect()
     assert [bytes(r["payload"]) for r in some] == [b"short"]
     assert warc.write(df.limit(0), shared_folder(spark)).count() == 0
