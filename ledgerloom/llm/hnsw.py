@@ -186,6 +186,7 @@ def index(vectors: DataFrame, k: int) -> DataFrame:
     nodes = kept(nodes.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     shards = max(1, -(-nodes.count() // SHARD))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
+    nodes = nodes.repartitionByRange(int(shards), "shard")  # a task for each: a build is too long to share one
     return kept(nodes.groupBy("shard", F.size("vector")).applyInArrow(_build, "shard int, dim int, vectors binary, ids array<array<long>>, links binary, sizes array<array<int>>"))
 
 
