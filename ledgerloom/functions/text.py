@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Prefixes of a supplier's name, and trailing legal forms (longest first).
 PREFIXES = (("m", "s"), ("ms",), ("messrs",))
@@ -29,19 +27,41 @@ def header(text: Column) -> Column:
     return F.lower(clean(text))
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
+#: Built from the Unicode tables: base and combining mark to the one character that they make; characters that fold to others than their lower case.
+_COMPOSED = {
+    "".join(chr(int(x, 16)) for x in parts): chr(c)
+    for c in range(0xC0, 0x3000)
+    if len(parts := unicodedata.decomposition(chr(c)).split()) == 2 and unicodedata.combining(chr(int(parts[1], 16))) and unicodedata.normalize("NFC", chr(c)) == chr(c)
+}
+_FOLDED = {chr(c): chr(c).casefold() for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower()}
+_MARKS = r"[\x{300}-\x{36F}]"
 
 
-def folded(text: Column, exact: bool = False) -> Column:
-    """Case, punctuation and spacing folded; no word is lost.
+def _table(values: dict[str, str]) -> Column:
+    return F.map_from_arrays(F.split(F.lit("|".join(values)), r"\|"), F.split(F.lit("|".join(values.values())), r"\|"))
 
-    Plain lower case suits names in one Unicode form; ``exact`` composes and case-folds first, in an Arrow function, for
-    text from several systems.
-    """
-    low = _nfc(text) if exact else F.lower(text)
-    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+
+def composed(text: Column) -> Column:
+    """Base characters and the marks behind them as one character where there is one (NFC of marked letters). Text without marks is left alone."""
+    known = _table(_COMPOSED)
+    join = lambda a, m: F.coalesce(F.try_element_at(known, F.concat(a, m)), F.concat(a, m))
+    cluster = lambda c: F.aggregate(F.split(F.substr(c, F.lit(2)), ""), F.left(c, F.lit(1)), join)
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s).{_MARKS}*"), F.lit(0))
+    return F.when(text.rlike(_MARKS), F.array_join(F.transform(parts, cluster), "")).otherwise(text)
+
+
+def folded_case(text: Column) -> Column:
+    """Composed and case-folded; plain lower case for text that is all ASCII."""
+    known = _table(_FOLDED)
+    special = "[" + "".join(_FOLDED) + "]"
+    whole = F.lower(composed(text))
+    full = F.when(whole.rlike(special), F.array_join(F.transform(F.split(whole, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")).otherwise(whole)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(text))
+
+
+def folded(text: Column) -> Column:
+    """Case, punctuation and spacing folded; no word is lost. Composed and decomposed spellings are one."""
+    return F.trim(F.regexp_replace(folded_case(text), r"[^\p{L}\p{N}]+", " "))
 
 
 _PREFIX = "^(?:" + "|".join(" ".join(p) for p in PREFIXES) + ") (?=.)"
@@ -86,8 +106,14 @@ def phrase_key(narration: Column) -> Column:
     return F.regexp_replace(F.trim(bare), r"\s+", "_")
 
 
+def same_company(a: Column, b: Column) -> Column:
+    """Whether two names are one in composed form; case and punctuation tell names apart."""
+    return composed(F.trim(a)) == composed(F.trim(b))
+
+
 def company_key(name: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_\s]", " ")), r"\s+", "_")
+    """Words of the composed, case-folded name, joined by underscores."""
+    return F.regexp_replace(F.trim(F.regexp_replace(folded_case(name), r"[^\p{L}\p{N}_\s]", " ")), r"\s+", "_")
 
 
 def same_supplier(stem_a: Column, form_a: Column, stem_b: Column, form_b: Column) -> Column:

@@ -107,7 +107,7 @@ def stale_memory(index: DataFrame, live: DataFrame) -> DataFrame:
 
 def key_collisions(names: DataFrame) -> DataFrame:
     """Keys to which two different names fold: company, names, in order."""
-    per = names.select(X.company_key(F.col("company")).alias("key"), "company").groupBy("key").agg(F.array_sort(F.collect_set("company")).alias("names"))
+    per = names.select(X.company_key(F.col("company")).alias("key"), X.composed(F.col("company")).alias("company")).groupBy("key").agg(F.array_sort(F.collect_set("company")).alias("names"))
     return per.filter(F.size("names") > 1)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as X
-from ..functions.redact import redacted
+from ..functions.redact import CREDENTIALS, redacted
 from ..operators import checks as C
 from ..operators import documents as D
 from ..streaming import log as S
@@ -56,15 +56,16 @@ SELECT doc, law, verdict, count(*) AS n, sum(out_by)::BIGINT AS out_by FROM f GR
 
 
 def fn_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a party that was learned, a figure, a login, a bearer's token and an amount put behind them."""
     d = V.table(spark, sf_dir, "documents")
-    text = F.concat("text", F.lit(" vendor='Sharma Traders' amount=4,200.50 https://me:pw@host/x Bearer abc ₹ 500 and "), "source")
-    once = redacted(text, {"Sharma Traders": "vendor", "short": ""})
-    return d.select("doc_id", F.sha2(once, 256).alias("hash"), F.size(F.regexp_extract_all(once, F.lit(r"\[REDACTED"), F.lit(0))).cast("bigint").alias("hidden"))
+    text = F.concat("text", F.lit(" vendor='Halden Paper Mill' gst_paise: 12,345.60 ftp://guest:pw@files/x Bearer abc ₹ 750 and "), "source")
+    once = redacted(text, {"Halden Paper Mill": "vendor", "short": ""})
+    return d.select("doc_id", F.explode(F.array(once)).alias("x")).select("doc_id", F.sha2("x", 256).alias("hash"), F.size(F.regexp_extract_all("x", F.lit(r"\[REDACTED"), F.lit(0))).cast("bigint").alias("hidden"))
 
 
-_CRED = "token_fingerprint|session_token|password_hash|authorization|access_token|fingerprint|credentials|credential|password|secrets|api_key|api-key|secret|passwd|apikey|token|salt|pwd"
+_CRED = "|".join(CREDENTIALS)
 register("fn_redact", fn_redact, rf"""
-WITH t AS (SELECT doc_id, replace(text || ' vendor=''Sharma Traders'' amount=4,200.50 https://me:pw@host/x Bearer abc ₹ 500 and ' || source, 'Sharma Traders', '[REDACTED vendor len=14]') AS x FROM documents),
+WITH t AS (SELECT doc_id, replace(text || ' vendor=''Halden Paper Mill'' gst_paise: 12,345.60 ftp://guest:pw@files/x Bearer abc ₹ 750 and ' || source, 'Halden Paper Mill', '[REDACTED vendor len=17]') AS x FROM documents),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(x, '://[^/\s@]+@', '://[REDACTED]@', 'g'), '(?i)\b(Bearer|Basic)\s+\S+', '\1 [REDACTED]', 'g') AS x FROM t),
 b AS (SELECT doc_id, regexp_replace(x, '(?i)\b({_CRED})\b([\"'']?\s*[=:]\s*)(?:\"[^\"]*\"|''[^'']*''|[^\s,;)\]}}]+)', '\1\2[REDACTED]', 'g') AS x FROM a),
 c AS (SELECT doc_id, regexp_replace(x, '(?i)\b(amount_paise|gst_paise|amount)\b([\"'']?\s*[=:]\s*)(-?\d[\d,]*(?:\.\d+)?)', '\1\2[REDACTED amount]', 'g') AS x FROM b),

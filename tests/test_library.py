@@ -68,7 +68,10 @@ def test_small_scalars(spark):
     assert value(spark, M.crore(F.lit(12_340_000_000).cast("bigint"))) == "12.34"
     assert value(spark, X.stamped(F.lit("a [LEDGERLOOM:x]"), F.lit("y"))) is None
     assert value(spark, X.phrase_key(F.lit("Rent & 2024 Bill, no. 7 [LEDGERLOOM:op-1]"))) == "rent_&_bill_no"
-    assert value(spark, X.folded(F.lit("Café"), exact=True)) == "café"
+    for one, other in (("Café Ltd.", "Cafe\u0301 ltd"), ("Straße", "STRASSE"), ("ﬁnance", "Finance"), ("Ǖ", "U\u0308\u0304"), ("ΟΔΟΣ", "οδος")):
+        assert value(spark, X.folded(F.lit(one))) == value(spark, X.folded(F.lit(other))), one
+        assert value(spark, X.vendor_key(F.lit(one))) == value(spark, X.vendor_key(F.lit(other)))
+    assert value(spark, X.company_key(F.lit("Cafe\u0301 & Sons"))) == "café_sons" and value(spark, X.same_company(F.lit("É"), F.lit("E\u0301"))) and not value(spark, X.same_company(F.lit("É"), F.lit("é")))
 
 
 def test_magnitude_bounds(spark):
