@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 
 def metrics(log: DataFrame) -> DataFrame:
-    """Per company: rows, entries (operations that reached a decision), rows per outcome, writes, replays, question rate (null without entries)."""
+    """Per company: rows, entries (operations that reached a decision), rows per outcome, writes, reversals one by one and by batch (``batch_id``, if the log has it), replays refused, question rate (null without entries)."""
     entry = F.when(F.col("action") == "decided", F.col("operation_id"))
     asked = F.when((F.col("action") == "decided") & (F.col("outcome") == "unclear"), F.col("operation_id"))
     names = ("valid", "unclear", "not_valid", "unknown")
+    bulk = F.col("batch_id") if "batch_id" in log.columns else F.lit(None)
     per = log.groupBy("company_key").agg(
         F.count("*").alias("rows"), F.count_distinct(entry).alias("entries"), F.count_distinct(asked).alias("asked"), *[F.count_if(F.col("outcome") == o).alias(o) for o in names],
-        F.count_if(F.col("action") == "write_attempted").alias("writes"), F.count_if(F.col("action") == "write_outcome_unknown").alias("writes_unknown"), F.count_if(F.col("action") == "reversed").alias("reversals"),
+        F.count_if(F.col("action") == "write_attempted").alias("writes"), F.count_if(F.col("action") == "write_outcome_unknown").alias("writes_unknown"), F.count_if((F.col("action") == "reversed") & bulk.isNull()).alias("reversals_single"), F.count_if((F.col("action") == "reversed") & bulk.isNotNull()).alias("reversals_bulk"), F.count_if(F.col("action") == "replay_refused").alias("replays_refused"),
     )
     return per.withColumn("question_rate", F.when(F.col("entries") > 0, F.round(F.col("asked") / F.col("entries"), 3))).drop("asked")
 

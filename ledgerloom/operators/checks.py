@@ -70,12 +70,14 @@ def bill_laws(bills: DataFrame, lines: DataFrame, tolerance: int = 100) -> DataF
     """doc, law, verdict, out_by: line arithmetic per line, then the sums of a bill.
 
     lines: doc, line_no, quantity_milli, rate_paise, discount_paise (null: none), taxable_paise. bills: doc, taxable_paise, cgst, sgst,
-    igst, tax_paise, tax_stated, round_off, grand_paise, number, supplier.
+    igst, tax_paise, tax_stated, round_off, grand_paise, number, supplier. A bill repeats one with the same supplier and number that comes before it
+    in order of ``doc``; bills without either can't be told.
     """
     made = F.floor((c("quantity_milli") * c("rate_paise") + 500) / 1000) - F.coalesce("discount_paise", F.lit(0))
     line = lines.select("doc", F.lit("line_arithmetic").alias("law"), within(made, c("taxable_paise"), tolerance).alias("verdict"), (made - c("taxable_paise")).cast("bigint").alias("out_by"))
     sums = lines.groupBy("doc").agg(F.sum("taxable_paise").alias("lines"), F.count_if(c("taxable_paise").isNull()).alias("unread"))
-    own = bills.join(sums, "doc", "left")
+    first = bills.filter("number IS NOT NULL AND supplier IS NOT NULL").groupBy("supplier", "number").agg(F.min("doc").alias("first"))
+    own = bills.join(sums, "doc", "left").join(first, ["supplier", "number"], "left")
     total = F.when(c("unread") == 0, c("lines"))
     parts = F.coalesce(c("cgst"), F.lit(0)) + F.coalesce(c("sgst"), F.lit(0)) + F.coalesce(c("igst"), F.lit(0))
     none = c("cgst").isNull() & c("sgst").isNull() & c("igst").isNull()
@@ -89,6 +91,7 @@ def bill_laws(bills: DataFrame, lines: DataFrame, tolerance: int = 100) -> DataF
         ("sums_are_grand", within(grand, c("grand_paise"), tolerance), grand - c("grand_paise")),
         ("one_tax_shape", shape, F.lit(None)),
         ("mandatory_present", known, F.lit(None)),
+        ("not_a_repeat", F.when(c("number").isNull() | c("supplier").isNull(), "INDETERMINATE").when(c("doc") > c("first"), "FAIL").otherwise("PASS"), F.lit(None)),
     )
     found = F.array(*[F.struct(F.lit(n).alias("law"), v.alias("verdict"), o.cast("bigint").alias("out_by")) for n, v, o in laws])
     return line.unionByName(own.select("doc", F.inline(found)))

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .history import ours
 
-#: States of a voucher in a batch, fields that an event has to have, and moves of a proposal (state, event, next).
+#: States of a voucher in a batch; fields that an event has to have.
 RETRYABLE, UNRESOLVED = ("NOT_ATTEMPTED", "FAILED"), ("UNKNOWN", "NOT_ATTEMPTED", "FAILED")
 FIELDS = ("company_key", "operation_id", "action", "outcome", "actor", "reason", "ts")
-MOVES = (("draft", "view", "seen"), ("seen", "click", "approved"), ("approved", "purchase", "posted"), ("posted", "signup", "reversed"), ("seen", "signup", "dropped"), ("approved", "error", "failed"), ("failed", "click", "approved"))
+#: The moves of a proposal: event, state before, what has to hold, state after. Both gates have two edges, as the other may have passed or not.
+EDGES = (
+    ("conservation_passed", "observed", ("not conservation", "not validation"), "observed"), ("conservation_passed", "observed", ("not conservation", "validation"), "checked"),
+    ("validation_passed", "observed", ("not validation", "not conservation"), "observed"), ("validation_passed", "observed", ("not validation", "conservation"), "checked"),
+    ("conservation_failed", "observed", ("reason",), "blocked"), ("validation_failed", "observed", ("reason",), "blocked"),
+    ("confidence_high", "checked", (), "decided"), ("confidence_medium", "checked", (), "asking"), ("confidence_low", "checked", ("reason",), "blocked"),
+    ("answered", "asking", ("reason",), "decided"), ("answers_exhausted", "asking", ("reason",), "blocked"),
+    ("write_claimed", "decided", ("operation", "high or a person"), "posting"), ("write_confirmed", "posting", ("reason",), "posted"), ("write_failed", "posting", ("reason",), "blocked"),
+    ("hard_rule_violated", "observed checked decided asking", ("reason",), "blocked"),
+)
 
 
 def candidates(vouchers: DataFrame) -> DataFrame:
@@ -39,20 +50,26 @@ def completeness(events: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("missing")) for c in FIELDS])), "events", "complete")
 
 
-def folded(events: DataFrame, key: list[str], start: str = "draft") -> DataFrame:
-    """key, state, illegal: each key's moves in order of seq; a move that its state doesn't allow is refused and counted.
+def folded(events: DataFrame, key: list[str]) -> DataFrame:
+    """key, state, illegal: each proposal's moves in order of seq; a move that its state or its guards don't allow changes nothing and is counted.
 
-    events: key, seq, event. The fold is a native aggregate over a key's ordered events.
+    events: key, seq, event, reason, operation_id, actor. The fold is a native aggregate over a proposal's own events; proposals are short, and posted and blocked are final.
     """
-    table = F.create_map(*[F.lit(x) for a, e, b in MOVES for x in (f"{a}|{e}", b)])
-    per = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("moves"))
+    given = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    per = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "event", given("reason").alias("reason"), given("operation_id").alias("operation"), given("actor").alias("person")))).alias("moves"))
 
     def step(s: Column, m: Column) -> Column:
-        to = table[F.concat_ws("|", s["state"], m["event"])]
-        return F.struct(F.coalesce(to, s["state"]).alias("state"), (s["illegal"] + to.isNull().cast("bigint")).alias("illegal"))
-
-    done = F.aggregate("moves", F.struct(F.lit(start).alias("state"), F.lit(0).cast("bigint").alias("illegal")), step)
-    return per.withColumn("s", done).select(*key, F.col("s.state").alias("state"), F.col("s.illegal").alias("illegal"))
+        facts = {"not conservation": ~s["conservation"], "conservation": s["conservation"], "not validation": ~s["validation"], "validation": s["validation"], "reason": m["reason"], "operation": m["operation"], "high or a person": s["sure"] | m["person"]}
+        to = F.coalesce(*[F.when(reduce(Column.__and__, [facts[g] for g in guards], (m["event"] == event) & s["state"].isin(*before.split())), after) for event, before, guards, after in EDGES])
+        done = to.isNotNull()
+        return F.struct(
+            F.coalesce(to, s["state"]).alias("state"), (s["conservation"] | done & (m["event"] == "conservation_passed")).alias("conservation"), (s["validation"] | done & (m["event"] == "validation_passed")).alias("validation"),
+            (s["sure"] | done & m["event"].isin("confidence_high", "answered")).alias("sure"), (s["illegal"] + (~done).cast("bigint")).alias("illegal"),
+        )
+
+    none = F.lit(False)
+    start = F.struct(F.lit("observed").alias("state"), none.alias("conservation"), none.alias("validation"), none.alias("sure"), F.lit(0).cast("bigint").alias("illegal"))
+    return per.withColumn("s", F.aggregate("moves", start, step)).select(*key, F.col("s.state").alias("state"), F.col("s.illegal").alias("illegal"))
 
 
 def retained(log: DataFrame, tenants: DataFrame) -> DataFrame:

@@ -145,10 +145,18 @@ register("jn_period_open", jn_period_open, V.VIEWS + """
 SELECT id, CASE WHEN starts IS NULL THEN 'UNVERIFIED' WHEN date BETWEEN starts AND CASE WHEN odd = 0 THEN (starts + INTERVAL 30 MONTH)::DATE ELSE (starts + INTERVAL 12 MONTH - INTERVAL 1 DAY)::DATE END THEN 'OPEN' ELSE 'CLOSED' END AS period
 FROM vouchers LEFT JOIN p ON ck = company_key""")
 
-register("agg_metrics", lambda s, d: A.metrics(V.action_log(s, d)), V.VIEWS + """
-, g AS (SELECT company_key, count(*) AS rows, count(DISTINCT operation_id) FILTER (action = 'decided') AS entries, count(DISTINCT operation_id) FILTER (action = 'decided' AND outcome = 'unclear') AS asked,
+def agg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log, with replays that were refused and reversals by batch."""
+    log = V.action_log(spark, sf_dir)
+    log = log.withColumn("action", F.when((F.col("action") == "write_attempted") & (F.col("seq") % 10 == 0), "replay_refused").otherwise(F.col("action"))).withColumn("batch_id", F.when(F.col("seq") % 3 == 0, F.lit("b")))
+    return A.metrics(log)
+
+
+register("agg_metrics", agg_metrics, V.VIEWS + """
+, l AS (SELECT * REPLACE (CASE WHEN action = 'write_attempted' AND seq % 10 = 0 THEN 'replay_refused' ELSE action END AS action) FROM action_log),
+g AS (SELECT company_key, count(*) AS rows, count(DISTINCT operation_id) FILTER (action = 'decided') AS entries, count(DISTINCT operation_id) FILTER (action = 'decided' AND outcome = 'unclear') AS asked,
   count(*) FILTER (outcome = 'valid') AS valid, count(*) FILTER (outcome = 'unclear') AS unclear, count(*) FILTER (outcome = 'not_valid') AS not_valid, count(*) FILTER (outcome = 'unknown') AS unknown,
-  count(*) FILTER (action = 'write_attempted') AS writes, count(*) FILTER (action = 'write_outcome_unknown') AS writes_unknown, count(*) FILTER (action = 'reversed') AS reversals FROM action_log GROUP BY 1)
+  count(*) FILTER (action = 'write_attempted') AS writes, count(*) FILTER (action = 'write_outcome_unknown') AS writes_unknown, count(*) FILTER (action = 'reversed' AND seq % 3 <> 0) AS reversals_single, count(*) FILTER (action = 'reversed' AND seq % 3 = 0) AS reversals_bulk, count(*) FILTER (action = 'replay_refused') AS replays_refused FROM l GROUP BY 1)
 SELECT * EXCLUDE (asked), CASE WHEN entries > 0 THEN round(asked / entries, 3) END AS question_rate FROM g""")
 register("agg_claims", lambda s, d: A.claims(V.action_log(s, d)), V.VIEWS + "SELECT company_key, operation_id, min(seq) AS seq, count(*) - 1 AS refused FROM action_log GROUP BY ALL")
 register("win_chain", lambda s, d: A.chain(V.action_log(s, d), ["company_key", "operation_id"], "action", "none").select("seq", "previous", "last"), V.VIEWS + """
@@ -156,18 +164,20 @@ SELECT seq, lag(action, 1, 'none') OVER w AS previous, lead(seq) OVER w IS NULL
 
 
 def jn_history_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of operations: what each event states of the one before, against what is recorded and expected."""
     log = V.action_log(spark, sf_dir)
-    events = log.select("company_key", "seq", F.col("action").alias("state"), F.when(F.col("seq") % 50 == 0, "elsewhere").otherwise(F.lag("action", 1, "none").over(A.W.partitionBy("company_key").orderBy("seq"))).alias("stated"))
-    expected = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("company_key"), F.lit("none").alias("start"), F.lit("posted").alias("end")).filter("company_key <> '3'")
-    return A.gaps(events, expected, ["company_key"])
+    events = log.select("operation_id", "seq", F.col("action").alias("state"), F.when(F.col("seq") % 50 == 0, "elsewhere").otherwise(F.lag("action", 1, "none").over(A.W.partitionBy("operation_id").orderBy("seq"))).alias("stated"))
+    known = log.select("operation_id").distinct().filter("operation_id NOT LIKE '3-%'")
+    absent = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("absent-"), "n_name").alias("operation_id"))
+    return A.gaps(events, known.unionByName(absent).select("operation_id", F.lit("none").alias("start"), F.lit("posted").alias("end")), ["operation_id"])
 
 
 register("jn_history_gaps", jn_history_gaps, V.VIEWS + """
-, e AS (SELECT company_key, seq, action, lag(action) OVER (PARTITION BY company_key ORDER BY seq) AS before FROM action_log),
+, e AS (SELECT operation_id, seq, action, lag(action) OVER (PARTITION BY operation_id ORDER BY seq) AS before FROM action_log),
 t AS (SELECT *, CASE WHEN seq % 50 = 0 THEN 'elsewhere' ELSE coalesce(before, 'none') END AS stated FROM e),
-g AS (SELECT company_key, arg_min(stated, seq) AS first, arg_max(action, seq) AS fin, count(*) FILTER (before IS NOT NULL AND before <> stated) AS broken FROM t GROUP BY 1),
-x AS (SELECT CAST(n_nationkey AS VARCHAR) AS company_key FROM nation WHERE n_nationkey <> 3),
-o AS (SELECT company_key, CASE WHEN x.company_key IS NULL THEN 'UNKNOWN_SCOPE' WHEN g.company_key IS NULL THEN 'MISSING' WHEN first <> 'none' THEN 'FOREIGN_START' WHEN broken > 0 THEN 'BROKEN' WHEN fin <> 'posted' THEN 'WRONG_END' END AS why FROM g FULL JOIN x USING (company_key))
+g AS (SELECT operation_id, arg_min(stated, seq) AS first, arg_max(action, seq) AS fin, count(*) FILTER (before IS NOT NULL AND before <> stated) AS broken FROM t GROUP BY 1),
+x AS (SELECT DISTINCT operation_id FROM action_log WHERE operation_id NOT LIKE '3-%' UNION ALL SELECT 'absent-' || n_name FROM nation),
+o AS (SELECT operation_id, CASE WHEN x.operation_id IS NULL THEN 'UNKNOWN_SCOPE' WHEN g.operation_id IS NULL THEN 'MISSING' WHEN first <> 'none' THEN 'FOREIGN_START' WHEN broken > 0 THEN 'BROKEN' WHEN fin <> 'posted' THEN 'WRONG_END' END AS why FROM g FULL JOIN x USING (operation_id))
 SELECT * FROM o WHERE why IS NOT NULL""")
 
 

@@ -29,7 +29,7 @@ def _bills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     half = F.expr("taxable_paise * 9 div 100")
     taxed = F.col("doc") % 5 != 0
     bills = bills.withColumns({"cgst": F.when(taxed, half), "sgst": F.when(taxed & (F.col("doc") % 11 != 0), half), "igst": F.when(taxed & (F.col("doc") % 13 == 0), half)})
-    bills = bills.withColumns({"tax_paise": F.when(taxed, half * 2), "tax_stated": taxed & (F.col("doc") % 3 != 0), "round_off": F.lit(None).cast("bigint"), "number": F.col("doc").cast("string"), "supplier": F.when(F.col("doc") % 17 != 0, F.lit("s"))})
+    bills = bills.withColumns({"tax_paise": F.when(taxed, half * 2), "tax_stated": taxed & (F.col("doc") % 3 != 0), "round_off": F.lit(None).cast("bigint"), "number": (F.col("doc") - F.when(F.col("doc") % 23 == 1, 1).otherwise(0)).cast("string"), "supplier": F.when(F.col("doc") % 17 != 0, F.lit("s"))})
     return bills.withColumn("grand_paise", F.col("taxable_paise") + F.coalesce(F.col("tax_paise"), F.lit(0)) + F.when(F.col("doc") % 19 == 0, 10_000).otherwise(0)), lines
 
 
@@ -51,7 +51,8 @@ f AS (
   UNION ALL SELECT doc, 'parts_are_tax', CASE WHEN half IS NULL OR doc % 3 = 0 THEN 'INDETERMINATE' WHEN abs(cgst + coalesce(sgst, 0) + coalesce(igst, 0) - tax) <= 100 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN half IS NOT NULL THEN cgst + coalesce(sgst, 0) + coalesce(igst, 0) - tax END FROM u
   UNION ALL SELECT doc, 'sums_are_grand', CASE WHEN tax IS NULL OR grand IS NULL THEN 'INDETERMINATE' WHEN abs(taxable + tax - grand) <= 100 THEN 'PASS' ELSE 'FAIL' END, taxable + tax - grand FROM u
   UNION ALL SELECT doc, 'one_tax_shape', CASE WHEN half IS NULL THEN 'INDETERMINATE' WHEN igst IS NOT NULL OR sgst IS NULL THEN 'FAIL' ELSE 'PASS' END, NULL FROM u
-  UNION ALL SELECT doc, 'mandatory_present', CASE WHEN doc % 17 <> 0 AND grand IS NOT NULL THEN 'PASS' ELSE 'FAIL' END, NULL FROM u)
+  UNION ALL SELECT doc, 'mandatory_present', CASE WHEN doc % 17 <> 0 AND grand IS NOT NULL THEN 'PASS' ELSE 'FAIL' END, NULL FROM u
+  UNION ALL SELECT doc, 'not_a_repeat', CASE WHEN doc % 17 = 0 THEN 'INDETERMINATE' WHEN doc % 23 = 1 AND (doc - 1) % 17 <> 0 AND doc - 1 IN (SELECT doc FROM u) THEN 'FAIL' ELSE 'PASS' END, NULL FROM u)
 SELECT doc, law, verdict, count(*) AS n, sum(out_by)::BIGINT AS out_by FROM f GROUP BY ALL""")
 
 

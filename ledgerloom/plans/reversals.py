@@ -41,28 +41,44 @@ register("agg_history_audit", agg_history_audit, V.VIEWS + """
 SELECT field, CASE field WHEN 'actor' THEN a WHEN 'reason' THEN r ELSE 0 END::BIGINT AS missing, events, complete FROM g, (VALUES ('company_key'), ('operation_id'), ('action'), ('outcome'), ('actor'), ('reason'), ('ts')) f(field)""")
 
 
+def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as moves of proposals: every user's events in turn, now and then out of order, without a reason or without an operation."""
+    n = F.col("event_id")
+    nth = F.when(F.col("event_type") == "view", F.when(n % 3 == 0, "conservation_failed").otherwise("conservation_passed")).when(F.col("event_type") == "click", F.when(n % 5 == 0, "validation_failed").otherwise("validation_passed"))
+    nth = nth.when(F.col("event_type") == "error", F.element_at(F.array(*map(F.lit, ("confidence_high", "confidence_medium", "confidence_low", "answered", "answers_exhausted"))), (n % 5 + 1).cast("int")))
+    nth = nth.when(F.col("event_type") == "purchase", F.element_at(F.array(*map(F.lit, ("write_claimed", "write_confirmed", "write_failed"))), (n % 3 + 1).cast("int"))).otherwise(F.when(n % 2 == 0, "hard_rule_violated").otherwise("confidence_high"))
+    e = V.table(spark, sf_dir, "events")
+    return e.select(F.concat_ws("-", "user_id", F.get_json_object("props", "$.k")).alias("proposal"), n.alias("seq"), nth.alias("event"), F.when(n % 7 != 0, "said").alias("reason"), F.when(n % 4 != 0, "op").alias("operation_id"), F.when(n % 2 == 0, "me").alias("actor"))
+
+
 def st_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state machine's batch form: every user's events folded in order."""
-    e = V.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("event"))
-    return R.folded(e, ["user_id"])
+    """The state machine's batch form: every proposal's events folded in order."""
+    return R.folded(_proposals(spark, sf_dir), ["proposal"])
 
 
 register("st_state", st_state, """
-WITH RECURSIVE m(a, e, b) AS (VALUES ('draft', 'view', 'seen'), ('seen', 'click', 'approved'), ('approved', 'purchase', 'posted'), ('posted', 'signup', 'reversed'), ('seen', 'signup', 'dropped'), ('approved', 'error', 'failed'), ('failed', 'click', 'approved')),
-n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM events),
-f AS (SELECT user_id, 0::BIGINT AS i, 'draft' AS state, 0::BIGINT AS illegal FROM (SELECT DISTINCT user_id FROM events)
-  UNION ALL SELECT f.user_id, n.i, coalesce(m.b, f.state), f.illegal + CASE WHEN m.b IS NULL THEN 1 ELSE 0 END FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1 LEFT JOIN m ON m.a = f.state AND m.e = n.event_type)
-SELECT f.user_id, state, illegal FROM f JOIN (SELECT DISTINCT user_id, c FROM n) l ON l.user_id = f.user_id AND l.c = f.i""")
+WITH RECURSIVE e AS (SELECT user_id || '-' || (props ->> 'k') AS p, event_id AS q, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'conservation_failed' ELSE 'conservation_passed' END WHEN 'click' THEN CASE WHEN event_id % 5 = 0 THEN 'validation_failed' ELSE 'validation_passed' END
+    WHEN 'error' THEN (['confidence_high', 'confidence_medium', 'confidence_low', 'answered', 'answers_exhausted'])[event_id % 5 + 1] WHEN 'purchase' THEN (['write_claimed', 'write_confirmed', 'write_failed'])[event_id % 3 + 1] ELSE CASE WHEN event_id % 2 = 0 THEN 'hard_rule_violated' ELSE 'confidence_high' END END AS v,
+    event_id % 7 <> 0 AS said, event_id % 4 <> 0 AS op, event_id % 2 = 0 AS me FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY q) AS i, count(*) OVER (PARTITION BY p) AS c FROM e),
+f AS (SELECT p, 0::BIGINT AS i, 'observed' AS s, false AS cp, false AS vp, false AS ok, 0::BIGINT AS bad FROM (SELECT DISTINCT p FROM e)
+  UNION ALL SELECT p, i, coalesce(t, s), cp OR (t IS NOT NULL AND v = 'conservation_passed'), vp OR (t IS NOT NULL AND v = 'validation_passed'), ok OR (t IS NOT NULL AND v IN ('confidence_high', 'answered')), bad + CASE WHEN t IS NULL THEN 1 ELSE 0 END
+  FROM (SELECT f.p, n.i, s, cp, vp, ok, bad, v, CASE
+      WHEN v = 'conservation_passed' AND s = 'observed' AND NOT cp THEN CASE WHEN vp THEN 'checked' ELSE 'observed' END WHEN v = 'validation_passed' AND s = 'observed' AND NOT vp THEN CASE WHEN cp THEN 'checked' ELSE 'observed' END
+      WHEN v IN ('conservation_failed', 'validation_failed') AND s = 'observed' AND said THEN 'blocked' WHEN v = 'confidence_high' AND s = 'checked' THEN 'decided' WHEN v = 'confidence_medium' AND s = 'checked' THEN 'asking' WHEN v = 'confidence_low' AND s = 'checked' AND said THEN 'blocked'
+      WHEN v = 'answered' AND s = 'asking' AND said THEN 'decided' WHEN v = 'answers_exhausted' AND s = 'asking' AND said THEN 'blocked' WHEN v = 'write_claimed' AND s = 'decided' AND op AND (ok OR me) THEN 'posting' WHEN v = 'write_confirmed' AND s = 'posting' AND said THEN 'posted'
+      WHEN v = 'write_failed' AND s = 'posting' AND said THEN 'blocked' WHEN v = 'hard_rule_violated' AND s IN ('observed', 'checked', 'decided', 'asking') AND said THEN 'blocked' END AS t FROM f JOIN n ON n.p = f.p AND n.i = f.i + 1))
+SELECT f.p AS proposal, s AS state, bad AS illegal FROM f JOIN (SELECT DISTINCT p, c FROM n) l ON l.p = f.p AND l.c = f.i""")
 
 
 def jn_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = V.action_log(spark, sf_dir).filter("company_key = '4'")
+    log = V.action_log(spark, sf_dir)
     back = log.filter("seq % 90 <> 4").withColumn("action", F.when(F.col("seq") % 64 == 4, "edited").otherwise(F.col("action")))
     return A.overwritten(log, back, ["seq", "action"]).groupBy("what").agg(F.count("*").alias("n"))
 
 
 register("jn_overwritten", jn_overwritten, V.VIEWS + """
-, w AS (SELECT seq, action FROM action_log WHERE company_key = '4'), a AS (SELECT *, row_number() OVER (ORDER BY seq) AS p FROM w),
+, w AS (SELECT seq, action FROM action_log), a AS (SELECT *, row_number() OVER (ORDER BY seq) AS p FROM w),
 b AS (SELECT seq, CASE WHEN seq % 64 = 4 THEN 'edited' ELSE action END AS action, row_number() OVER (ORDER BY seq) AS p FROM w WHERE seq % 90 <> 4),
 j AS (SELECT CASE WHEN b.p IS NULL THEN 'MISSING' WHEN a.p IS NULL THEN 'ADDED' WHEN a.seq <> b.seq OR a.action <> b.action THEN 'CHANGED' END AS what FROM a FULL JOIN b USING (p))
 SELECT what, count(*) AS n FROM j WHERE what IS NOT NULL GROUP BY 1""")
