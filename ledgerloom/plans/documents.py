@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions import text as X
 from ..functions.redact import CREDENTIALS, redacted
 from ..operators import checks as C
 from ..operators import documents as D
+from ..shared import folder
 from ..streaming import log as S
 from . import views as V
 
@@ -88,19 +87,20 @@ s AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(x, '(?i)\b(invoice|bi
 SELECT doc_id, array_to_string(l, '; ') AS signals, len(l) >= 2 AS bill FROM s""")
 
 
-def agg_doc_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _statused(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "documents")
-    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Invoice total 5").otherwise(""))
-    rows = d.select(text.alias("text"), X.legible(text).alias("share"), D.signals(text).alias("signals"), (F.col("doc_id") % 6).alias("missing"), (F.col("doc_id") % 4).alias("failed"))
-    return D.status_counts(D.status(rows))
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Invoice total 5").when(F.col("doc_id") % 3 == 1, " tax").otherwise(""))
+    return D.status(d.select("doc_id", text.alias("text"), X.legible(text).alias("share"), D.signals(text).alias("signals"), (F.col("doc_id") % 6).alias("missing"), (F.col("doc_id") % 4).alias("failed")))
 
 
-register("agg_doc_status", agg_doc_status, r"""
-WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Invoice total 5' ELSE '' END AS x FROM documents),
-s AS (SELECT CASE WHEN trim(x) = '' THEN 'OCR_FAILED' WHEN length(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) / length(regexp_replace(x, '\s', '', 'g')) < 0.5 THEN 'UNREADABLE'
-  WHEN regexp_matches(x, '(?i)\b(invoice|bill|receipt|challan)\b')::INT + regexp_matches(x, '(?i)\b(GST|VAT|tax)\b')::INT + regexp_matches(x, '(?i)\b(total|amount|payable|due)\b')::INT + regexp_matches(x, '(?i)\b(GSTIN|PAN|TAN)\b')::INT + regexp_matches(x, '(?i)₹|Rs\.?|INR')::INT + regexp_matches(x, '(?i)\b\d{2}[A-Z]{5}\d{4}[A-Z]\d[Z][A-Z\d]\b')::INT < 2 THEN 'NON_INVOICE'
-  WHEN length(x) < 200 THEN 'LOW_TEXT' WHEN doc_id % 6 > 0 THEN 'MISSING_FIELDS' WHEN doc_id % 4 > 0 THEN 'VALIDATION_FAILED' ELSE 'READY' END AS status FROM t)
-SELECT d.status, count(s.status) AS n FROM (VALUES ('OCR_FAILED'), ('UNREADABLE'), ('NON_INVOICE'), ('LOW_TEXT'), ('MISSING_FIELDS'), ('VALIDATION_FAILED'), ('READY')) d(status) LEFT JOIN s ON s.status = d.status GROUP BY 1""")
+_STATUS = r"""
+WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Invoice total 5' WHEN 1 THEN ' tax' ELSE '' END AS x FROM documents),
+n AS (SELECT *, regexp_matches(x, '(?i)\b(invoice|bill|receipt|challan)\b')::INT + regexp_matches(x, '(?i)\b(GST|VAT|tax)\b')::INT + regexp_matches(x, '(?i)\b(total|amount|payable|due)\b')::INT + regexp_matches(x, '(?i)\b(GSTIN|PAN|TAN)\b')::INT + regexp_matches(x, '(?i)₹|Rs\.?|INR')::INT + regexp_matches(x, '(?i)\b\d{2}[A-Z]{5}\d{4}[A-Z]\d[Z][A-Z\d]\b')::INT AS k FROM t),
+s AS (SELECT doc_id, CASE WHEN trim(x) = '' THEN 'OCR_FAILED' WHEN length(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) / length(regexp_replace(x, '\s', '', 'g')) < 0.5 THEN 'UNREADABLE' WHEN k = 1 THEN 'UNKNOWN' WHEN k < 1 THEN 'NON_INVOICE'
+  WHEN length(x) < 200 THEN 'LOW_TEXT' WHEN doc_id % 6 > 0 THEN 'MISSING_FIELDS' WHEN doc_id % 4 > 0 THEN 'VALIDATION_FAILED' ELSE 'READY' END AS status FROM n)"""
+register("dec_doc_status", lambda s, d: _statused(s, d).select("doc_id", "status"), _STATUS + " SELECT doc_id, status FROM s")
+register("agg_doc_status", lambda s, d: D.status_counts(_statused(s, d)), _STATUS + """
+SELECT d.status, count(s.status) AS n FROM (VALUES ('OCR_FAILED'), ('UNREADABLE'), ('UNKNOWN'), ('NON_INVOICE'), ('LOW_TEXT'), ('MISSING_FIELDS'), ('VALIDATION_FAILED'), ('READY')) d(status) LEFT JOIN s ON s.status = d.status GROUP BY 1""")
 
 
 def _bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,6 @@ register("agg_the_one", lambda s, d: D.the_one(D.label_amounts(_bill_lines(s, d)
 SELECT doc AS doc_id, 'SUB TOTAL' AS label, 1::BIGINT AS values, taxable AS value FROM bills UNION ALL SELECT doc, 'GRAND TOTAL RS', 1, grand FROM bills
 UNION ALL SELECT doc, 'TOTAL', CASE WHEN doc % 4 = 0 AND doc * 100 <> grand THEN 2 ELSE 1 END, CASE WHEN doc % 4 = 0 AND doc * 100 <> grand THEN NULL ELSE grand END FROM bills""")
 register("win_section", lambda s, d: D.sections(_bill_lines(s, d), {"supplier": "^Supplier:", "buyer": "^Buyer:"}).groupBy("doc_id").agg(F.count_if(F.col("section") == "supplier").alias("supplier"), F.count_if(F.col("section") == "buyer").alias("buyer"), F.count_if(F.col("section").isNull()).alias("before")), _LINES + " SELECT doc AS doc_id, 2::BIGINT AS supplier, 6::BIGINT AS buyer, 1::BIGINT AS before FROM bills")
-register("win_line_items", lambda s, d: D.block(_bill_lines(s, d), "^Supplier:", "^TOTAL ").groupBy("doc_id").agg(F.count("*").alias("lines"), F.min("line_no").cast("bigint").alias("first")), _LINES + " SELECT doc AS doc_id, 4::BIGINT AS lines, 2::BIGINT AS first FROM bills")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,14 +133,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).cast("string").alias("company_key"), F.when(F.col("event_type") == "click", "write_attempted").otherwise("other").alias("action"), unknown.alias("outcome"), F.concat_ws("-", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("operation_id"))
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def st_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _folder(spark)
-    state = S.Versions(spark, f"{place}/claims", S.CLAIMS)
+    place = folder(spark)
+    state = S.claims(spark, f"{place}/claims")
     S.claim(_events(spark, sf_dir), state, f"{place}/checkpoint").awaitTermination()
     return state.read()
 
@@ -151,7 +145,7 @@ register("st_claim", st_claim, V.VIEWS + "SELECT company_key, operation_id, coun
 
 def _run(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A windowed stream's complete result, as a written table."""
-    place = _folder(spark)
+    place = folder(spark)
     df.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{place}/out")).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{place}/out")
 

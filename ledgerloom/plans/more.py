@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +13,12 @@ from ..operators import band as B
 from ..operators import calibrate as K
 from ..operators import checks as C
 from ..operators import decide as D
+from ..operators import evaluate as E
+from ..shared import folder
 from ..sources import books, spend
 from . import views as V
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
-
+from .evaluation import _BASE, RATE, SEED
+from .ledger import LOOKUP
 
 register("fn_clean", lambda s, d: V.vouchers(s, d).select("id", X.clean(F.concat(F.lit("  "), "narration", F.lit(" \t x "))).alias("text")), V.VIEWS + "SELECT id, narration || ' x' AS text FROM vouchers")
 register("fn_rate_qty", lambda s, d: V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", M.basis_points(F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit(".5 %"))).alias("rate"), M.thousandths(F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linenumber") == 1, ".12345").otherwise(".25"))).alias("quantity")),
@@ -104,7 +100,26 @@ def agg_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in rows], "detector string, setting int, kept boolean, flagged long, clean long, held_flagged long, held_clean long")
 
 
-register("agg_calibrate", agg_calibrate)
+#: Levels per entry, counted by half; then detector by detector the most sensitive setting whose union with those before stays inside the target.
+_CALIBRATE = LOOKUP + """
+, days AS (SELECT company_key, debit_account, date, max(amount_paise) AS high, count(*) AS n FROM history GROUP BY ALL),
+up AS (SELECT e.company_key, e.id, any_value(e.amount_paise) AS a, sum(d.n) AS seen, max(d.high) AS high FROM entries e JOIN days d ON d.company_key = e.company_key AND d.debit_account = e.debit_account AND d.date < e.date GROUP BY ALL),
+tx AS (SELECT company_key, debit_account, max(coalesce(gst_paise, 0)) AS most FROM history GROUP BY ALL),
+hv AS (SELECT company_key, CASE WHEN row_number() OVER (ORDER BY company_key) % 2 = 1 THEN 'calibration' ELSE 'held_out' END AS half FROM (SELECT DISTINCT company_key FROM entries)),
+lv AS (SELECT hv.half, CASE WHEN s.status = 'match' AND s.usual <> s.debit_account THEN len(list_filter([1, 2, 3, 4, 5], lambda x: x <= s.most)) ELSE 0 END AS vs, (tx.most IS NULL)::INT AS fu,
+    CASE WHEN up.seen >= 2 THEN len(list_filter([100, 150, 200, 300, 500, 1000, 1500], lambda x: up.a * 100 > up.high * x)) ELSE 0 END AS mg, (coalesce(s.gst_paise, 0) <> 0 AND coalesce(tx.most = 0, false))::INT AS ga
+  FROM seen s JOIN hv ON hv.company_key = s.company_key LEFT JOIN up ON up.company_key = s.company_key AND up.id = s.id LEFT JOIN tx ON tx.company_key = s.company_key AND tx.debit_account = s.debit_account),
+c AS (SELECT half, vs, fu, mg, ga, count(*) AS n FROM lv GROUP BY ALL), t AS (SELECT half, sum(n)::BIGINT AS n FROM c GROUP BY 1),
+k1 AS (SELECT min(k) AS k FROM (SELECT k, (SELECT coalesce(sum(n), 0) FROM c WHERE half = 'calibration' AND vs > k) AS f FROM unnest(range(0, 5)) u(k)) WHERE f * 100 <= 10 * (SELECT n FROM t WHERE half = 'calibration')),
+k2 AS (SELECT min(k) AS k FROM (SELECT k, (SELECT coalesce(sum(n), 0) FROM c WHERE half = 'calibration' AND (vs > (SELECT coalesce(k, 99) FROM k1) OR fu > k)) AS f FROM unnest(range(0, 1)) u(k)) WHERE f * 100 <= 10 * (SELECT n FROM t WHERE half = 'calibration')),
+k3 AS (SELECT min(k) AS k FROM (SELECT k, (SELECT coalesce(sum(n), 0) FROM c WHERE half = 'calibration' AND (vs > (SELECT coalesce(k, 99) FROM k1) OR fu > (SELECT coalesce(k, 99) FROM k2) OR mg > k)) AS f FROM unnest(range(0, 7)) u(k)) WHERE f * 100 <= 10 * (SELECT n FROM t WHERE half = 'calibration')),
+k4 AS (SELECT min(k) AS k FROM (SELECT k, (SELECT coalesce(sum(n), 0) FROM c WHERE half = 'calibration' AND (vs > (SELECT coalesce(k, 99) FROM k1) OR fu > (SELECT coalesce(k, 99) FROM k2) OR mg > (SELECT coalesce(k, 99) FROM k3) OR ga > k)) AS f FROM unnest(range(0, 1)) u(k)) WHERE f * 100 <= 10 * (SELECT n FROM t WHERE half = 'calibration')),
+o AS (SELECT 'vendor_switch' AS detector, [1, 2, 3, 4, 5] AS grid, k FROM k1 UNION ALL SELECT 'first_use', [0], k FROM k2 UNION ALL SELECT 'magnitude', [100, 150, 200, 300, 500, 1000, 1500], k FROM k3 UNION ALL SELECT 'gst_anomaly', [0], k FROM k4),
+p AS (SELECT *, coalesce(k, len(grid) - 1) AS pos FROM o),
+w AS (SELECT p.*, c.half, c.n, CASE detector WHEN 'vendor_switch' THEN vs WHEN 'first_use' THEN fu WHEN 'magnitude' THEN mg ELSE ga END > pos AS hit FROM p, c)
+SELECT detector, any_value(grid[pos + 1]) AS setting, any_value(k IS NOT NULL) AS kept, coalesce(sum(n) FILTER (half = 'calibration' AND hit), 0)::BIGINT AS flagged, sum(n) FILTER (half = 'calibration')::BIGINT AS clean,
+  coalesce(sum(n) FILTER (half = 'held_out' AND hit), 0)::BIGINT AS held_flagged, sum(n) FILTER (half = 'held_out')::BIGINT AS held_clean FROM w GROUP BY detector"""
+register("agg_calibrate", agg_calibrate, _CALIBRATE)
 
 
 def _spend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +128,7 @@ def _spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("amount_paise")
     money = F.concat(F.when(a % 4 == 0, "-£").otherwise("£"), F.format_number(a / 100, 2))
     rows = v.select(F.col("id"), F.date_format("date", "dd/MM/yyyy").alias("when"), F.when(a % 9 == 0, "").otherwise(F.col("party")).alias("who"), F.col("debit_account").alias("what"), F.col("narration").alias("why"), F.when(a % 10 == 0, "n/a").otherwise(money).alias("money"))
-    one, two = _folder(spark), _folder(spark)
+    one, two = folder(spark), folder(spark)
     rows.filter(a % 2 == 0).select(F.col("when").alias("Date"), F.col("who").alias("Supplier"), F.col("what").alias("Expense type"), F.col("why").alias("Description"), F.col("money").alias("Amount"), F.col("id").alias("Reference")).write.option("header", True).option("emptyValue", "").csv(one)
     rows.filter(a % 2 == 1).select(F.col("id").alias("Reference"), F.col("money").alias(" £ "), F.col("why").alias("Item Text"), F.col("what").alias("Expense Type"), F.col("who").alias("Supplier "), F.col("when").alias("Date of Payment")).write.option("header", True).option("emptyValue", "").csv(two)
     return spend.load(spend.read_files(spark, [f"{one}/*.csv", f"{two}/*.csv"]))
@@ -133,7 +148,7 @@ register("agg_load_report", agg_load_report, f"SELECT count(*) AS rows, count(*)
 
 
 def snk_action_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     log = V.action_log(spark, sf_dir).withColumn("actor", F.when(F.col("seq") % 3 == 0, "not recorded").otherwise(F.col("company_key")))
     books.append_actions(log.filter("seq % 2 = 0"), path)
     books.append_actions(log.filter("seq % 2 = 1"), path)
@@ -144,14 +159,16 @@ register("snk_action_append", snk_action_append, V.VIEWS + "SELECT CASE WHEN seq
 
 
 def snk_book_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
-    v = V.vouchers(spark, sf_dir)
-    books.write_book(v, v.select("company_key", "id").limit(0), path)
+    """A corrupted book and its answer key, written apart and read back."""
+    path = folder(spark)
+    books.write_book(*E.inject(V.Book(spark, sf_dir).entries, RATE, SEED, exact=False), path)
     back = spark.read.schema("company_key string, id string, amount_paise bigint, gst_paise bigint").json(f"{path}/vouchers")
-    return back.groupBy("company_key").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("amount"), F.count("gst_paise").alias("taxed"))
+    key = spark.read.schema("company_key string, id string, error_type string, field string, was string, now string").json(f"{path}/truth")
+    per = back.groupBy("company_key").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("amount"), F.count("gst_paise").alias("taxed"))
+    return per.join(key.groupBy("company_key").agg(F.count("*").alias("errors"), F.count_if(F.col("was") == "none").alias("claims")), "company_key", "left")
 
 
-register("snk_book_jsonl", snk_book_jsonl, V.VIEWS + "SELECT company_key, count(*) AS n, sum(amount_paise)::BIGINT AS amount, count(gst_paise) AS taxed FROM vouchers GROUP BY 1")
+register("snk_book_jsonl", snk_book_jsonl, _BASE + " SELECT company_key, count(*) AS n, sum(amount_paise)::BIGINT AS amount, count(gst_paise) AS taxed, count(error_type) AS errors, count(*) FILTER (error_type = 'gst_anomaly') AS claims FROM entries GROUP BY 1")
 
 
 def jn_readback(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import operation_in
+
 _VOUCHER = "ID string, DATE string, PARTY string, NARRATION string, LEG array<struct<LEDGER:string,PAISE:bigint>>"
 _LOG = "ts timestamp, operation string, company string, ok boolean, ms bigint, detail string"
 
@@ -12,13 +16,15 @@ _LOG = "ts timestamp, operation string, company string, ok boolean, ms bigint, d
 def day_book(spark: SparkSession, path: str) -> DataFrame:
     """Vouchers of an export with ``shape``: ``kept`` for one debit and one credit (positive and negative legs), else ``skipped``.
 
-    A skipped voucher that has no legs at all refuses the load, as the file isn't what it says.
+    A voucher that has no legs at all, and a skipped one that carries our marker, refuse the load, as the file isn't what it says.
     """
     rows = spark.read.format("xml").option("rowTag", "VOUCHER").schema(_VOUCHER).load(path)
     legs = F.coalesce("LEG", F.array().cast("array<struct<LEDGER:string,PAISE:bigint>>"))
     debits, credits_ = F.filter(legs, lambda x: x["PAISE"] > 0), F.filter(legs, lambda x: x["PAISE"] < 0)
     plain = (F.size(legs) == 2) & (F.size(debits) == 1) & (F.size(credits_) == 1) & (F.get(debits, F.lit(0))["PAISE"] == -F.get(credits_, F.lit(0))["PAISE"])
     refused = F.when(F.size(legs) == 0, F.raise_error(F.concat(F.lit("a voucher without legs: "), F.coalesce("ID", F.lit("?")))).cast("string"))
+    ours = operation_in(F.coalesce("NARRATION", F.lit(""))).isNotNull()
+    refused = F.coalesce(refused, F.when(~plain & ours, F.raise_error(F.concat(F.lit("a voucher of ours that can't be read: "), F.coalesce("ID", F.lit("?")))).cast("string")))
     return rows.select(
         F.col("ID").alias("id"), F.to_date("DATE", "yyyyMMdd").alias("date"), F.col("PARTY").alias("party"), F.coalesce("NARRATION", F.lit("")).alias("narration"),
         F.get(debits, F.lit(0))["LEDGER"].alias("debit_account"), F.get(credits_, F.lit(0))["LEDGER"].alias("credit_account"), F.get(debits, F.lit(0))["PAISE"].alias("amount_paise"),
@@ -45,6 +51,15 @@ def replace_company(index: DataFrame, company: str, path: str) -> None:
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_key").parquet(path)
 
 
+def forget_company(spark: SparkSession, company: str, path: str) -> None:
+    """One company's part of a partitioned index is removed; a company that isn't there is no error."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in store.listStatus(root):
+        if unquote(part.getPath().getName()) == f"company_key={company}":
+            store.delete(part.getPath(), True)
+
+
 def append_actions(log: DataFrame, path: str, nullable: tuple[str, ...] = ("actor", "previous_state"), mark: str = "not recorded") -> None:
     """Append only; the mark for what wasn't recorded is stored as null."""
     log.withColumns({c: F.nullif(F.col(c), F.lit(mark)) for c in nullable if c in log.columns}).write.mode("append").parquet(path)

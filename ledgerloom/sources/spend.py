@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,38 +39,48 @@ def resolve(header: Sequence[str]) -> dict[str, int]:
 
 
 def read_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """path, number (from 1), cells: the rows of CSV files, as UTF-8 (with or without mark) where a file is valid so, else as cp1252.
+    """path, number (from 1), cells, columns: the rows of CSV files, as UTF-8 (with or without mark) where a file is valid so, else as cp1252.
 
-    Files are the unit of work: rows are numbered inside theirs. A quoted cell may hold line ends.
+    Files are the unit of work, as published files are small and a quoted cell may hold line ends: a task reads a file, resolves its header and numbers its rows, RUN rows at
+    a time. ``columns`` are the places of the five fields in that file. A header that can't be resolved fails the read and names its file.
     """
     files = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
-    return files.select("path", "content").mapInPandas(_rows, "path string, number int, cells array<string>")
+    return files.select("path", "content").mapInPandas(_rows, "path string, number int, cells array<string>, columns array<int>")
+
+
+#: Rows that a reading task hands over at once.
+RUN = 10_000
+
+
+def decoded(content: bytes) -> str:
+    try:
+        return content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return content.decode("cp1252")
 
 
 def _rows(batches):
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
+            reader = csv.reader(io.StringIO(decoded(content), newline=""))
+            header = next(reader, None)
+            if header is None:
+                continue
             try:
-                text = content.decode("utf-8-sig")
-            except UnicodeDecodeError:
-                text = content.decode("cp1252")
-            rows = [(path, i, cells) for i, cells in enumerate(csv.reader(io.StringIO(text, newline="")))]
-            yield pd.DataFrame(rows, columns=["path", "number", "cells"])
+                found = resolve(header)
+            except ValueError as e:
+                raise ValueError(f"{path}: {e}") from None
+            places = [found[f] for f in ALIASES]
+            numbered = enumerate(reader, 1)
+            while rows := list(islice(numbered, RUN)):
+                yield pd.DataFrame({"path": path, "number": [n for n, _ in rows], "cells": [c for _, c in rows], "columns": [places] * len(rows)})
 
 
 def load(rows: DataFrame) -> DataFrame:
-    """path, number, date, party, narration, account, amount, reasons: one row per published row; no reasons: it is loaded.
-
-    Headers are few (one a file): they are resolved one by one, and each file's columns picked by its own map.
-    """
-    maps = []
-    for r in rows.filter("number = 0").select("path", "cells").toLocalIterator():
-        maps.append((r["path"], resolve(r["cells"])))
-    where = rows.sparkSession.createDataFrame(maps, "path string, columns map<string,int>")
-    own = rows.filter("number > 0").join(F.broadcast(where), "path")  # a few bytes a file
-    cell = lambda f: F.coalesce(F.get("cells", F.col("columns")[f]), F.lit(""))
-    short = F.size("cells") <= F.array_max(F.map_values("columns"))
-    typed = own.select(
+    """path, number, date, party, narration, account, amount, reasons: one row per published row; no reasons: it is loaded."""
+    cell = lambda f: F.coalesce(F.get("cells", F.get("columns", F.lit(list(ALIASES).index(f)))), F.lit(""))
+    short = F.size("cells") <= F.array_max("columns")
+    typed = rows.select(
         "path", "number", short.alias("short"), M.spend_date(cell("date")).alias("date"), X.clean(cell("party")).alias("party"), X.clean(cell("narration")).alias("narration"),
         X.clean(cell("account")).alias("account"), M.pence(cell("amount")).alias("amount"),
     )

@@ -1,71 +1,103 @@
-"""The log as a stream: first claims, an index that grows, windowed metrics, sessions, repeats.
+"""The log as a stream: first claims, an index that grows, windowed metrics, sessions, repeats, and vouchers judged as they arrive.
 
 Claims and the index have no watermark, as what is claimed stays claimed: their state is a table that grows with the number of
-operations, kept by version in the shared folder, and each micro-batch is applied once by its number. A batch touches
-its own keys only.
+keys. It is kept in parts by hash of the key; a micro-batch reads and rewrites the parts that its own keys fall into, and no others. Each part has numbered versions: the
+newest finished one is the state, the one before it stays until the next batch, so that a batch that is repeated after a failure starts from the same state.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
+from ..operators import checks as C
+from ..operators import decide as D
+from ..operators import detect as T
+from ..operators import history as H
 
 
 class Versions:
-    """A table in numbered folders; the newest finished one is the state. A batch that was applied before is not applied again."""
+    """A keyed table in ``parts`` parts of numbered versions: ``folder/v<batch>/part=<p>``."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: tuple[str, ...], parts: int = 64):
+        self.spark, self.folder, self.schema, self.keys, self.parts = spark, folder.rstrip("/"), schema, keys, parts
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> dict[int, list[int]]:
+        """Part to its finished versions, oldest first: names of folders only."""
+        root, store = self._path(self.folder)
+        found: dict[int, list[int]] = {}
+        for v in store.listStatus(root) if store.exists(root) else ():
+            number = re.fullmatch(r"v(\d+)", v.getPath().getName())
+            if number and store.exists(self._path(f"{v.getPath().toString()}/_SUCCESS")[0]):
+                for p in store.listStatus(v.getPath()):
+                    if part := re.fullmatch(r"part=(\d+)", p.getPath().getName()):
+                        found.setdefault(int(part[1]), []).append(int(number[1]))
+        return {p: sorted(v) for p, v in found.items()}
+
+    def read(self, below: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """The state (of some parts only, if they are given), as it was before a batch."""
+        newest = {p: max((n for n in v if below is None or n < below), default=None) for p, v in self._versions().items() if parts is None or p in parts}
+        paths = [f"{self.folder}/v{n}/part={p}" for p, n in newest.items() if n is not None]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def merge(self, new: DataFrame, batch: int, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Applies ``combine(old, new)`` to the parts that ``new`` touches."""
+        place = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        new = new.withColumn("part", place)
+        touched = sorted(r["part"] for r in new.select("part").distinct().collect())  # at most ``parts`` numbers
+        fresh = combine(self.read(batch, touched), new.drop("part")).withColumn("part", place)
+        fresh.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/v{batch}")
+        for p, versions in self._versions().items():
+            for old in [n for n in versions if n < batch][:-1]:
+                path, store = self._path(f"{self.folder}/v{old}/part={p}")
+                store.delete(path, True)
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
-    def newest(self, below: int | None = None) -> int:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(path):
-            return -1
-        done = [int(m[1]) for f in store.listStatus(path) if (m := re.fullmatch(r"v(\d+)", f.getPath().getName())) and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath().toString() + "/_SUCCESS"))]
-        return max((n for n in done if below is None or n < below), default=-1)
+CLAIMS = "company_key string, operation_id string, refused long, seq long"
+INDEX = "company_key string, vendor_key string, account string, times long, first_seq long, raw string"
+
+
+def claims(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, CLAIMS, ("company_key", "operation_id"))
+
+
+def growing_index(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, INDEX, ("company_key", "vendor_key"))
 
-    def read(self, below: int | None = None) -> DataFrame:
-        n = self.newest(below)
-        if n < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{n}")
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{batch}")
+def _merging(stream: DataFrame, state: Versions, checkpoint: str, made: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(lambda batch, number: state.merge(made(batch), number, combine)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def claim(log: DataFrame, state: Versions, checkpoint: str) -> StreamingQuery:
     """The first claim (smallest seq of the first batch that has it) of (company_key, operation_id) holds; ``refused`` counts later ones."""
 
-    def apply(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("company_key", "operation_id").agg(F.min("seq").alias("new_seq"), F.count("*").alias("n"))
-        both = state.read(number).join(new, ["company_key", "operation_id"], "full")
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.join(new, ["company_key", "operation_id"], "full")
         refused = F.when(F.col("seq").isNull(), F.col("n") - 1).otherwise(F.col("refused") + F.coalesce("n", F.lit(0)))
-        state.write(both.select("company_key", "operation_id", refused.alias("refused"), F.coalesce("seq", "new_seq").alias("seq")), number)
+        return both.select("company_key", "operation_id", refused.alias("refused"), F.coalesce("seq", "new_seq").alias("seq"))
 
-    return log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-CLAIMS = "company_key string, operation_id string, refused long, seq long"
-INDEX = "company_key string, vendor_key string, account string, times long, first_seq long, raw string"
+    return _merging(log, state, checkpoint, lambda b: b.groupBy("company_key", "operation_id").agg(F.min("seq").alias("new_seq"), F.count("*").alias("n")), combine)
 
 
 def grow_index(vouchers: DataFrame, state: Versions, checkpoint: str) -> StreamingQuery:
     """Counts per (company, vendor, account) and the first raw name; equal to the batch index of all that has arrived."""
+    whole = [F.sum("times").alias("times"), F.min("first_seq").alias("first_seq"), F.min_by("raw", "first_seq").alias("raw")]
 
-    def apply(batch: DataFrame, number: int) -> None:
-        key = X.vendor_key(F.col("party"))
-        new = batch.select("company_key", key.alias("vendor_key"), F.col("debit_account").alias("account"), F.lit(1).cast("long").alias("times"), F.col("seq").alias("first_seq"), F.col("party").alias("raw")).filter("vendor_key <> '' AND account <> ''")
-        both = state.read(number).unionByName(new)
-        state.write(both.groupBy("company_key", "vendor_key", "account").agg(F.sum("times").alias("times"), F.min("first_seq").alias("first_seq"), F.min_by("raw", "first_seq").alias("raw")), number)
+    def made(batch: DataFrame) -> DataFrame:
+        own = batch.select("company_key", X.vendor_key(F.col("party")).alias("vendor_key"), F.col("debit_account").alias("account"), F.lit(1).cast("long").alias("times"), F.col("seq").alias("first_seq"), F.col("party").alias("raw"))
+        return own.filter("vendor_key <> '' AND account <> ''").groupBy("company_key", "vendor_key", "account").agg(*whole)
 
-    return vouchers.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _merging(vouchers, state, checkpoint, made, lambda old, new: old.unionByName(new).groupBy("company_key", "vendor_key", "account").agg(*whole))
 
 
 def metrics(log: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -85,11 +117,44 @@ def distinct_documents(docs: DataFrame, late: str = "1 day") -> DataFrame:
     return docs.withColumn("hash", F.sha2("text", 256)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["hash"])
 
 
-def scored(entries: DataFrame, index: DataFrame, ceilings: DataFrame) -> DataFrame:
-    """New vouchers against the index and the accounts' ceilings as they arrive (stream-static joins): flags vendor_switch and magnitude."""
-    own = entries.withColumn("vendor_key", X.vendor_key(F.col("party")))
-    one = index.groupBy("company_key", "vendor_key").agg(F.count("*").alias("n"), F.max("times").alias("times"), F.min("account").alias("usual"))
-    rows = own.join(one, ["company_key", "vendor_key"], "left").join(ceilings, ["company_key", "debit_account"], "left")
-    switch = F.when((F.col("n") == 1) & (F.col("times") >= 2) & (F.col("usual") != F.col("debit_account")), "vendor_switch")
-    large = F.when((F.col("seen") >= 2) & (F.col("amount_paise") * 100 > F.col("high") * 300), "magnitude")
-    return rows.select("company_key", "id", F.array_compact(F.array(switch, large)).alias("flags"))
+DOCUMENTS = "hash string, supplier string, number string, first string, n long"
+
+
+def seen_documents(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, DOCUMENTS, ("hash", "supplier", "number"))
+
+
+def remember_documents(docs: DataFrame, state: Versions, checkpoint: str) -> StreamingQuery:
+    """What was seen, across runs: per text its first document and number; and the same per (supplier, number) of bills that state both.
+
+    docs: doc_id (as text), seq, text, supplier, number. ``first`` is the document with the smallest seq of the first batch that has the key.
+    """
+
+    def made(batch: DataFrame) -> DataFrame:
+        none = F.lit("")
+        bill = F.col("supplier").isNotNull() & F.col("number").isNotNull()
+        keys = F.array_compact(F.array(F.struct(F.sha2("text", 256).alias("hash"), none.alias("supplier"), none.alias("number")), F.when(bill, F.struct(none.alias("hash"), F.col("supplier"), F.col("number")))))
+        own = batch.filter("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "seq", F.inline(keys))
+        return own.groupBy("hash", "supplier", "number").agg(F.min_by("doc", "seq").alias("new_first"), F.count("*").alias("new_n"))
+
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.join(new, ["hash", "supplier", "number"], "full")
+        return both.select("hash", "supplier", "number", F.coalesce("first", "new_first").alias("first"), (F.coalesce("n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("n"))
+
+    return _merging(docs, state, checkpoint, made, combine)
+
+
+def facts(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What arriving vouchers are judged by, as tables: per vendor its accounts, most and status; per account account_n, account_tax, seen and high."""
+    vendors = H.ranked(H.vendor_index(history), ["stem", "form", "vendor_key"])
+    accounts = history.groupBy("company_key", "debit_account").agg(F.count("*").alias("account_n"), F.max(F.coalesce("gst_paise", F.lit(0))).alias("account_tax"), F.max("amount_paise").alias("high")).withColumn("seen", F.col("account_n"))
+    return vendors, accounts
+
+
+def judged(entries: DataFrame, vendors: DataFrame, accounts: DataFrame, chart: DataFrame) -> DataFrame:
+    """company_key, id, outcome, first, n: vouchers through look-up, detectors, checks and decision as they arrive (joins of a stream with tables)."""
+    rows = H.with_vendor(entries).join(vendors, ["company_key", "stem", "form", "vendor_key"], "left")
+    rows = rows.withColumn("status", F.coalesce("status", F.lit(H.NO_MATCH))).withColumn("accounts", F.coalesce("accounts", F.array().cast("array<string>")))
+    rows = rows.join(accounts, ["company_key", "debit_account"], "left")
+    names = tuple(n for n in T.BUILT_IN if n not in T.WITHDRAWN)
+    return D.outcomes(D.with_problems(C.checked(T.flagged(rows, names), chart)))

@@ -46,3 +46,34 @@ def test_artifacts_and_figures(spark):
     cases = [(("28/01/26", ""), "a date"), (("2018-09-21", ""), "a date"), (("18", "GST 18 %"), "a percentage"), (("12", "TOTAL QUANTITY: 12"), "a quantity"), (("998311", "HSN/SAC: 998311"), "a classification code"), (("9876543210", ""), "a phone number"), (("1,234.56", "CONTACT"), ""), (("400001", ""), "a postal code"), (("INV-2026-0041", ""), "a document number"), (("12345678", "BILL"), "a document number"), (("10.005", ""), "a malformed amount"), (("Rs. 500.00", "TOTAL"), "")]
     got = values(spark, [c for c, _ in cases], R.not_money(F.col("t"), F.col("u")).alias("w"))
     assert [w for (w,) in got] == [w for _, w in cases]
+
+
+def test_pages(spark):
+    from ledgerloom.operators import fields as P
+
+    page = ["Tax Invoice No : A-1   DATE: 03/04/2026", "SUB  TOTAL", "100.00", "Total Quantity: 12", "AMOUNT DUE", "Rs. 118.00", "CGST @ 9% 9.00", "SGST 9.00", "SGST: 9.00"]
+    other = ["TOTAL 5.00", "Total: 6.00", "TAX 1.00", "UTGST 1.00", "VENDOR:  ", "SUPPLIER? x"]
+    lines = spark.createDataFrame([(d, k, t) for d, own in (("a", page), ("b", other)) for k, t in enumerate(own)], "doc_id string, line_no int, text string")
+    told = {(r["doc_id"], r["field"]): (r["value"], r["confidence"]) for r in P.page_fields(lines).collect()}
+    assert told == {("a", "total"): ("11800", 0.5), ("a", "number"): ("A-1", 1.0), ("a", "date"): ("2026-04-03", 1.0), ("a", "net"): ("10000", 0.5), ("b", "tax"): ("100", 1.0)}
+    assert {r["doc_id"]: r["tax"] for r in P.split_tax(lines).collect()} == {"a": 1800, "b": None}
+    assert P.page_fields(lines.limit(0)).count() == 0 and P.nearby(lines.limit(0)).count() == 0 and P.table_rows(lines).count() == 0
+
+
+def test_redaction(spark):
+    from ledgerloom.functions.redact import redacted
+
+    cases = [("password: hunter22, x", "password: [REDACTED], x"), ("party='Acme Ltd'", "party=[REDACTED party len=8]"), ('"api-key" = "a b c"; y', '"api-key" = [REDACTED]; y'), ("http://u:p@h/x", "http://[REDACTED]@h/x"), ("amount=4,200.50 INR 5", "amount=[REDACTED amount] [REDACTED amount]"), ("a" * 64, "[REDACTED]"), ("environ({'A': 'b'})", "environ([REDACTED environment])"), ("tokens of text", "tokens of text"), (None, None)]
+    got = values(spark, [c for c, _ in cases], redacted(F.col("t")).alias("a"))
+    assert [a for (a,) in got] == [w for _, w in cases]
+    twice = values(spark, [w for _, w in cases], redacted(F.col("t")).alias("a"))
+    assert [a for (a,) in twice] == [w for _, w in cases]
+
+
+def test_ledger_groups(spark):
+    from ledgerloom.operators import placement as L
+
+    chart = spark.createDataFrame([("c", "Cash", "Cash-in-Hand"), ("c", "Rent", "Indirect Expenses"), ("c", "Old", "Sundry Creditors")], "company_key string, account string, parent string")
+    legs = spark.createDataFrame([("c", "1", "New", "Rent", "New"), ("c", "2", "New", "New", "Cash"), ("c", "3", "x", "Stock", "Till"), ("c", "4", "x", "RENT", ""), ("d", "5", "x", "A", "B"), ("c", "6", "New", "New", "Rent"), ("c", "7", "New", "New", "Suspense")], "company_key string, id string, party string, debit_account string, credit_account string")
+    got = {(r["id"], r["side"]): r["found"] or r["refused"] for r in L.ledger_groups(legs, chart).collect()}
+    assert got == {("1", "debit"): "Indirect Expenses", ("1", "credit"): "Sundry Creditors", ("2", "debit"): "Sundry Creditors", ("2", "credit"): "Cash-in-Hand", ("3", "debit"): "a person's decision", ("3", "credit"): "Cash-in-Hand", ("4", "debit"): "differs in case only", ("4", "credit"): "no name", ("5", "debit"): "no groups in use", ("5", "credit"): "no groups in use", ("6", "debit"): "group isn't in use", ("6", "credit"): "Indirect Expenses", ("7", "debit"): "the other leg doesn't tell", ("7", "credit"): "Cash-in-Hand"}
