@@ -12,6 +12,7 @@ Templates are a parameter of fixed size (MOST_WORDS), so every task holds their
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -122,9 +123,9 @@ def _wrapped(lines: list[list[bytes]], templates: Templates, found: list[tuple[s
         if len(every & wanted) < need:
             continue
         hits = [(p, i, w) for p, (i, w) in enumerate(flat) if w in wanted]
-        runs: dict[tuple[int, int], int] = {}
+        passes: list[list[tuple[int, int, int]]] = []  # (first line, last line, words): both lines never fall inside a pass
         for least in (False, True):  # whole windows; then without what their start can spare
-            counts, left = defaultdict(int), 0
+            counts, left, own = defaultdict(int), 0, []
             for p, i, w in hits:
                 counts[w] += 1
                 while hits[left][0] <= p - span or least and (counts[hits[left][2]] > 1 or len(counts) > need):
@@ -134,14 +135,15 @@ def _wrapped(lines: list[list[bytes]], templates: Templates, found: list[tuple[s
                         del counts[first]
                     left += 1
                 if len(counts) >= need:
-                    at = hits[left][1], i
-                    runs[at] = max(runs.get(at, 0), len(counts))
-        inner = [(i, i + n - 1) for own, i, n, _ in found if own == label]
-        for a, b in sorted(runs, key=lambda r: (r[1] - r[0], r)):
-            if not any(a <= x and y <= b for x, y in inner):
-                inner.append((a, b))
-                if b - a >= JOINED:
-                    out.append((label, a, b - a + 1, max(n for (x, y), n in runs.items() if x <= a and b <= y) / len(words)))
+                    own.append((hits[left][1], i, len(counts)))
+            passes.append(own)
+        runs = {(a, b, 1) for own in passes for a, b, _ in own} | {(i, i + n - 1, 0) for own, i, n, _ in found if own == label}
+        ends = len(lines)  # the least last line of the runs that begin here or later
+        for a, b, fresh in sorted(runs, key=lambda r: (-r[0], r[1], r[2])):
+            if fresh and b < ends and b - a >= JOINED:
+                around = [n for own in passes for x, y, n in own[bisect_left(own, b, key=lambda r: r[1]) : bisect_right(own, a, key=lambda r: r[0])]]
+                out.append((label, a, b - a + 1, max(around) / len(words)))
+            ends = min(ends, b)
     return out
 
 
@@ -158,9 +160,10 @@ def _scan(docs: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[by
             if not heads.isdisjoint(words):
                 line = b" " + b" ".join(words) + b" "
                 for phrase, label in phrases.items():
-                    at = line.find(b" " + phrase + b" ")
+                    at, place, seen = line.find(b" " + phrase + b" "), 0, 0
                     while at >= 0:
-                        starts.append(line.count(b" ", 0, at))
+                        place, seen = place + line.count(b" ", seen, at), at
+                        starts.append(place)
                         labels.add(label)
                         at = line.find(b" " + phrase + b" ", at + 1)
             if not templates.first.isdisjoint(words):
@@ -179,7 +182,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     Phrases are found wherever their words stand one after the other, whatever is between them; places are
     words from 0. A null text has no words and no blocks. Notices wrapped over any number of lines are found. A run of lines is told only if no shorter run inside
-    it meets the template. Repeated rows are scanned one by one; other columns don't matter.
+    it meets the template. Time is linear in a text, however long. Repeated rows are scanned one by one; an empty table gives no rows; other columns don't matter.
     """
     templates = TEMPLATES if templates is None else templates
     index = Templates(templates, order(docs.select(docs["text"]), templates), threshold)

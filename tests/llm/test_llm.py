@@ -564,3 +564,34 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/stage3").collect()}
     assert "[redacted]" in text[200] and "abcdef123456" not in text[200]
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "text", "taken"} <= set(out.columns)
+
+
+def test_long_texts_of_the_models(spark):
+    """A text of a million words in the language model's and the toxicity machine's way costs no more memory than its words."""
+    rows = [(1, "one word " * 400_000, "a"), (2, "other text here", "a"), (9, "x" * 300_000, "b")]
+    got = {r["doc_id"]: r for r in ctw.score(frame(spark, rows)).collect()}
+    assert set(got) == {1, 2, 9} and got[1]["score"] < got[2]["score"] < 0
+
+
+def test_licences_in_long_texts_cost_no_more_than_their_words(spark):
+    import time
+
+    index = licences.Templates(licences.TEMPLATES, dict.fromkeys({w for t in licences.TEMPLATES.values() for w in licences.plain(t.encode())}, 1), 0.8)
+    notice = licences.TEMPLATES["mit-notice"].replace(" ", "\n")
+    for text, most in ((b"cc by " * 60_000, 60_000), ((notice + "\n") .encode() * 3_000, 0)):
+        began = time.process_time()
+        batch = licences.pa.RecordBatch.from_arrays([licences.pa.array([1]), licences.pa.array([text.decode()])], ["doc_id", "text"])
+        (got,) = licences._scan(iter([batch]), index, {p.encode(): x for p, x in licences.PHRASES.items()})
+        assert time.process_time() - began < 10
+        row = got.to_pylist()[0]
+        assert row["n_base"] == most and (most or len([b for b in row["blocks"] if b["label"] == "mit-notice"]) >= 3_000)
+    assert licences.scan(frame(spark, [])).count() == 0
