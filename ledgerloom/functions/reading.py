@@ -27,6 +27,7 @@ MONTHS = "January February March April May June July August September October No
 #: Fixed value: two-digit years up to this one are of this century.
 PIVOT = 68
 DAY_FIRST, NO_ORDER, EITHER = "day first", "no order", "either order"
+#: The three shapes of a printed date.
 _ISO = r"(?<![0-9])([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})(?![0-9])"
 _SPELT = r"(?<![0-9])([0-9]{1,2})[ -]+([A-Za-z]{3,9})\.?[ -]+([0-9]{4})(?![0-9])"
 _FIGURES = r"(?<![0-9])([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})(?![0-9])"

@@ -168,6 +168,7 @@ def is_label(text: Column) -> Column:
     return F.upper(F.trim(text)).rlike("^(?:" + "|".join(known).replace("-", r"\-") + ")")
 
 
+#: What looks like a date in the head of a page.
 _DAYS = (r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", r"\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b", r"(?i)\b[0-9]{1,2}[\s.-]*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s.,-]*[0-9]{2,4}\b")
 
 
