@@ -1,7 +1,7 @@
 """Redaction of text: learned values first, then rules in order; running it twice changes nothing.
 
-A rule is a scanner (what to look for) and what becomes of a find. A find is rebuilt from its parts by column functions, so one that is hidden already can stay as it is,
-and a party can leave its length behind.
+A rule is a scanner (what to look for) and what becomes of a find. A find is replaced, or rebuilt from its parts by column functions where the
+new form hangs on them: a party leaves its length behind. What is hidden already stays as it is.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ MONEY = ("amount", "amount_paise", "gst_paise")
 PARTIES = ("vendor", "vendor_id", "party", "supplier", "payee", "subject", "raw_subject", "ledger")
 LEAST = 8
 
-#: name, scanner with the groups before, found and after, and the new form of a find.
-Rule = tuple[str, str, Callable[[Column], Column]]
+#: name, scanner with the groups before, found and after, and the new form of a find: a replacement, or a function of its parts.
+Rule = tuple[str, str, str | Callable[[Column], Column]]
 
 
 def keyed(words: Sequence[str], value: str) -> str:
@@ -29,41 +29,37 @@ def keyed(words: Sequence[str], value: str) -> str:
     return rf"(?i)\b((?:{'|'.join(words)})\b[\"']?\s*[:=]\s*)({value})()"
 
 
-def _with(mark: str) -> Callable[[Column], Column]:
-    return lambda m: F.concat(m["before"], F.lit(mark), m["after"])
-
-
 def _bare(value: Column) -> Column:
     return F.btrim(value, F.lit("\"'"))
 
 
-def _unless_hidden(fresh: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda m: F.when(_bare(m["found"]).startswith("[REDACTED"), F.concat(m["before"], m["found"], m["after"])).otherwise(fresh(m))
-
-
 def _party(m: Column) -> Column:
+    if_hidden = F.concat(m["before"], m["found"], m["after"])
     key = F.lower(F.regexp_extract(m["before"], "^[A-Za-z_]+", 0))
-    return F.concat(m["before"], F.lit("[REDACTED "), key, F.lit(" len="), F.length(_bare(m["found"])).cast("string"), F.lit("]"))
+    fresh = F.concat(m["before"], F.lit("[REDACTED "), key, F.lit(" len="), F.length(_bare(m["found"])).cast("string"), F.lit("]"))
+    return F.when(_bare(m["found"]).startswith("[REDACTED"), if_hidden).otherwise(fresh)
 
 
 #: What a value can look like: in quotes of either kind, or up to white space or a mark that ends one; and what a figure does.
 _ENDS = r"\"[^\"]*+\"|'[^']*+'|[^\s,;)\]}]++"
 _FIGURE = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
 RULES: tuple[Rule, ...] = (
-    ("environment", r"(environ\()((?s:\{.*?\}))(\))", _with("[REDACTED environment]")),
-    ("user in an address", r"(://)([^@/\s]+)(@)", _with(HIDDEN)),
-    ("bearer", r"(?i)\b(bearer|basic)\s+(\S+)()", lambda m: F.concat(m["before"], F.lit(f" {HIDDEN}"))),
-    ("credential", keyed(CREDENTIALS, _ENDS), _unless_hidden(_with(HIDDEN))),
-    ("money by key", keyed(MONEY, _FIGURE), _with("[REDACTED amount]")),
-    ("party", keyed(PARTIES, _ENDS), _unless_hidden(_party)),
-    ("digest", r"\b()([0-9A-Fa-f]{64,})()\b", _with(HIDDEN)),
-    ("money by sign", rf"(?i)()((?:₹|\brs\.?|\binr(?=\s))\s*{_FIGURE.removeprefix('-?')})()", _with("[REDACTED amount]")),
+    ("environment", r"(environ\()((?s:\{.*?\}))(\))", "$1[REDACTED environment]$3"),
+    ("user in an address", r"(://)([^@/\s]+)(@)", f"$1{HIDDEN}$3"),
+    ("bearer", r"(?i)\b(bearer|basic)\s+(\S+)()", f"$1 {HIDDEN}"),
+    ("credential", keyed(CREDENTIALS, rf"(?![\"']*\[REDACTED)(?:{_ENDS})"), f"$1{HIDDEN}$3"),
+    ("money by key", keyed(MONEY, _FIGURE), "$1[REDACTED amount]$3"),
+    ("party", keyed(PARTIES, _ENDS), _party),
+    ("digest", r"\b()([0-9A-Fa-f]{64,})()\b", f"$1{HIDDEN}$3"),
+    ("money by sign", rf"(?i)()((?:₹|\brs\.?|\binr(?=\s))\s*{_FIGURE.removeprefix('-?')})()", "$1[REDACTED amount]$3"),
 )
 
 
 def _applied(text: Column, rule: Rule) -> Column:
     """The text with each find in its new form: the pieces between finds, and the finds, side by side."""
     _, scanner, fresh = rule
+    if isinstance(fresh, str):
+        return F.regexp_replace(text, scanner, fresh)
 
     def rebuilt(t: Column) -> Column:
         finds = F.arrays_zip(*[F.regexp_extract_all(t, F.lit(scanner), F.lit(k)).alias(n) for k, n in enumerate(("before", "found", "after"), 1)])
