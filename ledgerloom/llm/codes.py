@@ -163,7 +163,7 @@ def encode(rows: DataFrame, books: list[Codebook]) -> DataFrame:
     """
     bounds = np.cumsum([0] + [b.entries.shape[1] for b in books]).tolist() if books else [0]
     slim = rows.select(F.struct(*[c for c in rows.columns if c != "part"]).alias("row"), "part")
-    schema = slim.drop("part").withColumns({"code": F.lit(b""), "error": F.lit(0).cast("long")}).schema
+    schema = slim.drop("part").withColumns({"code": F.lit(None).cast("binary"), "error": F.lit(None).cast("long")}).schema
     out = slim.mapInArrow(partial(_encoded, books=books, bounds=bounds), schema) if books else slim.select("row", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("long").alias("error"))
     return out.select("row.*", "code", "error")
 
@@ -177,7 +177,7 @@ def _decoded(rows: Iterator[pa.RecordBatch], books: list[Codebook], scale: int)
 def decode(codes: DataFrame, books: list[Codebook], scale: int = SCALE) -> DataFrame:
     """Columns of ``codes`` but ``code``, and ``vector``: the entries that a code names, one after the other, in the units before scaling."""
     slim = codes.select(F.struct(*[c for c in codes.columns if c != "code"]).alias("row"), "code")
-    schema = slim.drop("code").withColumn("vector", F.array(F.lit(0.0))).schema
+    schema = slim.drop("code").withColumn("vector", F.lit(None).cast("array<double>")).schema
     return slim.mapInArrow(partial(_decoded, books=books, scale=scale), schema).select("row.*", "vector")
 
 

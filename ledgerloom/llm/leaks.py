@@ -28,45 +28,51 @@ WINDOW = 10
 RAREST, SLOP = 3, 10
 CHUNK, ITEM_WORDS = 1_500_000, 1_000_000
 _DOC = pa.struct([("doc_id", pa.string()), ("start", pa.int64()), ("n", pa.int64())])
-_INDEX = "chunk string, term long, n long, positions binary, docs array<struct<doc_id:string,start:long,n:long>>"
+_INDEX = "chunk string, term long, n long, total long, positions binary, docs array<struct<doc_id:string,start:long,n:long>>"
 _FOUND = "doc_id string, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, near array<string>"
 
 
-def _chunk(rows: list[dict], hashes: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of one chunk: its documents first (no term), then a row per word with its positions."""
+def _chunk(rows: list[dict], hashes: list[np.ndarray], copies: list[int]) -> pa.RecordBatch:
+    """Rows of one chunk: its documents first (no term), then a row per word with its positions, and its places in all copies of the texts."""
     words = np.concatenate(hashes).view(np.int64)
     place = np.concatenate([np.arange(r["start"], r["start"] + r["n"], dtype=np.uint32) for r in rows])
+    many = np.repeat(np.array(copies, np.int64), [len(h) for h in hashes])
     order = np.argsort(words, kind="stable")
-    words, place = words[order], place[order]
+    words, place, many = words[order], place[order], many[order]
     cuts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
     ends = np.append(cuts, len(words))
     lists = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(place.tobytes())])
     n, total = len(cuts), rows[-1]["start"] + rows[-1]["n"]
     columns = [
-        pa.array([uuid.uuid4().hex] * (n + 1)), pa.concat_arrays([pa.array([None], pa.int64()), pa.array(words[cuts])]), pa.concat_arrays([pa.array([total], pa.int64()), pa.array(np.diff(ends).astype(np.int64))]),
+        pa.array([uuid.uuid4().hex] * (n + 1)), pa.concat_arrays([pa.array([None], pa.int64()), pa.array(words[cuts])]), pa.concat_arrays([pa.array([total], pa.int64()), pa.array(np.diff(ends).astype(np.int64))]), pa.concat_arrays([pa.array([None], pa.int64()), pa.array(np.add.reduceat(many, cuts) if len(cuts) else many)]),
         pa.concat_arrays([pa.array([None], pa.binary()), lists]), pa.array([rows, *[None] * n], pa.list_(_DOC)),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["chunk", "term", "n", "positions", "docs"])
+    return pa.RecordBatch.from_arrays(columns, ["chunk", "term", "n", "total", "positions", "docs"])
 
 
 def _indexed(docs: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
-    hashes, rows, at, known = [], [], 0, WordHashes()
+    hashes, rows, copies, at, known = [], [], [], 0, WordHashes()
     for batch in docs:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), raw(batch, "text"), strict=True):
+        for doc, text, many in zip(batch.column("doc_id").to_pylist(), raw(batch, "text"), batch.column("copies").to_pylist(), strict=True):
             own = known.of(plain(text))
             rows.append({"doc_id": doc, "start": at, "n": len(own)})
             hashes.append(own)
+            copies.append(many)
             at += len(own) + gap
             if at >= CHUNK:
-                yield _chunk(rows, hashes)
-                hashes, rows, at = [], [], 0
+                yield _chunk(rows, hashes, copies)
+                hashes, rows, copies, at = [], [], [], 0
     if rows:
-        yield _chunk(rows, hashes)
+        yield _chunk(rows, hashes, copies)
 
 
 def index(docs: DataFrame, slop: int = SLOP) -> DataFrame:
-    """The written index of all words of ``docs`` (doc_id, text): chunk, term, n, positions; and a row per chunk with its documents."""
-    slim = docs.select(docs["doc_id"].cast("string").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    """The written index of all words of ``docs`` (doc_id, text): chunk, term, n, positions; and a row per chunk with its documents.
+
+    If there is a column ``copies``, a text stands for so many rows, and ``total`` counts a word's places in all of them.
+    """
+    copies = docs["copies"].cast("long") if "copies" in docs.columns else F.lit(1).cast("long")
+    slim = docs.select(docs["doc_id"].cast("string").alias("doc_id"), docs["text"].cast("string").alias("text"), copies.alias("copies"))
     return kept(slim.mapInArrow(partial(_indexed, gap=WINDOW + max(slop, 0) + 1), _INDEX))
 
 
@@ -168,7 +174,8 @@ def search(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame
     kind = dict(docs.dtypes)["doc_id"]
     if blocks == 1:
         return _found(index(own, slop), tests, slop).withColumn("doc_id", F.col("doc_id").cast(kind))
-    held = index(own.select(F.md5(F.coalesce("text", F.lit(""))).alias("doc_id"), "text").dropDuplicates(["doc_id"]), slop)
+    texts = own.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("doc_id")).agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    held = index(texts, slop)  # each text once; how rare a word is hangs on all rows, as with one block
     merged = _merged([kept(_found(held, tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), slop)) for k in range(blocks)])
     return own.select(F.col("doc_id").cast(kind).alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("key")).join(merged, "key").drop("key")
 
@@ -178,7 +185,7 @@ def _found(held: DataFrame, tests: DataFrame, slop: int) -> DataFrame:
     items = Items([(r["item"], plain((r["text"] or "").encode())) for r in tests.collect()])
     terms = F.broadcast(held.sparkSession.createDataFrame(pa.table({"__term": pa.array(items.terms, pa.int64())})))
     own = held.join(terms, F.col("term") == F.col("__term")).drop("__term")
-    counts = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.sum("total").alias("n")).collect()}
     return _grouped(own.unionByName(held.filter("term IS NULL")), partial(_search, items=items.ranked(counts), slop=slop))
 
 
@@ -204,10 +211,10 @@ def _merged(found: list[DataFrame]) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, without any hit. Hits hang on the text alone and are found by it."""
-    key = F.md5(F.coalesce("text", F.lit("")))
-    found = search(docs.select(key.alias("doc_id"), docs["text"].alias("text")), benchmark, slop=-1)
-    leaked = kept(found.filter("n_hit > 0").select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(leaked, key == F.col("__leaked"), "left_anti")
+    own = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("key"))
+    found = search(own.select(F.col("key").alias("doc_id"), F.col("row")["text"].alias("text")), benchmark, slop=-1)
+    leaked = kept(found.filter("n_hit > 0").select(F.col("doc_id").alias("key")).distinct())
+    return own.join(leaked, "key", "left_anti").select("row.*")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     units = units.join(took, (F.col("key") == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")), "left")
     size, taken = F.col("words") / F.col("n"), F.floor(F.coalesce("took", F.lit(0)) / F.col("n"))
     units = units.select(F.col("source").alias("__source"), F.col("key").alias("__unit"), size.cast("long").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
-    own = docs.withColumn("__key", key).join(units, (F.col("__key") == F.col("__unit")) & F.col("source").eqNullSafe(F.col("__source")), "inner")
-    return own.select(*docs.columns, "size", "source_size", "target", "taken")
+    own = docs.select(F.struct("*").alias("row"), docs["source"].alias("source"), key.alias("__key")).join(units, (F.col("__key") == F.col("__unit")) & F.col("source").eqNullSafe(F.col("__source")), "inner")
+    return own.select("row.*", "size", "source_size", "target", "taken")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,10 +249,10 @@ def one_of_each(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     best = found.filter("n_shingles > 0").groupBy("label").agg(first.alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.key").alias("__key"), F.lit(True).alias("__one"))
     empty = found.filter("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(False).alias("__one")).distinct()
     stay = kept(best.union(empty))
-    own = docs.withColumn("__doc", docs["doc_id"].cast("long")).withColumn("__md5", F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))))
+    own = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("__doc"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("__md5"))
     own = own.join(stay, (F.col("__md5") == F.col("__key")) & F.col("__doc").eqNullSafe(F.col("__id")))
     nth = F.row_number().over(W.partitionBy("__md5", "__doc").orderBy(F.lit(0)))
-    return own.withColumn("__nth", nth).filter("NOT __one OR __nth = 1").select(*docs.columns)
+    return own.withColumn("__nth", nth).filter("NOT __one OR __nth = 1").select("row.*")
 
 
 def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def _features(of: list[int], own: list[bytes], again: int, grams: int, known: Bu
     for n in range(2, grams + 1):
         start = places[: max(0, len(places) - n + 1)]
         start = start[(start + n - 1 < len(found))]
-        start = start[piece[start] == piece[start + n - 1]]  # a run that crosses a seam ends in another piece
+        start = start[(piece[start] == piece[start + n - 1]) & (first[start + n - 1] >= 0)]  # a run that crosses a seam ends in another piece, or on the seam
         start = start[start + n > again] if again else start
         texts.append(owner[piece[start]])
         buckets.append(np.fromiter((known[b" ".join(found[i : i + n])] for i in start.tolist()), np.int64, len(start)))

@@ -107,7 +107,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[redacted]") -> D
     found = scan(docs.select(F.md5("text").alias("doc_id"), docs["text"].alias("text")), scope)
     spans = found.select(F.col("doc_id").alias("__hash"), F.array_sort(F.concat("base", "linked")).alias("__spans")).filter(F.size("__spans") > 0)
     spans = kept(spans.groupBy("__hash").agg(F.max("__spans").alias("__spans")))
-    own = docs.withColumn("__own", F.md5("text")).join(spans, F.col("__own") == F.col("__hash"), "left")
+    own = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"), F.md5(docs["text"]).alias("__own")).join(spans, F.col("__own") == F.col("__hash"), "left")
 
     def cut(state: Column, s: Column) -> Column:
         gap = F.greatest(F.lit(0), (s["start"] - state["at"]).cast("int"))
@@ -117,11 +117,11 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[redacted]") -> D
 
     rest = lambda state: F.concat(state["out"], F.col("text").substr((state["at"] + 1).cast("int"), F.length("text")))
     clean = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cut, rest)
-    own = own.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        own = own.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return own.select(*docs.columns)
+    changed = F.col("__spans").isNotNull()
+    own = own.select("row", F.when(changed, clean).otherwise(F.col("text")).alias("text"), changed.alias("changed"))
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text").cast(kinds.get("n_chars", "long"))).otherwise(F.col("row")["n_chars"])}
+    return own.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digests(found: DataFrame) -> DataFrame:

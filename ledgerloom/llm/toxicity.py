@@ -93,7 +93,7 @@ class Machine:
     """
 
     def __init__(self, wanted: dict[int, int], alone: np.ndarray | None = None):
-        self.wanted = wanted
+        self.wanted, self.fitted = wanted, False
         n = len(wanted)
         self.alone = np.ones(n, bool) if alone is None else alone
         self.bias, self.w, self.v = 0.0, np.zeros(n), np.random.default_rng(8).normal(0, 0.01, (n, FACTORS))
@@ -106,6 +106,7 @@ class Machine:
         return z, total
 
     def fit(self, terms: list, amounts: list, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, pair_decay: float = 1e-3) -> Machine:
+        self.fitted = len(y) > 0
         rng = np.random.default_rng(9)
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
         self.bias = float(np.log(share / (1 - share)))
@@ -135,6 +136,8 @@ class Machine:
 
     def scores(self, texts: list[bytes | None], terms: TermHashes) -> np.ndarray:
         """Texts are scored in runs of about RUN terms, so that memory hangs on no batch's size."""
+        if not self.fitted:
+            return np.zeros(len(texts))
         out, own, held = [], [], 0
         for k, text in enumerate(texts):
             own.append(terms.of(text))
@@ -157,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     Labels of one document that disagree count as toxic; labels without an id or a value don't count. A document
     counts once, however many rows it has; of several texts of one id, that with the smallest md5 counts (null ones only
-    if there is no other). Without any labelled document the machine says one half for every text.
+    if there is no other). Without any labelled document the machine is unfitted (``fitted`` is false): it says 0 for every
+    text, as nothing is known against any.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
     known = known.filter(remainder("id", 5) != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))

@@ -34,11 +34,16 @@ INDEX = "file string, offset long, length long, page_id long, url string, digest
 
 
 def _record(page: int | None, url: str | None, html: bytes, digest: str, refers: int | None, refers_url: str | None, revisit: bool, place: str) -> bytes:
-    """One gzip member. Headers of ours: X-Page-Id, X-Payload-Bytes (a revisit has no payload to count)."""
+    """One gzip member. Headers of ours: X-Page-Id, X-Payload-Bytes (a revisit has no payload to count), X-Page-Url.
+
+    A URL stands as it is, with characters that no header can hold escaped; if there are any, X-Page-Url holds the
+    URL with all its signs escaped, so that reading gives it back to the letter.
+    """
     block = b"" if revisit else _HTTP + html
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"]
-    link = lambda u: quote(u, safe=":/?#[]@!$&()*+,;=%-._~'")
+    link = lambda u: quote(u, safe=":/?#[]@!$&()*+,;=%-._~'", errors="surrogatepass")
     head += [f"WARC-Target-URI: {link(url)}"] if url is not None else []
+    head += [f"X-Page-Url: {quote(url, safe='', errors='surrogatepass')}"] if url is not None and link(url) != url else []
     head += [f"X-Page-Id: {page}"] if page is not None else []
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {len(html)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if revisit:
@@ -55,7 +60,8 @@ def _parsed(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else None
     number = lambda k: int(fields[k]) if k in fields else None
-    return {"page_id": number("X-Page-Id"), "url": unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None, "record_type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"][5:], "payload_bytes": number("X-Payload-Bytes"), "refers_to": number("X-Refers-To-Page"), "payload": payload}
+    url = unquote(fields["X-Page-Url"], errors="surrogatepass") if "X-Page-Url" in fields else fields.get("WARC-Target-URI")
+    return {"page_id": number("X-Page-Id"), "url": url, "record_type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"][5:], "payload_bytes": number("X-Payload-Bytes"), "refers_to": number("X-Refers-To-Page"), "payload": payload}
 
 
 def _write(pages: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
