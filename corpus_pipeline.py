@@ -3,34 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import leaks, mixing, near, secrets, toxicity
 from ledgerloom.llm.common import kept, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine, fitted on the labels, doesn't call toxic."""
+    """Documents that the machine, fitted on the labels, doesn't call toxic. Without usable labels nothing is known against any: all stay.
+
+    Null and empty texts are scored like others; repeated rows stay or go together.
+    """
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine, docs.columns, "__score").filter("__score < 0.5").drop("__score")
+    own = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))
+    return toxicity.score(own, machine, ["row"]).filter("score < 0.5").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that with the smallest id (one without an id only if all lack it); texts without words stay."""
     return near.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts hold none; an empty benchmark leaves all."""
     return leaks.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
+    """All documents, with a mark in place of each secret; null texts stay null."""
     return secrets.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken (how many of their words, repeats counted)."""
+    """The documents that the mix takes, with size, source_size, target and taken (how many of their words, repeats counted).
+
+    Columns of these names are replaced. Documents without words have nothing to take and go.
+    """
     return mixing.mix(docs).filter("taken > 0")
 
 

@@ -18,7 +18,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from .plans import arrivals, audit, documents, evaluation, ledger, more, reading, reversals, scoring  # noqa: F401  they register their queries
+    from .plans import arrivals, audit, documents, evaluation, extraction, ledger, more, reading, reversals, scoring  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -68,12 +68,13 @@ register("src_audit_jsonl", src_audit_jsonl, "SELECT event_type AS operation, co
 
 def snk_company_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index written by company; then one company is replaced by what all its vouchers say, and another is forgotten."""
-    book, path = V.Book(spark, sf_dir), folder(spark)
-    H.vendor_index(book.history).select("company_key", "vendor_key", "account", "times").write.partitionBy("company_key").parquet(path)
+    book = V.Book(spark, sf_dir)
+    own = books.Companies(spark, folder(spark), "company_key string, vendor_key string, account string, times bigint")
+    own.write(H.vendor_index(book.history).select("company_key", "vendor_key", "account", "times"))
     first, second = (r["n_name"] for r in V.table(spark, sf_dir, "nation").join(book.history.select(F.col("company_key").alias("n_name")).distinct(), "n_name").orderBy("n_name").limit(2).collect())
-    books.replace_company(H.vendor_index(book.vouchers.filter(F.col("company_key") == first)).select("company_key", "vendor_key", "account", "times"), first, path)
-    books.forget_company(spark, second, path)
-    return spark.read.schema("vendor_key string, account string, times bigint, company_key string").parquet(path).select("company_key", "vendor_key", "account", "times")
+    own.replace(H.vendor_index(book.vouchers.filter(F.col("company_key") == first)).select("company_key", "vendor_key", "account", "times"), first)
+    own.forget(second)
+    return own.read()
 
 
 register("snk_company_replace", snk_company_replace, LOOKUP + """

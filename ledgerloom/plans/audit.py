@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import audit as A
+from ..operators import ranks as K
 from ..operators import tax as X
 from . import views as V
 
@@ -67,8 +68,9 @@ def jn_rule_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules with the vouchers that each one's window covers: kept ones and those set aside, with the reason."""
     per = V.vouchers(spark, sf_dir).groupBy("date").agg(F.count("*").alias("n"))
     r = X.load_rules(rules(spark))
-    inside = (F.col("date") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("date") <= F.col("effective_to")))
-    return r.join(per, inside, "left").groupBy("rule_id", "why_not").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("covers"))
+    spans = r.filter("effective_from IS NOT NULL").select(F.col("rule_id").alias("id"), F.col("effective_from").alias("low"), F.col("effective_to").alias("high"))
+    covers = K.covered(per.select(F.col("date").alias("at"), "n"), spans)
+    return r.join(covers, F.col("rule_id") == F.col("id"), "left").select("rule_id", "why_not", F.coalesce("covers", F.lit(0)).alias("covers"))
 
 
 register("jn_rule_load", jn_rule_load, V.VIEWS.rstrip() + RULES_SQL + """
@@ -200,5 +202,7 @@ def agg_op_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("agg_op_summary", agg_op_summary, """
 WITH g AS (SELECT event_type AS operation, count(*) AS n, count(*) FILTER (value < 5) AS failures, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS ms FROM events GROUP BY 1)
 SELECT operation, n, failures, (2 * 10000 * (n - failures) + n) // (2 * n) AS success_rate, ms // n AS mean_ms FROM g""")
-register("agg_percentile", lambda s, d: V.table(s, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95")), "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
+register("agg_percentile", lambda s, d: K.percentiles(V.table(s, d, "events"), "event_type", "value", (50, 95)), """
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(value) FILTER (k = greatest(1, (50 * n + 99) // 100)) AS p50, max(value) FILTER (k = greatest(1, (95 * n + 99) // 100)) AS p95 FROM r GROUP BY 1""")
 register("top_recent", lambda s, d: V.action_log(s, d).orderBy(F.desc("seq")).limit(50).select("seq", "company_key", "action"), V.VIEWS + "SELECT seq, company_key, action FROM action_log ORDER BY seq DESC LIMIT 50")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as X
-from ..functions.redact import CREDENTIALS, redacted
+from ..functions.redact import redacted
 from ..operators import checks as C
 from ..operators import documents as D
 from ..shared import folder
 from ..streaming import log as S
+from ..streaming import windows as N
 from . import views as V
 
 
@@ -55,22 +56,32 @@ f AS (
 SELECT doc, law, verdict, count(*) AS n, sum(out_by)::BIGINT AS out_by FROM f GROUP BY ALL""")
 
 
+#: What is put into texts, and what has to be there afterwards.
+_PLANTED = (
+    (" password: hunter-22, then", " password: [REDACTED], then"), (" {'secret': 'two words here'} ", " {'secret': [REDACTED]} "), (' "api-key" = "a b c"; ', ' "api-key" = [REDACTED]; '), (" my-API-Key=xyz ", " my-API-Key=[REDACTED] "),
+    (" vendor='Halden Paper Mill' ", " vendor='[REDACTED vendor len=17]' "), (" party=Acme and more", " party=[REDACTED party len=4] and more"), (" Supplier : 'Other Mill' ", " Supplier : [REDACTED supplier len=10] "),
+    (" gst_paise: 12,345.60 and amount=-7 ", " gst_paise: [REDACTED amount] and amount=[REDACTED amount] "), (" amount=unknown ", " amount=unknown "), (" ₹ 750 or Rs.1,200.50 or INR 9 ", " [REDACTED amount] or [REDACTED amount] or [REDACTED amount] "),
+    (" ftp://guest:pw@files/x ", " ftp://[REDACTED]@files/x "), (" https://example.org/a ", " https://example.org/a "), (" said Bearer abc.def and", " said Bearer [REDACTED] and"), (" Authorization: Basic dXNlcg== ", " Authorization: [REDACTED] [REDACTED] "),
+    (" digest " + "0aF9" * 16 + " ", " digest [REDACTED] "), (" ad_" + "f" * 64 + " ", " ad_" + "f" * 64 + " "), (" environ({'PATH': '/bin', 'TOKEN': 'x'}) ", " environ([REDACTED environment]) "), (" secretive: yes, tokens ", " secretive: yes, tokens "),
+)
+
+
+def _planted(n: int) -> Column:
+    return F.element_at(F.array(*[F.lit(p[n]) for p in _PLANTED]), (F.col("doc_id") % len(_PLANTED) + 1).cast("int"))
+
+
 def fn_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with a party that was learned, a figure, a login, a bearer's token and an amount put behind them."""
+    """Documents' words (no figures, no signs) with something planted in the middle and at the end, redacted."""
     d = V.table(spark, sf_dir, "documents")
-    text = F.concat("text", F.lit(" vendor='Halden Paper Mill' gst_paise: 12,345.60 ftp://guest:pw@files/x Bearer abc ₹ 750 and "), "source")
-    once = redacted(text, {"Halden Paper Mill": "vendor", "short": ""})
-    return d.select("doc_id", F.explode(F.array(once)).alias("x")).select("doc_id", F.sha2("x", 256).alias("hash"), F.size(F.regexp_extract_all("x", F.lit(r"\[REDACTED"), F.lit(0))).cast("bigint").alias("hidden"))
+    words = F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z\n]+", " "), r"(?i)\b(basic|bearer|rs|inr)\b", "-")
+    text = F.concat(words, _planted(0), F.lit("."), words, _planted(0))
+    out = redacted(text, {"Halden Paper Mill": "vendor", "short": ""})
+    return d.select("doc_id", out.alias("x")).select("doc_id", F.sha2("x", 256).alias("hash"), F.size(F.regexp_extract_all("x", F.lit(r"\[REDACTED"), F.lit(0))).cast("bigint").alias("hidden"))
 
 
-_CRED = "|".join(CREDENTIALS)
-register("fn_redact", fn_redact, rf"""
-WITH t AS (SELECT doc_id, replace(text || ' vendor=''Halden Paper Mill'' gst_paise: 12,345.60 ftp://guest:pw@files/x Bearer abc ₹ 750 and ' || source, 'Halden Paper Mill', '[REDACTED vendor len=17]') AS x FROM documents),
-a AS (SELECT doc_id, regexp_replace(regexp_replace(x, '://[^/\s@]+@', '://[REDACTED]@', 'g'), '(?i)\b(Bearer|Basic)\s+\S+', '\1 [REDACTED]', 'g') AS x FROM t),
-b AS (SELECT doc_id, regexp_replace(x, '(?i)\b({_CRED})\b([\"'']?\s*[=:]\s*)(?:\"[^\"]*\"|''[^'']*''|[^\s,;)\]}}]+)', '\1\2[REDACTED]', 'g') AS x FROM a),
-c AS (SELECT doc_id, regexp_replace(x, '(?i)\b(amount_paise|gst_paise|amount)\b([\"'']?\s*[=:]\s*)(-?\d[\d,]*(?:\.\d+)?)', '\1\2[REDACTED amount]', 'g') AS x FROM b),
-e AS (SELECT doc_id, regexp_replace(regexp_replace(x, '\b[0-9a-fA-F]{{64,}}\b', '[REDACTED]', 'g'), '(?i)(?:₹|\bRs\.?\s*|\bINR\s+)\s*\d[\d,]*(?:\.\d+)?', '[REDACTED amount]', 'g') AS x FROM c)
-SELECT doc_id, sha256(x) AS hash, len(regexp_extract_all(x, '\[REDACTED')) AS hidden FROM e""")
+register("fn_redact", fn_redact, r"""
+WITH w AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z\n]+', ' ', 'g'), '(?i)\b(basic|bearer|rs|inr)\b', '-', 'g') AS w, ([""" + ", ".join("'" + p[1].replace("'", "''") + "'" for p in _PLANTED) + r"""])[doc_id % """ + str(len(_PLANTED)) + r""" + 1] AS p FROM documents),
+x AS (SELECT doc_id, w || p || '.' || w || p AS x FROM w) SELECT doc_id, sha256(x) AS hash, len(regexp_extract_all(x, '\[REDACTED')) AS hidden FROM x""")
 
 
 def fn_bill_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,14 +154,57 @@ def st_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("st_claim", st_claim, V.VIEWS + "SELECT company_key, operation_id, count(*) - 1 AS refused, min(seq) AS seq FROM action_log GROUP BY ALL")
 
 
-def _run(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A windowed stream's complete result, as a written table."""
-    place = folder(spark)
-    df.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{place}/out")).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+def _parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream of four files, by time; one row in fifty comes with the last file, whenever it was written."""
+    static = V.action_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = static.agg(F.min(F.unix_seconds("ts")).alias("a"), F.max(F.unix_seconds("ts")).alias("b")).first()
+    path = folder(spark)
+    nth = F.when(F.col("seq") % 50 == 0, 3).otherwise(F.expr(f"(unix_seconds(ts) - {ends['a'] or 0}) * 4 div {(ends['b'] or 0) - (ends['a'] or 0) + 1}"))
+    for k in range(4):  # one file each, one after the other: a stream takes them in order of their times
+        static.filter(nth == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-register("st_metrics", lambda s, d: _run(s, S.metrics(_events(s, d), size="1 day")).select("company_key", F.col("window.start").cast("string").alias("start"), "rows", "writes", "unknown"), V.VIEWS + "SELECT company_key, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS rows, count(*) FILTER (action = 'write_attempted') AS writes, count(*) FILTER (outcome = 'unknown') AS unknown FROM action_log GROUP BY 1, 2")
-register("st_session", lambda s, d: _run(s, S.sessions(_events(s, d), gap="12 hours")).groupBy("operation_id").agg(F.count("*").alias("sessions"), F.sum("lines").alias("lines")), V.VIEWS + """
-, g AS (SELECT operation_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY operation_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM action_log)
-SELECT operation_id, sum(fresh)::BIGINT AS sessions, count(*) AS lines FROM g GROUP BY 1""")
+def _windows(spark: SparkSession, sf_dir: str, made) -> N.Windows:
+    place = folder(spark)
+    windows = made(spark, f"{place}/windows")
+    windows.start(_parted(spark, sf_dir), f"{place}/checkpoint").awaitTermination()
+    return windows
+
+
+def st_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that have closed, and those that are open still."""
+    w = _windows(spark, sf_dir, lambda s, p: N.metrics(s, p, late="6 hours", size="1 day"))
+    rows = w.rows("closed").withColumn("closed", F.lit(True)).unionByName(w.rows("open").withColumn("closed", F.lit(False)))
+    return rows.select("company_key", F.col("start").cast("string").alias("start"), "rows", "writes", "unknown", "closed")
+
+
+def st_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that came after their window had closed: how many, by company and day."""
+    w = _windows(spark, sf_dir, lambda s, p: N.metrics(s, p, late="6 hours", size="1 day"))
+    return w.rows("late").groupBy("company_key", F.date_trunc("day", "ts").cast("string").alias("start"), "batch").agg(F.count("*").alias("n"))
+
+
+def st_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _windows(spark, sf_dir, lambda s, p: N.sessions(s, p, gap="12 hours", late="6 hours"))
+    rows = w.rows("closed").unionByName(w.rows("open"))
+    return rows.groupBy("operation_id").agg(F.count("*").alias("sessions"), F.sum("lines").alias("lines"), F.max("lines").alias("longest"))
+
+
+#: Rows with the batch that brings them and the watermark before it; a row is late if its window's end isn't beyond it.
+_PARTED = V.VIEWS + """
+, ends AS (SELECT min(floor(epoch(ts)))::BIGINT AS a, max(floor(epoch(ts)))::BIGINT AS b FROM action_log),
+parted AS (SELECT l.*, CASE WHEN seq % 50 = 0 THEN 3 ELSE (floor(epoch(ts))::BIGINT - a) * 4 // (b - a + 1) END AS batch FROM action_log l, ends),
+marks AS (SELECT batch, lag(high) OVER (ORDER BY batch) - INTERVAL 6 HOUR AS mark FROM (SELECT batch, max(max(ts)) OVER (ORDER BY batch) AS high FROM parted GROUP BY batch)),
+final AS (SELECT max(ts) - INTERVAL 6 HOUR AS mark FROM parted)"""
+_DAYS = _PARTED + """
+, rows AS (SELECT p.*, date_trunc('day', ts) AS start, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM parted p JOIN marks USING (batch))"""
+register("st_metrics", st_metrics, _DAYS + """
+SELECT company_key, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS rows, count(*) FILTER (action = 'write_attempted') AS writes, count(*) FILTER (outcome = 'unknown') AS unknown,
+  start + INTERVAL 1 DAY <= any_value(mark) AS closed FROM rows, final WHERE NOT late GROUP BY company_key, rows.start""")
+register("st_late", st_late, _DAYS + " SELECT company_key, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, batch, count(*) AS n FROM rows WHERE late GROUP BY company_key, rows.start, batch")
+register("st_session", st_session, _PARTED + """
+, kept AS (SELECT operation_id, ts FROM parted JOIN marks USING (batch) WHERE NOT coalesce(ts + INTERVAL 12 HOUR <= mark, false)),
+g AS (SELECT operation_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY operation_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM kept),
+n AS (SELECT operation_id, sum(fresh) OVER (PARTITION BY operation_id ORDER BY ts) AS nth FROM g), s AS (SELECT operation_id, nth, count(*) AS lines FROM n GROUP BY ALL)
+SELECT operation_id, count(*) AS sessions, sum(lines)::BIGINT AS lines, max(lines) AS longest FROM s GROUP BY 1""")

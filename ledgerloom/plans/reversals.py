@@ -9,6 +9,8 @@ from ..catalog import register
 from ..functions import text as X
 from ..operators import audit as A
 from ..operators import reversal as R
+from ..shared import folder
+from ..streaming import proposals as P
 from . import views as V
 
 
@@ -51,12 +53,17 @@ def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat_ws("-", "user_id", F.get_json_object("props", "$.k")).alias("proposal"), n.alias("seq"), nth.alias("event"), F.when(n % 7 != 0, "said").alias("reason"), F.when(n % 4 != 0, "op").alias("operation_id"), F.when(n % 2 == 0, "me").alias("actor"))
 
 
-def st_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state machine's batch form: every proposal's events folded in order."""
-    return R.folded(_proposals(spark, sf_dir), ["proposal"])
+def _followed(spark: SparkSession, sf_dir: str) -> str:
+    """The events as a stream of three files, in order of their numbers, a batch each, through the state machine; where its moves are."""
+    place, rows = folder(spark), _proposals(spark, sf_dir)
+    most = rows.agg(F.max("seq").alias("m")).first()["m"] or 0
+    for k in range(3):
+        rows.filter(F.expr(f"seq * 3 div {most + 1}") == k).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    P.follow(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return f"{place}/out"
 
 
-register("st_state", st_state, """
+_STATES = """
 WITH RECURSIVE e AS (SELECT user_id || '-' || (props ->> 'k') AS p, event_id AS q, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'conservation_failed' ELSE 'conservation_passed' END WHEN 'click' THEN CASE WHEN event_id % 5 = 0 THEN 'validation_failed' ELSE 'validation_passed' END
     WHEN 'error' THEN (['confidence_high', 'confidence_medium', 'confidence_low', 'answered', 'answers_exhausted'])[event_id % 5 + 1] WHEN 'purchase' THEN (['write_claimed', 'write_confirmed', 'write_failed'])[event_id % 3 + 1] ELSE CASE WHEN event_id % 2 = 0 THEN 'hard_rule_violated' ELSE 'confidence_high' END END AS v,
     event_id % 7 <> 0 AS said, event_id % 4 <> 0 AS op, event_id % 2 = 0 AS me FROM events),
@@ -68,7 +75,12 @@ f AS (SELECT p, 0::BIGINT AS i, 'observed' AS s, false AS cp, false AS vp, false
       WHEN v IN ('conservation_failed', 'validation_failed') AND s = 'observed' AND said THEN 'blocked' WHEN v = 'confidence_high' AND s = 'checked' THEN 'decided' WHEN v = 'confidence_medium' AND s = 'checked' THEN 'asking' WHEN v = 'confidence_low' AND s = 'checked' AND said THEN 'blocked'
       WHEN v = 'answered' AND s = 'asking' AND said THEN 'decided' WHEN v = 'answers_exhausted' AND s = 'asking' AND said THEN 'blocked' WHEN v = 'write_claimed' AND s = 'decided' AND op AND (ok OR me) THEN 'posting' WHEN v = 'write_confirmed' AND s = 'posting' AND said THEN 'posted'
       WHEN v = 'write_failed' AND s = 'posting' AND said THEN 'blocked' WHEN v = 'hard_rule_violated' AND s IN ('observed', 'checked', 'decided', 'asking') AND said THEN 'blocked' END AS t FROM f JOIN n ON n.p = f.p AND n.i = f.i + 1))
-SELECT f.p AS proposal, s AS state, bad AS illegal FROM f JOIN (SELECT DISTINCT p, c FROM n) l ON l.p = f.p AND l.c = f.i""")
+"""
+_LAST = _STATES + " SELECT f.p AS proposal, s AS state, bad AS illegal FROM f JOIN (SELECT DISTINCT p, c FROM n) l ON l.p = f.p AND l.c = f.i"
+register("st_state", lambda s, d: P.states(s, _followed(s, d)), _LAST)
+register("st_state_fold", lambda s, d: R.folded(_proposals(s, d), ["proposal"]), _LAST)  # the batch form: all events of a proposal, folded at once
+register("st_state_refused", lambda s, d: P.told(s, _followed(s, d), True).select("proposal", "seq", "event", "before", "verdict"), _STATES + """
+SELECT g.p AS proposal, n.q AS seq, n.v AS event, f.s AS before, 'illegal' AS verdict FROM f JOIN f g ON g.p = f.p AND g.i = f.i + 1 AND g.bad > f.bad JOIN n ON n.p = g.p AND n.i = g.i""")
 
 
 def jn_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import operation_in
+from .manifest import Manifest
 
 _VOUCHER = "ID string, DATE string, PARTY string, NARRATION string, LEG array<struct<LEDGER:string,PAISE:bigint>>"
 _LOG = "ts timestamp, operation string, company string, ok boolean, ms bigint, detail string"
@@ -44,20 +45,50 @@ def write_book(vouchers: DataFrame, truth: DataFrame, folder: str) -> None:
     truth.write.mode("error").option("ignoreNullFields", "false").json(f"{folder}/truth")
 
 
-def replace_company(index: DataFrame, company: str, path: str) -> None:
-    """One company's part of a partitioned index is replaced, the others stay; rows of another company refuse the write."""
-    if not index.filter(~F.col("company_key").eqNullSafe(F.lit(company))).isEmpty():
-        raise ValueError(f"rows of another company than {company}")
-    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_key").parquet(path)
+class Companies:
+    """An index by company, each company's rows in folders of their own; a manifest points at the folder that holds.
 
+    Rows are written to a new folder first; then one commit moves the pointer. So a reader has a company as it was or as it is, and of a replaced company
+    never both or neither. Old folders stay while the manifest before the newest names them, for readers that have just begun.
+    """
 
-def forget_company(spark: SparkSession, company: str, path: str) -> None:
-    """One company's part of a partitioned index is removed; a company that isn't there is no error."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in store.listStatus(root):
-        if unquote(part.getPath().getName()) == f"company_key={company}":
-            store.delete(part.getPath(), True)
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.schema, self.manifest = spark, schema, Manifest(spark, path)
+
+    def _point(self, change) -> None:
+        """``change``: the pointers to what they become; again if another writer was first, as its companies have to stay."""
+        while True:
+            number, content = self.manifest.newest()
+            if self.manifest.commit(number + 1, {"paths": change(dict(content.get("paths", {})))}):
+                self.manifest.tidy(("data",))
+                return
+
+    def write(self, index: DataFrame) -> None:
+        """Replaces every company that ``index`` has rows of, in one commit; the others stay. A null company is refused."""
+        place = f"data/{uuid.uuid4().hex}"
+        named = F.coalesce("company_key", F.raise_error(F.lit("rows without a company")).cast("string"))
+        index.withColumn("folder", F.sha2(named, 256)).write.partitionBy("folder").parquet(f"{self.manifest.folder}/{place}")
+        fresh = {r["company_key"]: f"{place}/folder={r['folder']}" for r in index.select("company_key").distinct().withColumn("folder", F.sha2("company_key", 256)).collect()}  # a row per company
+        self._point(lambda old: old | fresh)
+
+    def replace(self, index: DataFrame, company: str) -> None:
+        """One company's rows; rows of another company refuse the write, and no rows at all leave the company empty."""
+        if not index.filter(~F.col("company_key").eqNullSafe(F.lit(company))).isEmpty():
+            raise ValueError(f"rows of another company than {company}")
+        place = f"data/{uuid.uuid4().hex}"
+        index.write.parquet(f"{self.manifest.folder}/{place}")
+        self._point(lambda old: old | {company: place})
+
+    def forget(self, company: str) -> None:
+        """The company's pointer goes; one that isn't there is no error. Its rows go too, with every manifest that names them."""
+        self._point(lambda old: {k: v for k, v in old.items() if k != company})
+        self.manifest.tidy(("data",), keep=1)
+
+    def read(self, companies: list[str] | None = None) -> DataFrame:
+        """The rows of all companies, or of those named; of what one manifest says."""
+        paths = self.manifest.newest()[1].get("paths", {})
+        full = [f"{self.manifest.folder}/{p}" for c, p in sorted(paths.items()) if companies is None or c in companies]
+        return self.spark.read.schema(self.schema).parquet(*full) if full else self.spark.createDataFrame([], self.schema)
 
 
 def append_actions(log: DataFrame, path: str, nullable: tuple[str, ...] = ("actor", "previous_state"), mark: str = "not recorded") -> None:

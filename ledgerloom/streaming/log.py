@@ -1,13 +1,11 @@
-"""The log as a stream: first claims, an index that grows, windowed metrics, sessions, repeats, and vouchers judged as they arrive.
+"""The log as a stream: first claims, an index that grows, repeats, vouchers judged as they arrive; windowed metrics and sessions whose state Spark keeps.
 
-Claims and the index have no watermark, as what is claimed stays claimed: their state is a table that grows with the number of
-keys. It is kept in parts by hash of the key; a micro-batch reads and rewrites the parts that its own keys fall into, and no others. Each part has numbered versions: the
-newest finished one is the state, the one before it stays until the next batch, so that a batch that is repeated after a failure starts from the same state.
+Claims and the index have no watermark, as what is claimed stays claimed: their state is a keyed table (``streaming.table``) to which a micro-batch adds a run of its own size.
+Windows whose late rows are kept and counted are in ``streaming.windows``; the plain forms here leave late rows out.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,85 +17,65 @@ from ..operators import checks as C
 from ..operators import decide as D
 from ..operators import detect as T
 from ..operators import history as H
+from .table import Table
 
+CLAIMS = "company_key string, operation_id string, n long, first struct<version:long,seq:long>"
+INDEX = "company_key string, vendor_key string, account string, times long, first struct<seq:long,raw:string>"
+DOCUMENTS = "hash string, supplier string, number string, n long, first struct<version:long,seq:long,doc:string>"
 
-class Versions:
-    """A keyed table in ``parts`` parts of numbered versions: ``folder/v<batch>/part=<p>``."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: tuple[str, ...], parts: int = 64):
-        self.spark, self.folder, self.schema, self.keys, self.parts = spark, folder.rstrip("/"), schema, keys, parts
+def claims(spark: SparkSession, folder: str) -> Table:
+    """company_key, operation_id, refused, seq."""
+    whole = [F.sum("n").alias("n"), F.min("first").alias("first")]
+    return Table(spark, folder, CLAIMS, ("company_key", "operation_id"), whole, ("company_key", "operation_id", (F.col("n") - 1).alias("refused"), F.col("first.seq").alias("seq")))
 
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> dict[int, list[int]]:
-        """Part to its finished versions, oldest first: names of folders only."""
-        root, store = self._path(self.folder)
-        found: dict[int, list[int]] = {}
-        for v in store.listStatus(root) if store.exists(root) else ():
-            number = re.fullmatch(r"v(\d+)", v.getPath().getName())
-            if number and store.exists(self._path(f"{v.getPath().toString()}/_SUCCESS")[0]):
-                for p in store.listStatus(v.getPath()):
-                    if part := re.fullmatch(r"part=(\d+)", p.getPath().getName()):
-                        found.setdefault(int(part[1]), []).append(int(number[1]))
-        return {p: sorted(v) for p, v in found.items()}
+def growing_index(spark: SparkSession, folder: str) -> Table:
+    """company_key, vendor_key, account, times, first_seq, raw."""
+    whole = [F.sum("times").alias("times"), F.min("first").alias("first")]
+    return Table(spark, folder, INDEX, ("company_key", "vendor_key", "account"), whole, ("company_key", "vendor_key", "account", "times", F.col("first.seq").alias("first_seq"), F.col("first.raw").alias("raw")))
 
-    def read(self, below: int | None = None, parts: list[int] | None = None) -> DataFrame:
-        """The state (of some parts only, if they are given), as it was before a batch."""
-        newest = {p: max((n for n in v if below is None or n < below), default=None) for p, v in self._versions().items() if parts is None or p in parts}
-        paths = [f"{self.folder}/v{n}/part={p}" for p, n in newest.items() if n is not None]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def merge(self, new: DataFrame, batch: int, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Applies ``combine(old, new)`` to the parts that ``new`` touches."""
-        place = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
-        new = new.withColumn("part", place)
-        touched = sorted(r["part"] for r in new.select("part").distinct().collect())  # at most ``parts`` numbers
-        fresh = combine(self.read(batch, touched), new.drop("part")).withColumn("part", place)
-        fresh.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/v{batch}")
-        for p, versions in self._versions().items():
-            for old in [n for n in versions if n < batch][:-1]:
-                path, store = self._path(f"{self.folder}/v{old}/part={p}")
-                store.delete(path, True)
+def seen_documents(spark: SparkSession, folder: str) -> Table:
+    """hash, supplier, number, first, n."""
+    whole = [F.sum("n").alias("n"), F.min("first").alias("first")]
+    return Table(spark, folder, DOCUMENTS, ("hash", "supplier", "number"), whole, ("hash", "supplier", "number", F.col("first.doc").alias("first"), "n"))
 
 
-CLAIMS = "company_key string, operation_id string, refused long, seq long"
-INDEX = "company_key string, vendor_key string, account string, times long, first_seq long, raw string"
+def _adding(stream: DataFrame, table: Table, checkpoint: str, made: Callable[[DataFrame, int], DataFrame]) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(lambda batch, number: table.add(lambda version: made(batch, version), number, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def claims(spark: SparkSession, folder: str) -> Versions:
-    return Versions(spark, folder, CLAIMS, ("company_key", "operation_id"))
-
-
-def growing_index(spark: SparkSession, folder: str) -> Versions:
-    return Versions(spark, folder, INDEX, ("company_key", "vendor_key"))
-
+def claim(log: DataFrame, table: Table, checkpoint: str) -> StreamingQuery:
+    """The first claim (smallest seq of the first batch that has it) of (company_key, operation_id) holds; ``refused`` counts later ones."""
+    return _adding(log, table, checkpoint, lambda b, version: b.select("company_key", "operation_id", F.lit(1).cast("long").alias("n"), F.struct(F.lit(version).cast("long").alias("version"), F.col("seq").cast("long").alias("seq")).alias("first")))
 
-def _merging(stream: DataFrame, state: Versions, checkpoint: str, made: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(lambda batch, number: state.merge(made(batch), number, combine)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def grow_index(vouchers: DataFrame, table: Table, checkpoint: str) -> StreamingQuery:
+    """Counts per (company, vendor, account) and the first raw name; equal to the batch index of all that has arrived."""
 
-def claim(log: DataFrame, state: Versions, checkpoint: str) -> StreamingQuery:
-    """The first claim (smallest seq of the first batch that has it) of (company_key, operation_id) holds; ``refused`` counts later ones."""
+    def made(batch: DataFrame, version: int) -> DataFrame:
+        first = F.struct(F.col("seq").cast("long").alias("seq"), F.col("party").alias("raw"))
+        own = batch.select("company_key", X.vendor_key(F.col("party")).alias("vendor_key"), F.col("debit_account").alias("account"), F.lit(1).cast("long").alias("times"), first.alias("first"))
+        return own.filter("vendor_key <> '' AND account <> ''")
 
-    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
-        both = old.join(new, ["company_key", "operation_id"], "full")
-        refused = F.when(F.col("seq").isNull(), F.col("n") - 1).otherwise(F.col("refused") + F.coalesce("n", F.lit(0)))
-        return both.select("company_key", "operation_id", refused.alias("refused"), F.coalesce("seq", "new_seq").alias("seq"))
+    return _adding(vouchers, table, checkpoint, made)
 
-    return _merging(log, state, checkpoint, lambda b: b.groupBy("company_key", "operation_id").agg(F.min("seq").alias("new_seq"), F.count("*").alias("n")), combine)
 
+def remember_documents(docs: DataFrame, table: Table, checkpoint: str) -> StreamingQuery:
+    """What was seen, across runs: per text its first document and number; and the same per (supplier, number) of bills that state both.
 
-def grow_index(vouchers: DataFrame, state: Versions, checkpoint: str) -> StreamingQuery:
-    """Counts per (company, vendor, account) and the first raw name; equal to the batch index of all that has arrived."""
-    whole = [F.sum("times").alias("times"), F.min("first_seq").alias("first_seq"), F.min_by("raw", "first_seq").alias("raw")]
+    docs: doc_id (as text), seq, text, supplier, number. ``first`` is the document with the smallest seq of the first batch that has the key.
+    """
 
-    def made(batch: DataFrame) -> DataFrame:
-        own = batch.select("company_key", X.vendor_key(F.col("party")).alias("vendor_key"), F.col("debit_account").alias("account"), F.lit(1).cast("long").alias("times"), F.col("seq").alias("first_seq"), F.col("party").alias("raw"))
-        return own.filter("vendor_key <> '' AND account <> ''").groupBy("company_key", "vendor_key", "account").agg(*whole)
+    def made(batch: DataFrame, version: int) -> DataFrame:
+        none = F.lit("")
+        bill = F.col("supplier").isNotNull() & F.col("number").isNotNull()
+        keys = F.array_compact(F.array(F.struct(F.sha2("text", 256).alias("hash"), none.alias("supplier"), none.alias("number")), F.when(bill, F.struct(none.alias("hash"), F.col("supplier"), F.col("number")))))
+        first = F.struct(F.lit(version).cast("long").alias("version"), F.col("seq").cast("long").alias("seq"), F.col("doc_id").alias("doc"))
+        return batch.filter("text IS NOT NULL").select(first.alias("first"), F.lit(1).cast("long").alias("n"), F.inline(keys))
 
-    return _merging(vouchers, state, checkpoint, made, lambda old, new: old.unionByName(new).groupBy("company_key", "vendor_key", "account").agg(*whole))
+    return _adding(docs, table, checkpoint, made)
 
 
 def metrics(log: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -117,33 +95,6 @@ def distinct_documents(docs: DataFrame, late: str = "1 day") -> DataFrame:
     return docs.withColumn("hash", F.sha2("text", 256)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["hash"])
 
 
-DOCUMENTS = "hash string, supplier string, number string, first string, n long"
-
-
-def seen_documents(spark: SparkSession, folder: str) -> Versions:
-    return Versions(spark, folder, DOCUMENTS, ("hash", "supplier", "number"))
-
-
-def remember_documents(docs: DataFrame, state: Versions, checkpoint: str) -> StreamingQuery:
-    """What was seen, across runs: per text its first document and number; and the same per (supplier, number) of bills that state both.
-
-    docs: doc_id (as text), seq, text, supplier, number. ``first`` is the document with the smallest seq of the first batch that has the key.
-    """
-
-    def made(batch: DataFrame) -> DataFrame:
-        none = F.lit("")
-        bill = F.col("supplier").isNotNull() & F.col("number").isNotNull()
-        keys = F.array_compact(F.array(F.struct(F.sha2("text", 256).alias("hash"), none.alias("supplier"), none.alias("number")), F.when(bill, F.struct(none.alias("hash"), F.col("supplier"), F.col("number")))))
-        own = batch.filter("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "seq", F.inline(keys))
-        return own.groupBy("hash", "supplier", "number").agg(F.min_by("doc", "seq").alias("new_first"), F.count("*").alias("new_n"))
-
-    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
-        both = old.join(new, ["hash", "supplier", "number"], "full")
-        return both.select("hash", "supplier", "number", F.coalesce("first", "new_first").alias("first"), (F.coalesce("n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("n"))
-
-    return _merging(docs, state, checkpoint, made, combine)
-
-
 def facts(history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What arriving vouchers are judged by, as tables: per vendor its accounts, most and status; per account account_n, account_tax, seen and high."""
     vendors = H.ranked(H.vendor_index(history), ["stem", "form", "vendor_key"])

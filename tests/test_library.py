@@ -228,14 +228,6 @@ def test_books_and_sinks(spark, tmp_path):
     assert got["1"]["shape"] == "kept" and got["1"]["amount_paise"] == 5 and got["1"]["credit_account"] == "Bank" and got["2"]["shape"] == "skipped"
     (tmp_path / "ops.jsonl").write_text('{"ts":"2024-01-01T00:00:00Z","operation":"read","ok":true,"ms":5}\n{"ts":"2024-01-02T00:00:00Z","operation":"post","ok":false,"ms":7}\n{"ts":"2024-01-03T00:')
     assert [r["operation"] for r in books.operations(spark, str(tmp_path / "ops.jsonl"), last=2).collect()] == ["read", "post"]
-    index = spark.createDataFrame([("c", "k", 1), ("d", "k", 2)], "company_key string, vendor_key string, times long")
-    path = str(tmp_path / "index")
-    books.replace_company(index.filter("company_key = 'c'"), "c", path)
-    books.replace_company(index.filter("company_key = 'd'"), "d", path)
-    books.replace_company(index.filter("company_key = 'c'").withColumn("times", F.lit(9).cast("long")), "c", path)
-    assert {(r["company_key"], r["times"]) for r in spark.read.parquet(path).collect()} == {("c", 9), ("d", 2)}
-    with pytest.raises(ValueError, match="another company"):
-        books.replace_company(index, "c", path)
     rows = book(spark, [("a", 0, "p", "A", 5, None)])
     books.write_book(rows, rows.limit(0), str(tmp_path / "book"))
     assert '"gst_paise":null' in "".join(r[0] for r in spark.read.text(str(tmp_path / "book/vouchers")).collect())
@@ -277,20 +269,3 @@ def test_windowed_streams(spark, tmp_path):
     entries = book(spark, [("e", 9, "ACME", "B", 100, None), ("ok", 9, "acme", "A", 9, None)])
     chart = spark.createDataFrame([("c", "A"), ("c", "B"), ("c", "Bank")], "company_key string, account string")
     assert {r["id"]: (r["outcome"], r["first"], r["n"]) for r in S.judged(entries, *S.facts(history), chart).collect()} == {"e": ("UNCLEAR", "vendor_switch", 2), "ok": ("VALID", None, 0)}
-
-
-def test_stream_state_is_rewritten_by_part_and_survives_a_repeat(spark, tmp_path):
-    state = S.Versions(spark, f"file://{tmp_path}/s", "k string, n long", ("k",), parts=8)
-    add = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
-    rows = lambda *ks: spark.createDataFrame([(k, 1) for k in ks], "k string, n long")
-    state.merge(rows(*"abcdefgh"), 0, add)
-    before = state._versions()
-    state.merge(rows("a", "a"), 1, add)
-    after = state._versions()
-    touched = {p for p in after if after[p] != before.get(p)}
-    assert len(touched) == 1 and {r["k"]: r["n"] for r in state.read().collect()} == {**dict.fromkeys("bcdefgh", 1), "a": 3}
-    state.merge(rows("a", "a"), 1, add)  # the same batch again, as after a failure
-    assert {r["k"]: r["n"] for r in state.read().collect()}["a"] == 3
-    state.merge(rows("a"), 2, add)
-    state.merge(rows("a"), 3, add)
-    assert {r["k"]: r["n"] for r in state.read().collect()}["a"] == 5 and all(len(v) <= 2 for v in state._versions().values())
