@@ -1,9 +1,9 @@
 """Token ids in Arrow stream files of fixed-size lists: equal-length sequences and masks that are read at random without a copy.
 
 Documents are sorted by doc_id (ranges of it, then inside each), encoded in that order, each with an end id behind it, and laid into rows of LENGTH
-ids. A file is an Arrow stream: a schema, then batches of ROWS rows with two columns, ``ids`` and ``mask`` (fixed-size lists without
-nulls). So every batch but a file's last has the same number of bytes, and row k starts at a place that arithmetic gives: a
-reader maps the file and gets views. The mask is 0 beyond the last id, 1 at an id, 3 at the first id of a document.
+ids. A file is an Arrow stream: a schema, then batches of ROWS rows with three columns of fixed-size lists without nulls: ``ids``, and as
+bits ``mask`` (an id stands here) and ``first`` (it is the first of a document). So every batch but a file's last has the same number
+of bytes, and row k starts at a place that arithmetic gives: a reader maps the file and gets views.
 The index, a written table, has a row per document and a row per file; files of lost or repeated attempts are named by no row of it.
 
 Encoding: texts are cut where a byte-level pre-tokenizer can't but cut (behind a letter or sign that white space
@@ -36,7 +36,6 @@ from .mixing import running
 END, LENGTH, ROWS, FILE = 2, 2048, 64, 1 << 26
 #: Characters of text that are encoded at once, or so; pieces, and characters of pieces, that a worker remembers at most: both bound memory and change no result.
 RUN, REMEMBERED, REMEMBERED_CHARS = 1_000_000, 1_000_000, 32_000_000
-FIRST, HELD = 3, 1
 INDEX = "part long, nth long, file string, doc_id long, at long, n long, rows long, head long, stride long"
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏА-яЁё"
@@ -44,7 +43,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏА-яЁё"
 _FINE = re.compile(rf"[\t-\r ]*+(?:[{_LETTERS}]++(?=[\x00-\x7f]|\Z)|[!-&(-@\[-`{{-~]++(?=[{_LETTERS}\t-\r ]|\Z)|[^\t-\r ]++)|[\t-\r ]++")
 _COARSE = re.compile(r"[\t-\r ]*+[^\t-\r ]++|[\t-\r ]++")
 #: Characters that may or may not be white space, by the version of Unicode: a text with any is cut at sure places only.
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]")
+_ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0, 8), (14, 31), (127, 160), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))) + "]")
 _SURE = re.compile(r"(?<=[!-~])(?=[ \n])")
 
 
@@ -136,34 +135,30 @@ class Packer:
     """One file: ids are laid into rows, rows go out in batches."""
 
     def __init__(self, store: fs.FileSystem, path: str, kind: pa.DataType, length: int, rows: int):
-        self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", kind, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), False), length), False)], {"length": str(length), "rows": str(rows)})
+        lists = {"ids": kind, "mask": pa.bool_(), "first": pa.bool_()}
+        self.schema = pa.schema([pa.field(name, pa.list_(pa.field("item", x, False), length), False) for name, x in lists.items()], {"length": str(length), "rows": str(rows)})
         self.sink = store.open_output_stream(path, compression=None)
         self.out = pa.ipc.new_stream(self.sink, self.schema)
-        self.ids, self.mask = np.zeros(length * rows, kind.to_pandas_dtype()), np.zeros(length * rows, np.uint8)
+        self.ids, self.first = np.zeros(length * rows, kind.to_pandas_dtype()), np.zeros(length * rows, bool)
         self.length, self.held, self.n, self.rows = length, 0, 0, 0
         self.head, self.stride = self.schema.serialize().size, 0
 
     def add(self, ids: np.ndarray, first: bool) -> None:
+        """Ids of a document; ``first`` says whether they are its first ones."""
         if first and len(ids):
-            self._put(ids[:1], FIRST)
-            ids = ids[1:]
+            self.first[self.held] = True
         at = 0
         while at < len(ids):
-            at += self._put(ids[at:], HELD)
-
-    def _put(self, ids: np.ndarray, mark: int) -> int:
-        n = min(len(ids), len(self.ids) - self.held)
-        self.ids[self.held : self.held + n] = ids[:n]
-        self.mask[self.held : self.held + n] = mark
-        self.held, self.n = self.held + n, self.n + n
-        if self.held == len(self.ids):
-            self._out()
-        return n
+            n = min(len(ids) - at, len(self.ids) - self.held)
+            self.ids[self.held : self.held + n] = ids[at : at + n]
+            self.held, self.n, at = self.held + n, self.n + n, at + n
+            if self.held == len(self.ids):
+                self._out()
 
     def _out(self) -> None:
         n = -(-self.held // self.length) * self.length
-        self.ids[self.held : n], self.mask[self.held : n] = 0, 0
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[:n]), type=self.schema.field(k).type) for k, x in enumerate((self.ids, self.mask))]
+        self.ids[self.held : n] = 0
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[:n]), type=self.schema.field(k).type) for k, x in enumerate((self.ids, np.arange(n) < self.held, self.first))]
         before = max(self.sink.tell(), self.head)
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         size = self.sink.tell() - before
@@ -171,6 +166,7 @@ class Packer:
         if self.held == len(self.ids) and size != self.stride:
             raise ValueError(f"a batch of {size} bytes among batches of {self.stride}")
         self.rows, self.held = self.rows + n // self.length, 0
+        self.first[:] = False
 
     def close(self) -> None:
         if self.held:
@@ -180,7 +176,7 @@ class Packer:
 
 
 class Sequences:
-    """The rows of a file by number: ``ids`` and ``mask`` as views of the mapped file, or of the batch read for them.
+    """The rows of a file by number: ids as views of the mapped file, or of the batch read for them; mask and first, a bit each there, as booleans.
 
     ``place`` is a path of this machine, or an open Arrow file.
     """
@@ -201,23 +197,26 @@ class Sequences:
     def __len__(self) -> int:
         return self.rows
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and masks of batch ``k``, a row each; the one that was read last is at hand."""
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray, pa.BooleanArray]:
+        """Of batch ``k``: ids, a row each, and its mask and first as Arrow's bits, all without a copy; the one that was read last is at hand."""
         if k != self.number:
             self.file.seek(self.head + k * self.stride)
             batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.file.read_buffer(self.stride)), self.schema)
-            self.number, self.held = k, tuple(batch.column(c).values.to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in range(2))
+            self.number, self.held = k, (batch.column(0).values.to_numpy(zero_copy_only=True).reshape(-1, self.length), batch.column(1).values, batch.column(2).values)
         return self.held
 
-    def __getitem__(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, mask = self.batch(row // self.per)
-        return ids[row % self.per], mask[row % self.per]
+    def __getitem__(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, *bits = self.batch(row // self.per)
+        at = row % self.per
+        return ids[at], *[x.slice(at * self.length, self.length).to_numpy(zero_copy_only=False) for x in bits]
 
-    def span(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """``n`` ids of the file from the one numbered ``at``, and their masks."""
+    def span(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``n`` ids of the file from the one numbered ``at``, their mask, and which are first ones."""
         size, parts = self.per * self.length, []
         for k in range(at // size, (at + n - 1) // size + 1):
-            parts.append([x.ravel()[max(at - k * size, 0) : at + n - k * size] for x in self.batch(k)])
+            ids, *bits = self.batch(k)
+            low, high = max(at - k * size, 0), min(at + n - k * size, ids.size)
+            parts.append([ids.ravel()[low:high], *[x.slice(low, high - low).to_numpy(zero_copy_only=False) for x in bits]])
         return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -301,8 +300,8 @@ def _documents(rows: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> I
         for x in batch.to_pylist():
             if x["file"] != name:
                 name, own = x["file"], Sequences(store.open_input_file(f"{base}/{x['file']}"))
-            ids, mask = own.span(x["at"], x["n"])
-            if len(ids) != x["n"] or mask[0] != FIRST or (mask[1:] != HELD).any():
+            ids, mask, first = own.span(x["at"], x["n"])
+            if len(ids) != x["n"] or not mask.all() or not first[0] or first[1:].any():
                 raise ValueError(f"{name} at {x['at']}: not the {x['n']} ids of one document")
             ids = ids.astype("<u4")
             sums.append(zlib.crc32(ids))
@@ -329,16 +328,16 @@ def _rows(names: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBat
         for name, start in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
             own = Sequences(store.open_input_file(f"{base}/{name}"))
             for k in range(-(-own.rows // own.per)):
-                ids, mask = own.batch(k)
+                ids, mask, first = own.batch(k)
                 columns = [pa.array([name] * len(ids)), pa.array(np.arange(len(ids)) + k * own.per), pa.array(start + (np.arange(len(ids)) + k * own.per) * own.length)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(ids.astype(np.int64)), pa.list_(pa.int64())), pa.array(list(mask.astype(np.int8)), pa.list_(pa.int8()))], ["file", "row", "start", "ids", "mask"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(ids.astype(np.int64)), pa.list_(pa.int64())), *[pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * own.length, x) for x in (mask, first)]], ["file", "row", "start", "ids", "mask", "first"])
 
 
 def sequences(index: DataFrame, folder: str) -> DataFrame:
-    """file, row, start (ids before it), ids, mask of every sequence of the files that the index names."""
+    """file, row, start (ids before it), ids, mask, first of every sequence of the files that the index names."""
     every = kept(files(index))
     dealt = every.select("file", "base").repartitionByRange(max(1, every.count()), "base")
-    return dealt.mapInArrow(partial(_rows, folder=folder), "file string, row long, start long, ids array<long>, mask array<tinyint>")
+    return dealt.mapInArrow(partial(_rows, folder=folder), "file string, row long, start long, ids array<long>, mask array<boolean>, first array<boolean>")
 
 
 def op12_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
