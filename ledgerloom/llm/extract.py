@@ -2,9 +2,9 @@
 
 Each paragraph passes points, for its length and commas, to the elements around it: all of them to the nearest container,
 half to the next, a quarter to the one above, and so on. A container's points are discounted by its link density. The best one is kept,
-widened to the article that holds it if that scores beside it, or with siblings that score well or read like paragraphs. Menus, headers,
-footers, sidebars, notices, adverts, forms and comments go by element, role, class and id, and lists of links
-by their density. Pages are read once, in time linear in their length whatever their nesting; they are independent of each other.
+widened to the article that holds it if that scores beside it, or with siblings that score well or read like paragraphs. Menus,
+footers, asides and forms go by element, and lists of links by their density. A role, class or id only makes an element suspect: sidebars, notices, adverts, comments
+go by it, but not one that holds most of what the page has to say while there is little beside it (a wrapper named for its layout). Pages are read once, in time linear in their length whatever their nesting; they are independent of each other.
 """
 
 from __future__ import annotations
@@ -35,17 +35,21 @@ _GOOD = frozenset("article content entry post story text body main".split())
 _OPAQUE = frozenset("script style noscript template textarea title iframe svg".split())
 #: A tag from its "<": attributes in quotes may hold ">". Possessive, so nothing is read twice; the last group is empty where the page ends inside the tag.
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(>?)")
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|\Z)", re.I)
+#: One attribute after the other, so what stands inside a value is never a name.
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+#: Points from which a suspect element can be what the page has to say; and its share of all points, and that of what isn't suspect, at most, of its own.
+ENOUGH, MOST, BESIDE = 10.0, 0.5, 0.25
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class _Element:
     """``block``, ``scope`` and ``article``: the nearest block, the nearest element that bounds a paragraph, and whether an article is around; each may be itself."""
 
-    __slots__ = ("tag", "up", "drop", "points", "chars", "linked", "links", "good", "depth", "block", "scope", "article", "branch", "menu")
+    __slots__ = ("tag", "up", "drop", "suspect", "points", "mass", "clean", "articles", "chars", "linked", "links", "good", "depth", "block", "scope", "article", "branch", "menu")
 
-    def __init__(self, tag: str, up: _Element | None, drop: bool, good: bool = False):
-        self.tag, self.up, self.drop, self.good = tag, up, drop, good
+    def __init__(self, tag: str, up: _Element | None, drop: bool, good: bool = False, suspect: bool = False):
+        self.tag, self.up, self.drop, self.good, self.suspect = tag, up, drop, good, suspect
+        self.mass, self.clean, self.articles = 0.0, 0.0, 0
         self.points, self.chars, self.linked, self.links = 0.0, 0, 0, 0
         self.depth = up.depth + 1 if up else 0
         self.block = self if up is None or tag in _BLOCK else up.block
@@ -58,23 +62,23 @@ class _Element:
         return self.linked / self.chars if self.chars else 0.0
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is none of the article's, and whether its names speak for it."""
-    words: set[str] = set()
+def _told(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, whether its role or names speak against it, and whether its names speak for it."""
+    words, against = set(), False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
+            return True, False, False
         if name == "role" and value.lower() in _ROLES:
-            return True, False
+            against = True
         if name in ("class", "id"):
             words |= {w.lower() for w in _NAME.findall(value)}
     good = bool(words & _GOOD)
     if tag in ("html", "body", "main") or words & {"with", "has", "no", "without"}:
-        return False, good
+        return False, against, good
     if tag == "article":
-        return bool(words & {"comment", "comments", "ad", "advert", "sponsored", "promo", "related"}), good
-    return bool(words & _UNWANTED or "header" in words and not in_article and not good), good
+        return False, against or bool(words & {"comment", "comments", "ad", "advert", "sponsored", "promo", "related"}), good
+    return False, against or bool(words & _UNWANTED or "header" in words and not in_article and not good), good
 
 
 class _Page:
@@ -171,11 +175,11 @@ class _Page:
         if tag in _VOID or tag == "html":
             return
         here = self.here
-        drop, good = (here.drop, False) if here.drop else _unwanted(tag, attributes, here.article) if "=" in attributes or "hidden" in attributes else (False, False)
-        drop = drop or tag in _DROPPED or tag == "header" and not here.article
+        drop, suspect, good = (here.drop, False, False) if here.drop else _told(tag, attributes, here.article) if "=" in attributes or "hidden" in attributes.lower() else (False, False, False)
+        drop = drop or suspect and not block or tag in _DROPPED or tag == "header" and not here.article
         if attributes.endswith("/") and not block:
             return
-        self.here = _Element(tag, here, drop, good)
+        self.here = _Element(tag, here, drop, good, suspect and not drop)
         self.elements.append(self.here)
         self.open.setdefault(tag, []).append(self.here)
         if tag == "a" and not drop:
@@ -187,10 +191,48 @@ def _points(text: str) -> float:
     return 1 + text.count(",") + text.count("、") + min(len(text) // 100, 3)
 
 
+def _counts(own: _Element, text: str) -> bool:
+    """Whether a block's points count: it is long enough, and no heading."""
+    return len(text) >= 25 and own.tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _decide(read: _Page) -> None:
+    """Suspect elements are dropped or spared, outer ones first.
+
+    ``mass`` is the points inside an element, ``clean`` those of them in no suspect inside it. What isn't suspect speaks
+    for itself; a suspect is spared if it holds MOST of the page and what was found beside it so far is little, and no article of its own.
+    """
+    for own, text in read.blocks:
+        if _counts(own, text):
+            points = _points(text) * (1 - own.density())
+            own.mass, own.clean = own.mass + points, own.clean + points
+    for e in read.elements:
+        e.articles += e.tag in ("article", "main") and not e.suspect and not e.drop
+    for e in reversed(read.elements[1:]):
+        e.up.mass += e.mass
+        if not e.suspect:
+            e.up.clean, e.up.articles = e.up.clean + e.clean, e.up.articles + (e.articles if e.mass else 0)
+    root = read.root
+    known, articles = root.clean, root.articles
+    for e in read.elements[1:]:
+        e.drop = e.drop or e.up.drop
+        if e.suspect and not e.drop:
+            large = e.mass >= ENOUGH or e.articles or e.tag == "article"
+            if large and e.mass > MOST * root.mass and known < BESIDE * e.mass and not articles:
+                known, articles = known + e.clean, articles + e.articles + (e.tag == "article")
+            else:
+                e.drop = True
+
+
 def main_text(page: str | None) -> str:
     """The article of a page as one string; empty if there is none. Every step is linear in the page, however long or deep it is."""
     read = _Page(page or "")
-    elements, blocks, root = read.elements, read.blocks, read.root
+    _decide(read)
+    elements, root = read.elements, read.root
+    blocks = [(own, t) for own, t in read.blocks if not own.drop]
+    for e in elements:
+        if e.drop:
+            e.chars = e.linked = e.links = 0
     for e in reversed(elements[1:]):
         e.up.chars, e.up.linked, e.up.links = e.up.chars + e.chars, e.up.linked + e.linked, e.up.links + e.links
     for e in elements:
@@ -199,7 +241,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     for own, text in blocks:
-        if len(text) >= 25 and own.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if _counts(own, text):
             (own if own.tag not in _PARAGRAPH or own.up is None else own.up).points += _points(text)
     for e in reversed(elements[1:]):  # half to the next container, a quarter to the one above, and so on
         e.up.points += e.points / 2

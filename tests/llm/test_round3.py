@@ -306,3 +306,37 @@ def test_mixing_and_secrets_in_very_long_texts(spark):
     spans = {r["doc_id"]: r["base"] for r in secrets.scan(df).collect()}
     assert [(s["start"], s["end"]) for s in spans[1]] == [(2_000_000, 2_000_018)] and spans[2] == []
     assert {r["doc_id"] for r in near.one_of_each(df).collect()} == {1, 2}
+
+
+# -- articles behind names that speak against them
+
+WRAPPERS = [
+    "div class='sidebar-layout'", "div class='page sidebar-right'", "div class='modal-open'", "div class='comments-enabled'", "div class='layout widget-area'", "div class='search-results'", "article class='post related-topic'", "article title='the hidden truth of x'",
+    'div data-x="class=ad id=nav hidden" title="style=display:none"', "section role='dialog'", "div class=overlay id='newsletter'", "div class='social promo banner'",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("outer", ["", "div class='page'", "div class='menu-open sidebar-left'"])
+def test_articles_in_suspect_wrappers_stay_whole(wrapper, outer):
+    from ledgerloom.llm.extract import main_text
+
+    tag, rng = wrapper.split()[0], random.Random(len(wrapper))
+    texts = [prose(rng.random(), 20) + ", " + prose(rng.random(), 6) + "." for _ in range(rng.randint(3, 9))]
+    title, reader = "A title of the page", prose(99, 25) + ", really."
+    aside = f"<div class='sidebar'><p>{prose(5, 30)}, and more.</p></div><div class='cookie-notice'><p>{prose(6, 25)}, accept, all.</p></div>"
+    comments = f"<div id='comments'><p>{reader}</p><p>{reader}</p></div>"
+    body = f"<h1>{title}</h1><div>" + "".join(f"<p>{t}</p>" for t in texts) + "</div>"
+    page = f"<body><nav><a href=/>menu</a></nav>{f'<{outer}>' if outer else ''}{aside}<{wrapper}>{body}{comments}</{tag}>{'</div>' if outer else ''}<footer>me</footer></body>"
+    assert main_text(page) == " ".join([title, *texts])
+
+
+def test_suspect_parts_beside_an_article_go_however_long():
+    from ledgerloom.llm.extract import main_text
+
+    own, other = prose(1, 40) + ", so it was, in the end.", prose(2, 60) + ", yes, no, maybe, really."
+    comments = "".join(f"<p>{other}</p>" for _ in range(12))
+    for before in ("<article><h1>T</h1><p>{}</p><p>{}</p></article>", "<main><p>{}</p><p>{}</p></main>"):
+        assert main_text(f"<body>{before.format(own, own)}<section class=comments>{comments}</section>").endswith(f"{own} {own}")
+    assert main_text(f"<body><div class=notice><p>{prose(3, 10)}, so, there.</p></div>") == ""  # a notice alone is no article
+    assert main_text(f"<p hidden>{own}</p><p title='a hidden b'>{own}</p><p class='x' HIDDEN>{own}</p>") == own
