@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,19 +63,32 @@ def funnel(slots: DataFrame) -> DataFrame:
     return every.join(own.groupBy("field", "rung").agg(F.count("*").alias("n")), ["field", "rung"], "left").fillna(0, ["n"])
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 less the edits over the longer one's length."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+def ceiling(word: Column, label: str) -> Column:
+    """What the likeness of a word and a label can be at most: twice the characters that both have, however they stand, over all characters of both.
+
+    A matching block's characters are in both texts, so no likeness is above it.
+    """
+    has = lambda c: F.length(word) - F.length(F.replace(word, F.lit(c), F.lit("")))
+    both = sum((F.least(has(c), F.lit(label.count(c))) for c in sorted(set(label))), F.lit(0))
+    return 2.0 * both / (F.length(word) + len(label))
+
+
+@F.pandas_udf("double")
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters of both: the longest common run first, then the same on its left and right."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
 def near_misses(words: DataFrame, field: str) -> DataFrame:
-    """word, label, likeness: of distinct words (of 3 characters or more) the closest label of a field, if it is CLOSE.
+    """word, label, likeness: of distinct words (of 3 characters or more) the closest label of a field, if it is CLOSE; ties go to the earlier label.
 
-    A word is compared with the few labels of the field inside its row; words are made distinct first, so a page's repeats cost nothing.
+    Words are made distinct first, so a page's repeats cost nothing; then those that can't be close (by their length and the characters that they share
+    with a label) go, without leaving the JVM; blocks are matched for what is left.
     """
     own = words.select(F.upper("word").alias("word")).distinct().filter(F.length("word") >= 3)
-    best = F.array_max(F.array(*[F.struct(likeness(F.col("word"), F.lit(x)).alias("likeness"), F.lit(x).alias("label")) for x in LABELS[field]]))
-    return own.select("word", best.alias("b")).filter(F.col("b.likeness") >= CLOSE).select("word", "b.label", "b.likeness")
+    maybe = F.array_compact(F.array(*[F.when(ceiling(F.col("word"), x) >= CLOSE, F.struct(F.lit(-k).alias("place"), F.lit(x).alias("label"))) for k, x in enumerate(LABELS[field])]))
+    pairs = own.select("word", F.inline(maybe)).withColumn("likeness", likeness("word", "label")).filter(F.col("likeness") >= CLOSE)
+    return pairs.groupBy("word").agg(F.max(F.struct("likeness", "place", "label")).alias("b")).select("word", "b.label", "b.likeness")
 
 
 def causes(slots: DataFrame, pages: DataFrame, close: DataFrame) -> DataFrame:

@@ -77,16 +77,37 @@ register("agg_slot_cause", agg_slot_cause, """
 SELECT (['illegible', 'matched', 'parser', 'label refused', 'label misread', 'unknown label', 'other field''s label', 'no label'])[o_orderkey % 8 + 1] AS cause, count(*) AS n FROM orders GROUP BY 1""")
 
 
+#: How a label is misprinted, by document: sign of the way, in SQL over ``l`` (the label) and ``k`` (the document's number over that of ways).
+_MISPRINTS = ("replace(l, 'O', '0')", "substr(l, 2)", "substr(l, 1, length(l) - 1)", "concat(l, substr(l, 1, 1))", "reverse(l)", "concat(substr(l, 3), substr(l, 1, 2))", "replace(l, 'A', 'XA')", "concat(substr(l, 1, cast(k % 5 as int)), 'Q', substr(l, cast(k % 5 as int) + 2))", "l")
+
+
 def jn_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of all documents that are close to a label of the total."""
-    words = V.table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("word"))
-    return S.near_misses(words, "total").select("word", "label", F.round("likeness", 6).alias("likeness"))
+    """Words of all documents, and labels of the total as misprinted by document, that are close to a label."""
+    d = V.table(spark, sf_dir, "documents")
+    words = d.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("word"))
+    label = F.element_at(F.array(*map(F.lit, P.LABELS["total"])), (F.col("doc_id") % len(P.LABELS["total"]) + 1).cast("int"))
+    n = len(_MISPRINTS)
+    own = d.filter("doc_id IS NOT NULL").select(label.alias("l"), F.expr(f"doc_id div {n}").alias("k"), (F.col("doc_id") % n).alias("way"))
+    made = own.select(F.expr("CASE way " + " ".join(f"WHEN {k} THEN {m}" for k, m in enumerate(_MISPRINTS)) + " END").alias("word"))
+    return S.near_misses(words.unionByName(made), "total").select("word", "label", F.round("likeness", 6).alias("likeness"))
 
 
+#: Matching blocks by recursion: of a stretch of both texts the longest common run (the earliest), then what is left of it and right of it.
 register("jn_near_miss", jn_near_miss, f"""
-WITH w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]{{3,}}'))) AS word FROM documents), l AS (SELECT unnest({list(P.LABELS["total"])!r}) AS label),
-p AS (SELECT word, label, 1 - CAST(levenshtein(word, label) AS DOUBLE) / greatest(length(word), length(label)) AS likeness FROM w, l)
-SELECT word, arg_max(label, (likeness, label)) AS label, round(max(likeness), 6) AS likeness FROM p GROUP BY word HAVING max(likeness) >= 0.78""")
+WITH RECURSIVE labels AS (SELECT unnest({list(P.LABELS["total"])!r}) AS label, unnest(range({len(P.LABELS["total"])})) AS place),
+made AS (SELECT label AS l, doc_id // {len(_MISPRINTS)} AS k, doc_id % {len(_MISPRINTS)} AS way FROM documents JOIN labels ON place = doc_id % {len(P.LABELS["total"])}),
+w AS (SELECT DISTINCT upper(word) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{3,}}')) AS word FROM documents UNION ALL SELECT CASE way {" ".join(f"WHEN {k} THEN {m}" for k, m in enumerate(_MISPRINTS))} END FROM made) WHERE length(word) >= 3),
+pairs AS (SELECT word, label, place FROM w, labels WHERE 2.0 * least(length(word), length(label)) / (length(word) + length(label)) >= 0.78
+  AND 2.0 * list_sum(list_transform(list_distinct(string_split(label, '')), lambda c: least(length(label) - length(replace(label, c, '')), length(word) - length(replace(word, c, ''))))) / (length(word) + length(label)) >= 0.78),
+starts AS (SELECT *, unnest(range(1, length(label) + 1)) AS j FROM (SELECT word, label, unnest(range(1, length(word) + 1)) AS i FROM pairs)),
+runs AS (SELECT word, label, i, j, list_max(list_filter(range(1, least(length(word) - i, length(label) - j) + 2), lambda n: substr(word, i, n) = substr(label, j, n))) AS n FROM starts WHERE substr(word, i, 1) = substr(label, j, 1)),
+blocks AS (SELECT word, label, 1::BIGINT AS a, length(word) + 1::BIGINT AS b, 1::BIGINT AS c, length(label) + 1::BIGINT AS d, 0::BIGINT AS size, 0::BIGINT AS at, 0::BIGINT AS bt FROM pairs
+  UNION ALL SELECT word, label, x.a, x.b, x.c, x.d, 0, 0, 0 FROM (SELECT m.word, m.label, unnest([{{'a': m.a, 'b': m.i, 'c': m.c, 'd': m.j}}, {{'a': m.i + m.n, 'b': m.b, 'c': m.j + m.n, 'd': m.d}}]) AS x FROM (
+    SELECT s.word, s.label, s.a, s.b, s.c, s.d, r.i, r.j, least(r.n, s.b - r.i, s.d - r.j) AS n, row_number() OVER (PARTITION BY s.word, s.label, s.a, s.b, s.c, s.d ORDER BY least(r.n, s.b - r.i, s.d - r.j) DESC, r.i, r.j) AS nth
+    FROM blocks s JOIN runs r ON r.word = s.word AND r.label = s.label AND r.i >= s.a AND r.i < s.b AND r.j >= s.c AND r.j < s.d) m WHERE nth = 1) WHERE x.a < x.b AND x.c < x.d),
+sizes AS (SELECT word, label, a, b, c, d, max(n) AS n FROM (SELECT s.*, least(r.n, s.b - r.i, s.d - r.j) AS n FROM blocks s JOIN runs r ON r.word = s.word AND r.label = s.label AND r.i >= s.a AND r.i < s.b AND r.j >= s.c AND r.j < s.d) GROUP BY ALL),
+l AS (SELECT p.word, p.label, p.place, 2.0::DOUBLE * coalesce(sum(n), 0)::DOUBLE / (length(p.word) + length(p.label))::DOUBLE AS likeness FROM pairs p LEFT JOIN sizes s ON s.word = p.word AND s.label = p.label GROUP BY p.word, p.label, p.place)
+SELECT word, arg_max(label, (likeness, -place)) AS label, round(max(likeness), 6) AS likeness FROM l GROUP BY word HAVING max(likeness) >= 0.78""")
 
 
 def jn_value_reach(spark: SparkSession, sf_dir: str) -> DataFrame:

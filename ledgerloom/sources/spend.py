@@ -5,14 +5,15 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Sequence
-from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions import text as X
+from ..functions.reading import let
+from ..shared import kept
 
 #: Published headers, folded, that supply each field; and why a row isn't loaded.
 ALIASES = {
@@ -38,42 +39,111 @@ def resolve(header: Sequence[str]) -> dict[str, int]:
     return found
 
 
+#: Ends a record while it is parsed, so that its cells can be counted; no published cell is this.
+_END = "\x01end\x01"
+#: The characters that cp1252 has where ISO-8859-1 has controls.
+_OVER = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _inside(line: Column, inside: int) -> Column:
+    """1 if a quoted cell is open at the line's end, 0 if not, for a line that begins ``inside`` one or outside.
+
+    The pieces between quotes are folded: a quote opens a cell only where one begins, two in a row inside a cell are a quote of its text, and
+    others are text. The state is 0 outside, 1 inside, 2 behind a quote that closes unless the next sign is another; -1 at the line's start.
+    """
+
+    def step(state: Column, piece: Column) -> Column:
+        opens = (state == -1) & (piece == "") | piece.endswith(",")
+        return F.when(state == 1, 2).when((state == 2) & (piece == ""), 1).otherwise(F.when(opens, 1).otherwise(0))
+
+    pieces = F.split(line, '"', -1)
+    folded = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.lit(1 if inside else -1), step)
+    return F.when(line.contains('"'), (folded == 1).cast("int")).otherwise(inside)
+
+
+def _states(rows: DataFrame, group: list[str], order: list[str], known: bool) -> DataFrame:
+    """``rows`` (with to_0 and to_1, the state behind a row that was entered in 0 or 1) and the state before each row: at_0 and at_1, for a group entered in 0 or 1.
+
+    A row whose two states are equal forgets what was before; of the others only how many switch the state matters. So the state before a row is that behind the last
+    forgetting row, and the switches since: running sums, no loop. ``known``: groups are entered in 0, and only at_0 is made.
+    """
+    before = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__turn", (F.col("to_0") > F.col("to_1")).cast("int"))
+    rows = rows.withColumn("__turns", F.coalesce(F.sum("__turn").over(before), F.lit(0)))
+    rows = rows.withColumn("__set", F.last(F.when(F.col("to_0") == F.col("to_1"), F.col("to_0") + F.col("__turns")), ignorenulls=True).over(before))
+    at = lambda s: (F.coalesce(F.col("__set"), F.lit(s)) + F.col("__turns")) % 2
+    return rows.withColumns({f"at_{s}": at(s).cast("int") for s in ((0,) if known else (0, 1))}).drop("__turn", "__turns", "__set")
+
+
+def records(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """path, number (0: the header), record (text, with its quotes): CSV files of any size, split into byte ranges.
+
+    A quoted cell may hold line ends, so whether a line begins a record hangs on all quotes before it. Every range of a file works out what it does to
+    either state at its start, and how many records begin in it then; the few ranges of a file are put together, and only then lines get their record's number. A
+    record of one line stays where it is; others are joined from their lines (line ends become ``\\n``). Files that are valid UTF-8 throughout (a mark at the start is left out) are read
+    so, others as cp1252.
+    """
+    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line"))
+    lines = lines.withColumn("line", F.when((F.col("block") == 0) & F.col("line").startswith("\ufeff"), F.substring("line", 2, 1 << 30)).otherwise(F.col("line")))
+    lines = lines.withColumns({"valid": F.is_valid_utf8("line"), "to_0": _inside(F.col("line"), 0), "to_1": _inside(F.col("line"), 1)})
+    rows = _states(lines, ["path", "block"], ["nth"], known=False)
+    upto = W.partitionBy("path", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"n_{s}": F.sum(1 - F.col(f"at_{s}")).over(upto) for s in (0, 1)})
+    rows = kept(rows.withColumn("line", F.col("line").cast("binary")))  # written once: read for the ranges, then for the records
+    after = lambda s: F.when(F.col(f"at_{s}") == 0, F.col("to_0")).otherwise(F.col("to_1"))
+    ranges = rows.groupBy("path", "block").agg(*[F.max_by(after(s), "nth").alias(f"to_{s}") for s in (0, 1)], *[F.max(f"n_{s}").alias(f"c_{s}") for s in (0, 1)], F.bool_and("valid").alias("valid"))
+    ranges = _states(ranges, ["path"], ["block"], known=True)
+    own = W.partitionBy("path")
+    begun = F.when(F.col("at_0") == 0, F.col("c_0")).otherwise(F.col("c_1"))
+    ranges = ranges.select(F.col("path").alias("__path"), F.col("block").alias("__block"), F.col("at_0").alias("__at"), (F.sum(begun).over(own.orderBy("block")) - begun).alias("__before"), F.min("valid").over(own).alias("__valid"))
+    rows = rows.join(ranges, (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")))
+    of = lambda name: F.when(F.col("__at") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
+    rows = rows.withColumns({"at": of("at"), "number": F.col("__before") + of("n") - 1})
+    rows = rows.withColumn("to", F.when(F.col("at") == 0, F.col("to_0")).otherwise(F.col("to_1")))
+    latin = F.translate(F.decode("line", "ISO-8859-1"), "".join(_OVER), "".join(_OVER.values()))
+    rows = rows.select("path", "number", "block", "nth", "at", "to", F.when(F.col("__valid"), F.decode("line", "UTF-8")).otherwise(latin).alias("line"))
+    one = (F.col("at") == 0) & (F.col("to") == 0)
+    long = rows.filter(~one).groupBy("path", "number").agg(F.array_sort(F.collect_list(F.struct("block", "nth", "line"))).alias("parts"), F.max_by("to", F.struct("block", "nth")).alias("open"))
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["line"]), "\n"), F.when(F.col("open") == 1, '"').otherwise(""))  # a file may end inside a cell
+    return rows.filter(one).select("path", "number", F.col("line").alias("record")).unionByName(long.select("path", "number", text.alias("record")))
+
+
+def cells(record: Column, width: int) -> Column:
+    """The cells of a record, of ``width`` at most; none in an empty one. A cell that isn't quoted as it should be keeps its quotes."""
+    schema = ", ".join(f"c{k} string" for k in range(width + 1))
+    options = {"quote": '"', "escape": '"', "nullValue": "\x02", "emptyValue": "", "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
+    row = F.from_csv(F.concat(record, F.lit(f",{_END}")), schema, options)
+    every = let(row, lambda r: F.array(*[F.coalesce(r[f"c{k}"], F.lit("")) for k in range(width + 1)]))  # the record is parsed once
+    counted = lambda x: F.slice(x, F.lit(1), F.when(F.array_contains(x, _END), F.array_position(x, F.lit(_END)).cast("int") - 1).otherwise(width))
+    return F.when(record == "", F.array().cast("array<string>")).otherwise(let(every, counted))
+
+
 def read_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """path, number (from 1), cells, columns: the rows of CSV files, as UTF-8 (with or without mark) where a file is valid so, else as cp1252.
+    """path, number (from 1), cells, columns: the rows of CSV files of any size, however they are split; see ``records``.
 
-    Files are the unit of work, as published files are small and a quoted cell may hold line ends: a task reads a file, resolves its header and numbers its rows, RUN rows at
-    a time. ``columns`` are the places of the five fields in that file. A header that can't be resolved fails the read and names its file.
+    ``columns`` are the places of the five fields in that file. Each distinct header is resolved once; one that can't be fails the read and names its file.
     """
-    files = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
-    return files.select("path", "content").mapInPandas(_rows, "path string, number int, cells array<string>, columns array<int>")
-
-
-#: Rows that a reading task hands over at once.
-RUN = 10_000
-
-
-def decoded(content: bytes) -> str:
-    try:
-        return content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return content.decode("cp1252")
-
-
-def _rows(batches):
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            reader = csv.reader(io.StringIO(decoded(content), newline=""))
-            header = next(reader, None)
-            if header is None:
-                continue
-            try:
-                found = resolve(header)
-            except ValueError as e:
-                raise ValueError(f"{path}: {e}") from None
-            places = [found[f] for f in ALIASES]
-            numbered = enumerate(reader, 1)
-            while rows := list(islice(numbered, RUN)):
-                yield pd.DataFrame({"path": path, "number": [n for n, _ in rows], "cells": [c for _, c in rows], "columns": [places] * len(rows)})
+    every = kept(records(spark, paths))
+    headers = every.filter("number = 0").groupBy("record").agg(F.min("path").alias("path")).collect()  # a row per distinct header
+    known, width = [], 1
+    for r in headers:
+        names = next(csv.reader(io.StringIO(r["record"], newline="")), [])
+        try:
+            found = resolve(names)
+        except ValueError as e:
+            raise ValueError(f"{r['path']}: {e}") from None
+        width = max(width, len(names))
+        known.append((r["record"], [found[f] for f in ALIASES]))
+    places = spark.createDataFrame(known, "record string, columns array<int>")
+    of = every.filter("number = 0").join(places, "record").select("path", "columns")
+    named = F.broadcast(of) if len(known) == 1 and of.limit(ONE_BY_ONE + 1).count() <= ONE_BY_ONE else of
+    rows = every.filter("number > 0").join(named, "path")
+    return rows.select("path", F.col("number").cast("int").alias("number"), cells(F.col("record"), width).alias("cells"), "columns")
+
+
+#: Files whose places are broadcast, at most.
+ONE_BY_ONE = 10_000
 
 
 def load(rows: DataFrame) -> DataFrame:
