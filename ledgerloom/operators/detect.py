@@ -76,6 +76,13 @@ def flagged(rows: DataFrame, names: tuple[str, ...], **settings: int) -> DataFra
     return rows.withColumn("flags", F.array_sort(F.array_compact(F.array(*made))))
 
 
+def detected(rows: DataFrame, names: tuple[str, ...], **settings: int) -> DataFrame:
+    """``detectors`` (names of those that fire) and ``flagged`` of entries with facts, where nobody asks for the reasons."""
+    own = rules(**settings)
+    fired = F.array_compact(F.array(*[F.when(own[n][1], n) for n in names]))
+    return rows.withColumn("detectors", fired).withColumn("flagged", F.coalesce(F.greatest(*[own[n][1] for n in names], F.lit(False)), F.lit(False)))
+
+
 def _plain(name: str) -> Callable[..., DataFrame]:
     """A built-in detector as a function of (entries, history, its settings) that returns flags."""
 

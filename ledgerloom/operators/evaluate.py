@@ -87,7 +87,7 @@ def injected(rows: DataFrame, rate: Fraction, seed: int, exact: bool = True) ->
         "__can_vendor_switch": F.coalesce(F.col("__single") == F.col("debit_account"), F.lit(False)) & (rest > 0), "__can_first_use": ~F.col("debit_account").isin(*UNPOSTED),
         "__can_magnitude": F.lit(True), "__can_gst_anomaly": clean & ~F.col("__taxed"),
     })
-    own = _dealt(own, rate, exact)
+    own = _dealt(kept(own), rate, exact)  # written once: read for the counts, then for the rows
     draw = F.conv(F.substring("__hash", 25, 8), 16, 10).cast("bigint")
     low, high = F.least("__place", F.coalesce("__other", F.col("__place"))), F.greatest("__place", F.coalesce("__other", F.lit(-1)))
     at = F.pmod(draw, F.greatest(F.col("__targets"), F.lit(1)))
@@ -170,8 +170,9 @@ def per_type(rows: DataFrame) -> DataFrame:
 
 
 def per_detector(rows: DataFrame, detectors: tuple[str, ...]) -> DataFrame:
-    """Per detector, silent ones too: entries falsely alarmed and caught."""
-    hit = rows.select(F.col("error_type").isNull().alias("clean"), F.explode(F.array_distinct(F.transform("flags", lambda f: f["detector"]))).alias("detector"))
+    """Per detector, silent ones too: entries falsely alarmed and caught. rows: error_type, and ``detectors`` or ``flags``."""
+    fired = F.col("detectors") if "detectors" in rows.columns else F.array_distinct(F.transform("flags", lambda f: f["detector"]))
+    hit = rows.select(F.col("error_type").isNull().alias("clean"), F.explode(fired).alias("detector"))
     per = hit.groupBy("detector").agg(F.count_if("clean").alias("false_alarms"), F.count_if(~F.col("clean")).alias("caught"))
     every = rows.sparkSession.createDataFrame([(d,) for d in detectors], "detector string")
     return every.join(per, "detector", "left").fillna(0)

@@ -12,7 +12,9 @@ NO_MATCH, MATCH, CONFLICTED = "no_match", "match", "conflicted"
 
 
 def with_vendor(rows: DataFrame) -> DataFrame:
-    """``stem``, ``form`` and ``vendor_key`` of the party."""
+    """``stem``, ``form`` and ``vendor_key`` of the party; rows that have them already stay as they are."""
+    if {"stem", "form", "vendor_key"} <= set(rows.columns):
+        return rows
     n = X.supplier_name(F.col("party"))
     return rows.withColumns({"stem": n["stem"], "form": n["form"]}).withColumn("vendor_key", X.joined_key(F.col("stem"), F.col("form")))
 

@@ -68,7 +68,7 @@ register("src_audit_jsonl", src_audit_jsonl, "SELECT event_type AS operation, co
 
 def snk_company_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index written by company; then one company is replaced by what all its vouchers say, and another is forgotten."""
-    book = V.Book(spark, sf_dir)
+    book = V.Book(spark, sf_dir, ("party", "debit_account"))
     own = books.Companies(spark, folder(spark), "company_key string, vendor_key string, account string, times bigint")
     own.write(H.vendor_index(book.history).select("company_key", "vendor_key", "account", "times"))
     first, second = (r["n_name"] for r in V.table(spark, sf_dir, "nation").join(book.history.select(F.col("company_key").alias("n_name")).distinct(), "n_name").orderBy("n_name").limit(2).collect())
@@ -98,7 +98,7 @@ SELECT id, kind, law, CASE WHEN verdict = 'INDETERMINATE' AND kind IN ('receipt'
 
 def set_live_vs_remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vendor, whether the set of accounts that history remembers is the set that all its vouchers give."""
-    book = V.Book(spark, sf_dir)
+    book = V.Book(spark, sf_dir, ("party", "debit_account"))
     sets = lambda rows, name: H.with_vendor(rows).filter("vendor_key <> ''").groupBy("company_key", "vendor_key").agg(F.array_sort(F.collect_set("debit_account")).alias(name))
     both = sets(book.history, "remembered").join(sets(book.vouchers, "live"), ["company_key", "vendor_key"])
     return both.select("company_key", "vendor_key", (F.col("remembered") == F.col("live")).alias("same"), F.array_join(F.array_except("live", "remembered"), ",").alias("new"))
@@ -138,7 +138,7 @@ def st_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index grown voucher by voucher; what the batch index of all history says."""
     place = folder(spark)
     state = S.growing_index(spark, f"{place}/index")
-    S.grow_index(_stream(spark, V.Book(spark, sf_dir).history), state, f"{place}/checkpoint").awaitTermination()
+    S.grow_index(_stream(spark, V.Book(spark, sf_dir, ("party", "debit_account"), numbered=True).history), state, f"{place}/checkpoint").awaitTermination()
     return state.read().select("company_key", "vendor_key", "account", "times")
 
 

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions.redact import redacted
 from ..operators import checks as C
 from ..operators import documents as D
-from ..shared import folder
+from ..shared import folder, spread
 from ..streaming import log as S
 from ..streaming import windows as N
 from . import views as V
@@ -72,7 +72,7 @@ def _planted(n: int) -> Column:
 
 def fn_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words (no figures, no signs) with something planted in the middle and at the end, redacted."""
-    d = V.table(spark, sf_dir, "documents")
+    d = spread(V.table(spark, sf_dir, "documents"))
     words = F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z\n]+", " "), r"(?i)\b(basic|bearer|rs|inr)\b", "-")
     text = F.concat(words, _planted(0), F.lit("."), words, _planted(0))
     out = redacted(text, {"Halden Paper Mill": "vendor", "short": ""})

@@ -20,11 +20,14 @@ RATE, SEED, READ, DISMISS = Fraction(1, 20), 7, 30, 20
 ACTIVE = tuple(n for n in T.BUILT_IN if n not in T.WITHDRAWN)
 
 
-def _scored(spark: SparkSession, sf_dir: str, detectors: tuple[str, ...] = ACTIVE) -> DataFrame:
-    """Corrupted entries with error_type, flags and flagged: the book is read once, each table of history joined once."""
-    book = V.Book(spark, sf_dir)
+COLUMNS = ("vendor", "party", "debit_account", "credit_account", "amount_paise", "gst_paise")
+
+
+def _scored(spark: SparkSession, sf_dir: str, detectors: tuple[str, ...] = ACTIVE, numbered: bool = False) -> DataFrame:
+    """Corrupted entries with error_type, ``detectors`` (those that fire) and flagged: the book is read once, each table of history joined once."""
+    book = V.Book(spark, sf_dir, COLUMNS, numbered)
     rows = E.injected(book.entries, RATE, SEED, exact=False)
-    return E.with_flagged(T.flagged(T.with_facts(rows, book.history, detectors), detectors))
+    return T.detected(T.with_facts(rows, book.history, detectors), detectors)
 
 
 #: The entries are corrupted first, and all that FLAGS derives follows from them.
@@ -62,7 +65,7 @@ _SCORED = _FLAGS + ", used AS (SELECT * FROM raw_flags WHERE detector <> 'first_
 
 
 def win_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.inject(V.Book(spark, sf_dir).entries, RATE, SEED, exact=False)[1]
+    return E.inject(V.Book(spark, sf_dir, COLUMNS).entries, RATE, SEED, exact=False)[1]
 
 
 register("win_inject", win_inject, _BASE + """
@@ -106,7 +109,7 @@ SELECT company_key, debit_account, alarms, ((2 * 10000 * alarms + a) // (2 * a))
 
 
 def agg_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, entries = V.book(spark, sf_dir)
+    history, entries = V.book(spark, sf_dir, ("vendor", "party", "debit_account"))
     return E.accuracy(entries, H.vendor_index(history))
 
 
@@ -121,7 +124,7 @@ def _shared_names(rows: DataFrame) -> DataFrame:
 
 
 def jn_cross_org(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, entries = V.book(spark, sf_dir)
+    history, entries = V.book(spark, sf_dir, ("party", "debit_account"))
     return E.cross(_shared_names(entries), _shared_names(history))
 
 

@@ -124,7 +124,8 @@ register("fn_legible", fn_legible, r"SELECT doc_id, round(length(regexp_replace(
 
 
 def chk_vouchers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.run(V.vouchers(spark, sf_dir), V.chart(spark, sf_dir))
+    book = V.Book(spark, sf_dir, ("party", "debit_account", "credit_account", "amount_paise", "gst_paise"))
+    return C.run(book.rows, book.chart)
 
 
 register("chk_vouchers", chk_vouchers, V.VIEWS + """
@@ -135,7 +136,8 @@ SELECT company_key, id, unnest(['amount_is_positive', 'amount_is_integer_paise',
 
 
 def jn_accounts_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.missing_accounts(V.vouchers(spark, sf_dir), V.chart(spark, sf_dir))
+    book = V.Book(spark, sf_dir, ("debit_account", "credit_account"))
+    return H.missing_accounts(book.rows, book.chart)
 
 
 register("jn_accounts_exist", jn_accounts_exist, V.VIEWS + """
@@ -144,7 +146,7 @@ SELECT company_key, id, side, account FROM l WHERE NOT EXISTS (SELECT 1 FROM cha
 
 
 def agg_vendor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = H.vendor_index(V.book(spark, sf_dir)[0])
+    index = H.vendor_index(V.book(spark, sf_dir, ("party", "debit_account"))[0])
     return index.select("company_key", "vendor_key", "account", "times", "raw")
 
 
@@ -156,7 +158,7 @@ register("agg_vendor_index", agg_vendor_index, INDEX + " SELECT company_key, ven
 
 def agg_vendor_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The postings behind each index row, in published order."""
-    found = H.sources(V.book(spark, sf_dir)[0], every=1000)
+    found = H.sources(V.book(spark, sf_dir, ("party", "debit_account"), numbered=True)[0], every=1000)
     return found.select("company_key", "vendor_key", "account", "chunk", F.sha2(F.array_join("ids", ","), 256).alias("ids"))
 
 
@@ -164,7 +166,7 @@ register("agg_vendor_sources", agg_vendor_sources, HISTORY + " SELECT company_ke
 
 
 def agg_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.phrase_index(V.book(spark, sf_dir)[0]).select("company_key", "phrase", "account", "times", "raw")
+    return H.phrase_index(V.book(spark, sf_dir, ("narration", "debit_account"))[0]).select("company_key", "phrase", "account", "times", "raw")
 
 
 PHRASES = V.VIEWS + r"""
@@ -178,7 +180,7 @@ def _looked_up(book: V.Book) -> DataFrame:
 
 
 def jn_vendor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _looked_up(V.Book(spark, sf_dir)).select("company_key", "id", "status", F.array_join("accounts", ",").alias("accounts"))
+    return _looked_up(V.Book(spark, sf_dir, ("vendor", "party", "debit_account"))).select("company_key", "id", "status", F.array_join("accounts", ",").alias("accounts"))
 
 
 LOOKUP = INDEX + """
@@ -195,7 +197,7 @@ register("jn_vendor_lookup", jn_vendor_lookup, LOOKUP + " SELECT company_key, id
 
 
 def jn_phrase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, entries = V.book(spark, sf_dir)
+    history, entries = V.book(spark, sf_dir, ("narration", "debit_account"))
     found = H.lookup(entries.withColumn("phrase", X.phrase_key(F.col("narration"))), H.phrase_index(history).drop("raw"), ["phrase"])
     return found.select("company_key", "id", "status", F.array_join("accounts", ",").alias("accounts"))
 
@@ -226,7 +228,7 @@ FROM n a JOIN n b ON a.company_key = b.company_key AND a.s_suppkey = b.s_suppkey
 
 
 def agg_bootstrap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = V.Book(spark, sf_dir)
+    book = V.Book(spark, sf_dir, ("vendor", "party", "debit_account", "credit_account"))
     return H.bootstrap_report(book.history, book.chart)
 
 
@@ -239,7 +241,7 @@ FROM a FULL JOIN v USING (company_key) LEFT JOIN i USING (company_key)""")
 
 
 def agg_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.funding(V.book(spark, sf_dir)[0])
+    return H.funding(V.book(spark, sf_dir, ("party", "credit_account"))[0])
 
 
 register("agg_funding", agg_funding, HISTORY + " SELECT company_key, vendor_key, CASE WHEN count(DISTINCT credit_account) = 1 THEN min(credit_account) END AS funding FROM keyed WHERE vendor_key <> '' GROUP BY ALL")
@@ -254,7 +256,7 @@ register("agg_trial_balance", agg_trial_balance, V.VIEWS + TRIAL + " SELECT comp
 
 
 def jn_balance_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, entries = V.book(spark, sf_dir)
+    history, entries = V.book(spark, sf_dir, ("debit_account", "credit_account", "amount_paise"))
     return H.balance_difference(H.trial_balance(history), H.trial_balance(history.unionByName(entries)))
 
 
@@ -262,7 +264,7 @@ register("jn_balance_diff", jn_balance_diff, V.VIEWS + TRIAL + " SELECT company_
 
 
 def jn_stale_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, entries = V.book(spark, sf_dir)
+    history, entries = V.book(spark, sf_dir, ("vendor", "party", "debit_account"))
     found = H.stale_memory(H.vendor_index(history), history.unionByName(entries))
     return found.select("company_key", "vendor_key", "remembered", F.array_join("live", ",").alias("live"))
 
@@ -312,16 +314,18 @@ flag_vendor_switch AS (SELECT company_key, id, 'vendor_switch' AS detector, 3 AS
   flag_magnitude AS (SELECT company_key, id, 'magnitude' AS detector, 2 AS severity, amount_paise || ' paise to ' || debit_account || '; of ' || seen || ' earlier entries the largest is ' || high AS reason FROM mag WHERE seen >= 2 AND amount_paise * 100 > high * 300),
   flag_gst_anomaly AS (SELECT e.company_key, e.id, 'gst_anomaly' AS detector, 3 AS severity, 'tax of ' || e.gst_paise || ' paise on ' || e.debit_account || ', which never carried any across ' || t.n || ' entries' AS reason FROM entries e JOIN tax t ON t.company_key = e.company_key AND t.debit_account = e.debit_account WHERE e.gst_paise <> 0 AND t.most = 0),
 raw_flags AS (SELECT * FROM flag_vendor_switch UNION ALL SELECT * FROM flag_first_use UNION ALL SELECT * FROM flag_magnitude UNION ALL SELECT * FROM flag_gst_anomaly)"""
+#: Columns that each detector looks at.
+_LOOKED_AT = {"vendor_switch": ("vendor", "party", "debit_account"), "first_use": ("debit_account", "gst_paise"), "magnitude": ("debit_account", "amount_paise"), "gst_anomaly": ("debit_account", "gst_paise")}
 for _name in T.DETECTORS:
     def _one(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
-        history, entries = V.book(spark, sf_dir)
+        history, entries = V.book(spark, sf_dir, _LOOKED_AT[name])
         return T.DETECTORS[name](entries, history)
 
     register(f"win_{_name}", _one, FLAGS + f" SELECT * FROM flag_{_name}")
 
 
 def win_rank_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, entries = V.book(spark, sf_dir)
+    history, entries = V.book(spark, sf_dir, ("vendor", "party", "debit_account", "amount_paise", "gst_paise"))
     return T.ranked(T.run(entries, history, tuple(T.DETECTORS)), cap=1)
 
 
@@ -335,7 +339,7 @@ register("top_cap", lambda s, d: win_rank_flags(s, d).groupBy("company_key").agg
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with look-up, flags, checks and problems: one pass over the entries, each table of history joined once."""
-    book = V.Book(spark, sf_dir)
+    book = V.Book(spark, sf_dir, ("vendor", "party", "debit_account", "credit_account", "amount_paise", "gst_paise"))
     names = tuple(n for n in T.BUILT_IN if n not in T.WITHDRAWN)
     rows = T.flagged(T.with_facts(_looked_up(book), book.history, names), names)
     return D.with_problems(C.checked(rows, book.chart))
@@ -372,7 +376,7 @@ FROM entries e LEFT JOIN g ON g.company_key = e.company_key AND g.id = e.id""")
 
 def dec_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The debit account that memory names alone, the credit account that all postings agree on, and where each comes from."""
-    book = V.Book(spark, sf_dir)
+    book = V.Book(spark, sf_dir, ("vendor", "party", "debit_account", "credit_account"))
     rows = _looked_up(book).join(H.funding(book.history), ["company_key", "vendor_key"], "left")
     debit = F.when(F.col("status") == "match", F.get("accounts", F.lit(0)))
     return rows.select("company_key", "id", debit.alias("debit"), F.col("funding").alias("credit"), F.when(debit.isNotNull(), "memory").otherwise("not found").alias("debit_source"), F.when(F.col("funding").isNotNull(), "history").otherwise("not found").alias("credit_source"))
@@ -385,7 +389,7 @@ FROM seen s LEFT JOIN fund f ON f.company_key = s.company_key AND f.vendor_key =
 
 
 def top_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = H.ranked(H.vendor_index(V.book(spark, sf_dir)[0]), ["vendor_key"])
+    ranked = H.ranked(H.vendor_index(V.book(spark, sf_dir, ("party", "debit_account"))[0]), ["vendor_key"])
     return ranked.select("company_key", "vendor_key", F.array_join("accounts", ",").alias("accounts"), F.col("accounts")[0].alias("usual"))
 
 
@@ -393,7 +397,7 @@ register("top_accounts", top_accounts, INDEX + " SELECT company_key, vendor_key,
 
 
 def set_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = V.Book(spark, sf_dir)
+    book = V.Book(spark, sf_dir, ("debit_account", "credit_account"))
     return book.chart.join(book.history.select("company_key", F.col("debit_account").alias("account")), ["company_key", "account"], "left_anti")
 
 

@@ -124,7 +124,7 @@ SELECT id, CASE WHEN o <> 'VALID' THEN o WHEN band = 'BLOCK' THEN 'NOT_VALID' WH
 
 def agg_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings chosen on the calibration half of the companies; counts come from one pass over all entries."""
-    history, entries = V.book(spark, sf_dir)
+    history, entries = V.book(spark, sf_dir, ("party", "debit_account", "amount_paise", "gst_paise"))
     rows = K.calibrate(K.fired(entries, history))
     return spark.createDataFrame([tuple(r.values()) for r in rows], "detector string, setting int, kept boolean, flagged long, clean long, held_flagged long, held_clean long")
 
@@ -190,7 +190,7 @@ register("snk_action_append", snk_action_append, V.VIEWS + "SELECT CASE WHEN seq
 def snk_book_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corrupted book and its answer key, written apart and read back."""
     path = folder(spark)
-    books.write_book(*E.inject(V.Book(spark, sf_dir).entries, RATE, SEED, exact=False), path)
+    books.write_book(*E.inject(V.Book(spark, sf_dir, ("party", "narration", "debit_account", "credit_account", "amount_paise", "gst_paise")).entries, RATE, SEED, exact=False), path)
     back = spark.read.schema("company_key string, id string, amount_paise bigint, gst_paise bigint").json(f"{path}/vouchers")
     key = spark.read.schema("company_key string, id string, error_type string, field string, was string, now string").json(f"{path}/truth")
     per = back.groupBy("company_key").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("amount"), F.count("gst_paise").alias("taxed"))

@@ -193,7 +193,7 @@ UNION ALL SELECT case_id, 'repeated id' FROM c GROUP BY 1 HAVING count(*) > 1"""
 
 
 def chk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = V.Book(spark, sf_dir)
+    book = V.Book(spark, sf_dir, ("party", "debit_account", "amount_paise", "gst_paise"))
     n = F.length("id") % 4
     flags = T.run(book.entries, book.history, T.BUILT_IN).select(F.col("id").alias("voucher"), "detector", "severity", F.when(n == 0, " ").when(n == 1, "no figure").otherwise(F.col("reason")).alias("reason"), F.when(F.length("id") % 5 == 0, "x").otherwise(F.col("id")).alias("proposed"), (F.col("detector") != "gst_anomaly").alias("answerable"))
     return S.flag_faults(flags).groupBy("detector", "fault").agg(F.count("*").alias("n"))
@@ -206,10 +206,9 @@ SELECT detector, fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY 1,
 
 def agg_detector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrupted entries are cases of their detector, clean ones of each."""
-    rows = _scored(spark, sf_dir, T.BUILT_IN)
-    names = F.transform("flags", lambda f: f["detector"])
-    cases = rows.withColumn("fires", names).withColumn("detector", F.explode(F.array(*map(F.lit, T.BUILT_IN)))).filter("error_type IS NULL OR error_type = detector")
-    cases = cases.select("detector", F.col("error_type").isNotNull().alias("expect_fires"), F.array_contains("fires", F.col("detector")).alias("fired"), F.lit(False).alias("crashed"), (F.length("party") < 20).alias("unsafe"), F.coalesce("error_type", F.lit("clean")).alias("label"), F.when(F.col("seq") % 2 == 0, F.col("id")).alias("provenance"))
+    rows = _scored(spark, sf_dir, T.BUILT_IN, numbered=True)
+    cases = rows.withColumn("detector", F.explode(F.array(*map(F.lit, T.BUILT_IN)))).filter("error_type IS NULL OR error_type = detector")
+    cases = cases.select("detector", F.col("error_type").isNotNull().alias("expect_fires"), F.array_contains("detectors", F.col("detector")).alias("fired"), F.lit(False).alias("crashed"), (F.length("party") < 20).alias("unsafe"), F.coalesce("error_type", F.lit("clean")).alias("label"), F.when(F.col("seq") % 2 == 0, F.col("id")).alias("provenance"))
     return S.detector_counts(cases, T.BUILT_IN)
 
 

@@ -6,13 +6,15 @@ sometimes to another. The first half of a company's vouchers, in published order
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shared import kept
+from ..operators.history import with_vendor
+from ..shared import kept, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,7 @@ def paise(c) -> F.Column:
 def vouchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """company_key, id, date, party, narration, debit_account, credit_account, amount_paise, gst_paise."""
     line, orders, supplier, part, nation = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier", "part", "nation"))
+    line = spread(line)
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     prefix = F.when(F.col("s_suppkey") % 3 == 0, "M/s ").otherwise("")
@@ -60,15 +63,52 @@ def halves(rows: DataFrame) -> DataFrame:
     return rows.drop("__company", "__date", "__before", "__total")
 
 
+def cuts(rows: DataFrame) -> DataFrame:
+    """company_key, cut: (date, id) of the last voucher of each company's first half, null if it has one voucher only.
+
+    Days are counted; only vouchers of the one day of a company that holds the middle are put in order.
+    """
+    days = rows.groupBy("company_key", "date").agg(F.count("*").alias("n"))
+    own = W.partitionBy("company_key")
+    days = days.withColumns({"before": F.sum("n").over(own.orderBy(F.col("date").asc_nulls_first())) - F.col("n"), "half": F.expr("sum(n) OVER (PARTITION BY company_key) div 2")})
+    middle = kept(days.filter((F.col("before") < F.col("half")) & (F.col("half") <= F.col("before") + F.col("n"))).select(F.col("company_key").alias("c"), F.col("date").alias("d"), (F.col("half") - F.col("before")).alias("rank")))
+    there = rows.select("company_key", "date", "id").join(middle, (F.col("company_key") == F.col("c")) & F.col("date").eqNullSafe(F.col("d")))
+    nth = F.row_number().over(own.orderBy("id"))
+    return there.withColumn("nth", nth).filter("nth = rank").select("company_key", F.struct("date", "id").alias("cut"))
+
+
+#: All that a voucher holds besides its company, id and date.
+VENDOR = ("stem", "form", "vendor_key")
+ALL = ("party", "narration", "debit_account", "credit_account", "amount_paise", "gst_paise")
+
+
 class Book:
-    """All that a query asks of the vouchers, from one scan of the tables: numbered once, written, and read from there."""
+    """What a query asks of the vouchers, from one scan of the tables: the ``columns`` that it needs are written once and read from there.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._sf_dir = spark, sf_dir
+    ``seq`` orders the vouchers of a company: the pair of date and id, or, if they are to be ``numbered``, their number. A voucher's half follows from
+    one cut per company, so neither history nor entries are sorted.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL, numbered: bool = False):
+        self._spark, self._sf_dir, self._columns, self._numbered = spark, sf_dir, columns, numbered
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """company_key, id, date and the columns; ``vendor`` stands for the three columns that its name is taken apart into."""
+        rows, columns = vouchers(self._spark, self._sf_dir), list(self._columns)
+        if "vendor" in columns:
+            columns.remove("vendor")
+            columns += VENDOR
+            rows = with_vendor(rows)
+        return kept(rows.select("company_key", "id", "date", *columns))
 
     @cached_property
     def vouchers(self) -> DataFrame:
-        return kept(halves(kept(vouchers(self._spark, self._sf_dir))))
+        if self._numbered:
+            return kept(halves(self.rows))
+        both = self.rows.join(kept(cuts(self.rows)), "company_key", "left")
+        place = F.struct("date", "id")
+        return both.withColumn("role", F.when(place <= F.col("cut"), "history").otherwise("entry")).withColumn("seq", place).drop("cut")
 
     @property
     def history(self) -> DataFrame:
@@ -80,12 +120,12 @@ class Book:
 
     @cached_property
     def chart(self) -> DataFrame:
-        return chart_of(self.vouchers)
+        return kept(chart_of(self.rows))
 
 
-def book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def book(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
     """(history, entries) of all companies."""
-    own = Book(spark, sf_dir)
+    own = Book(spark, sf_dir, columns, numbered)
     return own.history, own.entries
 
 
@@ -95,10 +135,6 @@ def chart_of(v: DataFrame) -> DataFrame:
     return legs.filter(F.conv(F.substring(F.md5(F.concat("company_key", F.lit("|"), "account")), 1, 4), 16, 10).cast("int") % 11 != 0)
 
 
-def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chart_of(vouchers(spark, sf_dir))
-
-
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, ts, company_key, action, outcome, operation_id: the event stream as an append-only log."""
     e = table(spark, sf_dir, "events")

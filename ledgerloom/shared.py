@@ -23,6 +23,15 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read; if it comes in fewer pieces than there are cores (one file, one row group), its rows are dealt anew to all of them.
+
+    Large tables come in pieces enough and are left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows, written and read back: lineage ends here, and lost executors cost a retry of the tasks that read."""
     path = folder(df.sparkSession)
