@@ -2,8 +2,8 @@
 
 Equal vectors are one node that names its smallest ids (as many as a result can hold), so a vector that
 a third of all rows share is one node and no hub. Nodes are dealt to shards of bounded size by hash; a task builds
-a shard's graph and stores it as flat arrays in a written table. Each block of queries is searched in each shard's
-graph, and the shards' nearest are merged by a window. Graphs grow in batches: a batch is searched at once
+a shard's graph and stores it as flat arrays in a folder of its own. Queries are written in blocks; a task opens one shard's graph where it
+lies, once, and the blocks one after the other, so neither graphs nor queries are shuffled or copied. The shards' nearest are merged by a window. Graphs grow in batches: a batch is searched at once
 in the graph so far, and among itself. Distances of results are computed anew in double precision.
 """
 
@@ -14,14 +14,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
+from pyarrow import fs
+from pyarrow import parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, shared_folder, table
 
-#: Nodes of a shard, neighbours of a node (twice as many on the ground layer), widths of the beams, queries of a block.
-SHARD, LINKS, BUILD_WIDTH, SEARCH_WIDTH, BLOCK = 8192, 16, 96, 160, 4096
+#: Nodes of a shard, neighbours of a node (twice as many on the ground layer), widths of the beams, queries of a block, blocks that one task takes.
+SHARD, LINKS, BUILD_WIDTH, SEARCH_WIDTH, BLOCK, BLOCKS = 8192, 16, 96, 160, 4096, 16
 _BATCH, _AT_ONCE = 256, 4
 
 
@@ -178,8 +181,9 @@ def valid(vectors: DataFrame) -> DataFrame:
     return v.filter("vec_id IS NOT NULL AND vector IS NOT NULL").filter(~bad).filter(F.exists("vector", lambda x: x != 0))
 
 
-def index(vectors: DataFrame, k: int) -> DataFrame:
-    """The written graphs: a row per shard (shard, dim, vectors, ids, links, sizes), for results of ``k`` rows."""
+def index(vectors: DataFrame, k: int) -> tuple[str, int]:
+    """The folder with the graphs, for results of ``k`` rows, and the number of shards: ``shard=<n>`` holds a shard's graphs, one for each
+    length of vectors (dim, vectors, ids, links, sizes)."""
     rows = vectors.distinct()
     nth = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     nodes = rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1)  # a query's own row may be one of them
@@ -187,47 +191,70 @@ def index(vectors: DataFrame, k: int) -> DataFrame:
     shards = max(1, -(-nodes.count() // SHARD))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
     nodes = nodes.repartitionByRange(int(shards), "shard")  # a task for each: a build is too long to share one
-    return kept(nodes.groupBy("shard", F.size("vector")).applyInArrow(_build, "shard int, dim int, vectors binary, ids array<array<long>>, links binary, sizes array<array<int>>"))
-
-
-
-
-def _searched(graphs: pa.Table, queries: pa.Table, k: int, width: int) -> pa.Table:
-    names, out = ["query_id", "vec_id", "score"], [[], [], []]
-    if queries.num_rows and graphs.num_rows:
-        g = {c: graphs[c][0].as_py() for c in ("dim", "vectors", "ids", "links", "sizes")}
-        original = np.frombuffer(g["vectors"]).reshape(-1, g["dim"])
-        flat, links, at = np.frombuffer(g["links"], np.int32).astype(np.int64), [], 0
-        for rows, most in g["sizes"]:
-            links.append(flat[at : at + rows * most].reshape(rows, most))
-            at += rows * most
-        graph = Graph(original.astype(np.float32), links)
-        ids, q = queries["query_id"].to_numpy(), np.array(queries["vector"].to_pylist(), np.float64)
-        for part in range(0, len(q), 512):
-            found, _ = graph.search(q[part : part + 512].astype(np.float32), max(width, 2 * k))
-            for query, own, nodes in zip(ids[part : part + 512], q[part : part + 512], found, strict=True):
-                nodes = nodes[nodes >= 0]
-                far = np.sqrt(((original[nodes] - own) ** 2).sum(axis=1))
-                best = sorted((d, v) for d, node in zip(far.tolist(), nodes, strict=True) for v in g["ids"][node] if v != query)[:k]
-                out[0] += [int(query)] * len(best)
-                out[1] += [v for _, v in best]
-                out[2] += [d for d, _ in best]
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
-
-
-def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH) -> DataFrame:
+    graphs = nodes.groupBy("shard", F.size("vector")).applyInArrow(_build, "shard int, dim int, vectors binary, ids array<array<long>>, links binary, sizes array<array<int>>")
+    folder = shared_folder(vectors.sparkSession)
+    graphs.write.partitionBy("shard").parquet(folder)
+    return folder, int(shards)
+
+
+def _part(folder: str, name: str) -> pa.Table | None:
+    """What a written folder holds in one of its parts; None if there is no such part."""
+    store, base = fs.FileSystem.from_uri(folder)
+    files = store.get_file_info(fs.FileSelector(f"{base}/{name}", allow_not_found=True))
+    tables = [pq.read_table(store.open_input_file(f.path)) for f in files if f.base_name.startswith("part-")]
+    return pa.concat_tables(tables) if tables else None
+
+
+def _opened(row: dict) -> tuple[Graph, np.ndarray, list]:
+    """The graph of a stored row, its vectors in double precision, and the ids of each node."""
+    original = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+    flat, links, at = np.frombuffer(row["links"], np.int32).astype(np.int64), [], 0
+    for rows, most in row["sizes"]:
+        links.append(flat[at : at + rows * most].reshape(rows, most))
+        at += rows * most
+    return Graph(original.astype(np.float32), links), original, row["ids"]
+
+
+def _found(opened: tuple[Graph, np.ndarray, list], ids: np.ndarray, q: np.ndarray, k: int, width: int) -> tuple[list, list, list]:
+    (graph, original, names), out = opened, ([], [], [])
+    for part in range(0, len(q), 512):
+        found, _ = graph.search(q[part : part + 512].astype(np.float32), max(width, 2 * k))
+        for query, own, nodes in zip(ids[part : part + 512], q[part : part + 512], found, strict=True):
+            nodes = nodes[nodes >= 0]
+            far = np.sqrt(((original[nodes] - own) ** 2).sum(axis=1))
+            best = sorted((d, v) for d, node in zip(far.tolist(), nodes, strict=True) for v in names[node] if v != query)[:k]
+            out[0].extend([int(query)] * len(best))
+            out[1].extend(v for _, v in best)
+            out[2].extend(d for d, _ in best)
+    return out
+
+
+def _searched(pairs: Iterator[pa.RecordBatch], graphs: str, queries: str, k: int, width: int) -> Iterator[pa.RecordBatch]:
+    shard, opened = None, {}
+    for batch in pairs:
+        for to, block in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if to != shard:
+                held = _part(graphs, f"shard={to}")
+                shard, opened = to, {r["dim"]: _opened(r) for r in (held.to_pylist() if held else ())}
+            asked = _part(queries, f"block={block}")
+            for dim in opened if asked else ():
+                own = asked.filter(pa.compute.equal(asked["dim"], dim))
+                if own.num_rows:
+                    q = own["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+                    out = _found(opened[dim], own["query_id"].to_numpy(), q, k, width)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def search(graphs: tuple[str, int], queries: DataFrame, k: int, width: int = SEARCH_WIDTH) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest found, nearest first, ties to the smaller id."""
+    spark, (folder, shards) = queries.sparkSession, graphs
     blocks = max(1, -(-queries.count() // BLOCK))
-    places = graphs.select(F.col("shard").alias("to"), F.col("dim").alias("of"))
     asked = queries.select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.join(places, F.col("dim") == F.col("of"))  # every query in every shard
-    given = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    work = partial(_searched, k=k, width=width)
-
-    def one(a: pa.Table, b: pa.Table) -> pa.Table:
-        return work(a, b)
-
-    found = given.groupBy("shard", "dim", "block").cogroup(asked.groupBy("to", "of", "block")).applyInArrow(one, "query_id long, vec_id long, score double")
+    written = shared_folder(spark)
+    asked.repartition(F.col("block")).write.partitionBy("block").parquet(written)
+    runs = -(-blocks // BLOCKS)  # a task for each shard and BLOCKS blocks: the graph is opened once for them
+    pairs = spark.range(0, shards * runs, 1, shards * runs).select(F.expr(f"cast(id div {runs} as int)").alias("shard"), F.expr(f"explode(sequence(cast(id % {runs} * {BLOCKS} as int), cast(least((id % {runs} + 1) * {BLOCKS}, {blocks}) - 1 as int)))").alias("block"))
+    found = pairs.mapInArrow(partial(_searched, graphs=folder, queries=written, k=k, width=width), "query_id long, vec_id long, score double")
     nth = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,8 +1,8 @@
 """License scans: phrases in word order, and an exact set-similarity join of text blocks with templates.
 
-A block (a line of a text, a run of up to ``JOINED`` lines, or, for notices wrapped over more lines, as many words one
-after the other as the template has, and a quarter more, over any lines) meets a template if it holds at least
-THRESHOLD of the template's distinct words. The join is exact and filtered: words are ordered
+A block (a line of a text, a run of up to ``JOINED`` lines, or, for notices wrapped over more lines, any lines) meets a template if it holds at least
+THRESHOLD of the template's distinct words among as many words, one after the other, as the template has and a quarter more: what stands far apart in a
+long line is no notice. The join is exact and filtered: words are ordered
 by how many documents hold them, rarest first, counted over the whole corpus; a block that meets a template must
 hold one of its first words (prefix filter), must have enough words at all (length filter), and from the place
 of the first common word on enough words must be left (positional filter). Only what passes is counted.
@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import pyarrow as pa
@@ -82,8 +82,24 @@ class Templates:
                 self.prefix[w].append((label, i))
         self.first = frozenset(self.prefix)
 
-    def met(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, share of its words) for each template that the block's words meet."""
+    def dense(self, words: list[bytes], label: str) -> int:
+        """The most of a template's distinct words that stand within its span of words."""
+        wanted, span, counts, hits, left, best = frozenset(self.sets[label]), self.span[label], defaultdict(int), [], 0, 0
+        for p, w in enumerate(words):
+            if w in wanted:
+                hits.append((p, w))
+                counts[w] += 1
+                while hits[left][0] <= p - span:
+                    first = hits[left][1]
+                    counts[first] -= 1
+                    if not counts[first]:
+                        del counts[first]
+                    left += 1
+                best = max(best, len(counts))
+        return best
+
+    def met(self, block: set[bytes], lines: Sequence[list[bytes]] = ()) -> Iterator[tuple[str, float]]:
+        """(label, share of its words) for each template that the block meets: its distinct words, and all of them, line by line, to tell how far apart they stand."""
         firsts: dict[str, int] = {}
         for w in block & self.first:
             for label, i in self.prefix[w]:
@@ -93,18 +109,20 @@ class Templates:
             if len(block) < need or len(words) - i < need:
                 continue
             common = sum(w in block for w in words[i:])
+            if common >= need and sum(map(len, lines)) > self.span[label]:
+                common = self.dense([w for line in lines for w in line], label)
             if common >= need:
                 yield label, common / len(words)
 
 
-def _blocks(lines: list[set[bytes]], templates: Templates) -> list[tuple[str, int, int, float]]:
+def _blocks(words: list[list[bytes]], templates: Templates) -> list[tuple[str, int, int, float]]:
     """(label, line, lines, share) of the least runs of lines that meet a template; share: the best of the runs around."""
-    runs = {}
+    runs, lines = {}, [set(x) for x in words]
     for n in range(1, JOINED + 1):
         for i in range(len(lines) - n + 1):
             runs[i, n] = {}
             if lines[i] and lines[i + n - 1] and any(not templates.first.isdisjoint(x) for x in lines[i : i + n]):
-                runs[i, n] = dict(templates.met(set().union(*lines[i : i + n])))
+                runs[i, n] = dict(templates.met(set().union(*lines[i : i + n]), words[i : i + n]))
     out = []
     for (i, n), met in runs.items():
         for label in met:
@@ -168,7 +186,7 @@ def _scan(docs: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[by
                         at = line.find(b" " + phrase + b" ", at + 1)
             if not templates.first.isdisjoint(words):
                 lines = [plain(x) for x in (text or b"").split(b"\n")]
-                blocks = _blocks([set(x) for x in lines], templates)
+                blocks = _blocks(lines, templates)
                 if len(lines) > JOINED:
                     blocks = sorted(blocks + _wrapped(lines, templates, blocks))
             row = [len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), [dict(zip(("label", "line", "lines", "share"), b, strict=True)) for b in blocks]]
@@ -207,10 +225,11 @@ def _sql() -> str:
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     sets = {k: sorted(w.decode() for w in v) for k, v in _template_words(TEMPLATES).items()}
-    rows = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}], {max(1, math.ceil(THRESHOLD * len(v) - 1e-9))})" for k, v in sets.items())
+    span = {k: math.ceil(len(plain(TEMPLATES[k].encode())) / THRESHOLD) for k in sets}
+    rows = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}], {max(1, math.ceil(THRESHOLD * len(v) - 1e-9))}, {span[k]})" for k, v in sets.items())
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     return f"""
-WITH t(label, words, need) AS (VALUES {rows}),
+WITH t(label, words, need, span) AS (VALUES {rows}),
 b(phrase, label, n) AS (VALUES {phrases}),
 d AS (SELECT doc_id, regexp_extract_all({low.format("coalesce(text, '')")}, {word}) AS w, string_split({low.format("coalesce(text, '')")}, chr(10)) AS lines FROM documents),
 p AS (SELECT doc_id, label, i - 1 AS at_word FROM (SELECT doc_id, w, label, phrase, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, b)
@@ -218,7 +237,8 @@ p AS (SELECT doc_id, label, i - 1 AS at_word FROM (SELECT doc_id, w, label, phra
 pb AS (SELECT doc_id, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
 r AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d),
 k AS (SELECT doc_id, regexp_extract_all(array_to_string(list_slice(lines, i, i + n - 1), ' '), {word}) AS w FROM r, (VALUES (1), (2), (3)) AS e(n) WHERE i + n - 1 <= len(lines)),
-m AS (SELECT doc_id, label, max(len(list_intersect(words, w)) / len(words)) AS share FROM k, t WHERE len(list_intersect(words, w)) >= need GROUP BY doc_id, label),
+c AS (SELECT doc_id, label, words, need, CASE WHEN len(w) <= span THEN len(list_intersect(words, w)) ELSE list_max(list_transform(range(1, len(w) - span + 2), lambda i: len(list_intersect(words, list_slice(w, i, i + span - 1))))) END AS n FROM k, t WHERE len(list_intersect(words, w)) >= need),
+m AS (SELECT doc_id, label, max(n / len(words)) AS share FROM c WHERE n >= need GROUP BY doc_id, label),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM p) GROUP BY doc_id),
 s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,

@@ -340,3 +340,45 @@ def test_suspect_parts_beside_an_article_go_however_long():
         assert main_text(f"<body>{before.format(own, own)}<section class=comments>{comments}</section>").endswith(f"{own} {own}")
     assert main_text(f"<body><div class=notice><p>{prose(3, 10)}, so, there.</p></div>") == ""  # a notice alone is no article
     assert main_text(f"<p hidden>{own}</p><p title='a hidden b'>{own}</p><p class='x' HIDDEN>{own}</p>") == own
+
+
+# -- notices in long lines, and whole texts as templates
+
+
+def test_words_far_apart_in_a_long_line_are_no_notice(spark):
+    from ledgerloom.llm import licences
+
+    filler = prose(4, 400)
+    apart = f"{filler} ".join(["", "released ", "under ", "the ", "mit ", "license "]) + filler
+    near = f"{filler} Released, under the (MIT) License {filler}"
+    text = frame(spark, [(1, apart), (2, near), (3, near.replace(" ", "\n")), (4, f"{filler} released under\nthe MIT {filler}\nlicense {filler}"), (5, (filler + " ") * 400 + "released under the mit license"), (6, None)])
+    got = {r["doc_id"]: [(b["label"], b["share"]) for b in r["blocks"]] for r in licences.scan(text).collect()}
+    assert got[1] == [] and got[2] == [("mit", 1.0)] and set(got[3]) == {("mit", 1.0)} and [x[0] for x in got[4]] == ["mit"] and got[4][0][1] == 0.8 and got[5] == [("mit", 1.0)] and got[6] == []
+
+
+def test_whole_licence_texts_as_templates(spark):
+    from ledgerloom.llm import licences
+
+    rng = random.Random(8)
+    whole = " ".join(f"{rng.choice(WORDS)}{rng.randrange(200)}" for _ in range(900))
+    other = " ".join(f"{rng.choice(WORDS)}{rng.randrange(200)}" for _ in range(400))
+    words = whole.split()
+    wrapped = "\n".join(" ".join(words[i : i + 11]) for i in range(0, 900, 11))
+    edited = "\n".join(" ".join(w if rng.random() > 0.08 else "edited" for w in words[i : i + 11]) for i in range(0, 900, 11))
+    half = "\n".join(" ".join(words[i : i + 11]) for i in range(0, 450, 11))
+    text = frame(spark, [(1, "intro\n" + wrapped + "\n" + prose(1, 500)), (2, edited), (3, half), (4, prose(2, 900)), (5, whole), (6, other + "\n" + wrapped)])
+    got = {r["doc_id"]: {b["label"] for b in r["blocks"]} for r in licences.scan(text, {"own": whole, "other": other}).collect()}
+    assert got == {1: {"own"}, 2: {"own"}, 3: set(), 4: set(), 5: {"own"}, 6: {"own", "other"}}
+
+
+def test_hnsw_in_many_blocks_and_shards_is_the_same(spark, monkeypatch):
+    from ledgerloom.llm import hnsw
+
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 12)))] + [(700 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 5)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    one = sorted(map(tuple, hnsw.nearest(df, k=5, every=5).collect()))
+    for shard, block, blocks in ((150, 7, 3), (60, 1000, 16)):
+        monkeypatch.setattr(hnsw, "SHARD", shard), monkeypatch.setattr(hnsw, "BLOCK", block), monkeypatch.setattr(hnsw, "BLOCKS", blocks)
+        got = sorted(map(tuple, hnsw.nearest(df, k=5, every=5).collect()))
+        assert len(got) == len(one) == (120 + 8) * 5 and len(set(got) & set(one)) > 0.97 * len(one)
