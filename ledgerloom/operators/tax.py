@@ -26,14 +26,22 @@ def rate_lookup(rows: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame
 
     FOUND, CONFLICT (several in force), BEYOND_AMENDMENT_CHECK (the one in force was not checked up to the day), ENDED, NOT_YET,
     NOT_FOUND (the code has no rule of this type), SOURCE_UNVERIFIED (the corpus has no such type at all), in this order.
-    Rules are a small dimension: Spark broadcasts them when their size allows.
+    Each distinct question (code, type, day) is answered once, however many rows ask it: rules are joined to questions, and answers to rows.
     """
+    asked = rows.select(F.col("code").alias("q_code"), F.col("tax_type").alias("q_type"), F.col("on").alias("q_on")).distinct()
+    answers = _answered(asked, rules)
+    same = F.col("code").eqNullSafe(F.col("q_code")) & F.col("tax_type").eqNullSafe(F.col("q_type")) & F.col("on").eqNullSafe(F.col("q_on"))
+    return rows.select(key, "code", "tax_type", "on").join(answers, same).select(key, "tax_type", "outcome", "rule_id", "rate")
+
+
+def _answered(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """q_code, q_type, q_on, outcome, rule_id, rate of distinct questions."""
     types = rules.select(F.col("tax_type").alias("__t")).distinct().withColumn("__typed", F.lit(True))
     r = rules.select(F.col("code").alias("__c"), F.col("tax_type").alias("__type"), "rule_id", "rate_basis_points", "effective_from", "effective_to", "amendments_checked_through")
-    on = F.col("on")
+    on = F.col("q_on")
     in_force = (F.col("effective_from") <= on) & (F.col("effective_to").isNull() | (F.col("effective_to") >= on))
-    joined = rows.join(r, (F.col("code") == F.col("__c")) & (F.col("tax_type") == F.col("__type")), "left").join(types, F.col("tax_type") == F.col("__t"), "left")
-    per = joined.groupBy(key, "tax_type").agg(
+    joined = asked.join(r, (F.col("q_code") == F.col("__c")) & (F.col("q_type") == F.col("__type")), "left").join(types, F.col("q_type") == F.col("__t"), "left")
+    per = joined.groupBy("q_code", "q_type", "q_on").agg(
         F.count_if(in_force).alias("now"), F.count_if(F.col("effective_to") < on).alias("ended"), F.count_if(F.col("effective_from") > on).alias("later"), F.bool_or(F.coalesce("__typed", F.lit(False))).alias("typed"),
         F.min(F.when(in_force, F.struct("rule_id", "rate_basis_points", (F.coalesce(F.col("amendments_checked_through") < on, F.lit(True))).alias("stale")))).alias("one"),
     )
@@ -42,7 +50,7 @@ def rate_lookup(rows: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame
         .when(F.col("ended") > 0, "ENDED").when(F.col("later") > 0, "NOT_YET").otherwise("NOT_FOUND")
     )
     found = F.col("outcome") == "FOUND"
-    return per.withColumn("outcome", outcome).select(key, "tax_type", "outcome", F.when(found, F.col("one.rule_id")).alias("rule_id"), F.when(found, F.col("one.rate_basis_points")).alias("rate"))
+    return per.withColumn("outcome", outcome).select("q_code", "q_type", "q_on", "outcome", F.when(found, F.col("one.rule_id")).alias("rule_id"), F.when(found, F.col("one.rate_basis_points")).alias("rate"))
 
 
 def place_of_supply(rows: DataFrame, states: DataFrame) -> DataFrame:
