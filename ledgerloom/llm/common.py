@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share, below ``ledgerloom-<application id>``: whoever runs the application can remove that once it has ended.
 
     The cluster names that folder in ``spark.checkpoint.dir``; where it is unset (a local
     session, as in tests), a folder under the warehouse's parent is set for the session.
@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.ledgerloom.shared.dir", base)
-    return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
