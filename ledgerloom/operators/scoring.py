@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import reading as R
 from .fields import LABELS
@@ -73,7 +74,7 @@ def ceiling(word: Column, label: str) -> Column:
     return 2.0 * both / (F.length(word) + len(label))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the characters in matching blocks over all characters of both: the longest common run first, then the same on its left and right."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

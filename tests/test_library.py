@@ -269,3 +269,13 @@ def test_windowed_streams(spark, tmp_path):
     entries = book(spark, [("e", 9, "ACME", "B", 100, None), ("ok", 9, "acme", "A", 9, None)])
     chart = spark.createDataFrame([("c", "A"), ("c", "B"), ("c", "Bank")], "company_key string, account string")
     assert {r["id"]: (r["outcome"], r["first"], r["n"]) for r in S.judged(entries, *S.facts(history), chart).collect()} == {"e": ("UNCLEAR", "vendor_switch", 2), "ok": ("VALID", None, 0)}
+
+
+def test_queries_are_known_before_any_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    made = subprocess.run([sys.executable, "-c", "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True)
+    queries, sql = map(int, made.stdout.split())
+    assert queries >= sql > 150
