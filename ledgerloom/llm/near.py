@@ -4,9 +4,14 @@ Texts that are equal to the letter become one node first, so copies cost one row
 share a band bucket are candidates. In each bucket every member is held against one centre, the bucket's
 smallest node: as many pairs as members, however large the bucket. Signatures of 4-bit minima estimate the
 similarity, corrected for chance agreement, and drop what is far from the threshold; the rest is confirmed on
-full shingle sets. Where a bucket still holds several components, members of different components meet in blocks:
-signatures first, full sets where they may be similar, and only links that join two components come out. So
-every pair of a bucket is either in one component or was tested, and nothing is capped.
+full shingle sets, each node with its smallest centre first and with others only if that left the two apart.
+Where a bucket still holds several components, members of different components meet in blocks: signatures alone
+first, then the full sets of those that have a possible partner, and only links that join two components come out.
+So every pair of a bucket is either in one component or was tested, and nothing is capped.
+
+Texts are packed when they are signed; those of nodes that share a bucket are written once, by node. What many rows
+look up (a large bucket's centre, a centre's text, the label of a large class, the class of a text with many
+copies) is handed out by salt, one copy for each salt that its rows have, so no key's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,13 +38,36 @@ BITS = 4
 MARGIN = 0.24
 #: Signatures in a block of the block-wise comparison.
 BLOCK = 256
+#: Parts that the rows of one key are dealt to.
+SALTS = 32
 _LANES = MINIMA * BITS // 64
 _SIG = [f"s{i}" for i in range(_LANES)]
 _BAND = [f"b{i}" for i in range(BANDS)]
 
 
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _salts(column: str) -> Column:
+    """An aggregate: the salts that ``column`` has in a group, as bits."""
+    return F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64({column}), {SALTS}) AS int)))")
+
+
+def _handed_out(df: DataFrame, salts: str = "salts") -> DataFrame:
+    """Each row once for each of its ``salts``, with that as ``salt``."""
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return df.withColumn("salt", F.explode(F.filter(every, lambda k: F.getbit(F.col(salts), k) == 1))).drop(salts)
+
+
+def _for_each(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, salt, ...): the values, unique by ``a``, for the salts that b has in the pairs of that a."""
+    return _handed_out(values.join(pairs.groupBy("a").agg(_salts("b").alias("salts")), "a"))
+
+
 def _signed(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and key, then the set's size, the packed signature and the band keys."""
+    """doc_id, key and the packed text, then the set's size, the packed signature and the band keys."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     rng = np.random.default_rng(20240229)
     a = rng.integers(0, 2**63, MINIMA, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, MINIMA, np.uint64)[:, None]
@@ -49,7 +78,8 @@ def _signed(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in docs:
         n = batch.num_rows
         size, sig, band = np.zeros(n, np.int64), np.zeros((n, _LANES), np.uint64), np.zeros((n, BANDS), np.uint64)
-        for i, text in enumerate(raw(batch, "text")):
+        texts = raw(batch, "text")
+        for i, text in enumerate(texts):
             own = shingles(words.of(spaced(text)), SHINGLE)
             size[i] = len(own)
             if not len(own):
@@ -60,15 +90,15 @@ def _signed(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             few = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
             sig[i] = (few.reshape(_LANES, -1) << shift).sum(axis=1, dtype=np.uint64)
             band[i] = mixed((low.reshape(BANDS, ROWS) * odd).sum(axis=1, dtype=np.uint64) + number)
-        columns = [batch.column("doc_id"), batch.column("key"), pa.array(size)]
+        columns = [batch.column("doc_id"), batch.column("key"), pa.array([pack(t or b"") for t in texts], pa.binary()), pa.array(size)]
         columns += [pa.array(x.view(np.int64)) for x in np.ascontiguousarray(sig.T)] + [pa.array(x.view(np.int64)) for x in np.ascontiguousarray(band.T)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", *_SIG, *_BAND])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "packed", "n", *_SIG, *_BAND])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), n (distinct shingles), signature and band columns; one row per row of ``docs``."""
+    """doc_id, key (of the text), packed (the text), n (distinct shingles), signature and band columns; one row per row of ``docs``."""
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("key"), docs["text"].alias("text"))
-    return slim.mapInArrow(_signed, "doc_id long, key binary, n long, " + ", ".join(f"{c} long" for c in _SIG + _BAND))
+    return slim.mapInArrow(_signed, "doc_id long, key binary, packed binary, n long, " + ", ".join(f"{c} long" for c in _SIG + _BAND))
 
 
 def agreement(a: str, b: str) -> Column:
@@ -91,37 +121,52 @@ def least_agreement(similar: int = SIMILAR) -> float:
 def _likely(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) that signatures and set sizes leave possible."""
     s = nodes.select("key", "n", *_SIG)
-    p = pairs.join(s.select(F.col("key").alias("a"), F.struct("n", *_SIG).alias("x")), "a").join(s.select(F.col("key").alias("b"), F.struct("n", *_SIG).alias("y")), "b")
+    p = pairs.join(s.select(F.col("key").alias("b"), F.struct("n", *_SIG).alias("y")), "b").withColumn("salt", _salt("b"))
+    p = p.join(_for_each(pairs, s.select(F.col("key").alias("a"), F.struct("n", *_SIG).alias("x"))), ["a", "salt"])
     sizes = 100 * F.least("x.n", "y.n") >= similar * F.greatest("x.n", "y.n")
     return p.filter(sizes & (agreement("x", "y") >= least_agreement(similar))).select("a", "b")
 
 
 def _exact(pairs: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
-    words, last, left = WordHashes(), None, None
+    words, last, left, unpack = WordHashes(), None, None, zstandard.ZstdDecompressor().decompress
     for batch in pairs:
         ok = []
-        for x, y in zip(raw(batch, "left"), raw(batch, "right"), strict=True):
+        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
             if x != last:
-                last, left = x, shingles(words.of(spaced(x)), SHINGLE)
-            right = shingles(words.of(spaced(y)), SHINGLE)
+                last, left = x, shingles(words.of(spaced(unpack(x))), SHINGLE)
+            right = shingles(words.of(spaced(unpack(y))), SHINGLE)
             both = len(np.intersect1d(left, right, assume_unique=True))
             ok.append(100 * both >= similar * (len(left) + len(right) - both) and both > 0)
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     """The pairs whose full sets are similar."""
-    texts = kept(_texts(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), nodes, docs))
-    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
+    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("packed").alias("right")), "b").withColumn("salt", _salt("b"))
+    both = both.join(_for_each(pairs, texts.select(F.col("key").alias("a"), F.col("packed").alias("left"))), ["a", "salt"])
     return kept(both.select("a", "b", "left", "right").mapInArrow(partial(_exact, similar=similar), "a binary, b binary"))
 
 
-def _texts(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, text of the nodes that ``keys`` names, each once."""
-    need = keys.join(nodes.select("key", "rep"), "key").select(F.col("key").alias("__key"), F.col("rep").alias("__rep"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(docs["text"])).alias("key"), docs["text"].alias("text"))
-    texts = texts.join(need, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
-    return texts.groupBy("key").agg(F.max("text").alias("text"))  # repeated rows, and rows without an id
+def _linked(pairs: DataFrame, texts: DataFrame, similar: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed pairs that have the components of all that could be confirmed, and these components' labels."""
+    least = kept(pairs.groupBy("b").agg(F.min("a").alias("a")))
+    edges = _confirmed(least, texts, similar)
+    labels = components(edges)
+    rest = pairs.join(least.select("b", F.col("a").alias("least")), "b").filter("a > least").drop("least")
+    rest = rest.join(labels.select(F.col("node").alias("b"), F.col("label").alias("own")), "b", "left").withColumn("salt", _salt("b"))
+    centres = _for_each(pairs, labels.select(F.col("node").alias("a"), F.col("label").alias("other")))
+    rest = kept(rest.join(centres, ["a", "salt"], "left").filter("coalesce(own, b) <> coalesce(other, a)").select("a", "b"))
+    if rest.isEmpty():
+        return edges, labels
+    edges = edges.union(_confirmed(rest, texts, similar))
+    return edges, components(edges)
+
+
+def _texts(keys: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """key, packed: the text of the nodes that ``keys`` names, each once."""
+    need = keys.join(nodes.select("key", "rep"), "key").select(F.col("key").alias("node"), "rep")
+    texts = own.select("doc_id", "key", "packed").join(need, (F.col("key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    return texts.groupBy("key").agg(F.max("packed").alias("packed"))  # repeated rows, and rows without an id
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -135,8 +180,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         fresh = labels.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        own = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        fresh = kept(fresh.join(own, "label").select("node", "was", F.least("label", "next").alias("label")))
+        fresh = kept(fresh)
+        moved = labels.select(F.col("node").alias("label"), F.col("label").alias("next")).filter("next < label")
+        moved = _handed_out(moved.join(fresh.groupBy("label").agg(_salts("node").alias("salts")), "label"))
+        fresh = fresh.withColumn("salt", _salt("node")).join(moved, ["label", "salt"], "left")
+        fresh = kept(fresh.select("node", "was", F.least("label", "next").alias("label")))  # least() passes nulls over
         changed = fresh.filter(F.col("label") < F.col("was")).isEmpty()
         labels = fresh.select("node", "label")
         if changed:
@@ -144,27 +192,45 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+    words, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
     for batch in docs:
-        sets = [shingles(words.of(spaced(t)), SHINGLE).tobytes() for t in raw(batch, "text")]
+        sets = [shingles(words.of(spaced(unpack(t))), SHINGLE).tobytes() for t in batch.column("packed").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "set"])
 
 
-def _block(group: Iterator[pa.RecordBatch], least: float, similar: int) -> Iterator[pa.RecordBatch]:
-    """One block of a bucket's smaller components against one block of all its members: links that join components.
-
-    A pair that shares several buckets is looked at in that of the first band alone, and one that earlier links of this
-    block have joined is not looked at again.
-    """
-    t = pa.Table.from_batches(list(group))
-    if not t.num_rows:
-        return
-    key, label = t["key"].to_pylist(), t["label"].to_pylist()
+def _possible(t: pa.Table, least: float, similar: int) -> Iterator[tuple[int, np.ndarray]]:
+    """One block of a bucket's smaller components against one block of all its members: places of those that may be
+    similar by signature and size, of different components, and weren't tested with the centre. A pair that shares
+    several buckets is looked at in that of the first band alone."""
     side, minor, n = (t[c].to_numpy() for c in ("side", "minor", "n"))
     band, centre = t["band"][0].as_py(), t["centre"][0].as_py()
+    keys = np.array(t["key"].to_pylist(), object)
+    is_centre, key = keys == centre, np.unique(keys, return_inverse=True)[1]
+    label = np.unique(np.array(t["label"].to_pylist(), object), return_inverse=True)[1]
     sig = np.stack([t[c].to_numpy() for c in _SIG], axis=1).view(np.uint64)
     bands = np.stack([t[c].to_numpy() for c in _BAND], axis=1)
     lanes = ((sig[:, :, None] >> np.arange(0, 64, BITS, dtype=np.uint64)) & np.uint64(2**BITS - 1)).astype(np.uint8).reshape(len(sig), -1)
+    right = np.flatnonzero((side == 1) & ~is_centre)
+    for i in np.flatnonzero((side == 0) & ~is_centre):
+        some = right[(label[right] != label[i]) & (~minor[right] | (key[right] > key[i]))]
+        some = some[100 * np.minimum(n[some], n[i]) >= similar * np.maximum(n[some], n[i])]
+        some = some[(lanes[some] == lanes[i]).sum(axis=1) >= least]
+        some = some[(bands[some] == bands[i]).argmax(axis=1) == band]
+        if len(some):
+            yield i, some
+
+
+def _seek(t: pa.Table, similar: int) -> pa.Table:
+    """The rows of a block that have a possible partner in it."""
+    found = np.zeros(t.num_rows, bool)
+    for i, some in _possible(t, least_agreement(similar), similar):
+        found[i] = found[some] = True
+    return t.select(_PLACE).filter(pa.array(found))
+
+
+def _settle(t: pa.Table, similar: int) -> pa.Table:
+    """Links of a block's possible pairs, on full sets; a pair that earlier links of this block have joined isn't looked at again."""
+    key, label = t["key"].to_pylist(), t["label"].to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
     root = {x: x for x in label}
 
@@ -173,44 +239,41 @@ def _block(group: Iterator[pa.RecordBatch], least: float, similar: int) -> Itera
             root[x] = x = root[root[x]]
         return x
 
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     links = []
-    for i in left if len(right) else ():
-        maybe = 100 * np.minimum(n[right], n[i]) >= similar * np.maximum(n[right], n[i])
-        some = right[maybe]
-        some = some[(lanes[some] == lanes[i]).sum(axis=1) >= least]
-        some = some[(bands[some] == bands[i]).argmax(axis=1) == band]
+    for i, some in _possible(t, least_agreement(similar), similar):
         for j in some:
-            if top(label[i]) == top(label[j]) or minor[j] and key[i] >= key[j] or centre in (key[i], key[j]):
+            if top(label[i]) == top(label[j]):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= similar * (len(sets[i]) + len(sets[j]) - both):
                 root[top(label[i])] = top(label[j])
                 links.append(sorted((key[i], key[j])))
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+    return pa.table([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+_PLACE = ["bucket", "x", "y", "band", "centre", "key", "label", "side", "minor"]
 
 
-def _left_over(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int) -> DataFrame | None:
+def _left_over(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, similar: int) -> DataFrame | None:
     """Links between components that share a bucket; None if no bucket has several."""
     own = buckets.join(labels, buckets["key"] == labels["node"], "left").select("bucket", "band", "centre", "key", F.coalesce("label", "key").alias("label"))
-    per = own.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    per = per.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("big"), F.count("*").alias("labels"))
-    per = kept(per.filter((F.col("labels") > 1) & (F.col("all") > 2)).select("bucket", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("big.c")) / BLOCK).cast("int").alias("minors"), F.col("big.label").alias("big")))
+    per = own.groupBy("bucket", "label").agg(F.count("*").alias("c"), _salts("key").alias("salts"))
+    per = per.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("big"), F.count("*").alias("labels"), F.bit_or("salts").alias("salts"))
+    blocks, minors = (F.ceil(n / BLOCK).cast("int") for n in (F.col("all"), F.col("all") - F.col("big.c")))
+    per = kept(per.filter((F.col("labels") > 1) & (F.col("all") > 2)).select("bucket", blocks.alias("blocks"), minors.alias("minors"), F.col("big.label").alias("big"), "salts"))
     if per.isEmpty():
         return None
-    own = kept(own.join(per, "bucket"))
-    sets = kept(_texts(own.select("key").distinct(), nodes, docs).mapInArrow(_sets, "key binary, set binary"))
-    rows = own.join(nodes.select("key", "n", *_SIG, *_BAND), "key").join(sets, "key").withColumn("minor", F.col("label") != F.col("big"))
+    own = kept(own.withColumn("salt", _salt("key")).join(_handed_out(per), ["bucket", "salt"]).withColumn("minor", F.col("label") != F.col("big")))
+    signed_ = nodes.select("key", "n", *_SIG, *_BAND)
     place = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
-    every = rows.select("*", F.lit(1).alias("side"), place("blocks").alias("y"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("x"))
-    minor = rows.filter("minor").select("*", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), place("minors").alias("x"))
-    columns = ["bucket", "x", "y", "band", "centre", "key", "label", "side", "minor", "n", "set", *_SIG, *_BAND]
-    work = partial(_block, least=least_agreement(similar), similar=similar)
-
-    def compare(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return work(group)
-
-    return kept(every.select(*columns).union(minor.select(*columns)).groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary"))
+    every = own.select("*", F.lit(1).alias("side"), place("blocks").alias("y"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("x"))
+    minor = own.filter("minor").select("*", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), place("minors").alias("x"))
+    rows = every.select(*_PLACE).union(minor.select(*_PLACE))
+    seek = lambda t: _seek(t, similar)
+    found = kept(rows.join(signed_, "key").groupBy("bucket", "x", "y").applyInArrow(seek, rows.schema))
+    sets = texts.join(found.select("key").distinct(), "key", "left_semi").mapInArrow(_sets, "key binary, set binary")
+    settle = lambda t: _settle(t, similar)
+    return kept(found.join(signed_.join(sets, "key"), "key").groupBy("bucket", "x", "y").applyInArrow(settle, "a binary, b binary"))
 
 
 def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -222,22 +285,24 @@ def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     table gives no rows; other columns don't matter.
     """
     own = kept(signed(docs))
-    nodes = own.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ["n", *_SIG, *_BAND]])
+    nodes = own.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), _salts("doc_id").alias("salts"), *[F.min(c).alias(c) for c in ["n", *_SIG, *_BAND]])
     nodes = kept(nodes)
     bands = nodes.select("key", F.posexplode(F.array(*_BAND)).alias("band", "bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("c")).filter("c > 1").select("bucket", "centre")
-    buckets = kept(bands.join(shared, "bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("c"), _salts("key").alias("salts")).filter("c > 1")
+    buckets = kept(bands.withColumn("salt", _salt("key")).join(_handed_out(shared.drop("c")), ["bucket", "salt"]).drop("salt"))
+    texts = kept(_texts(buckets.select("key").distinct(), nodes, own))
     stars = buckets.filter(F.col("key") != F.col("centre")).select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
-    edges = _confirmed(kept(_likely(stars, nodes, similar)), nodes, docs, similar)
-    labels = components(edges)
-    more = _left_over(buckets, labels, nodes, docs, similar)
+    edges, labels = _linked(kept(_likely(kept(stars), nodes, similar)), texts, similar)
+    more = _left_over(buckets, labels, nodes, texts, similar)
     if more is not None and not more.isEmpty():
         labels = components(edges.union(more))
-    named = nodes.select("key", "rep").join(labels, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    known = kept(named.join(least, "label").select("key", "label", "component_id"))
+    named = kept(labels.join(nodes.select("key", "rep"), F.col("key") == F.col("node")).select("key", "rep", "label"))
+    least = _handed_out(named.groupBy("label").agg(F.min("rep").alias("component_id"), _salts("key").alias("salts")))
+    known = named.withColumn("salt", _salt("key")).join(least, ["label", "salt"]).select("key", "label", "component_id")
+    known = nodes.select("key", "rep", "salts").join(known, "key", "left")
+    known = _handed_out(known.select("key", "salts", F.coalesce("label", "key").alias("label"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")))
     slim = own.select("doc_id", "key", F.col("n").alias("n_shingles"))
-    linked = slim.filter("n_shingles > 0").join(known, "key").select("doc_id", "key", "n_shingles", "component_id", "label")
+    linked = slim.filter("n_shingles > 0").withColumn("salt", _salt("doc_id")).join(kept(known), ["key", "salt"]).select("doc_id", "key", "n_shingles", "component_id", "label")
     return linked.union(slim.filter("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("label")))
 
 

@@ -382,3 +382,32 @@ def test_hnsw_in_many_blocks_and_shards_is_the_same(spark, monkeypatch):
         monkeypatch.setattr(hnsw, "SHARD", shard), monkeypatch.setattr(hnsw, "BLOCK", block), monkeypatch.setattr(hnsw, "BLOCKS", blocks)
         got = sorted(map(tuple, hnsw.nearest(df, k=5, every=5).collect()))
         assert len(got) == len(one) == (120 + 8) * 5 and len(set(got) & set(one)) > 0.97 * len(one)
+
+
+def test_near_copies_in_large_families_of_one_bucket(spark, monkeypatch):
+    """Two families that share much and don't link, one that links to both, many exact copies: held against all pairs."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    other = [*base[:90], *(f"o{k}" for k in range(30))]  # 86 of 146 shingles in common
+
+    def edited(words):
+        words = list(words)
+        words[int(rng.integers(len(words)))] = f"e{rng.integers(10**6)}"
+        return " ".join(words)
+
+    texts = [edited(base) for _ in range(30)] + [edited(other) for _ in range(30)] + [" ".join(base)] * 40 + [None, "", "one two"]
+    rows = [*enumerate(texts), (None, " ".join(base))]
+    words = [(t or "").split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(rows)))
+    for _ in rows:
+        before = list(label)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x & y and 100 * len(x & y) >= 75 * len(x | y):
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.classes(frame(spark, rows)).collect() if r["doc_id"] is not None}
+    assert found == {i: (len(sets[i]), label[i]) for i in range(len(texts))}
