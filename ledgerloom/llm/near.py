@@ -263,17 +263,21 @@ def _left_over(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: D
     per = kept(per.filter((F.col("labels") > 1) & (F.col("all") > 2)).select("bucket", blocks.alias("blocks"), minors.alias("minors"), F.col("big.label").alias("big"), "salts"))
     if per.isEmpty():
         return None
-    own = kept(own.withColumn("salt", _salt("key")).join(_handed_out(per), ["bucket", "salt"]).withColumn("minor", F.col("label") != F.col("big")))
     signed_ = nodes.select("key", "n", *_SIG, *_BAND)
+    own = own.withColumn("salt", _salt("key")).join(_handed_out(per), ["bucket", "salt"]).withColumn("minor", F.col("label") != F.col("big"))
+    own = kept(own.join(signed_, "key"))
     place = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
     every = own.select("*", F.lit(1).alias("side"), place("blocks").alias("y"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("x"))
     minor = own.filter("minor").select("*", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), place("minors").alias("x"))
-    rows = every.select(*_PLACE).union(minor.select(*_PLACE))
+    columns = [*_PLACE, "n", *_SIG, *_BAND]
+    rows = every.select(*columns).union(minor.select(*columns))
     seek = lambda t: _seek(t, similar)
-    found = kept(rows.join(signed_, "key").groupBy("bucket", "x", "y").applyInArrow(seek, rows.schema))
+    found = kept(rows.groupBy("bucket", "x", "y").applyInArrow(seek, rows.select(*_PLACE).schema))
     sets = texts.join(found.select("key").distinct(), "key", "left_semi").mapInArrow(_sets, "key binary, set binary")
+    found = found.groupBy("bucket", "band", "centre", "key", "label", "side", "minor").agg(F.collect_list(F.struct("x", "y")).alias("at"))
+    found = found.join(signed_.join(sets, "key"), "key").withColumn("at", F.explode("at")).select("*", "at.x", "at.y").drop("at")
     settle = lambda t: _settle(t, similar)
-    return kept(found.join(signed_.join(sets, "key"), "key").groupBy("bucket", "x", "y").applyInArrow(settle, "a binary, b binary"))
+    return kept(found.groupBy("bucket", "x", "y").applyInArrow(settle, "a binary, b binary"))
 
 
 def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
