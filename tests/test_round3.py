@@ -24,3 +24,7 @@ def same_as_sql(spark, name, place=DATA):
 
 def test_tax_ledgers_are_looked_up_in_the_chart_of_the_book(spark):
     same_as_sql(spark, "jn_ledger_map")
+
+
+def test_ledgers_are_placed_by_the_chart_of_the_book(spark):
+    same_as_sql(spark, "jn_ledger_group")
