@@ -22,11 +22,12 @@ from ..sources.manifest import Manifest
 class Windows:
     """``folder``; ``opened``: rows to partial windows (with ``end``); ``joined``: partial windows to whole ones; ``delay`` in seconds.
 
+    ``reach``: seconds behind a window's end from which a row that isn't late can still join it; it closes once the watermark is as far beyond its end.
     ``event`` is the column of event time. The state's schema is that of ``joined(opened(rows))``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, opened: Callable[[DataFrame], DataFrame], joined: Callable[[DataFrame], DataFrame], ends: Column, delay: int, event: str = "ts"):
-        self.spark, self.opened, self.joined, self.ends, self.delay, self.event = spark, opened, joined, ends, delay, event
+    def __init__(self, spark: SparkSession, folder: str, opened: Callable[[DataFrame], DataFrame], joined: Callable[[DataFrame], DataFrame], ends: Column, delay: int, event: str = "ts", reach: int = 0):
+        self.spark, self.opened, self.joined, self.ends, self.delay, self.event, self.reach = spark, opened, joined, ends, delay, event, reach
         self.manifest = Manifest(spark, folder)
 
     def _read(self, paths: list[str], like: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ class Windows:
         whole = self._read([laid], whole)
         newest = batch.agg(F.max(F.unix_micros(self.event)).alias("m")).first()["m"]
         mark = newest if mark is None else mark if newest is None else max(mark, newest)
-        passed = F.unix_micros("end") <= F.lit(None if mark is None else mark - self.delay * 1_000_000).cast("long")
+        passed = F.unix_micros("end") <= F.lit(None if mark is None else mark - (self.delay + self.reach) * 1_000_000).cast("long")
         passed = F.coalesce(passed, F.lit(False))
         paths["closed"].append(self._write(whole.filter(passed), "closed"))
         paths["open"] = [self._write(whole.filter(~passed), "open")]
@@ -92,7 +93,10 @@ def metrics(spark: SparkSession, folder: str, late: str = "10 minutes", size: st
 
 
 def sessions(spark: SparkSession, folder: str, gap: str = "30 minutes", late: str = "10 minutes") -> Windows:
-    """Lines of one operation that follow each other within ``gap``: operation_id, first, last, end (last and the gap), lines."""
+    """Lines of one operation that follow each other within ``gap``: operation_id, first, last, end (last and the gap), lines.
+
+    A line is late a gap after its own time; until then it can come behind a session's last line by less than a gap, so a session closes a gap after its end.
+    """
     wide = _seconds(gap)
     length = F.make_interval(secs=F.lit(wide))
 
@@ -109,4 +113,4 @@ def sessions(spark: SparkSession, folder: str, gap: str = "30 minutes", late: st
         own = own.groupBy("operation_id", "nth").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("lines").alias("lines"))
         return own.select("operation_id", "first", "last", (F.col("last") + length).alias("end"), "lines")
 
-    return Windows(spark, folder, opened, joined, F.col("ts") + length, _seconds(late))
+    return Windows(spark, folder, opened, joined, F.col("ts") + length, _seconds(late), reach=wide)

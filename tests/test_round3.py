@@ -1,10 +1,12 @@
 """Queries held against their SQL, and what was found wrong in the third round."""
 
+import datetime
 from pathlib import Path
 
 import pytest
 
 from ledgerloom import catalog
+from ledgerloom.streaming import windows as N
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,3 +30,14 @@ def test_tax_ledgers_are_looked_up_in_the_chart_of_the_book(spark):
 
 def test_ledgers_are_placed_by_the_chart_of_the_book(spark):
     same_as_sql(spark, "jn_ledger_group")
+
+
+def test_a_line_that_is_not_late_joins_the_session_before_it(spark, tmp_path):
+    at = lambda o, m: (o, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m))
+    w = N.sessions(spark, f"file://{tmp_path}/w", gap="30 minutes", late="10 minutes")
+    # the watermark stands at 35 before the second batch, beyond the end of the line at 0; the line at 29 is late from 59 on
+    for number, lines in enumerate(([at("o", 0), at("p", 45)], [at("o", 29)], [at("p", 200)], [at("o", 100)])):
+        w.add(spark.createDataFrame(lines, "operation_id string, ts timestamp"), number)
+    assert sorted((r["operation_id"], r["lines"]) for r in w.rows("closed").collect()) == [("o", 2), ("p", 1)]
+    assert [(r["operation_id"], r["lines"]) for r in w.rows("open").collect()] == [("p", 1)]
+    assert [(r["operation_id"], r["batch"]) for r in w.rows("late").collect()] == [("o", 3)]
