@@ -54,12 +54,12 @@ def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _followed(spark: SparkSession, sf_dir: str) -> str:
-    """The events as a stream of three files, in order of their numbers, a batch each, through the state machine; where its moves are."""
+    """The events as a stream, in order of their numbers, a third at a time, through the state machine, which starts anew for each; where its moves are."""
     place, rows = folder(spark), _proposals(spark, sf_dir)
     most = rows.agg(F.max("seq").alias("m")).first()["m"] or 0
     for k in range(3):
-        rows.filter(F.expr(f"seq * 3 div {most + 1}") == k).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    P.follow(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+        rows.filter(F.expr(f"seq * 3 div {most + 1}") == k).write.mode("append").parquet(f"{place}/in")
+        P.follow(spark.readStream.schema(rows.schema).parquet(f"{place}/in"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
     return f"{place}/out"
 
 

@@ -1,6 +1,7 @@
 """The state machine of a proposal as a keyed state: every move as it comes, legal ones and others, equal to the fold of all of them.
 
-State is kept per proposal by Spark's own store, so it survives restarts and costs what a batch touches. A move that isn't newer than the last one seen isn't taken
+State is kept by Spark's own store, so it survives restarts: proposals are dealt to SLICES, and a slice's state is read and written once in a batch that touches it,
+however many of its proposals move (a call of the store for each proposal takes far longer than the moves). A move that isn't newer than the last one seen isn't taken
 again: the same number is a replay, a smaller one came late; both are told apart from moves that the state or its guards forbid.
 """
 
@@ -15,7 +16,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators.reversal import EDGES
 
-STATE = "state string, conservation boolean, validation boolean, sure boolean, last long"
+#: A slice's proposals and where each stands, side by side.
+STATE = "proposal array<string>, state array<string>, conservation array<boolean>, validation array<boolean>, sure array<boolean>, last array<long>"
+#: Fixed value: slices that proposals are dealt to; a checkpoint holds for one number of them.
+SLICES = 4096
 MOVES = "proposal string, seq long, event string, before string, after string, verdict string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 START = ("observed", False, False, False, None)
@@ -42,18 +46,19 @@ class Proposals(StatefulProcessor):
         self.state = handle.getValueState("state", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names that Spark calls
-        held = self.state.get() if self.state.exists() else START
-        now, last, out = tuple(held[:4]), held[4], []
-        moves = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for seq, event, reason, operation, actor in zip(moves["seq"], moves["event"], moves["reason"], moves["operation_id"], moves["actor"], strict=True):
-            seq, before = int(seq), now[0]
+        held = self.state.get()
+        standing = {} if held is None else dict(zip(held[0], zip(*held[1:], strict=True), strict=True))
+        moves, out = pd.concat(list(rows)).sort_values("seq", kind="stable"), []
+        for proposal, seq, event, reason, operation, actor in zip(*[moves[c].tolist() for c in ("proposal", "seq", "event", "reason", "operation_id", "actor")], strict=True):
+            *now, last = standing.get(proposal, START)
+            before = now[0]
             if last is not None and seq <= last:
-                out.append((key[0], seq, event, before, before, REPLAY if seq == last else LATE))
+                out.append((proposal, seq, event, before, before, REPLAY if seq == last else LATE))
                 continue
-            last, after = seq, moved(now, event, _given(reason), _given(operation), _given(actor))
-            now = after or now
-            out.append((key[0], seq, event, before, now[0], LEGAL if after else ILLEGAL))
-        self.state.update((*now, last))
+            after = moved(tuple(now), event, _given(reason), _given(operation), _given(actor))
+            standing[proposal] = (*(after or now), seq)
+            out.append((proposal, seq, event, before, (after or now)[0], LEGAL if after else ILLEGAL))
+        self.state.update((list(standing), *map(list, zip(*standing.values(), strict=True))))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in MOVES.split(", ")])
 
     def close(self) -> None:
@@ -66,7 +71,8 @@ def moves(events: DataFrame) -> DataFrame:
     Events of one proposal come in order of seq, batch by batch; inside a batch they may come in any.
     """
     own = events.select("proposal", F.col("seq").cast("long").alias("seq"), "event", "reason", "operation_id", "actor")
-    return own.groupBy("proposal").transformWithStateInPandas(Proposals(), outputStructType=MOVES, outputMode="Append", timeMode="None")
+    own = own.withColumn("slice", F.pmod(F.xxhash64("proposal"), F.lit(SLICES)))
+    return own.groupBy("slice").transformWithStateInPandas(Proposals(), outputStructType=MOVES, outputMode="Append", timeMode="None")
 
 
 def follow(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

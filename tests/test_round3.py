@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from ledgerloom import catalog
+from ledgerloom.streaming import proposals as P
 from ledgerloom.streaming import windows as N
 
 DATA = "/root/testdata/sf0.001"
@@ -41,3 +42,14 @@ def test_a_line_that_is_not_late_joins_the_session_before_it(spark, tmp_path):
     assert sorted((r["operation_id"], r["lines"]) for r in w.rows("closed").collect()) == [("o", 2), ("p", 1)]
     assert [(r["operation_id"], r["lines"]) for r in w.rows("open").collect()] == [("p", 1)]
     assert [(r["operation_id"], r["batch"]) for r in w.rows("late").collect()] == [("o", 3)]
+
+
+def test_proposals_of_one_slice_keep_their_own_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "SLICES", 1)
+    schema = "proposal string, seq long, event string, reason string, operation_id string, actor string"
+    passed = [(p, 2 * k + n, e, "why", "op", "me") for k, p in enumerate(("a", "b", "c")) for n, e in enumerate(("conservation_passed", "validation_passed"))]
+    for part in (passed, [("a", 10, "confidence_high", "why", "op", "me"), ("c", 11, "confidence_medium", "why", "op", "me"), ("b", 3, "answered", "why", "op", "me"), ("b", 1, "answered", "why", "op", "me")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        P.follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert {r["proposal"]: (r["state"], r["illegal"]) for r in P.states(spark, f"{tmp_path}/out").collect()} == {"a": ("decided", 0), "b": ("checked", 0), "c": ("asking", 0)}
+    assert sorted((r["proposal"], r["seq"], r["verdict"]) for r in P.told(spark, f"{tmp_path}/out", True).collect()) == [("b", 1, P.LATE), ("b", 3, P.REPLAY)]
