@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from ledgerloom import catalog
+from ledgerloom.operators import fields
 from ledgerloom.streaming import proposals as P
 from ledgerloom.streaming import windows as N
 
@@ -53,3 +54,16 @@ def test_proposals_of_one_slice_keep_their_own_state(spark, tmp_path, monkeypatc
         P.follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     assert {r["proposal"]: (r["state"], r["illegal"]) for r in P.states(spark, f"{tmp_path}/out").collect()} == {"a": ("decided", 0), "b": ("checked", 0), "c": ("asking", 0)}
     assert sorted((r["proposal"], r["seq"], r["verdict"]) for r in P.told(spark, f"{tmp_path}/out", True).collect()) == [("b", 1, P.LATE), ("b", 3, P.REPLAY)]
+
+
+def test_pages_are_read_without_dealing_their_lines_anew(spark):
+    lines = [
+        (1, 0, "TAX INVOICE NO: A-7   DATE: 03/11/2025"), (1, 1, "TO TAL"), (1, 2, "Rs. 12.50"), (1, 3, "NET"), (1, 4, "9.00"), (1, 5, "9.00"), (1, 6, "TAX 1.00"), (1, 7, "TAX 2.00"),
+        (2, 0, "on 03/11/2025"), (2, 1, "VENDOR: Acme Traders"), (2, 3, "TOTAL"), (2, 5, "7.00"), (2, 6, None), (2, 7, "GST"), (2, 8, "5.00"), (3, 0, "nothing"),
+    ]
+    # of 1, the net stands twice and the tax disagrees with itself; of 2, the total has no line below it (4 is missing)
+    dealt = fields.page_fields(spark.createDataFrame(lines, "doc_id long, line_no int, text string").repartition("doc_id"))
+    got = sorted(tuple(r) for r in dealt.collect())
+    assert got == [(1, "date", "2025-11-03", 1.0), (1, "number", "A-7", 1.0), (1, "total", "1250", 0.5), (2, "date", "2025-11-03", 0.5), (2, "party", "Acme Traders", 1.0), (2, "tax", "500", 0.5)]
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join" in x and "doc_id" in x and "line_no" in x] == []  # a line and its neighbours aren't joined
