@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as X
-from ..functions.redact import redacted
+from ..functions.redact import CREDENTIALS, redacted
 from ..operators import checks as C
 from ..operators import documents as D
 from ..shared import folder, spread
@@ -71,17 +71,24 @@ def _planted(n: int) -> Column:
 
 
 def fn_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' words (no figures, no signs) with something planted in the middle and at the end, redacted."""
+    """Whole documents with a party that was learned, a figure, a login, a bearer's token and an amount behind them; then their words (no figures, no signs) with something planted in the middle and at the end; redacted."""
     d = spread(V.table(spark, sf_dir, "documents"))
     words = F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z\n]+", " "), r"(?i)\b(basic|bearer|rs|inr)\b", "-")
-    text = F.concat(words, _planted(0), F.lit("."), words, _planted(0))
-    out = redacted(text, {"Halden Paper Mill": "vendor", "short": ""})
+    whole = F.concat("text", F.lit(" vendor='Halden Paper Mill' gst_paise: 12,345.60 ftp://guest:pw@files/x Bearer abc ₹ 750 and "), "source")
+    parts = (whole, F.concat(words, _planted(0), F.lit("."), words, _planted(0)))
+    first, second = (redacted(x, {"Halden Paper Mill": "vendor", "short": ""}) for x in parts)
+    out = F.concat(first, F.lit("\n"), second)
     return d.select("doc_id", out.alias("x")).select("doc_id", F.sha2("x", 256).alias("hash"), F.size(F.regexp_extract_all("x", F.lit(r"\[REDACTED"), F.lit(0))).cast("bigint").alias("hidden"))
 
 
 register("fn_redact", fn_redact, r"""
 WITH w AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z\n]+', ' ', 'g'), '(?i)\b(basic|bearer|rs|inr)\b', '-', 'g') AS w, ([""" + ", ".join("'" + p[1].replace("'", "''") + "'" for p in _PLANTED) + r"""])[doc_id % """ + str(len(_PLANTED)) + r""" + 1] AS p FROM documents),
-x AS (SELECT doc_id, w || p || '.' || w || p AS x FROM w) SELECT doc_id, sha256(x) AS hash, len(regexp_extract_all(x, '\[REDACTED')) AS hidden FROM x""")
+t AS (SELECT doc_id, replace(text || ' vendor=''Halden Paper Mill'' gst_paise: 12,345.60 ftp://guest:pw@files/x Bearer abc ₹ 750 and ' || source, 'Halden Paper Mill', '[REDACTED vendor len=17]') AS x FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(x, '://[^/\s@]+@', '://[REDACTED]@', 'g'), '(?i)\b(Bearer|Basic)\s+\S+', '\1 [REDACTED]', 'g') AS x FROM t),
+b AS (SELECT doc_id, regexp_replace(x, '(?i)\b(""" + "|".join(CREDENTIALS) + r""")\b(["'']?\s*[=:]\s*)(?:"[^"]*"|''[^'']*''|[^\s,;)\]}]+)', '\1\2[REDACTED]', 'g') AS x FROM a),
+c AS (SELECT doc_id, regexp_replace(x, '(?i)\b(amount_paise|gst_paise|amount)\b(["'']?\s*[=:]\s*)(-?\d[\d,]*(?:\.\d+)?)', '\1\2[REDACTED amount]', 'g') AS x FROM b),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(x, '\b[0-9a-fA-F]{64,}\b', '[REDACTED]', 'g'), '(?i)(?:₹|\bRs\.?\s*|\bINR\s+)\s*\d[\d,]*(?:\.\d+)?', '[REDACTED amount]', 'g') AS x FROM c),
+x AS (SELECT doc_id, e.x || chr(10) || w || p || '.' || w || p AS x FROM e JOIN w USING (doc_id)) SELECT doc_id, sha256(x) AS hash, len(regexp_extract_all(x, '\[REDACTED')) AS hidden FROM x""")
 
 
 def fn_bill_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from ledgerloom import catalog
 from ledgerloom.operators import fields
+from ledgerloom.plans import documents
 from ledgerloom.streaming import proposals as P
 from ledgerloom.streaming import windows as N
 
@@ -67,3 +68,11 @@ def test_pages_are_read_without_dealing_their_lines_anew(spark):
     assert got == [(1, "date", "2025-11-03", 1.0), (1, "number", "A-7", 1.0), (1, "total", "1250", 0.5), (2, "date", "2025-11-03", 0.5), (2, "party", "Acme Traders", 1.0), (2, "tax", "500", 0.5)]
     plan = dealt._jdf.queryExecution().optimizedPlan().toString()
     assert [x for x in plan.splitlines() if "Join" in x and "doc_id" in x and "line_no" in x] == []  # a line and its neighbours aren't joined
+
+
+def test_whole_documents_are_redacted(spark, tmp_path):
+    n = len(documents._PLANTED)
+    rows = [(0, "all is well", "web"), (n, "all is well, password: hunter-22 for Rs. 1,200.50", "web"), (2 * n, None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["hidden"] for r in catalog.queries()["fn_redact"](spark, str(tmp_path)).collect()}
+    assert got[n] == got[0] + 2 and [r["hash"] for r in catalog.queries()["fn_redact"](spark, str(tmp_path)).filter(f"doc_id = {2 * n}").collect()] == [None]
