@@ -127,11 +127,18 @@ SELECT o AS doc_id, CASE WHEN o % 10 NOT IN (3, 5) THEN n END AS n, CASE WHEN o
 # Streams
 
 
-def _stream(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
-    """A table as a stream of so many files, one a micro-batch."""
+#: Rows of a file that a stream is read from, at most: a micro-batch has as many tasks as its rows ask for.
+FILE_ROWS = 100_000
+
+
+def _stream(spark: SparkSession, rows: DataFrame, batches: int = 4) -> DataFrame:
+    """A table as a stream of so many micro-batches, or fewer; each has its share of the files, which are written where the rows are."""
     path = folder(spark)
-    rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    if rows.rdd.getNumPartitions() < batches:
+        rows = rows.repartition(batches)
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
 
 
 def st_index(spark: SparkSession, sf_dir: str) -> DataFrame:
