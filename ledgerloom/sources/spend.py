@@ -61,6 +61,12 @@ def _inside(line: Column, inside: int) -> Column:
     return F.when(line.contains('"'), (folded == 1).cast("int")).otherwise(inside)
 
 
+def _outside(line: Column) -> Column:
+    """``_inside`` of a line that begins outside: it ends so if no quote is left once the cells that are quoted as they should be are."""
+    left = F.regexp_replace(line, '(?:^|,)"[^"]*"(?=,|$)', "")
+    return F.when(line.contains('"') & left.contains('"'), _inside(line, 0)).otherwise(0)
+
+
 def _states(rows: DataFrame, group: list[str], order: list[str], known: bool) -> DataFrame:
     """``rows`` (with to_0 and to_1, the state behind a row that was entered in 0 or 1) and the state before each row: at_0 and at_1, for a group entered in 0 or 1.
 
@@ -79,30 +85,54 @@ def records(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """path, number (0: the header), record (text, with its quotes): CSV files of any size, split into byte ranges.
 
     A quoted cell may hold line ends, so whether a line begins a record hangs on all quotes before it. Every range of a file works out what it does to
-    either state at its start, and how many records begin in it then; the few ranges of a file are put together, and only then lines get their record's number. A
+    either state at its start, and how many records begin in it then; the few ranges of a file are put together, and only then lines get their record's number. A file none of
+    whose lines ends inside a cell that it began outside is told first: its lines are its records, numbered by where they stand, and stay where they are. In other files, a
     record of one line stays where it is; others are joined from their lines (line ends become ``\\n``). Files that are valid UTF-8 throughout (a mark at the start is left out) are read
     so, others as cp1252.
     """
     lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line"))
     lines = lines.withColumn("line", F.when((F.col("block") == 0) & F.col("line").startswith("\ufeff"), F.substring("line", 2, 1 << 30)).otherwise(F.col("line")))
-    lines = lines.withColumns({"valid": F.is_valid_utf8("line"), "to_0": _inside(F.col("line"), 0), "to_1": _inside(F.col("line"), 1)})
+    lines = lines.withColumns({"valid": F.is_valid_utf8("line"), "to_0": _outside(F.col("line"))})
+    lines = kept(lines.withColumn("line", F.col("line").cast("binary")))  # written once: read for the ranges, then for the records
+    own = W.partitionBy("path")
+    ranges = lines.groupBy("path", "block").agg(F.min("nth").alias("__first"), F.count("*").alias("n"), F.max("to_0").alias("open"), F.bool_and("valid").alias("valid"))
+    ranges = ranges.withColumns({"__before": F.sum("n").over(own.orderBy("block")) - F.col("n"), "open": F.max("open").over(own), "__valid": F.min("valid").over(own)})
+    ranges = kept(ranges.select(F.col("path").alias("__path"), F.col("block").alias("__block"), "__first", "__before", "open", "__valid"))
+    plain = _of_range(lines, ranges.filter("open = 0"))
+    plain = plain.select("path", (F.col("__before") + F.col("nth") - F.col("__first")).alias("number"), _read("line").alias("record"))
+    cells = ranges.filter("open = 1")
+    return plain if cells.isEmpty() else plain.unionByName(_over_lines(_of_range(lines, cells).select(*lines.columns)))
+
+
+def _of_range(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    return lines.join(ranges, (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")))
+
+
+def _read(line: str) -> Column:
+    """A line's bytes as text, by what its whole file is."""
+    latin = F.translate(F.decode(line, "ISO-8859-1"), "".join(_OVER), "".join(_OVER.values()))
+    return F.when(F.col("__valid"), F.decode(line, "UTF-8")).otherwise(latin)
+
+
+def _over_lines(lines: DataFrame) -> DataFrame:
+    """``records`` of files in which a cell may go over a line's end."""
+    lines = lines.withColumn("to_1", _inside(F.col("line").cast("string"), 1))
     rows = _states(lines, ["path", "block"], ["nth"], known=False)
     upto = W.partitionBy("path", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumns({f"n_{s}": F.sum(1 - F.col(f"at_{s}")).over(upto) for s in (0, 1)})
-    rows = kept(rows.withColumn("line", F.col("line").cast("binary")))  # written once: read for the ranges, then for the records
+    rows = kept(rows)
     after = lambda s: F.when(F.col(f"at_{s}") == 0, F.col("to_0")).otherwise(F.col("to_1"))
     ranges = rows.groupBy("path", "block").agg(*[F.max_by(after(s), "nth").alias(f"to_{s}") for s in (0, 1)], *[F.max(f"n_{s}").alias(f"c_{s}") for s in (0, 1)], F.bool_and("valid").alias("valid"))
     ranges = _states(ranges, ["path"], ["block"], known=True)
     own = W.partitionBy("path")
     begun = F.when(F.col("at_0") == 0, F.col("c_0")).otherwise(F.col("c_1"))
-    ranges = ranges.select(F.col("path").alias("__path"), F.col("block").alias("__block"), F.col("at_0").alias("__at"), (F.sum(begun).over(own.orderBy("block")) - begun).alias("__before"), F.min("valid").over(own).alias("__valid"))
-    rows = rows.join(ranges, (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")))
+    ranges = kept(ranges.select(F.col("path").alias("__path"), F.col("block").alias("__block"), F.col("at_0").alias("__at"), (F.sum(begun).over(own.orderBy("block")) - begun).alias("__before"), F.min("valid").over(own).alias("__valid")))
+    rows = _of_range(rows, ranges)
     of = lambda name: F.when(F.col("__at") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
     rows = rows.withColumns({"at": of("at"), "number": F.col("__before") + of("n") - 1})
     rows = rows.withColumn("to", F.when(F.col("at") == 0, F.col("to_0")).otherwise(F.col("to_1")))
-    latin = F.translate(F.decode("line", "ISO-8859-1"), "".join(_OVER), "".join(_OVER.values()))
-    rows = rows.select("path", "number", "block", "nth", "at", "to", F.when(F.col("__valid"), F.decode("line", "UTF-8")).otherwise(latin).alias("line"))
+    rows = rows.select("path", "number", "block", "nth", "at", "to", _read("line").alias("line"))
     one = (F.col("at") == 0) & (F.col("to") == 0)
     long = rows.filter(~one).groupBy("path", "number").agg(F.array_sort(F.collect_list(F.struct("block", "nth", "line"))).alias("parts"), F.max_by("to", F.struct("block", "nth")).alias("open"))
     text = F.concat(F.array_join(F.transform("parts", lambda p: p["line"]), "\n"), F.when(F.col("open") == 1, '"').otherwise(""))  # a file may end inside a cell
@@ -137,9 +167,9 @@ def read_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
         known.append((r["record"], [found[f] for f in ALIASES]))
     places = spark.createDataFrame(known, "record string, columns array<int>")
     of = every.filter("number = 0").join(places, "record").select("path", "columns")
-    named = F.broadcast(of) if len(known) == 1 and of.limit(ONE_BY_ONE + 1).count() <= ONE_BY_ONE else of
+    named = F.broadcast(of) if of.limit(ONE_BY_ONE + 1).count() <= ONE_BY_ONE else of
     rows = every.filter("number > 0").join(named, "path")
-    return rows.select("path", F.col("number").cast("int").alias("number"), cells(F.col("record"), width).alias("cells"), "columns")
+    return rows.select("path", F.col("number").cast("int").alias("number"), F.explode(F.array(cells(F.col("record"), width))).alias("cells"), "columns")  # a record is parsed once: no filter goes below
 
 
 #: Files whose places are broadcast, at most.
@@ -150,10 +180,11 @@ def load(rows: DataFrame) -> DataFrame:
     """path, number, date, party, narration, account, amount, reasons: one row per published row; no reasons: it is loaded."""
     cell = lambda f: F.coalesce(F.get("cells", F.get("columns", F.lit(list(ALIASES).index(f)))), F.lit(""))
     short = F.size("cells") <= F.array_max("columns")
-    typed = rows.select(
-        "path", "number", short.alias("short"), M.spend_date(cell("date")).alias("date"), X.clean(cell("party")).alias("party"), X.clean(cell("narration")).alias("narration"),
-        X.clean(cell("account")).alias("account"), M.pence(cell("amount")).alias("amount"),
+    typed = F.struct(
+        short.alias("short"), let(X.clean(cell("date")), M.date_of).alias("date"), X.clean(cell("party")).alias("party"), X.clean(cell("narration")).alias("narration"),
+        X.clean(cell("account")).alias("account"), let(F.translate(X.clean(cell("amount")), ",£ ", ""), M.pence_of).alias("amount"),
     )
+    typed = rows.select("path", "number", F.inline(F.array(typed)))  # and a row is read once
     reasons = F.array_compact(F.array(
         F.when(F.col("narration") == "", "narration is empty"), F.when(F.col("account") == "", "account is empty"), F.when(F.col("party") == "", "party is empty"),
         F.when(F.col("date").isNull(), "date is unreadable"), F.when(F.col("amount").isNull(), "amount is unreadable"),

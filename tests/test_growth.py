@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import arrivals
+from ledgerloom.sources import spend
 
 
 def test_a_micro_batch_has_as_many_files_as_its_rows_ask_for(spark, tmp_path, monkeypatch):
@@ -17,3 +18,16 @@ def test_a_micro_batch_has_as_many_files_as_its_rows_ask_for(spark, tmp_path, mo
     stream.writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 4 and all(len(files) == 10 and max(n for n, _ in files) <= 50 for files in seen)
     assert sum(x for files in seen for _, x in files) == sum(range(2000))
+
+
+def test_a_published_row_is_parsed_once_and_where_it_stands(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Date,Supplier,Expense type,Description,Amount\n03/11/2025,A,Rent,x,"£1,005.50"\n3/1/2025,B,Rent,,£6\n' + "04/11/2025,C,Rent,z,7\n" * 500)
+    (tmp_path / "b.csv").write_text('Amount,Supplier,Expense type,Description,Date\n-£5,D,Rent,"over\nlines",04-Nov-25\n1.234,E,Rent,y,31/02/2025\n')
+    rows = spend.load(spend.read_files(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"])).filter("size(reasons) = 0")
+    got = sorted((r["path"][-5:], r["number"], str(r["date"]), r["party"], r["narration"], r["amount"]) for r in rows.collect())
+    assert got[0] == ("a.csv", 1, "2025-11-03", "A", "x", 100550) and got[1:-1] == [("a.csv", n, "2025-11-04", "C", "z", 700) for n in range(3, 503)]
+    assert got[-1] == ("b.csv", 1, "2025-11-04", "D", "over lines", -500)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1 and "strategy=broadcast" in plan  # a file's rows don't meet in one task to learn their columns
+    lines = spend.records(spark, f"{tmp_path}/a.csv")
+    assert "Window" not in lines._jdf.queryExecution().optimizedPlan().toString() and sorted(r["number"] for r in lines.collect()) == list(range(503))
