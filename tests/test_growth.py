@@ -1,7 +1,11 @@
 """What was found to grow faster than its input, or to be too few tasks' work, in the third round."""
 
+from fractions import Fraction
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import evaluate
 from ledgerloom.plans import arrivals
 from ledgerloom.sources import spend
 
@@ -31,3 +35,17 @@ def test_a_published_row_is_parsed_once_and_where_it_stands(spark, tmp_path):
     assert plan.count("from_csv") == 1 and "strategy=broadcast" in plan  # a file's rows don't meet in one task to learn their columns
     lines = spend.records(spark, f"{tmp_path}/a.csv")
     assert "Window" not in lines._jdf.queryExecution().optimizedPlan().toString() and sorted(r["number"] for r in lines.collect()) == list(range(503))
+
+
+def test_vouchers_that_no_error_can_fall_on_stay_where_they_are(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr(
+        "concat('c', id % 2) AS company_key", "cast(id AS string) AS id", "date'2024-01-01' AS date", "concat('Supplier ', id % 8, ' Ltd') AS party", "concat('account ', id % 8) AS debit_account",
+        "'Bank' AS credit_account", "id + 100 AS amount_paise", "CASE WHEN id % 8 < 2 THEN 5L END AS gst_paise",
+    )
+    made = evaluate.injected(rows, Fraction(1, 20), 7).withColumn("rank", F.row_number().over(W.partitionBy("company_key").orderBy(F.substring(evaluate.shuffled(7, "id"), 1, 3), F.rand(1))))
+    kinds = {(r["company_key"], r["error_type"]): r["n"] for r in made.groupBy("company_key", "error_type").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {(c, t): n for c in ("c0", "c1") for t, n in [(None, 1900), *[(k, 25) for k, _ in evaluate.TYPES]]}
+    assert made.filter("error_type IS NOT NULL").agg(F.max("rank")).first()[0] < 700  # errors fall on the first cells: most rows are in none of them
+    plan = evaluate.injected(rows, Fraction(1, 20), 7)._jdf.queryExecution().optimizedPlan().toString()
+    apart = plan[plan.index("LeftAnti") :]
+    assert plan.index("Window") < plan.index("LeftAnti") and "Window" not in apart  # only the others are put in order
