@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 Reader = Callable[[DataFrame], DataFrame]
 #: Fixed value: what stands for a field that a reader didn't find, before the reason.
 NOT_FOUND = "not found"
@@ -108,7 +110,7 @@ def guarded(docs: DataFrame, reader: Reader, fields: Sequence[str], name: str =
         .when(failed.isNotNull(), F.when(F.trim(failed) == "", F.lit(f"Unexplained: {name} failed without a reason")).otherwise(failed))
         .when(got.isNull(), F.lit(f"MalformedAnswer: {name} gave neither fields nor a failure"))
     )
-    both = both.withColumn("failure", failure)
+    both = kept(both.withColumn("failure", failure))  # documents are read once, for both outputs
     said = F.map_filter(got, lambda k, v: F.coalesce(F.trim(v), F.lit("")) != "")
     read = both.filter("failure IS NULL").select("name", "seq", "hash", said.alias("fields"), _sources(fields, name, F.lit(""), got).alias("sources"))
     read = read.withColumn("complete", F.size(F.array_except(F.array(*map(F.lit, fields)), F.map_keys("fields"))) == 0)

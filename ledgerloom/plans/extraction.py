@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import extraction as X
-from ..shared import kept
 from . import views as V
 
 FIELDS = ("supplier", "number", "date", "total")
@@ -38,9 +37,7 @@ def read_record(data: bytes | None, mime: str | None) -> dict:
 
 
 def _outcome(spark: SparkSession, sf_dir: str) -> X.Outcome:
-    docs = _documents(spark, sf_dir)
-    out = X.guarded(docs, X.by_row(read_record), FIELDS, "records")
-    return X.Outcome(*[kept(d) for d in out])
+    return X.guarded(_documents(spark, sf_dir), X.by_row(read_record), FIELDS, "records")
 
 
 def ext_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from fractions import Fraction
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import evaluate
+from ledgerloom.operators import evaluate, extraction
 from ledgerloom.plans import arrivals
 from ledgerloom.sources import spend
 
@@ -49,3 +49,10 @@ def test_vouchers_that_no_error_can_fall_on_stay_where_they_are(spark):
     plan = evaluate.injected(rows, Fraction(1, 20), 7)._jdf.queryExecution().optimizedPlan().toString()
     apart = plan[plan.index("LeftAnti") :]
     assert plan.index("Window") < plan.index("LeftAnti") and "Window" not in apart  # only the others are put in order
+
+
+def test_a_document_is_read_once_for_both_outputs(spark):
+    docs = spark.createDataFrame([("a", 1, b"1", "x"), ("b", 2, b"2", "x")], "name string, seq long, data binary, mime string")
+    out = extraction.guarded(docs, extraction.by_row(lambda data, mime: {"x": 1 // (data[0] - 49)}), ("x",))
+    assert [r["name"] for r in out.read.collect()] == ["b"] and [r["name"] for r in out.broken.collect()] == ["a"]
+    assert all("MapInArrow" not in d._jdf.queryExecution().optimizedPlan().toString() for d in (out.read, out.broken))
