@@ -76,3 +76,25 @@ def test_whole_documents_are_redacted(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["hidden"] for r in catalog.queries()["fn_redact"](spark, str(tmp_path)).collect()}
     assert got[n] == got[0] + 2 and [r["hash"] for r in catalog.queries()["fn_redact"](spark, str(tmp_path)).filter(f"doc_id = {2 * n}").collect()] == [None]
+
+
+def test_a_page_is_read_in_one_pass(spark):
+    lines = [
+        (1, 0, "TAX INVOICE NO: A-7   DATE: 03/11/2025"), (1, 1, "Tax  Invoice no : A-7"), (1, 2, "VENDOR"), (1, 3, " "), (1, 4, "29ABCDE1234F1Z5"), (1, 5, " Acme Traders "), (1, 6, "Elsewhere"), (1, 7, "BILL TO"), (1, 8, "29ABCDE1234F1Z5 07ABCDE1234F1Z5"),
+        (1, 9, "Someone"), (1, 10, "SUB\tTOTAL: Rs. 9.00"), (1, 11, "CGST @ 9% 1.00"), (1, 12, "sgst 1.00"), (1, 13, "TOTAL 11.00"), (1, 14, "GRAND TOTAL 11.00/-"),
+        (2, 0, "SOLD BY: Left"), (2, 1, "SOLD BY: Right"), (2, 2, "BUYER"), (2, 3, "SHIP TO"), (2, 4, "Nobody"), (2, 5, "TOTAL 5.00"), (2, 6, "TOTAL 6.00"), (2, 7, "TAX 2.00"), (2, 9, "PLACE OF SUPPLY: Goa"), (2, 12, None),
+        (3, 0, "nothing"), (3, 1, "07ABCDE1234F1Z5"), (4, 0, "DATE: 31/02/2026"), (5, 0, "BUYER"), (5, 1, "07ABCDE1234F1Z5"), (5, 4, "29ABCDE1234F1Z5"),
+    ]
+    dealt = spark.createDataFrame(lines, "doc_id long, line_no int, text string").repartition("doc_id")
+    wide = fields.doc_fields(dealt)
+    got = {r["doc_id"]: {k: v for k, v in r.asDict().items() if v is not None and k != "doc_id"} for r in wide.collect()}
+    assert got == {
+        1: {"number": "A-7", "date": "2025-11-03", "supplier_name": "Acme Traders", "supplier_tax_id": "29ABCDE1234F1Z5", "supplier_state": "29", "buyer_name": "29ABCDE1234F1Z5 07ABCDE1234F1Z5", "buyer_tax_id": "07ABCDE1234F1Z5", "buyer_state": "07",
+            "net": "900", "cgst": "100", "sgst": "100", "tax": "200", "total": "1100", "tax_stated": False, "missing": []},
+        2: {"place": "Goa", "tax": "200", "tax_stated": True, "missing": ["number", "date", "supplier_name", "total"]},
+    }
+    # as the single readers say
+    assert {(r["doc_id"], r["side"], r["tax_id"]) for r in fields.tax_ids(dealt).collect() if r["side"]} == {(1, "supplier", "29ABCDE1234F1Z5"), (1, "buyer", "07ABCDE1234F1Z5")}
+    assert [(r["doc_id"], r["value"]) for r in fields.below_heading(dealt, "buyer").collect()] == [(1, "29ABCDE1234F1Z5 07ABCDE1234F1Z5")]
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1  # once
