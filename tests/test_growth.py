@@ -1,12 +1,13 @@
 """What was found to grow faster than its input, or to be too few tasks' work, in the third round."""
 
+import datetime
 from fractions import Fraction
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import evaluate, extraction
-from ledgerloom.plans import arrivals
+from ledgerloom.plans import arrivals, scoring, views
 from ledgerloom.sources import spend
 
 
@@ -56,3 +57,20 @@ def test_a_document_is_read_once_for_both_outputs(spark):
     out = extraction.guarded(docs, extraction.by_row(lambda data, mime: {"x": 1 // (data[0] - 49)}), ("x",))
     assert [r["name"] for r in out.read.collect()] == ["b"] and [r["name"] for r in out.broken.collect()] == ["a"]
     assert all("MapInArrow" not in d._jdf.queryExecution().optimizedPlan().toString() for d in (out.read, out.broken))
+
+
+def test_entries_are_numbered_by_themselves(spark):
+    own = [("c", f"{i % 7}-{i:03}", datetime.date(2024, 1, 1 + i % 9) if i % 10 else None) for i in range(101)] + [("d", "x", None)] + [("e", str(i), datetime.date(2024, 1, 1)) for i in range(5)]
+    rows = spark.createDataFrame(own, "company_key string, id string, date date")
+    want = views.halves(rows).filter("role = 'entry'").drop("role")
+    days = views.counted(rows)
+    entries = rows.join(views.cuts(rows, days), "company_key", "left").filter("NOT coalesce(struct(date, id) <= cut, false)").drop("cut")
+    got = {(r["company_key"], r["id"]): r["seq"] for r in views.placed(entries, days).collect()}
+    assert len(got) == 51 + 1 + 3 and got == {(r["company_key"], r["id"]): r["seq"] for r in want.collect()}
+
+
+def test_cases_of_detectors_are_numbered_without_their_vouchers(spark, monkeypatch):
+    written, kept = [], views.kept
+    monkeypatch.setattr(views, "kept", lambda df: written.append(df) or kept(df))
+    scoring.agg_detector_corpus(spark, "/root/testdata/sf0.001")
+    assert sum("debit_account" in df.columns for df in written) == 1  # the book is written once, and nothing of it but days and cuts
