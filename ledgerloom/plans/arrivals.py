@@ -43,11 +43,11 @@ register("src_as_voucher", src_as_voucher, f"SELECT narration, party, 'Purchases
 
 
 def src_daybook_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vouchers exported as XML, one in six with three legs, and read back."""
+    """Vouchers exported as compressed XML (a file per task, read by one), one in six with three legs, and read back."""
     path, a = folder(spark), F.col("amount_paise")
     legs = F.array(F.struct(F.col("debit_account").alias("LEDGER"), a.alias("PAISE")), F.struct(F.col("credit_account").alias("LEDGER"), F.when(a % 6 == 0, 1 - a).otherwise(-a).alias("PAISE")))
     legs = F.when(a % 6 == 0, F.concat(legs, F.array(F.struct(F.lit("Rounding").alias("LEDGER"), F.lit(-1).cast("bigint").alias("PAISE"))))).otherwise(legs)
-    V.vouchers(spark, sf_dir).select(F.col("id").alias("ID"), F.date_format("date", "yyyyMMdd").alias("DATE"), F.col("party").alias("PARTY"), F.col("narration").alias("NARRATION"), legs.alias("LEG")).write.format("xml").option("rootTag", "ENVELOPE").option("rowTag", "VOUCHER").save(path)
+    V.vouchers(spark, sf_dir).select(F.col("id").alias("ID"), F.date_format("date", "yyyyMMdd").alias("DATE"), F.col("party").alias("PARTY"), F.col("narration").alias("NARRATION"), legs.alias("LEG")).write.format("xml").option("rootTag", "ENVELOPE").option("rowTag", "VOUCHER").option("compression", "gzip").save(path)
     return books.day_book(spark, path).groupBy("shape").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("amount"), F.count_distinct("party").alias("parties"), F.max("date").cast("string").alias("last"))
 
 

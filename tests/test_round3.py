@@ -7,7 +7,7 @@ import pytest
 
 from ledgerloom import catalog
 from ledgerloom.operators import fields
-from ledgerloom.plans import documents
+from ledgerloom.plans import arrivals, documents
 from ledgerloom.streaming import proposals as P
 from ledgerloom.streaming import windows as N
 
@@ -98,3 +98,10 @@ def test_a_page_is_read_in_one_pass(spark):
     assert [(r["doc_id"], r["value"]) for r in fields.below_heading(dealt, "buyer").collect()] == [(1, "29ABCDE1234F1Z5 07ABCDE1234F1Z5")]
     plan = wide._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1  # once
+
+
+def test_the_day_book_is_exported_compressed_and_read_back_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrivals, "folder", lambda _: f"file://{tmp_path}/book")
+    same_as_sql(spark, "src_daybook_xml")
+    files = [f for f in (tmp_path / "book").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.read_bytes()[:2] == b"\x1f\x8b" for f in files)
