@@ -39,10 +39,10 @@ def operations(spark: SparkSession, path: str, last: int | None = None) -> DataF
     return rows if last is None else rows.orderBy(F.desc("ts")).limit(last).orderBy("ts")
 
 
-def write_book(vouchers: DataFrame, truth: DataFrame, folder: str) -> None:
-    """Vouchers and the answer key to two folders of JSON lines; every row has every key."""
-    vouchers.write.mode("error").option("ignoreNullFields", "false").json(f"{folder}/vouchers")
-    truth.write.mode("error").option("ignoreNullFields", "false").json(f"{folder}/truth")
+def write_book(vouchers: DataFrame, truth: DataFrame, folder: str, compression: str = "none") -> None:
+    """Vouchers and the answer key to two folders of JSON lines, as they are or compressed; every row has every key."""
+    for rows, name in ((vouchers, "vouchers"), (truth, "truth")):
+        rows.write.mode("error").option("ignoreNullFields", "false").option("compression", compression).json(f"{folder}/{name}")
 
 
 class Companies:

@@ -1,13 +1,14 @@
 """Queries held against their SQL, and what was found wrong in the third round."""
 
 import datetime
+import json
 from pathlib import Path
 
 import pytest
 
 from ledgerloom import catalog
 from ledgerloom.operators import fields
-from ledgerloom.plans import arrivals, documents
+from ledgerloom.plans import arrivals, documents, more
 from ledgerloom.streaming import proposals as P
 from ledgerloom.streaming import windows as N
 
@@ -105,3 +106,12 @@ def test_the_day_book_is_exported_compressed_and_read_back_whole(spark, tmp_path
     same_as_sql(spark, "src_daybook_xml")
     files = [f for f in (tmp_path / "book").iterdir() if f.name.startswith("part-")]
     assert files and all(f.read_bytes()[:2] == b"\x1f\x8b" for f in files)
+
+
+def test_a_book_is_written_compressed_with_every_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(more, "folder", lambda _: f"file://{tmp_path}/book")
+    same_as_sql(spark, "snk_book_jsonl")
+    files = [f for f in (tmp_path / "book/vouchers").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.read_bytes()[:2] == b"\x1f\x8b" for f in files)
+    keys = {tuple(sorted(json.loads(r[0]))) for r in spark.read.text(f"{tmp_path}/book/vouchers").collect()}
+    assert keys == {("amount_paise", "company_key", "credit_account", "date", "debit_account", "gst_paise", "id", "narration", "party", "seq")}
