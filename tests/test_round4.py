@@ -31,9 +31,27 @@ def test_figures_are_told_apart_without_casts_that_fail(spark):
     got = [r["why"] for r in df.collect()]
     assert got == ["", "a quantity", "a quantity", "a percentage", "a postal code", "a document number", "a classification code", "a phone number", "", "a date", "a malformed amount", "a malformed amount", "a document number", "a malformed amount", ""]
     plan, cast = plan_of(df).lower(), "try_cast(regexp_extract(trim"
-    assert plan.count(cast) == plan.count(f"null else {cast}")  # of text that didn't match it is an exception for each row
+    assert plan.count(cast) == plan.count(f"null else ({cast}")  # of text that didn't match it is an exception for each row
 
 
 def test_two_readings_print_and_read_the_bills_once(spark):
     same_as_sql(spark, "fn_merge_readings")
     assert "lineitem" not in (plan := catalog.queries()["fn_merge_readings"](spark, DATA)._jdf.queryExecution().executedPlan().toString()) and "line_no" not in plan
+
+
+def test_a_table_is_read_in_one_pass_over_its_page(spark):
+    pages = {
+        1: ["QTY 5", "item qty rate amount", "Bolt M 8 2 3.00 6.00", "Nut 1 1.00 1.00", "total", "Late 9 9 9"],  # too few tokens end the rows
+        2: ["QTY RATE AMOUNT", "1 2 3", "ITEM QTY AMOUNT", "Bolt 1 2.00"],  # the first header has no description
+        3: ["TOTAL QUANTITY", "HSN/SAC AMOUNT", "DESCRIPTION OF GOODS HSN/SAC TAXABLE VALUE", "Big Bolt 9983 7.00", None, "ITEM QTY RATE", "Nut 9984 5.00"],
+        4: ["nothing"],
+    }
+    lines = spark.createDataFrame([(d, k, t) for d, own in pages.items() for k, t in enumerate(own)], "doc_id long, line_no int, text string").repartition("doc_id")
+    found = fields.table_rows(lines)
+    got = {(r["doc_id"], r["line_no"]): r["cells"] and [tuple(c) for c in r["cells"]] for r in found.collect()}
+    goods = lambda a, b, c: [("description", a), ("hsn_sac", b), ("taxable", c)]
+    assert got == {
+        (1, 2): [("description", "Bolt M 8"), ("quantity", "2"), ("rate", "3.00"), ("line_total", "6.00")], (1, 3): [("description", "Nut"), ("quantity", "1"), ("rate", "1.00"), ("line_total", "1.00")],
+        (3, 3): goods("Big Bolt", "9983", "7.00"), (3, 4): None, (3, 5): goods("ITEM", "QTY", "RATE"), (3, 6): goods("Nut", "9984", "5.00"),
+    }
+    assert "Join" not in plan_of(found)
