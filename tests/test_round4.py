@@ -65,3 +65,20 @@ def test_entries_are_judged_by_facts_that_are_worked_out_once(spark, monkeypatch
     stream, *facts = seen[0]
     assert stream.isStreaming and "narration" not in stream.columns
     assert [x for t in facts for x in ("Aggregate", "Join", "Window") if x in plan_of(t)] == []  # files, which a micro-batch reads
+
+
+def test_a_document_is_read_with_all_its_fields(spark):
+    irn = "0123456789abcdefABCDEF" + "7" * 42
+    lines = [
+        (1, 0, f"IRN : {irn}"), (1, 1, "E-Way Bill No: 123456789012   PO NO: P-7"), (1, 2, "SELLER"), (1, 3, "07ABCDE1234F1Z5"), (1, 4, "Address : 1 High Street"), (1, 5, "CGST 1.00"), (1, 6, "UTGST @ 9% : 2.00"), (1, 7, "CESS 0.50"),
+        (1, 8, "Round Off -0.25"), (1, 9, "Amount in words: Three Rupees"), (2, 0, "IGST 18.00"), (2, 1, "SGST 1.00"), (2, 2, "UTGST 2.00"), (2, 3, "ADDRESS: here"), (2, 4, "ADDRESS: there"), (3, 0, "IRN: 0123"), (3, 1, "EWB NO: 12345678901x"), (4, 0, "R/OFF 0.10"),
+    ]
+    wide = fields.doc_fields(spark.createDataFrame(lines, "doc_id long, line_no int, text string"))
+    got = {r["doc_id"]: {k: v for k, v in r.asDict().items() if v not in (None, False) and k not in ("doc_id", "missing")} for r in wide.collect()}
+    assert got == {
+        1: {"irn": irn, "eway": "123456789012", "po": "P-7", "supplier_tax_id": "07ABCDE1234F1Z5", "supplier_state": "07", "supplier_name": "Address : 1 High Street", "supplier_address": "1 High Street", "buyer_address": "1 High Street",
+            "cgst": "100", "sgst": "200", "cess": "50", "tax": "350", "round_off": "-25", "words": "Three Rupees"},
+        2: {"igst": "1800", "tax": "1800", "tax_stated": True}, 4: {"round_off": "10"},
+    }
+    assert set(fields.DOC_FIELDS) < set(catalog.queries()["agg_doc_fields"](spark, DATA).columns)
+    same_as_sql(spark, "agg_doc_fields")
