@@ -1,13 +1,30 @@
 """What was found in the fourth round: work of pages, tables and arriving entries at size."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
-from test_round3 import DATA, same_as_sql
 
 from ledgerloom import catalog
 from ledgerloom.functions import reading as R
 from ledgerloom.operators import fields
 from ledgerloom.plans import arrivals
 
+DATA = "/root/testdata/sf0.001"
+
+
+def same_as_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    own = duckdb.connect()
+    own.execute("SET TimeZone = 'UTC'")
+    for table in Path(DATA).glob("*.parquet"):
+        own.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM '{table}'")
+    want = own.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    told = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    rows = want.fetchall()
+    assert rows and told(catalog.queries()[name](spark, DATA).select(*columns).collect()) == told(rows)
+
 
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
